@@ -177,7 +177,7 @@ def _test(name: str, op: str, arg: Any, whole: dict, fields: Fields) -> Column:
     if op == "$nin":
         return negate(_test(name, "$in", arg, whole, fields))
     if op == "$regex":
-        pattern = ("(?i)" if "i" in whole.get("$options", "") else "") + arg
+        pattern = ("(?iu)" if "i" in whole.get("$options", "") else "") + arg
         return fields.holds(name, "", lambda col: col.cast("string").rlike(pattern))
     if op in _COMPARE:
         return fields.holds(name, arg, lambda col: _COMPARE[op](col, F.lit(arg)))

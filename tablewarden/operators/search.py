@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 
 from tablewarden.functions.digests import row_digest
 from tablewarden.functions.jsontext import any_leaf, variant_path
-from tablewarden.functions.values import as_number
+from tablewarden.functions.values import as_number, type_tag
 from tablewarden.sources.sinks import text_form
 from tablewarden.sources.tables import TableSet
 
@@ -55,7 +55,7 @@ class SearchValue:
     def pattern(self) -> str:
         """What to match as a regular expression, flags included."""
         body = self.text if self.regex else re.escape(self.text)
-        return body if self.case_sensitive else f"(?i){body}"
+        return body if self.case_sensitive else f"(?iu){body}"
 
 
 def match_text(col: Column, v: SearchValue) -> Column:
@@ -109,11 +109,10 @@ def match_json_text(col: Column, v: SearchValue) -> Column:
         key, value = (p.strip() for p in v.text.split(":", 1))
         if key and value:
             doc = F.try_parse_json(text)
-            # only a string value can be equal; the text test spares most rows the parse
-            at_key = F.try_variant_get(doc, variant_path([key]), "variant")
-            return text.contains(F.lit(key)) & (
-                (F.schema_of_variant(at_key) == "STRING")
-                & (F.try_variant_get(doc, variant_path([key]), "string") == F.lit(value))
+            at_key = variant_path([key])
+            # the text 1 and the number 1 differ: only a string value can be equal
+            return (F.try_variant_get(doc, at_key, "string") == F.lit(value)) & (
+                F.schema_of_variant(F.try_variant_get(doc, at_key, "variant")) == "STRING"
             )
     if v.regex:
         return text.rlike(v.pattern)
@@ -144,12 +143,59 @@ def _match_leaf(kind: Column, plain: Column, v: SearchValue) -> Column:
     )
 
 
+def match_variant(value: Column, v: SearchValue) -> Column:
+    """The rules for one schema-less value, decided by what the value is.
+
+    An array matches when an element does; an object matches on its JSON text,
+    on any leaf when recursive, or on the value found along a path.
+    """
+    if v.is_path:
+        *path, target = (p.strip() for p in v.text.split("->"))
+        at = F.try_variant_get(value, variant_path(path), "variant")
+        return match_variant(at, replace(v, text=target, recursive=False))
+
+    def by_kind(x: Column, array_rule: Callable[[Column], Column]) -> Column:
+        kind = type_tag(x)
+        plain = F.try_variant_get(x, "$", "string")
+        return (
+            F.when(kind == "array", array_rule(x))
+            .when(kind == "object", _match_object_text(F.to_json(x), v))
+            .when(kind == "date", plain.contains(F.lit(v.text)))
+            .otherwise(_match_leaf(kind, plain, v))
+        )
+
+    def leaves(x: Column) -> Column:
+        return any_leaf(F.to_json(x), lambda kind, plain: _match_leaf(kind, plain, v))
+
+    def elements(x: Column) -> Column:
+        return F.exists(F.try_variant_get(x, "$", "array<variant>"), lambda e: by_kind(e, leaves))
+
+    return by_kind(value, elements)
+
+
+def _match_object_text(text: Column, v: SearchValue) -> Column:
+    if v.recursive:
+        return any_leaf(text, lambda kind, plain: _match_leaf(kind, plain, v))
+    return match_text(text, replace(v, exact=False))
+
+
+def matching_fields(doc: Column, v: SearchValue, field: str | None = None) -> Column:
+    """Names of the top-level fields of a document that match; ``_id`` is left out."""
+    entries = F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>"))
+    wanted = F.filter(
+        entries,
+        lambda e: (e["key"] == field if field else e["key"] != "_id")
+        & F.coalesce(match_variant(e["value"], v), F.lit(False)),
+    )
+    return F.transform(wanted, lambda e: e["key"])
+
+
 def match_value(col: Column, dtype: T.DataType, v: SearchValue, is_json: bool = False) -> Column | None:
     """The predicate for one column, or None when its type cannot hold the value."""
     if v.is_null:
         return col.isNull()
     if isinstance(dtype, T.VariantType):
-        return match_json_text(F.to_json(col), v)
+        return match_variant(col, v)
     if is_json:
         return match_json_text(col, v)
     if isinstance(dtype, T.StructType):
@@ -228,9 +274,19 @@ def hits_of(df: DataFrame, predicates: dict[str, Column]) -> DataFrame:
     )
 
 
+def is_collection(df: DataFrame) -> bool:
+    """True for schema-less documents: a VARIANT column named ``doc``."""
+    return "doc" in df.columns and isinstance(df.schema["doc"].dataType, T.VariantType)
+
+
 def row_key(ts: TableSet, table: str) -> Column:
-    """The declared key as text, parts joined with ``|``; NULL without a key."""
+    """The declared key as text, parts joined with ``|``; NULL without a key.
+
+    A document without a declared key is known by its ``_id``.
+    """
     key = ts.key_of(table)
+    if not key and is_collection(ts[table]):
+        return F.try_variant_get(F.col("doc"), "$._id", "string")
     if not key:
         return F.lit(None).cast("string")
     return F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in key])
@@ -259,6 +315,11 @@ def _per_table(
     for name in [table] if table else ts.names:
         if name.startswith("system."):
             continue
+        if is_collection(ts[name]):
+            found = matching_fields(F.col("doc"), v, column)
+            hits = ts[name].withColumn("matching_columns", found).where(F.size("matching_columns") > 0)
+            frames.append(shape(name, _limited(ts, name, hits, limit)))
+            continue
         predicates = column_predicates(ts, name, v, column)
         if predicates:
             frames.append(shape(name, _limited(ts, name, hits_of(ts[name], predicates), limit)))
@@ -340,7 +401,7 @@ def hit_counts(hits: DataFrame) -> DataFrame:
 
 def highlight(col: Column, value: str, regex: bool = False, before: str = "<<", after: str = ">>") -> Column:
     """Wrap every match, upper or lower case, in two marks."""
-    pattern = f"(?i)({value if regex else re.escape(value)})"
+    pattern = f"(?iu)({value if regex else re.escape(value)})"
     if value == "":
         return col
     left, right = (m.replace("\\", "\\\\").replace("$", "\\$") for m in (before, after))
