@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tablewarden.functions.digests import row_digest
 from tablewarden.operators.integrity import duplicates
 
 # Anything that is neither a letter nor a digit separates terms.
@@ -14,13 +15,13 @@ def cluster(df: DataFrame, columns: list[str], files: int, where: str | None = N
     """Rows ordered so that each file holds a narrow range of the columns.
 
     Written as Parquet, a filter on the columns then skips most files by their
-    minimum and maximum. Range boundaries come from a sample of the data, so a
-    value that fills much of the table needs further columns to be split on.
-    ``where`` keeps a part of the rows, as a partial index does.
+    minimum and maximum. A digest of the row comes last in the range, so that a
+    value that fills much of the table spreads over several files. ``where``
+    keeps a part of the rows, as a partial index does.
     """
     rows = df.where(where) if where else df
     keys = [F.col(f"`{c}`") for c in columns]
-    return rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
+    return rows.repartitionByRange(files, *keys, row_digest(df.schema.fields)).sortWithinPartitions(*keys)
 
 
 def unique_index_ok(df: DataFrame, key: tuple[str, ...]) -> bool:
