@@ -86,6 +86,9 @@ def match_number(col: Column, dtype: T.DataType, v: SearchValue) -> Column | Non
         return col == F.lit(int(number))
     if isinstance(dtype, T.DecimalType):
         return col == F.lit(number)
+    if isinstance(dtype, T.FloatType):
+        # the nearest float, as the column itself holds it
+        return col == F.lit(float(number)).cast("float")
     return col == F.lit(float(number))
 
 

@@ -1,0 +1,11 @@
+"""Ready-made queries over the given tables."""
+
+import importlib
+
+_MODULES = ["search_queries"]
+
+
+def load() -> None:
+    """Import the query modules, which register themselves."""
+    for name in _MODULES:
+        importlib.import_module(f"tablewarden.plans.{name}")
