@@ -41,7 +41,7 @@ def capture_state(ts: TableSet) -> DataFrame:
     """Every column of every table, with the row count of its table."""
     columns = [
         (t, i, f.name, f.dataType.simpleString())
-        for t in ts.names for i, f in enumerate(ts[t].schema.fields)
+        for t in ts.open().names for i, f in enumerate(ts[t].schema.fields)
     ]
     listed = ts.spark.createDataFrame(
         columns, "table_name string, position int, column_name string, data_type string"

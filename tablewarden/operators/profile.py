@@ -40,7 +40,7 @@ def count_all(ts: TableSet, total: bool = True) -> DataFrame:
     """Rows of every table and, with ``total``, a row named ``TOTAL``."""
     frames = [
         ts[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
-        for name in ts.names
+        for name in ts.open().names
     ]
     counts = reduce(DataFrame.unionByName, frames)
     if not total:
@@ -371,7 +371,7 @@ def inventory(ts: TableSet) -> DataFrame:
     one or two tasks, so sizes are combined per file before they are added up.
     """
     frames = []
-    for name in ts.names:
+    for name in ts.open().names:
         df = ts[name]
         width = len(df.columns)
         per_file = (

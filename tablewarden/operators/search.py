@@ -29,6 +29,9 @@ DEFAULT_LIMIT = 1000
 _TRUE_WORDS = ("true", "t", "yes", "y", "1")
 _FALSE_WORDS = ("false", "f", "no", "n", "0")
 
+# All characters the text of a date or time can have.
+_DATE_CHARACTERS = set("0123456789+-:. ")
+
 _HIT_SCHEMA = "table_name string, row_key string, matching_columns array<string>"
 
 
@@ -92,6 +95,18 @@ def match_number(col: Column, dtype: T.DataType, v: SearchValue) -> Column | Non
     return col == F.lit(float(number))
 
 
+def _contains_number(col: Column, element: T.DataType, v: SearchValue) -> Column:
+    """As :func:`match_number` on every element, in generated code."""
+    number = as_number(v.text)
+    if isinstance(element, T.IntegralType):
+        if number != number.to_integral_value() or abs(number) >= 2**63:
+            return F.lit(False)
+        return F.array_contains(col.cast("array<bigint>"), F.lit(int(number)).cast("bigint"))
+    if isinstance(element, T.DecimalType):
+        return F.exists(col, lambda e: e == F.lit(number))
+    return F.array_contains(col, F.lit(float(number)).cast(element))
+
+
 def match_boolean(col: Column, v: SearchValue) -> Column | None:
     word = v.text.lower()
     if word in _TRUE_WORDS:
@@ -206,6 +221,8 @@ def match_value(col: Column, dtype: T.DataType, v: SearchValue, is_json: bool =
     if isinstance(dtype, T.ArrayType):
         if match_value(F.lit(None).cast(dtype.elementType), dtype.elementType, v) is None:
             return None
+        if isinstance(dtype.elementType, T.NumericType) and not v.text_form:
+            return _contains_number(col, dtype.elementType, v)
         return F.exists(col, lambda e: match_value(e, dtype.elementType, v))
     if isinstance(dtype, T.MapType):
         return match_json_text(F.to_json(col), v)
@@ -217,6 +234,9 @@ def match_value(col: Column, dtype: T.DataType, v: SearchValue, is_json: bool =
         return match_boolean(col, v)
     if isinstance(dtype, T.BinaryType):
         return None
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        if not set(v.text) <= _DATE_CHARACTERS:
+            return F.lit(False)  # spares the formatting of every value
     # dates, times and the rest: part of the text form
     return col.cast("string").contains(F.lit(v.text))
 
@@ -261,9 +281,12 @@ def column_predicates(
 
 
 def matching_columns(predicates: dict[str, Column]) -> Column:
-    """Names of the columns whose predicate holds."""
-    named = [F.when(p, F.lit(name)) for name, p in predicates.items()]
-    return F.array_compact(F.array(*named))
+    """Names of the columns whose predicate holds.
+
+    Taking out a marker stays in generated code; a lambda over NULLs would not.
+    """
+    named = [F.when(p, F.lit(name)).otherwise(F.lit("")) for name, p in predicates.items()]
+    return F.array_remove(F.array(*named), "")
 
 
 def hits_of(df: DataFrame, predicates: dict[str, Column]) -> DataFrame:
@@ -315,7 +338,7 @@ def _per_table(
     if table is not None:
         ts[table]
     frames = []
-    for name in [table] if table else ts.names:
+    for name in [table] if table else ts.open().names:
         if name.startswith("system."):
             continue
         if is_collection(ts[name]):

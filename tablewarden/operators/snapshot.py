@@ -14,7 +14,7 @@ from tablewarden.operators.change import upsert
 from tablewarden.runtime import (
     delete_path, hadoop_path, list_dir, path_exists, run_together, write_small_file,
 )
-from tablewarden.sources.sinks import MICROS, MICROS_TZ
+from tablewarden.sources.sinks import JSON_TIMES, to_json_lines
 from tablewarden.sources.tables import TableSet
 
 TEMPORARY = timedelta(hours=4)
@@ -25,7 +25,6 @@ _MANIFEST_SCHEMA = (
     "table_name string, rows bigint, checksum string, schema_json string, path string, format string, "
     "encryption string, bytes bigint, created_at timestamp, expires_at timestamp"
 )
-_JSON_TIMES = {"timestampNTZFormat": MICROS, "timestampFormat": MICROS_TZ}
 
 
 def checksum(schema: T.StructType) -> Column:
@@ -64,11 +63,11 @@ def snapshot(
             seen = Observation()
             watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), checksum(df.schema).alias("checksum"))
             if key_file:
-                row = F.to_json(F.struct("*"), _JSON_TIMES | {"ignoreNullFields": "false"})
+                row = F.to_json(F.struct("*"), JSON_TIMES | {"ignoreNullFields": "false"})
                 sealed = F.aes_encrypt(row, _key(spark, key_file), F.lit(mode))
                 watched.select(sealed.alias("sealed")).write.parquet(path)
             elif fmt == "json":
-                watched.write.json(path, compression="gzip", **_JSON_TIMES)
+                to_json_lines(watched, path, compression="gzip")
             else:
                 watched.write.parquet(path)
             facts = seen.get
@@ -101,9 +100,9 @@ def _read_table(spark: SparkSession, entry: T.Row, key_file: str | None) -> Data
             raise ValueError("the snapshot is encrypted: a key file is needed")
         sealed = spark.read.schema("sealed binary").parquet(entry["path"])
         opened = F.aes_decrypt("sealed", _key(spark, key_file), F.lit(entry["encryption"])).cast("string")
-        return sealed.select(F.from_json(opened, schema, _JSON_TIMES | {"mode": "FAILFAST"}).alias("r")).select("r.*")
+        return sealed.select(F.from_json(opened, schema, JSON_TIMES | {"mode": "FAILFAST"}).alias("r")).select("r.*")
     if entry["format"] == "json":
-        return spark.read.schema(schema).json(entry["path"], **_JSON_TIMES)
+        return spark.read.schema(schema).options(mode="FAILFAST", **JSON_TIMES).json(entry["path"])
     return spark.read.schema(schema).parquet(entry["path"])
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["search_queries"]
+_MODULES = ["search_queries", "profile_queries", "document_queries"]
 
 
 def load() -> None:

@@ -10,12 +10,15 @@ from tablewarden.runtime import run_together
 from tablewarden.sources.tables import TableSet
 
 
-def to_json_lines(df: DataFrame, path: str) -> None:
-    df.write.json(path, timestampNTZFormat=MICROS, timestampFormat=MICROS_TZ)
+# JSON text would otherwise keep milliseconds only
+JSON_TIMES = {
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
 
 
-MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-MICROS_TZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+def to_json_lines(df: DataFrame, path: str, compression: str = "none") -> None:
+    df.write.options(compression=compression, **JSON_TIMES).json(path)
 
 
 def text_form(column: str, dtype: T.DataType):

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.runtime import list_dir
+from tablewarden.runtime import list_dir, run_together
 
 NO_ACTION, CASCADE, SET_NULL = "NO ACTION", "CASCADE", "SET NULL"
 
@@ -114,6 +114,11 @@ class TableSet:
     def __contains__(self, name: str) -> bool:
         return name in self.tables
 
+    def open(self) -> TableSet:
+        """Open all tables side by side; each needs a small job for its schema."""
+        run_together(self.spark, [lambda n=n: self.tables[n].schema for n in self.names], at_once=16)
+        return self
+
     @property
     def names(self) -> list[str]:
         return sorted(self.tables)
