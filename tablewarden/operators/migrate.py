@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewarden.runtime import list_dir, read_small_file, run_together, write_small_file
 from tablewarden.sources.tables import TableSet
@@ -84,13 +84,14 @@ def ledger(ts: TableSet) -> DataFrame:
 
 
 def is_applied(ts: TableSet, name: str) -> bool:
-    return not ledger(ts).where(ledger(ts)["name"] == name).isEmpty()
+    return not ledger(ts).where(F.col("name") == name).isEmpty()
 
 
 def pending(ts: TableSet, steps: list[Migration]) -> list[Migration]:
     """Steps that were not applied yet, in name order."""
     names = [s.name for s in steps]
-    applied = {r["name"] for r in ledger(ts).where(ledger(ts)["name"].isin(names)).select("name").collect()}
+    # never more rows than there are steps
+    applied = {r["name"] for r in ledger(ts).where(F.col("name").isin(names)).select("name").collect()}
     return sorted((s for s in steps if s.name not in applied), key=lambda s: s.name)
 
 

@@ -2,7 +2,10 @@
 
 import importlib
 
-_MODULES = ["search_queries", "profile_queries", "document_queries"]
+_MODULES = [
+    "search_queries", "profile_queries", "document_queries", "integrity_queries", "change_queries",
+    "keep_queries", "fold_queries", "stream_queries",
+]
 
 
 def load() -> None:
