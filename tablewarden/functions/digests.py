@@ -7,11 +7,26 @@ from pyspark.sql import Column, functions as F, types as T
 _SHORT = 64
 
 
-def _hashable(field: T.StructField) -> Column:
+def is_comparable(dtype: T.DataType) -> bool:
+    """Whether Spark can group and order by values of a type."""
+    if isinstance(dtype, (T.MapType, T.VariantType)):
+        return False
+    if isinstance(dtype, T.ArrayType):
+        return is_comparable(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(is_comparable(f.dataType) for f in dtype.fields)
+    return True
+
+
+def comparable(field: T.StructField) -> Column:
+    """A column as something to group, order and hash by; maps and VARIANT as JSON text."""
     col = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.MapType, T.VariantType)):
-        return F.to_json(col)
-    return col
+    return col if is_comparable(field.dataType) else F.to_json(F.struct(col))
+
+
+def whole_row(fields: list[T.StructField]) -> Column:
+    """All columns as one comparable value."""
+    return F.struct(*[comparable(f).alias(f.name) for f in fields])
 
 
 def row_digest(fields: list[T.StructField]) -> Column:
@@ -21,7 +36,7 @@ def row_digest(fields: list[T.StructField]) -> Column:
     equal; a text of null marks is hashed along with the values.
     """
     marks = F.concat(*[F.when(F.col(f"`{f.name}`").isNull(), "1").otherwise("0") for f in fields])
-    return F.xxhash64(marks, *[_hashable(f) for f in fields])
+    return F.xxhash64(marks, *[comparable(f) for f in fields])
 
 
 def value_key(text: Column) -> Column:

@@ -14,8 +14,9 @@ from datetime import datetime
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
+from tablewarden.functions.digests import whole_row
 from tablewarden.functions.values import empty_value, parse_text
 from tablewarden.operators.integrity import ExpectedColumn, dependents
 from tablewarden.operators.predicates import StructFields, compile_filter, fields_of, negate
@@ -260,21 +261,27 @@ def affected(df: DataFrame, query: dict | str) -> tuple[DataFrame, Observation]:
 def last_per_key(df: DataFrame, key: tuple[str, ...], order: Column | None = None) -> DataFrame:
     """One row per key, the greatest by ``order``.
 
-    An aggregate, not a window: the rows of a hot key are reduced map-side.
+    An aggregate, not a window: the rows of a hot key are reduced map-side. A
+    row without an order counts as the smallest.
     """
-    order = F.struct("*") if order is None else order
+    order = whole_row(df.schema.fields) if order is None else F.struct(order)
     best = df.groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.max_by(F.struct("*"), order).alias("__row"))
     return best.select("__row.*")
 
 
+def _as_type(col: Column, have: T.DataType, want: T.DataType) -> Column:
+    """A cast, unless the types only differ in what may be NULL inside them."""
+    return col if have.simpleString() == want.simpleString() else col.cast(want)
+
+
 def upsert(
-    df: DataFrame, source: DataFrame, key: tuple[str, ...], whole_row: bool = False,
+    df: DataFrame, source: DataFrame, key: tuple[str, ...], replace_row: bool = False,
     order: Column | None = None,
 ) -> DataFrame:
     """Rows of ``source`` replace those with their key, or are added.
 
     A column the source has is overwritten even by NULL; one it lacks keeps its
-    value, or with ``whole_row`` becomes NULL. The target is only ever the left
+    value, or with ``replace_row`` becomes NULL. The target is only ever the left
     side of a join with the de-duplicated source, so a small source is
     broadcast by the optimizer and the target does not move.
     """
@@ -288,8 +295,8 @@ def upsert(
     def merged(c: str) -> Column:
         old = F.col(f"`{c}`")
         if c in latest.columns:
-            new = F.col("__new").getField(c).cast(df.schema[c].dataType)
-        elif whole_row:
+            new = _as_type(F.col("__new").getField(c), latest.schema[c].dataType, df.schema[c].dataType)
+        elif replace_row:
             new = F.lit(None).cast(df.schema[c].dataType)
         else:
             return old
@@ -306,8 +313,9 @@ def upsert(
     order_of_columns = [*df.columns, *[f.name for f in extra]]
     return kept.select(*[F.col(f"`{c}`") for c in order_of_columns]).unionByName(
         added.select(*[
-            F.col(f"`{c}`").cast(df.schema[c].dataType) if c in df.columns else F.col(f"`{c}`")
-            for c in added.columns
+            _as_type(F.col(f"`{f.name}`"), f.dataType, df.schema[f.name].dataType).alias(f.name)
+            if f.name in df.columns else F.col(f"`{f.name}`")
+            for f in added.schema.fields
         ]),
         allowMissingColumns=True,
     )
@@ -326,7 +334,7 @@ def seed_rows(
     for key in keys:
         taken = df.select(*key).join(rows.select(*key), list(key), "left_semi").distinct()
         free = free.join(taken, list(key), "left_anti")
-    rank = F.struct(*[F.col(f"`{c}`") for c in rows.columns]) if order is None else order
+    rank = whole_row(rows.schema.fields) if order is None else F.struct(order)
     free = free.withColumn("__rank", rank)
     if len(keys) == 1:
         return _first_by_rank(free, keys[0]).drop("__rank")
@@ -356,7 +364,7 @@ def _first_on_every_key(df: DataFrame, keys: list[tuple[str, ...]]) -> DataFrame
         for key in keys:
             best = undecided.where(_whole_key(key)).groupBy(*key).agg(F.min("__rank").alias("__best"))
             leading = leading.join(best, list(key), "left").where(
-                F.col("__best").isNull() | (F.col("__best") == F.col("__rank"))
+                F.col("__best").isNull() | F.col("__best").eqNullSafe(F.col("__rank"))
             ).drop("__best").select(*undecided.columns)
         keyed = reduce(lambda a, b: a | b, [_whole_key(k) for k in keys])
         # equal rows clash with each other, unless none of their keys counts

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablewarden.functions.digests import row_digest
+from tablewarden.functions.digests import comparable, is_comparable, row_digest
 from tablewarden.operators.predicates import compile_filter, fields_of
 from tablewarden.sources.tables import TableSet
 
@@ -151,13 +151,15 @@ def _pages(other: DataFrame, foreign: str, page_size: int) -> DataFrame:
     comes out longer than a page is cut.
     """
     key = F.col(f"`{foreign}`").alias("__key")
-    item = F.struct(*[F.col(f"`{c}`") for c in other.columns]).alias("__item")
-    distinct = (
-        other.where(F.col(f"`{foreign}`").isNotNull())
-        .groupBy(*[F.col(f"`{c}`") for c in other.columns])
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select(key, item, "__n", row_digest(other.schema.fields).alias("__digest"))
-    )
+    item = F.struct(*[F.col(f"`{c}`") for c in other.columns])
+    fields = other.schema.fields
+    counted = other.where(F.col(f"`{foreign}`").isNotNull()).groupBy(*[comparable(f).alias(f.name) for f in fields])
+    if all(is_comparable(f.dataType) for f in fields):
+        distinct = counted.agg(F.count(F.lit(1)).alias("__n")).withColumn("__item", item)
+    else:
+        distinct = counted.agg(F.count(F.lit(1)).alias("__n"), F.first(item).alias("__item"))
+    text_fields = [f if is_comparable(f.dataType) else T.StructField(f.name, T.StringType()) for f in fields]
+    distinct = distinct.select(key, "__item", "__n", row_digest(text_fields).alias("__digest"))
     portion = max(1, page_size // 4)
     portions = F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / portion).cast("int"))
     dealt = distinct.select(

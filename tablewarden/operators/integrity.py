@@ -186,7 +186,7 @@ def declared_rules(expected: Expected, table: str) -> dict[str, Column]:
         col = F.col(f"`{c.name}`")
         if c.required:
             rules[f"{c.name} not null"] = col.isNotNull()
-        if c.max_length:
+        if c.max_length is not None:
             rules[f"{c.name} length <= {c.max_length}"] = F.length(col) <= c.max_length
         if c.check:
             rules[f"{c.name} check"] = F.expr(c.check)

@@ -121,7 +121,7 @@ def restore_into(ts: TableSet, restored: TableSet, replace: bool = True) -> Tabl
         if replace or name not in ts:
             out = out.with_table(name, restored[name])
         else:
-            out = out.with_table(name, upsert(ts[name], restored[name], ts.key_of(name), whole_row=True))
+            out = out.with_table(name, upsert(ts[name], restored[name], ts.key_of(name), replace_row=True))
     return out
 
 

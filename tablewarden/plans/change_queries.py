@@ -137,7 +137,7 @@ def upsert_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replace_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole rows: what the source lacks becomes NULL."""
     part = tables(spark, sf_dir, "part")["part"]
-    return C.upsert(part, _source(part), ("p_partkey",), whole_row=True).select("p_partkey", "p_name", "p_brand")
+    return C.upsert(part, _source(part), ("p_partkey",), replace_row=True).select("p_partkey", "p_name", "p_brand")
 
 
 @query("insert_rows", """
