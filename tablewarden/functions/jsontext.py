@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 
+from tablewarden.functions.values import as_number
+
 # A key with its colon, a string, a number, or a literal.
 _TOKEN = r'"(?:[^"\\]|\\.)*+"(?:\s*:)?|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null'
 
@@ -42,6 +45,48 @@ def any_leaf(text: Column, matches: Callable[[Column, Column], Column]) -> Colum
     return F.exists(leaf_tokens(text), test)
 
 
+# A key with its colon, a string, a structural character, or anything between those.
+_PIECE = r'"(?:[^"\\]|\\.)*+":?|[{}\[\],]|[^{}\[\],"]+'
+
+
+def skeleton(text: Column) -> Column:
+    """JSON text without its values: each becomes one fixed value of its kind.
+
+    Expects text without blanks outside of strings, as ``to_json`` writes it.
+    """
+
+    def bare(piece: Column) -> Column:
+        first = F.substring(piece, 1, 1)
+        return (
+            F.when(piece.endswith(":"), piece)
+            .when(first == '"', F.lit('""'))
+            .when(first.isin("t", "f"), F.lit("true"))
+            .when(first.isin(*"-0123456789"), F.lit("0"))
+            .otherwise(piece)
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), bare), "")
+
+
+def hint(text: Column, value: str, raw: bool = True) -> Column | None:
+    """A cheap test that holds for all JSON text in which some value can match.
+
+    None when there is no such test. Text as it came (``raw``) may spell
+    characters as escapes and numbers with exponents; those always pass.
+    """
+    if not value.isascii() or any(c in value for c in '"\\') or not value.isprintable() or not value:
+        return None
+    lowered = F.lower(text)
+    found = lowered.contains(value.lower())
+    number = as_number(value)
+    if number is not None:
+        if number != 0 and not Decimal("0.001") <= abs(number) < 10_000_000:
+            return None
+        # equal numbers are written with these digits, if perhaps more zeros
+        found = found | lowered.contains(format(number.normalize(), "f"))
+    return found | text.contains("\\") | text.rlike("[0-9][eE][-+]?[0-9]") if raw else found
+
+
 def variant_path(parts: list[str]) -> str:
     """A VARIANT path from field names and array positions."""
     steps = []

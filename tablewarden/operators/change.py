@@ -8,7 +8,7 @@ it came from (``compare.rehearse``) and is published as a new version
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import replace
 from datetime import datetime
 from functools import reduce
@@ -17,6 +17,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from tablewarden.functions.digests import whole_row
+from tablewarden.functions.jsontext import variant_path
 from tablewarden.functions.values import empty_value, parse_text
 from tablewarden.operators.integrity import ExpectedColumn, dependents
 from tablewarden.operators.predicates import StructFields, compile_filter, fields_of, negate
@@ -100,35 +101,51 @@ def _members(doc: Column) -> Column:
     return F.try_variant_get(doc, "$", "map<string,variant>")
 
 
-def _with_member(doc: Column, path: list[str], value: Column | None) -> Column:
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` applied to a value that is computed once, however often it appears.
+
+    Edits are nested in one another, and a filter on the result is pushed below
+    them: without a name each edit would multiply the work of those before it.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _with_member(doc: Column, path: list[str], value: Callable[[Column], Column] | None) -> Column:
     """A document with the field at a path set, or taken out when value is None.
 
-    Other fields stay; a step that is not an object is left as it is when
-    taking out and becomes an object when setting.
+    ``value`` is given the document. Other fields stay; a step that is not an
+    object is left as it is when taking out and becomes an object when setting.
     """
-    head, *rest = path
-    members = _members(doc)
-    others = F.map_filter(members, lambda k, _: k != head)
-    if rest:
-        inner = F.try_variant_get(doc, f"$['{head}']", "variant")
-        changed = _with_member(inner, rest, value)
-        if value is None:
-            return F.when(_members(inner).isNull(), doc).otherwise(
-                F.to_variant_object(F.map_concat(others, F.create_map(F.lit(head), changed)))
-            )
-        base = F.coalesce(others, F.create_map().cast("map<string,variant>"))
-        return F.to_variant_object(F.map_concat(base, F.create_map(F.lit(head), changed)))
-    if value is None:
-        return F.when(members.isNull(), doc).otherwise(F.to_variant_object(others))
-    base = F.coalesce(others, F.create_map().cast("map<string,variant>"))
-    return F.to_variant_object(F.map_concat(base, F.create_map(F.lit(head), value.cast("variant"))))
+
+    def edit(here: Column, rest: list[str], whole: Column) -> Column:
+        head, *below = rest
+
+        def rebuilt(members: Column) -> Column:
+            others = F.map_filter(members, lambda k, _: k != head)
+            if value is None and not below:
+                return F.when(members.isNull(), here).otherwise(F.to_variant_object(others))
+            inner = edit(F.try_variant_get(here, f"$['{head}']", "variant"), below, whole) if below else None
+            if value is None:
+                changed = F.when(F.map_contains_key(members, head), F.create_map(F.lit(head), inner))
+                new = F.map_concat(others, F.coalesce(changed, _no_members()))
+                return F.when(members.isNull(), here).otherwise(F.to_variant_object(new))
+            new = inner if below else value(whole).cast("variant")
+            return F.to_variant_object(F.map_concat(F.coalesce(others, _no_members()), F.create_map(F.lit(head), new)))
+
+        return _named(_members(here), rebuilt)
+
+    return _named(doc, lambda d: edit(d, path, d))
+
+
+def _no_members() -> Column:
+    return F.create_map().cast("map<string,variant>")
 
 
 def set_field(df: DataFrame, path: str, value: Column, where: Column | None = None) -> DataFrame:
     """Set a field, nested ones too, in the rows that meet the condition."""
     parts = path.split(".")
     if is_collection(df):
-        new = _with_member(F.col("doc"), parts, value)
+        new = _with_member(F.col("doc"), parts, lambda _: value)
         return df.withColumn("doc", F.when(where, new).otherwise(F.col("doc")) if where is not None else new)
     root = F.col(f"`{parts[0]}`")
     new = value if len(parts) == 1 else root.withField(".".join(parts[1:]), value)
@@ -186,7 +203,8 @@ def rename_field(df: DataFrame, old: str, new: str, where: Column | None = None)
         raise ValueError(f'field "{new}" already exists in some documents')
     held = fields.present(old) if where is None else fields.present(old) & where
     if is_collection(df):
-        moved = _with_member(F.col("doc"), new.split("."), fields.value(old))
+        at = variant_path(old.split("."))
+        moved = _with_member(F.col("doc"), new.split("."), lambda d: F.try_variant_get(d, at, "variant"))
         gone = _with_member(moved, old.split("."), None)
         return df.withColumn("doc", F.when(held, gone).otherwise(F.col("doc")))
     if where is None and "." not in old + new:

@@ -144,43 +144,54 @@ def lookup(
 def _pages(other: DataFrame, foreign: str, page_size: int) -> DataFrame:
     """Arrays of at most ``page_size`` rows per key.
 
-    Keys beyond a page are few and are found by a count; their rows are spread
-    over as many buckets as fill half a page each, by a digest so that a task
-    run again makes the same choice. Copies of one row have one digest: they
-    are counted first and dealt out in small portions. A bucket that still
-    comes out longer than a page is cut.
+    Keys beyond a page are found by a count; there are at most one such key per
+    ``page_size`` rows. All others are simply gathered.
     """
-    key = F.col(f"`{foreign}`").alias("__key")
-    item = F.struct(*[F.col(f"`{c}`") for c in other.columns])
-    fields = other.schema.fields
-    counted = other.where(F.col(f"`{foreign}`").isNotNull()).groupBy(*[comparable(f).alias(f.name) for f in fields])
+    matched = other.where(F.col(f"`{foreign}`").isNotNull())
+    key, item = F.col(f"`{foreign}`").alias("__key"), F.struct(*[F.col(f"`{c}`") for c in other.columns])
+    hot = (
+        matched.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .where(F.col("__rows") > page_size)
+        .select(F.col("__key").alias("__hot"), F.ceil(F.col("__rows") * 2 / page_size).alias("__buckets"))
+    )
+    is_hot = F.col(f"`{foreign}`") == F.col("__hot")
+    usual = (
+        matched.join(hot, is_hot, "left_anti").groupBy(key)
+        .agg(F.collect_list(item).alias("__items"))
+        .select("__key", "__items", F.lit(0).cast("bigint").alias("__page"))
+    )
+    return usual.unionByName(_hot_pages(matched.join(hot, is_hot), other.schema.fields, foreign, page_size))
+
+
+def _hot_pages(rows: DataFrame, fields: list[T.StructField], foreign: str, page_size: int) -> DataFrame:
+    """Pages of the keys with more rows than a page holds.
+
+    Rows are spread over as many buckets as fill half a page each, by a digest,
+    so that a task run again makes the same choice. Copies of one row have one
+    digest: they are counted first and dealt out in small portions. A bucket
+    that still comes out longer than a page is cut.
+    """
+    item = F.struct(*[F.col(f"`{f.name}`") for f in fields])
+    digest = row_digest(fields).alias("__digest")
+    copies = rows.groupBy("__hot", "__buckets", digest, *[comparable(f).alias(f.name) for f in fields])
     if all(is_comparable(f.dataType) for f in fields):
-        distinct = counted.agg(F.count(F.lit(1)).alias("__n")).withColumn("__item", item)
+        distinct = copies.agg(F.count(F.lit(1)).alias("__n")).withColumn("__item", item)
     else:
-        distinct = counted.agg(F.count(F.lit(1)).alias("__n"), F.first(item).alias("__item"))
-    text_fields = [f if is_comparable(f.dataType) else T.StructField(f.name, T.StringType()) for f in fields]
-    distinct = distinct.select(key, "__item", "__n", row_digest(text_fields).alias("__digest"))
+        distinct = copies.agg(F.count(F.lit(1)).alias("__n"), F.first(item).alias("__item"))
     portion = max(1, page_size // 4)
     portions = F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / portion).cast("int"))
     dealt = distinct.select(
-        "__key", "__item", "__digest", "__n", F.explode(portions).alias("__portion")
+        "__hot", "__buckets", "__item", "__digest", "__n", F.explode(portions).alias("__portion")
     ).withColumn("__n", F.least(F.lit(portion), F.col("__n") - F.col("__portion") * portion).cast("int"))
-    hot = (
-        other.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > page_size)
-        .select("__key", F.ceil(F.col("__rows") * 2 / page_size).alias("__buckets"))
-    )
-    bucket = F.coalesce(F.expr("pmod(xxhash64(__digest, __portion), __buckets)"), F.lit(0))
-    gathered = (
-        dealt.join(hot, "__key", "left")
-        .groupBy("__key", bucket.alias("__bucket"))
-        .agg(F.flatten(F.collect_list(F.array_repeat("__item", F.col("__n")))).alias("__all"))
+    bucket = F.expr("pmod(xxhash64(__digest, __portion), __buckets)")
+    gathered = dealt.groupBy("__hot", bucket.alias("__bucket")).agg(
+        F.flatten(F.collect_list(F.array_repeat("__item", F.col("__n")))).alias("__all")
     )
     starts = F.sequence(F.lit(1), F.size("__all"), F.lit(page_size))
     cut = F.transform(starts, lambda i: F.slice("__all", i, page_size))
-    return gathered.select("__key", "__bucket", F.posexplode(cut).alias("__pos", "__items")).select(
-        "__key", "__items", (F.col("__bucket") * 2**20 + F.col("__pos")).alias("__page")
+    return gathered.select("__hot", "__bucket", F.posexplode(cut).alias("__pos", "__items")).select(
+        F.col("__hot").alias("__key"), "__items", (F.col("__bucket") * 2**20 + F.col("__pos")).alias("__page")
     )
 
 

@@ -12,8 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewarden.functions.digests import value_key
+from tablewarden.functions.jsontext import skeleton
 from tablewarden.functions.values import common_type, percent, type_tag
 from tablewarden.operators.predicates import compile_filter, fields_of
+from tablewarden.runtime import cut_lineage
 from tablewarden.sources.sinks import text_form
 from tablewarden.sources.tables import TableSet
 
@@ -268,11 +270,19 @@ def infer_fields(
     ``max_depth`` the depth is found first, in a pass that stops descending
     where the documents end.
 
-    Levels are unfolded inside the row and only distinct ``(path, type)`` pairs
-    leave it, so the shuffle is about the size of the schema.
+    Documents are first reduced to their skeleton, that is keys and nesting with
+    the values blanked out, and equal ones are counted map-side: a collection
+    has far fewer skeletons than documents. Levels are then unfolded inside the
+    row of a skeleton, and only its distinct ``(path, type)`` pairs leave it.
     """
-    depth = max_depth or document_depth(df, first_elements)
-    frame = df.select(_children(F.lit(""), F.col("doc")).alias("l0"))
+    counted = cut_lineage(
+        df.select(skeleton(F.to_json("doc")).alias("text"))
+        .where(F.col("text").startswith("{"))
+        .groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    )
+    shapes = counted.select(F.try_parse_json("text").alias("doc"), "n")
+    depth = max_depth or document_depth(shapes, first_elements)
+    frame = shapes.select("n", _children(F.lit(""), F.col("doc")).alias("l0"))
     for i in range(1, depth):
         below = F.flatten(F.transform(f"l{i - 1}", lambda e: _below(e, first_elements)))
         frame = frame.withColumn(f"l{i}", below)
@@ -280,15 +290,15 @@ def infer_fields(
         F.transform(f"l{i}", lambda e: F.struct(e["path"].alias("path"), _shape(e["value"]).alias("type")))
         for i in range(depth)
     ]
-    pairs = F.array_distinct(F.concat(*tagged))
-    # one entry per path of the document, then one per type of the path
+    pairs = frame.select("n", F.array_distinct(F.concat(*tagged)).alias("pairs"))
+    # one entry per path of the document, next to one per type of the path
     marks = F.array_distinct(
-        F.transform(pairs, lambda p: F.struct(p["path"].alias("path"), F.lit(None).cast("string").alias("type")))
+        F.transform("pairs", lambda p: F.struct(p["path"].alias("path"), F.lit(None).cast("string").alias("type")))
     )
-    counted = (
-        frame.select(F.explode(F.concat(pairs, marks)).alias("p"))
+    per_path = (
+        pairs.select("n", F.explode(F.concat("pairs", marks)).alias("p"))
         .groupBy("p.path", "p.type")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
         .groupBy("path")
         .agg(
             F.sum(F.when(F.col("type").isNull(), F.col("n"))).alias("documents"),
@@ -296,11 +306,16 @@ def infer_fields(
         )
     )
     total = df.agg(F.count(F.lit(1))).scalar()
-    return counted.select(
+    return per_path.select(
         "path", "types", "documents", percent(F.col("documents"), total, 0).alias("presence_pct")
     ).orderBy(F.when(F.col("path") == "_id", 0).otherwise(1), F.desc("documents"), "path")
 
 
+def first_document_fields(df: DataFrame) -> DataFrame:
+    """The fields of one document: a quick look, without a claim on the rest."""
+    return infer_fields(df.limit(1))
+
+
 def _children(prefix: Column, value: Column, dot: str = "") -> Column:
     """The fields of an object as ``(path, value)``; empty for anything else."""
     entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from tablewarden.functions.digests import row_digest
-from tablewarden.functions.jsontext import any_leaf, variant_path
+from tablewarden.functions.jsontext import any_leaf, hint, variant_path
 from tablewarden.functions.values import as_number, type_tag
 from tablewarden.sources.sinks import text_form
 from tablewarden.sources.tables import TableSet
@@ -120,9 +120,9 @@ def match_json_text(col: Column, v: SearchValue) -> Column:
     """JSON held as text or VARIANT: a path, ``key:value``, any leaf, or its text."""
     text = col
     if v.is_path:
-        return _match_path(F.try_parse_json(text), v)
+        return _hinted(_match_path(F.try_parse_json(text), v), text, v)
     if v.recursive:
-        return any_leaf(text, lambda kind, plain: _match_leaf(kind, plain, v))
+        return _hinted(any_leaf(text, lambda kind, plain: _match_leaf(kind, plain, v)), text, v)
     if ":" in v.text and not v.regex:
         key, value = (p.strip() for p in v.text.split(":", 1))
         if key and value:
@@ -137,6 +137,15 @@ def match_json_text(col: Column, v: SearchValue) -> Column:
     return F.lower(text).contains(F.lower(F.lit(v.text)))
 
 
+def _hinted(match: Column, text: Column, v: SearchValue, raw: bool = True) -> Column:
+    """The match, tried only where the JSON text can hold the value at all."""
+    if v.regex or v.is_null:
+        return match
+    target = v.text.split("->")[-1].strip() if v.is_path else v.text
+    worth = hint(text, target, raw)
+    return match if worth is None else worth & match
+
+
 def _match_path(doc: Column, v: SearchValue) -> Column:
     """``a->b->0->value``: the value at the path, or one element of an array there."""
     *path, target = (p.strip() for p in v.text.split("->"))
@@ -200,6 +209,10 @@ def _match_object_text(text: Column, v: SearchValue) -> Column:
 def matching_fields(doc: Column, v: SearchValue, field: str | None = None) -> Column:
     """Names of the top-level fields of a document that match; ``_id`` is left out."""
     entries = F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>"))
+    if field is None:
+        # most documents cannot match, which their text tells sooner
+        any_match = _hinted(F.lit(True), F.to_json(doc), v, raw=False)
+        entries = F.when(any_match, entries)
     wanted = F.filter(
         entries,
         lambda e: (e["key"] == field if field else e["key"] != "_id")

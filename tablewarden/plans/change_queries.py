@@ -33,7 +33,7 @@ def rename_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("document_fields", """
-    SELECT event_id, event_type AS new_kind, CAST(0 AS DOUBLE) AS score, '[]' AS marks, 'x' AS origin FROM events
+    SELECT event_id, event_type AS new_kind, CAST(0 AS DOUBLE) AS score, '[]' AS marks, 'x' AS origin, false AS leftovers FROM events
 """)
 def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of schema-less documents added, set deep down, renamed and removed."""
@@ -45,10 +45,11 @@ def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.rename_field(docs, "event_type", "new_kind")
     docs = C.remove_field(docs, "user_id")
     get = lambda path, kind: F.try_variant_get("doc", path, kind)
-    return docs.where(get("$.user_id", "variant").isNull() & get("$.event_type", "variant").isNull()).select(
+    return docs.select(
         get("$.event_id", "bigint").alias("event_id"), get("$.new_kind", "string").alias("new_kind"),
         get("$.score", "double").alias("score"), F.to_json(get("$.marks", "variant")).alias("marks"),
         get("$.meta.origin", "string").alias("origin"),
+        (get("$.user_id", "variant").isNotNull() | get("$.event_type", "variant").isNotNull()).alias("leftovers"),
     )
 
 

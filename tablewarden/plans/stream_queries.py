@@ -86,9 +86,14 @@ def stream_updated_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("stream_windowed_hits")
+@query("stream_windowed_hits", """
+    SELECT date_trunc('day', ts)::TIMESTAMP AS day, 'event_type' AS column_name, count(*) AS hits FROM events
+    WHERE event_type = 'purchase' GROUP BY ALL
+    HAVING date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+""")
 def stream_windowed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits per day; windows still open at the end are not there yet."""
     counted = windowed_hits(_stream(spark, sf_dir, "events"), "events", "purchase", "ts", "1 day", "1 hour")
     flat = counted.select(F.col("window.start").alias("day"), "column_name", "hits")
-    return _run(flat, scratch_path(spark, "windowed"))
+    out = _run(flat, scratch_path(spark, "windowed"))
+    return out.withColumn("day", F.col("day").cast("timestamp_ntz"))

@@ -213,3 +213,21 @@ def test_broken_tables_are_skipped_and_named(spark, scratch):
     good, errors = S.check_tables(ts)
     assert good.names == ["ok"] and list(errors) == ["missing"]
     assert found(good, "2") == {("ok", None): ["id"]}
+
+
+@pytest.mark.parametrize("value", ["1e3", "1000", "1000.0", "0", "0.50", "-7", "true", "NULL", "a.b", "é", "12345678", "x y", '"', "0.0001"])
+def test_the_quick_text_test_loses_nothing(spark, value):
+    """Against the same rules without the shortcut."""
+    leaves = ["1e3", '"1e3"', "1000", "1000.00", "0", "0.0", "0.5", "5e-1", "-7", "-7.0", "true", '"TRUE"', "null", '"null"', '"A.B"', '"\\u0041.b"', '"\\u00e9"', '"É"', "12345678", "1.2345678e7", '"x y"', '"say \\"x\\""', "1e-4", "0.0001"]
+    texts = [f'{{"v": {x}, "w": [{x}], "o": {{"p": {x}}}}}' for x in leaves]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, j string")
+    v = S.SearchValue(value, recursive=True)
+    plain = S.any_leaf(F.col("j"), lambda kind, text: S._match_leaf(kind, text, v))
+    rows = df.select("id", F.coalesce(S.match_json_text(F.col("j"), v), F.lit(False)), F.coalesce(plain, F.lit(False))).collect()
+    assert [r[0] for r in rows if r[1] != r[2]] == []
+    docs = df.select("id", F.try_parse_json("j").alias("doc"))
+    entries = F.map_entries(F.try_variant_get("doc", "$", "map<string,variant>"))
+    slow = F.transform(F.filter(entries, lambda e: F.coalesce(S.match_variant(e["value"], v), F.lit(False))), lambda e: e["key"])
+    none = F.array().cast("array<string>")
+    both = docs.select("id", F.coalesce(S.matching_fields(F.col("doc"), v), none), F.coalesce(slow, none)).collect()
+    assert [r[0] for r in both if r[1] != r[2]] == []
