@@ -20,7 +20,7 @@ from tablewarden.functions.digests import whole_row
 from tablewarden.functions.jsontext import variant_path
 from tablewarden.functions.values import empty_value, parse_text
 from tablewarden.operators.integrity import ExpectedColumn, dependents
-from tablewarden.operators.predicates import StructFields, compile_filter, fields_of, negate
+from tablewarden.operators.predicates import compile_filter, fields_of, negate
 from tablewarden.operators.search import is_collection
 from tablewarden.runtime import cut_lineage
 from tablewarden.sources.sinks import copy_table
@@ -185,11 +185,11 @@ def remove_field(df: DataFrame, path: str, where: Column | None = None) -> DataF
     if is_collection(df):
         new = _with_member(F.col("doc"), parts, None)
         return df.withColumn("doc", F.when(where, new).otherwise(F.col("doc")) if where is not None else new)
-    if StructFields(df).data_type(path) is None:
+    if fields_of(df).data_type(path) is None:
         raise KeyError(f'field "{path}" does not exist')
     if where is not None:
         # a typed frame keeps its columns: the field is null where it is gone
-        kind = StructFields(df).data_type(path)
+        kind = fields_of(df).data_type(path)
         return set_field(df, path, F.lit(None).cast(kind), where)
     if len(parts) == 1:
         return df.drop(parts[0])
@@ -221,10 +221,15 @@ def insert(df: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _first_match(df: DataFrame, matches: Column, key: tuple[str, ...]) -> Column:
-    """The match with the smallest key, found by a one-row subquery."""
-    if not key:
+    """The match with the smallest key, found by a one-row subquery.
+
+    Schema-less documents are known by their ``_id``, and else by their content.
+    """
+    if not key and not is_collection(df):
         raise ValueError("changing one row needs a key to choose it by")
     here = F.struct(*[F.col(f"`{k}`") for k in key])
+    if not key:
+        here = F.struct(F.try_variant_get("doc", "$._id", "string").alias("id"), F.to_json("doc").alias("text"))
     return matches & (here == df.where(matches).agg(F.min(here)).scalar())
 
 
@@ -257,7 +262,7 @@ def _typed(df: DataFrame, path: str, value: Any) -> Column:
         if isinstance(value, (dict, list)) or value is None:
             return F.parse_json(F.lit(json.dumps(value)))
         return F.lit(value)
-    kind = StructFields(df).data_type(path)
+    kind = fields_of(df).data_type(path)
     return F.lit(value) if kind is None else F.lit(value).cast(kind)
 
 

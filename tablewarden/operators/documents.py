@@ -8,7 +8,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewarden.functions.digests import comparable, is_comparable, row_digest
-from tablewarden.operators.predicates import compile_filter, fields_of
+from tablewarden.functions.values import type_tag
+from tablewarden.operators.change import remove_field
+from tablewarden.operators.predicates import Fields, compile_filter, fields_of
+from tablewarden.operators.search import is_collection
 from tablewarden.sources.tables import TableSet
 
 
@@ -31,14 +34,48 @@ def find(
 
 def _sort_columns(df: DataFrame, sort: dict) -> list[Column]:
     fields = fields_of(df)
-    return [_value(fields, name).desc() if way < 0 else _value(fields, name).asc() for name, way in sort.items()]
+    parts = [
+        (part, way) for name, way in sort.items()
+        for part in (_ranked(fields.value(name)) if fields.is_variant(name) else [_value(fields, name)])
+    ]
+    return [part.desc() if way < 0 else part.asc() for part, way in parts]
 
 
-def _value(fields, path: str) -> Column:
+def _value(fields: Fields, path: str) -> Column:
     col = fields.value(path)
     return F.lit(None).cast("string") if col is None else col
 
 
+# How values of different types sort in schema-less documents.
+_TYPE_ORDER = ["null", "number", "string", "object", "array", "binary", "boolean", "date"]
+
+
+def _ranked(value: Column) -> list[Column]:
+    """A schema-less value as columns to order by: its type, then itself."""
+    tag = type_tag(value)
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in _TYPE_ORDER]), tag), F.lit(1))
+    return [rank, _number(value), F.when(tag != "number", F.try_variant_get(value, "$", "string"))]
+
+
+def _number(value: Column) -> Column:
+    """The number a schema-less value is, or NULL."""
+    return F.when(type_tag(value) == "number", F.try_variant_get(value, "$", "double"))
+
+
+def _text_key(fields: Fields, path: str) -> Column:
+    """A value as text that is equal for equal values, typed or schema-less."""
+    if fields.is_variant(path):
+        value = fields.value(path)
+        number, plain = _number(value), F.to_json(value)
+        return F.when(F.is_variant_null(value), F.lit(None)).otherwise(
+            F.coalesce(F.concat(F.lit("n"), number.cast("string")), F.concat(F.lit("j"), plain))
+        )
+    dtype, col = fields.data_type(path), _value(fields, path)
+    if isinstance(dtype, T.NumericType):
+        return F.concat(F.lit("n"), col.cast("double").cast("string"))
+    return F.concat(F.lit("j"), F.to_json(col.cast("variant")))
+
+
 def project(df: DataFrame, spec: dict) -> DataFrame:
     """Keep, drop or compute fields.
 
@@ -48,11 +85,13 @@ def project(df: DataFrame, spec: dict) -> DataFrame:
     """
     drops = [n for n, v in spec.items() if v is False or (v == 0 and not isinstance(v, (str, dict)))]
     keeps = {n: v for n, v in spec.items() if n not in drops}
+    fields = fields_of(df)
     if not keeps:
-        return df.drop(*drops)
-    if "_id" in df.columns and "_id" not in spec:
+        for path in drops:
+            df = df.drop(path) if path in df.columns else remove_field(df, path) if fields.loose else df
+        return df
+    if ("_id" in df.columns or fields.loose) and "_id" not in spec:
         keeps = {"_id": 1} | keeps
-    fields = fields_of(df)
     out = []
     for name, v in keeps.items():
         col = _value(fields, name) if v is True or v == 1 else expression(v, df)
@@ -69,15 +108,26 @@ def expression(spec: Any, df: DataFrame) -> Column:
     if len(spec) == 1 and next(iter(spec)).startswith("$"):
         name, arg = next(iter(spec.items()))
         if name == "$size":
+            if _is_variant(arg, df):
+                return F.size(F.try_variant_get(expression(arg, df), "$", "array<variant>"))
             return F.size(expression(arg, df))
         if name == "$ifNull":
             return F.coalesce(*[expression(a, df) for a in arg])
         if name in _ARITHMETIC:
-            return reduce(_ARITHMETIC[name], [expression(a, df) for a in arg])
+            return reduce(_ARITHMETIC[name], [_numeric(a, df) for a in arg])
         raise ValueError(f"unknown operator {name}")
     return F.struct(*[expression(v, df).alias(k) for k, v in spec.items()])
 
 
+def _is_variant(spec: Any, df: DataFrame) -> bool:
+    return isinstance(spec, str) and spec.startswith("$") and fields_of(df).is_variant(spec[1:])
+
+
+def _numeric(spec: Any, df: DataFrame) -> Column:
+    """An expression as something to calculate with."""
+    return _number(expression(spec, df)) if _is_variant(spec, df) else expression(spec, df)
+
+
 _ARITHMETIC = {
     "$add": lambda a, b: a + b,
     "$subtract": lambda a, b: a - b,
@@ -96,6 +146,15 @@ def group(df: DataFrame, key: Any, accumulators: dict[str, dict]) -> DataFrame:
             for op, arg in spec.items()]
     if key is None:
         return df.agg(*aggs).select(F.lit(None).cast("string").alias("_id"), *accumulators)
+    parts = key if isinstance(key, dict) else {"_id": key}
+    if any(_is_variant(part, df) for part in parts.values()):
+        # schema-less values group by a text, and stand for their group themselves
+        texts = [_text_key(fields_of(df), p[1:]) if _is_variant(p, df) else expression(p, df) for p in parts.values()]
+        keyed = df.groupBy(*[t.alias(f"__key{i}") for i, t in enumerate(texts)]).agg(
+            *[F.any_value(expression(p, df)).alias(f"__part{i}") for i, p in enumerate(parts.values())], *aggs
+        )
+        found = [F.when(F.col(f"__key{i}").isNotNull(), F.col(f"__part{i}")).alias(n) for i, n in enumerate(parts)]
+        return keyed.select(F.struct(*found).alias("_id") if isinstance(key, dict) else found[0], *accumulators)
     return df.groupBy(expression(key, df).alias("_id")).agg(*aggs)
 
 
@@ -103,13 +162,15 @@ def _accumulate(op: str, arg: Any, df: DataFrame) -> Column:
     if op == "$sum":
         if isinstance(arg, (int, float)) and not isinstance(arg, bool):
             return F.count(F.lit(1)) * F.lit(arg) if arg != 1 else F.count(F.lit(1))
-        return F.coalesce(F.sum(expression(arg, df)), F.lit(0))
+        return F.coalesce(F.sum(_numeric(arg, df)), F.lit(0))
     if op == "$avg":
-        return F.avg(expression(arg, df))
-    if op == "$min":
-        return F.min(expression(arg, df))
-    if op == "$max":
-        return F.max(expression(arg, df))
+        return F.avg(_numeric(arg, df))
+    if op in ("$min", "$max"):
+        value = expression(arg, df)
+        if not _is_variant(arg, df):
+            return F.min(value) if op == "$min" else F.max(value)
+        known = F.when(value.isNotNull() & ~F.is_variant_null(value), F.struct(*_ranked(value)))
+        return F.min_by(value, known) if op == "$min" else F.max_by(value, known)
     if op == "$count":
         return F.count(F.lit(1))
     raise ValueError(f"unknown accumulator {op}")
@@ -133,38 +194,52 @@ def lookup(
     :func:`lookup_size`; neither builds arrays.
     """
     page = f"{as_}_page"
-    pages = _pages(other, foreign, page_size).select(
+    left, right = _join_keys(df, local, other, foreign)
+    pages = _pages(other.withColumn("__key", right), _item(other), page_size).select(
         "__key", F.col("__items").alias(as_), F.col("__page").alias(page)
     )
     none = F.array().cast(pages.schema[as_].dataType)
-    joined = df.join(pages, df[local] == pages["__key"], "left").drop("__key")
+    joined = df.join(pages, left == F.col("__key"), "left").drop("__key")
     return joined.withColumns({as_: F.coalesce(as_, none), page: F.coalesce(page, F.lit(0))})
 
 
-def _pages(other: DataFrame, foreign: str, page_size: int) -> DataFrame:
-    """Arrays of at most ``page_size`` rows per key.
+def _item(other: DataFrame) -> Column:
+    """A row of the other side as one value: its document, or a struct."""
+    return F.col("doc") if is_collection(other) else F.struct(*[F.col(f"`{c}`") for c in other.columns])
+
+
+def _join_keys(df: DataFrame, local: str, other: DataFrame, foreign: str) -> tuple[Column, Column]:
+    """The fields of either side as columns that can be compared."""
+    left, right = fields_of(df), fields_of(other)
+    if left.is_variant(local) or right.is_variant(foreign):
+        return _text_key(left, local), _text_key(right, foreign)
+    return _value(left, local), _value(right, foreign)
+
+
+def _pages(other: DataFrame, item: Column, page_size: int) -> DataFrame:
+    """Arrays of at most ``page_size`` rows per ``__key``.
 
     Keys beyond a page are found by a count; there are at most one such key per
     ``page_size`` rows. All others are simply gathered.
     """
-    matched = other.where(F.col(f"`{foreign}`").isNotNull())
-    key, item = F.col(f"`{foreign}`").alias("__key"), F.struct(*[F.col(f"`{c}`") for c in other.columns])
+    matched = other.where(F.col("__key").isNotNull())
     hot = (
-        matched.groupBy(key)
+        matched.groupBy("__key")
         .agg(F.count(F.lit(1)).alias("__rows"))
         .where(F.col("__rows") > page_size)
         .select(F.col("__key").alias("__hot"), F.ceil(F.col("__rows") * 2 / page_size).alias("__buckets"))
     )
-    is_hot = F.col(f"`{foreign}`") == F.col("__hot")
+    is_hot = F.col("__key") == F.col("__hot")
     usual = (
-        matched.join(hot, is_hot, "left_anti").groupBy(key)
+        matched.join(hot, is_hot, "left_anti").groupBy("__key")
         .agg(F.collect_list(item).alias("__items"))
         .select("__key", "__items", F.lit(0).cast("bigint").alias("__page"))
     )
-    return usual.unionByName(_hot_pages(matched.join(hot, is_hot), other.schema.fields, foreign, page_size))
+    fields = [f for f in other.schema.fields if f.name != "__key"]
+    return usual.unionByName(_hot_pages(matched.join(hot, is_hot), fields, item, page_size))
 
 
-def _hot_pages(rows: DataFrame, fields: list[T.StructField], foreign: str, page_size: int) -> DataFrame:
+def _hot_pages(rows: DataFrame, fields: list[T.StructField], item: Column, page_size: int) -> DataFrame:
     """Pages of the keys with more rows than a page holds.
 
     Rows are spread over as many buckets as fill half a page each, by a digest,
@@ -172,7 +247,6 @@ def _hot_pages(rows: DataFrame, fields: list[T.StructField], foreign: str, page_
     digest: they are counted first and dealt out in small portions. A bucket
     that still comes out longer than a page is cut.
     """
-    item = F.struct(*[F.col(f"`{f.name}`") for f in fields])
     digest = row_digest(fields).alias("__digest")
     copies = rows.groupBy("__hot", "__buckets", digest, *[comparable(f).alias(f.name) for f in fields])
     if all(is_comparable(f.dataType) for f in fields):
@@ -203,24 +277,36 @@ def lookup_rows(
     A plain equi join, so large sides are split by adaptive execution when a
     key is hot.
     """
-    item = F.struct(*[F.col(f"`{c}`") for c in other.columns])
-    right = other.select(F.col(foreign).alias("__key"), item.alias(as_))
-    return df.join(right, df[local] == right["__key"], "left" if keep_empty else "inner").drop("__key")
+    left, right = _join_keys(df, local, other, foreign)
+    matches = other.select(right.alias("__key"), _item(other).alias(as_))
+    return df.join(matches, left == F.col("__key"), "left" if keep_empty else "inner").drop("__key")
 
 
 def lookup_size(df: DataFrame, other: DataFrame, local: str, foreign: str, as_: str) -> DataFrame:
     """Only the number of matches, counted before the join."""
-    counts = other.groupBy(F.col(foreign).alias("__key")).agg(F.count(F.lit(1)).alias(as_))
-    joined = df.join(counts, df[local] == counts["__key"], "left").drop("__key")
+    left, right = _join_keys(df, local, other, foreign)
+    counts = other.groupBy(right.alias("__key")).agg(F.count(F.lit(1)).alias(as_))
+    joined = df.join(counts, left == F.col("__key"), "left").drop("__key")
     return joined.withColumn(as_, F.coalesce(as_, F.lit(0)))
 
 
 def unwind(df: DataFrame, path: str, keep_empty: bool = False) -> DataFrame:
-    """One row per element of an array column; other values stay as they are."""
+    """One row per element of an array; a value that is no array stays as it is.
+
+    An array inside a schema-less document becomes a column of its name, which
+    later stages see in its place.
+    """
     name = path.removeprefix("$")
-    if not isinstance(df.schema[name].dataType, T.ArrayType):
-        return df if keep_empty else df.where(F.col(name).isNotNull())
+    fields = fields_of(df)
     explode = F.explode_outer if keep_empty else F.explode
+    if fields.is_variant(name):
+        value = fields.value(name)
+        elements = F.coalesce(
+            F.try_variant_get(value, "$", "array<variant>"), F.when(value.isNotNull() & ~F.is_variant_null(value), F.array(value))
+        )
+        return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], explode(elements).alias(name))
+    if not isinstance(fields.data_type(name), T.ArrayType):
+        return df if keep_empty else df.where(F.col(name).isNotNull())
     others = [F.col(f"`{c}`") for c in df.columns if c != name]
     return df.select(*others, explode(name).alias(name)).select(*df.columns)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
-from typing import Any, Protocol
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -18,35 +18,68 @@ from tablewarden.functions.jsontext import variant_path
 from tablewarden.functions.values import type_tag
 
 
-class Fields(Protocol):
-    """How a dotted field name becomes a Column."""
+_KINDS = {"boolean": "boolean", "number": "double", "string": "string"}
 
-    def value(self, path: str, like: Any = None) -> Column | None: ...
 
-    def present(self, path: str) -> Column: ...
+def _kind_of(sample: Any) -> str:
+    if isinstance(sample, bool):
+        return "boolean"
+    return "number" if isinstance(sample, (int, float)) else "string"
 
-    def holds(self, path: str, like: Any, test: Callable[[Column], Column]) -> Column: ...
 
+class Fields:
+    """How a dotted field name of a frame becomes a Column.
 
-class StructFields:
-    """Fields of typed columns, possibly nested."""
+    A name is first looked for among the columns, nested ones too. What is
+    inside a VARIANT column, or not a column of a frame that has schema-less
+    documents in ``doc``, is looked for there.
+    """
 
     def __init__(self, df: DataFrame):
         self.schema = df.schema
+        names = {f.name: f.dataType for f in df.schema.fields}
+        self.loose = isinstance(names.get("doc"), T.VariantType)
 
-    def data_type(self, path: str) -> T.DataType | None:
-        """The type of a dotted path; a step through an array gives an array."""
+    def _typed(self, path: str) -> tuple[T.DataType | None, list[str]]:
+        """The type a path leads to and what of the path lies inside a VARIANT.
+
+        A step through an array gives an array.
+        """
+        parts = path.split(".")
         here: T.DataType = self.schema
         in_array = False
-        for part in path.split("."):
+        for i, part in enumerate(parts):
+            if isinstance(here, T.VariantType):
+                return here, parts[i:]
             if isinstance(here, T.ArrayType):
                 here, in_array = here.elementType, True
             if not isinstance(here, T.StructType) or part not in here.names:
-                return None
+                return None, []
             here = here[part].dataType
-        return T.ArrayType(here) if in_array else here
+        return (T.ArrayType(here) if in_array else here), []
 
-    def value(self, path: str, like: Any = None) -> Column | None:
+    def data_type(self, path: str) -> T.DataType | None:
+        """The type of a field; VARIANT for one of a schema-less document."""
+        found, _ = self._typed(path)
+        return T.VariantType() if found is None and self.loose else found
+
+    def is_variant(self, path: str) -> bool:
+        return isinstance(self.data_type(path), T.VariantType)
+
+    def _inside(self, path: str, as_type: str) -> Column:
+        """A value inside a VARIANT column as some type."""
+        found, rest = self._typed(path)
+        parts = path.split(".")
+        if found is None:
+            base, rest = F.col("doc"), parts
+        else:
+            base = F.col(".".join(f"`{p}`" for p in parts[: len(parts) - len(rest)]))
+        return F.try_variant_get(base, variant_path(rest), as_type)
+
+    def value(self, path: str) -> Column | None:
+        """The field, or None when the frame cannot have it."""
+        if self.is_variant(path):
+            return self._inside(path, "variant")
         if self.data_type(path) is None:
             return None
         return F.col(".".join(f"`{p}`" for p in path.split(".")))
@@ -55,59 +88,36 @@ class StructFields:
         col = self.value(path)
         return F.lit(False) if col is None else col.isNotNull()
 
-    def holds(self, path: str, like: Any, test: Callable[[Column], Column]) -> Column:
-        """The test on the value; an array passes when one of its elements does."""
+    def is_null(self, path: str) -> Column:
+        """A null value and a missing field alike."""
         col = self.value(path)
         if col is None:
-            return F.lit(False)
-        if isinstance(self.data_type(path), T.ArrayType) and not isinstance(like, list):
-            return F.exists(col, test)
-        return test(col)
-
-
-class VariantFields:
-    """Fields of schema-less documents held in one VARIANT column."""
-
-    def __init__(self, column: str = "doc"):
-        self.column = column
-
-    def _found(self, path: str, as_type: str) -> Column:
-        return F.try_variant_get(F.col(self.column), variant_path(path.split(".")), as_type)
-
-    def value(self, path: str, like: Any = None) -> Column:
-        return self._found(path, _KINDS[_kind_of(like)] if like is not None else "variant")
-
-    def present(self, path: str) -> Column:
-        return self._found(path, "variant").isNotNull()
+            return F.lit(True)
+        return col.isNull() | F.is_variant_null(col) if self.is_variant(path) else col.isNull()
 
     def holds(self, path: str, like: Any, test: Callable[[Column], Column]) -> Column:
-        """The test on a value of the same kind; other kinds never compare equal."""
+        """The test on the value; an array passes when one of its elements does.
+
+        In schema-less documents only values of the same kind compare.
+        """
+        col = self.value(path)
+        if col is None:
+            return F.lit(False)
+        if not self.is_variant(path):
+            if isinstance(self.data_type(path), T.ArrayType) and not isinstance(like, list):
+                return F.exists(col, test)
+            return test(col)
         kind = _kind_of(like)
-        raw = self._found(path, "variant")
-        single = (type_tag(raw) == kind) & test(self._found(path, _KINDS[kind]))
-        elements = self._found(path, "array<variant>")
+        single = (type_tag(col) == kind) & test(self._inside(path, _KINDS[kind]))
         among = F.exists(
-            elements,
+            self._inside(path, "array<variant>"),
             lambda e: (type_tag(e) == kind) & test(F.try_variant_get(e, "$", _KINDS[kind])),
         )
         return F.coalesce(single, F.lit(False)) | F.coalesce(among, F.lit(False))
 
 
-_KINDS = {"boolean": "boolean", "number": "double", "string": "string"}
-
-
-def _kind_of(sample: Any) -> str:
-    if isinstance(sample, bool):
-        return "boolean"
-    return "number" if isinstance(sample, (int, float)) else "string"
-
-
 def fields_of(df: DataFrame) -> Fields:
-    """Document access for a lone VARIANT column named ``doc``, else typed columns."""
-    docs = [f for f in df.schema.fields if isinstance(f.dataType, T.VariantType)]
-    if len(docs) == 1 and docs[0].name == "doc":
-        return VariantFields("doc")
-    return StructFields(df)
+    return Fields(df)
 
 
 def negate(predicate: Column) -> Column:
@@ -140,20 +150,10 @@ def _member(name: str, wanted: Any, fields: Fields) -> Column:
 
 def _equals(name: str, wanted: Any, fields: Fields) -> Column:
     if wanted is None:
-        return _is_null(name, fields)
+        return fields.is_null(name)
     return fields.holds(name, wanted, lambda col: col == F.lit(wanted))
 
 
-def _is_null(name: str, fields: Fields) -> Column:
-    """null matches a null value and a missing field alike."""
-    col = fields.value(name)
-    if col is None:
-        return F.lit(True)
-    if isinstance(fields, VariantFields):
-        return col.isNull() | F.is_variant_null(col)
-    return col.isNull()
-
-
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
     "$gt": lambda a, b: a > b,
     "$gte": lambda a, b: a >= b,

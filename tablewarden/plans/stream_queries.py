@@ -87,9 +87,9 @@ def stream_updated_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("stream_windowed_hits", """
-    SELECT date_trunc('day', ts)::TIMESTAMP AS day, 'event_type' AS column_name, count(*) AS hits FROM events
-    WHERE event_type = 'purchase' GROUP BY ALL
-    HAVING date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+    SELECT * FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS day, 'event_type' AS column_name, count(*) AS hits
+      FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+    WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
 """)
 def stream_windowed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits per day; windows still open at the end are not there yet."""
