@@ -6,7 +6,7 @@ import math
 from datetime import datetime
 from decimal import Decimal, InvalidOperation
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # When a field was seen with several types, the first of these
 # that occurs is reported as its common type.
@@ -102,5 +102,16 @@ def empty_value(type_name: str, now: datetime) -> Column:
     return F.lit("")
 
 
+def moment(at: datetime, dtype: T.DataType) -> Column:
+    """A point in time as a literal of a column's type.
+
+    A wall-clock column is compared by its wall clock, whatever time zone the
+    session has.
+    """
+    if isinstance(dtype, T.TimestampType):
+        return F.lit(at)
+    return F.lit(at.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz").cast(dtype)
+
+
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(part * 100.0 / whole, digits)

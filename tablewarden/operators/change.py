@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F, types as
 
 from tablewarden.functions.digests import whole_row
 from tablewarden.functions.jsontext import variant_path
-from tablewarden.functions.values import empty_value, parse_text
+from tablewarden.functions.values import empty_value, moment, parse_text
 from tablewarden.operators.integrity import ExpectedColumn, dependents
 from tablewarden.operators.predicates import compile_filter, fields_of, negate
 from tablewarden.operators.search import is_collection
@@ -428,7 +428,7 @@ def soft_delete(df: DataFrame, query: dict, now: datetime) -> DataFrame:
     out = df.withColumn("__matches", matches)
     for column in ("deleted_at", "updated_at"):
         if column in df.columns:
-            stamp = F.lit(now).cast(df.schema[column].dataType)
+            stamp = moment(now, df.schema[column].dataType)
             out = out.withColumn(column, F.when(F.col("__matches"), stamp).otherwise(F.col(column)))
     return out.drop("__matches")
 

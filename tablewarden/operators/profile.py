@@ -276,9 +276,8 @@ def infer_fields(
     row of a skeleton, and only its distinct ``(path, type)`` pairs leave it.
     """
     counted = cut_lineage(
-        df.select(skeleton(F.to_json("doc")).alias("text"))
-        .where(F.col("text").startswith("{"))
-        .groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+        # no filter here: it would be pushed down and blank out every document twice
+        df.select(skeleton(F.to_json("doc")).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
     )
     shapes = counted.select(F.try_parse_json("text").alias("doc"), "n")
     depth = max_depth or document_depth(shapes, first_elements)

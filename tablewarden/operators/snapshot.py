@@ -10,6 +10,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tablewarden.functions.digests import row_digest
+from tablewarden.functions.values import moment
 from tablewarden.operators.change import upsert
 from tablewarden.runtime import (
     delete_path, hadoop_path, list_dir, path_exists, run_together, write_small_file,
@@ -190,5 +191,5 @@ def expire_snapshots(spark: SparkSession, root: str, now: datetime) -> list[str]
 
 def expire(df: DataFrame, column: str, keep: timedelta, now: datetime) -> DataFrame:
     """Rows younger than ``keep``; rows without a time never expire."""
-    cutoff = F.lit(now - keep).cast(df.schema[column].dataType)
+    cutoff = moment(now - keep, df.schema[column].dataType)
     return df.where(F.col(column).isNull() | (F.col(column) > cutoff))

@@ -96,4 +96,5 @@ def stream_windowed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = windowed_hits(_stream(spark, sf_dir, "events"), "events", "purchase", "ts", "1 day", "1 hour")
     flat = counted.select(F.col("window.start").alias("day"), "column_name", "hits")
     out = _run(flat, scratch_path(spark, "windowed"))
-    return out.withColumn("day", F.col("day").cast("timestamp_ntz"))
+    wall_clock = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("day").cast("timestamp_ntz"))
+    return out.withColumn("day", wall_clock)

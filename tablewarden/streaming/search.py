@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewarden.operators.search import SearchValue, column_predicates, hits_of, search
 from tablewarden.sources.tables import TableSet
@@ -20,12 +20,16 @@ def standing_search(
 def windowed_hits(
     stream: DataFrame, name: str, value: str, at: str, window: str, late: str, **how: bool
 ) -> DataFrame:
-    """Hits per time window and column.
+    """Hits per time window and column; windows start on the clock of UTC.
 
+    A wall-clock time is taken as it is, whatever time zone the session has.
     Rows later than ``late`` are dropped and the last windows stay open, as
     watermarks work; use the batch form for exact counts.
     """
-    timed = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    instant = F.col(at).cast("timestamp")
+    if isinstance(stream.schema[at].dataType, T.TimestampNTZType):
+        instant = F.concat(F.col(at).cast("string"), F.lit("+00:00")).cast("timestamp")
+    timed = stream.withColumn(at, instant).withWatermark(at, late)
     ts = TableSet.of(stream.sparkSession, {name: timed}, keys={name: ()})
 
 
