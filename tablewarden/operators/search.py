@@ -9,17 +9,20 @@ character of them acts as a wildcard unless a regular expression is asked for.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.errors import AnalysisException
 
 from tablewarden.functions.digests import row_digest
 from tablewarden.functions.jsontext import any_leaf, hint, variant_path
 from tablewarden.functions.values import as_number, type_tag
+from tablewarden.runtime import run_together
 from tablewarden.sources.sinks import text_form
 from tablewarden.sources.tables import TableSet
 
@@ -348,10 +351,15 @@ def _per_table(
     shape: Callable[[str, DataFrame], DataFrame],
     limit: int | None,
 ) -> list[DataFrame]:
-    if table is not None:
-        ts[table]
+    if table is None:
+        # one broken table does not spoil the search of the others
+        ts, errors = check_tables(ts)
+        for name, error in errors.items():
+            warnings.warn(f'table "{name}" is not searched: {error}', stacklevel=3)
+    else:
+        ts[table].schema  # noqa: B018 - an unknown table is an error
     frames = []
-    for name in [table] if table else ts.open().names:
+    for name in [table] if table else ts.names:
         if name.startswith("system."):
             continue
         if is_collection(ts[name]):
@@ -448,15 +456,15 @@ def highlight(col: Column, value: str, regex: bool = False, before: str = "<<",
 
 
 def check_tables(ts: TableSet) -> tuple[TableSet, dict[str, str]]:
-    """Tables that open, and the error text of those that do not.
+    """Tables that open, and the error text of those that do not."""
 
-    A search over many tables skips and reports a broken one this way instead
-    of giving up.
-    """
-    errors: dict[str, str] = {}
-    for name in ts.names:
+    def problem(name: str) -> str | None:
         try:
             ts[name].schema  # noqa: B018 - opens the table
-        except (AnalysisException, OSError) as err:
-            errors[name] = str(err).splitlines()[0]
-    return ts.only(*[n for n in ts.names if n not in errors]), errors
+            return None
+        except (PySparkException, Py4JError, OSError) as err:
+            return str(err).splitlines()[0]
+
+    found = run_together(ts.spark, [lambda n=n: problem(n) for n in ts.names], at_once=16)
+    errors = {n: e for n, e in zip(ts.names, found) if e}
+    return (ts.only(*[n for n in ts.names if n not in errors]) if errors else ts), errors

@@ -213,6 +213,8 @@ def test_broken_tables_are_skipped_and_named(spark, scratch):
     good, errors = S.check_tables(ts)
     assert good.names == ["ok"] and list(errors) == ["missing"]
     assert found(good, "2") == {("ok", None): ["id"]}
+    with pytest.warns(UserWarning, match="missing"):
+        assert found(ts, "2") == {("ok", None): ["id"]}
 
 
 @pytest.mark.parametrize("value", ["1e3", "1000", "1000.0", "0", "0.50", "-7", "true", "NULL", "a.b", "é", "12345678", "x y", '"', "0.0001"])
