@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import simhash
+from tablewarden.llm import decontaminate, mixing, quality, sharding, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_repeated_passages": substring.query,
+    "op3_benchmark_decontamination": decontaminate.query,
     "op4_simhash_near_duplicates": simhash.query,
+    "op6_quality_rules": quality.query,
+    "op7_jump_shards": sharding.query,
+    "op8_curriculum_mix": mixing.query,
 }
 
 SQL: dict[str, str] = {}
