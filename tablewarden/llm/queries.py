@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import decontaminate, mixing, quality, sharding, simhash, substring
+from tablewarden.llm import decontaminate, mixing, quality, sharding, simhash, substring, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": token_files.query,
     "op2_repeated_passages": substring.query,
     "op3_benchmark_decontamination": decontaminate.query,
     "op4_simhash_near_duplicates": simhash.query,
