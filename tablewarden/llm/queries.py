@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import decontaminate, mixing, quality, sharding, simhash, substring, token_files
+from tablewarden.llm import (
+    chat, decontaminate, licenses, mixing, quality, secrets, sharding, simhash, substring, token_files,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.query,
     "op2_repeated_passages": substring.query,
     "op3_benchmark_decontamination": decontaminate.query,
     "op4_simhash_near_duplicates": simhash.query,
+    "op5_chat_formatting": chat.query,
     "op6_quality_rules": quality.query,
     "op7_jump_shards": sharding.query,
     "op8_curriculum_mix": mixing.query,
+    "op9_secret_ledger": secrets.query,
+    "op10_license_sentences": licenses.query,
 }
 
-SQL: dict[str, str] = {}
+#: Where SQL can say it; the other queries are held against brute force in the tests.
+SQL: dict[str, str] = {
+    "op5_chat_formatting": chat.SQL,
+    "op10_license_sentences": licenses.SQL,
+}
