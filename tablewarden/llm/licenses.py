@@ -59,8 +59,8 @@ RULES = (
 )
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A sentence ends at a mark before white space or the end, and at an empty line.
-SENTENCE_END = r"[.!?:;]+([\x09-\x0D\x20]+|\z)|\n[\x09-\x0D\x20]*\n"
+#: A sentence ends at a mark before white space or the end, at a line that ends in a symbol, and at an empty line.
+SENTENCE_END = r"[.!?:;]+([\x09-\x0D\x20]+|\z)|[|*#$%&>]+[\x09\x20]*\n|\n[\x09-\x0D\x20]*\n"
 OTHER = r"[^a-z0-9\x01]+"
 #: Stands for any run of sentences that are not known, and for what a rule has explained.
 UNKNOWN, EXPLAINED = "~", "*"
