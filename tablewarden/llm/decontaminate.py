@@ -223,7 +223,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_w
     """
     spark = docs.sparkSession
     ship_package(spark)
-    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = pick(benchmark, "item_id", "text").where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     nothing = "named_struct('n_words', 0L, 'spans', array(), 'items', array())"
     done = docs.withColumn("__found", F.expr(nothing).cast(FOUND))
     for n, rows in enumerate(_blocks(items, block_words)):
