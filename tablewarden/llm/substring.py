@@ -20,6 +20,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewarden.llm.common import as_bytes, pick, ship_package, table
@@ -100,13 +101,22 @@ def seeds(data: bytes, window: int) -> np.ndarray:
 
 def _pack(*columns: np.ndarray) -> bytes:
     """Columns of 64-bit values, the bytes of each place together, which compresses well where values are sorted."""
-    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+    return b"".join(_planes(c) for c in columns)
+
+
+def _planes(column: np.ndarray) -> bytes:
+    return np.ascontiguousarray(column.view(np.uint8).reshape(-1, column.itemsize).T).tobytes()
+
+
+def _unplanes(data: bytes, kind: type, count: int, offset: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8, count * size, offset).reshape(size, count)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def _unpack(data: bytes, columns: int) -> list[np.ndarray]:
     n = len(data) // (8 * columns)
-    parts = np.frombuffer(data, np.uint8).reshape(columns, 8, n)
-    return [np.ascontiguousarray(p.T).reshape(-1).view(np.uint64) for p in parts]
+    return [_unplanes(data, np.uint64, n, 8 * n * k) for k in range(columns)]
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -182,7 +192,7 @@ def _index_blocks(window: int, buckets: int):
             # documents as places in a short list
             names, place = np.unique(d, return_inverse=True)
             head = np.array([len(names)], np.uint64).tobytes() + names.tobytes()
-            rows.append((0, bucket, head + place.astype(np.uint32).tobytes() + _pack(s)))
+            rows.append((0, bucket, head + _planes(place.astype(np.uint32)) + _planes(s)))
         yield _rows(rows)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +231,8 @@ def _match_seeds(buckets: int):
             n = int(np.frombuffer(part, np.uint64, 1)[0])
             names = np.frombuffer(part, np.int64, n, 8)
             count = (len(part) - 8 - 8 * n) // 12
-            place = np.frombuffer(part, np.uint32, count, 8 + 8 * n)
-            all_docs.append(names[place])
-            all_seeds.append(_unpack(part[8 + 8 * n + 4 * count :], 1)[0])
+            all_docs.append(names[_unplanes(part, np.uint32, count, 8 + 8 * n)])
+            all_seeds.append(_unplanes(part, np.uint64, count, 8 + 8 * n + 4 * count))
         seed, doc, least = _owners(np.concatenate(all_seeds), np.concatenate(all_docs))
         repeated = doc > least
         if repeated.any():
@@ -286,11 +295,28 @@ _RESULT = pa.struct([
 ])
 
 
+def _deal_texts(buckets: int):
+    """Documents by the bucket of their id, the text compressed for the way."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            ids = batch.column(0)
+            known = ids.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(_doc_bucket(known, buckets)), pa.array([2] * len(ids), pa.int32()), pa.nulls(len(ids), pa.binary()), ids,
+                pa.array([pack(t.as_py()) for t in batch.column(1)], pa.binary()),
+            ], ["bucket", "kind", "payload", "doc_id", "text"])
+
+    return deal
+
+
 def _parse_documents(window: int, digest: bool):
     """Documents and their hits, bucket by bucket, to the parsed documents."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, payloads, hits = None, [], None
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             ids, kept, n_words, n_removed, spans = [], [], [], [], []
             for bucket, kind, payload, doc, text in _by_bucket([batch]):
@@ -306,7 +332,7 @@ def _parse_documents(window: int, digest: bool):
                     docs, found, owner = columns[0].view(np.int64), columns[1], columns[2].view(np.int64)
                     order = np.lexsort((found, docs))
                     hits = docs[order], found[order], owner[order]
-                n, removed, left, parsed = _parse(text, NO_ID if doc is None else doc, hits, window)
+                n, removed, left, parsed = _parse(unpack(text), NO_ID if doc is None else doc, hits, window)
                 ids.append(doc)
                 n_words.append(n)
                 n_removed.append(removed)
@@ -349,15 +375,8 @@ def deduplicate(docs: DataFrame, window: int = 13, digest: bool = False) -> Data
     hits = dealt.mapInArrow(_match_seeds(buckets), "kind int, bucket long, payload binary")
     nothing = F.lit(None)
 
-    @F.arrow_udf("long")
-    def bucket_of(ids: pa.Array) -> pa.Array:
-        return pa.array(_doc_bucket(ids.to_numpy(zero_copy_only=False).astype(np.int64), buckets))
-
     both = hits.select("bucket", "kind", "payload", nothing.cast("long").alias("doc_id"), nothing.cast("binary").alias("text"))
-    own = texts.select(
-        bucket_of(F.coalesce("doc_id", F.lit(int(NO_ID)))).alias("bucket"), F.lit(2).alias("kind"),
-        nothing.cast("binary").alias("payload"), "doc_id", "text",
-    )
+    own = texts.mapInArrow(_deal_texts(buckets), "bucket long, kind int, payload binary, doc_id long, text binary")
     together = both.unionAll(own).repartition("bucket").sortWithinPartitions("bucket", "kind")
     return together.mapInArrow(
         _parse_documents(window, digest),
