@@ -16,7 +16,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
-from tablewarden.functions.digests import whole_row
+from tablewarden.functions.digests import row_digest, whole_row
 from tablewarden.functions.jsontext import variant_path
 from tablewarden.functions.values import empty_value, moment, parse_text
 from tablewarden.operators.integrity import ExpectedColumn, dependents
@@ -220,29 +220,36 @@ def insert(df: DataFrame, rows: DataFrame) -> DataFrame:
     return df.unionByName(rows, allowMissingColumns=True)
 
 
-def _first_match(df: DataFrame, matches: Column, key: tuple[str, ...]) -> Column:
-    """The match with the smallest key, found by a one-row subquery.
+def _marked(df: DataFrame, matches: Column, many: bool, key: tuple[str, ...]) -> DataFrame:
+    """The rows with ``__matches``: all that match, or exactly one of them.
 
-    Schema-less documents are known by their ``_id``, and else by their content.
+    The one comes first by key and then by a digest of the row. Of exact copies
+    of it one is marked: they are counted and dealt out again, which only that
+    one group of copies goes through. Schema-less documents are known by their
+    ``_id``, and then by their content.
     """
+    matches = F.coalesce(matches, F.lit(False))
+    if many:
+        return df.withColumn("__matches", matches)
     if not key and not is_collection(df):
         raise ValueError("changing one row needs a key to choose it by")
-    here = F.struct(*[F.col(f"`{k}`") for k in key])
-    if not key:
-        here = F.struct(F.try_variant_get("doc", "$._id", "string").alias("id"), F.to_json("doc").alias("text"))
-    return matches & (here == df.where(matches).agg(F.min(here)).scalar())
+    content = F.to_json("doc") if is_collection(df) else row_digest(df.schema.fields)
+    own = [F.col(f"`{k}`") for k in key] or [F.try_variant_get("doc", "$._id", "string")]
+    here = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(own)], content.alias("content"))
+    first = df.where(matches).agg(F.min(here)).scalar()
+    marked = df.withColumn("__matches", F.coalesce(matches & (here == first), F.lit(False)))
+    copies = marked.where("__matches").agg(F.count(F.lit(1)).alias("n"), F.any_value(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row"))
+    dealt = copies.where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("i"))
+    return marked.where("NOT __matches").unionByName(dealt.select("row.*", (F.col("i") == 1).alias("__matches")))
 
 
 def update(
     df: DataFrame, query: dict, changes: dict[str, dict], multi: bool = False,
     key: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``$set``, ``$unset`` and ``$rename`` on the matches, all or the first by key."""
-    matches = F.coalesce(compile_filter(query, fields_of(df)), F.lit(False))
-    if not multi:
-        matches = _first_match(df, matches, key)
+    """``$set``, ``$unset`` and ``$rename`` on the matches: all, or exactly one, the first by key."""
     # the condition is fixed before any of the columns it reads changes
-    out = df.withColumn("__matches", matches)
+    out = _marked(df, compile_filter(query, fields_of(df)), multi, key)
     for op, args in changes.items():
         if op not in ("$set", "$unset", "$rename"):
             raise ValueError(f"unknown update {op}")
@@ -267,11 +274,11 @@ def _typed(df: DataFrame, path: str, value: Any) -> Column:
 
 
 def delete(df: DataFrame, query: dict | str, many: bool = True, key: tuple[str, ...] = ()) -> DataFrame:
-    """Rows that do not match; a condition that is NULL does not delete."""
+    """Rows that do not match, or all but one match; a condition that is NULL does not delete."""
     matches = F.expr(query) if isinstance(query, str) else compile_filter(query, fields_of(df))
-    if not many:
-        matches = _first_match(df, matches, key)
-    return df.where(negate(matches))
+    if many:
+        return df.where(negate(matches))
+    return _marked(df, matches, many, key).where("NOT __matches").drop("__matches")
 
 
 def affected(df: DataFrame, query: dict | str) -> tuple[DataFrame, Observation]:

@@ -20,6 +20,7 @@ RISK = {
     "check": SAFE,
     "snapshot": SAFE,
     "add_column": CAUTION,
+    "add_required_column": WARNING,
     "cluster": CAUTION,
     "seed": CAUTION,
     "rename_column": WARNING,

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablewarden.functions.digests import comparable, is_comparable, row_digest
 from tablewarden.functions.values import type_tag
 from tablewarden.operators.change import remove_field
 from tablewarden.operators.predicates import Fields, compile_filter, fields_of
@@ -21,12 +21,15 @@ def find(
     projection: dict | None = None,
     sort: dict | None = None,
     limit: int | None = None,
+    skip: int = 0,
 ) -> DataFrame:
-    """Filter, sort, limit and project, in that order."""
+    """Filter, sort, skip, limit and project, in that order."""
     if filter:
         df = df.where(compile_filter(filter, fields_of(df)))
     if sort:
         df = df.orderBy(*_sort_columns(df, sort))
+    if skip:
+        df = df.offset(skip)
     if limit is not None:
         df = df.limit(limit)
     return project(df, projection) if projection else df
@@ -176,33 +179,6 @@ def _accumulate(op: str, arg: Any, df: DataFrame) -> Column:
     raise ValueError(f"unknown accumulator {op}")
 
 
-def lookup(
-    df: DataFrame,
-    other: DataFrame,
-    local: str,
-    foreign: str,
-    as_: str,
-    page_size: int = 10_000,
-) -> DataFrame:
-    """Left join that gathers the matches of a row into an array column.
-
-    Unmatched rows get an empty array. A row with more than ``page_size``
-    matches is repeated, once per page of at most that many, and
-    ``<as_>_page`` tells its pages apart (0 for the usual single one): all
-    matches are there, and no task gathers more than a page of a key. When the
-    array is only unwound use :func:`lookup_rows`, when only its size is needed
-    :func:`lookup_size`; neither builds arrays.
-    """
-    page = f"{as_}_page"
-    left, right = _join_keys(df, local, other, foreign)
-    pages = _pages(other.withColumn("__key", right), _item(other), page_size).select(
-        "__key", F.col("__items").alias(as_), F.col("__page").alias(page)
-    )
-    none = F.array().cast(pages.schema[as_].dataType)
-    joined = df.join(pages, left == F.col("__key"), "left").drop("__key")
-    return joined.withColumns({as_: F.coalesce(as_, none), page: F.coalesce(page, F.lit(0))})
-
-
 def _item(other: DataFrame) -> Column:
     """A row of the other side as one value: its document, or a struct."""
     return F.col("doc") if is_collection(other) else F.struct(*[F.col(f"`{c}`") for c in other.columns])
@@ -216,72 +192,30 @@ def _join_keys(df: DataFrame, local: str, other: DataFrame, foreign: str) -> tup
     return _value(left, local), _value(right, foreign)
 
 
-def _pages(other: DataFrame, item: Column, page_size: int) -> DataFrame:
-    """Arrays of at most ``page_size`` rows per ``__key``.
-
-    Keys beyond a page are found by a count; there are at most one such key per
-    ``page_size`` rows. All others are simply gathered.
-    """
-    matched = other.where(F.col("__key").isNotNull())
-    hot = (
-        matched.groupBy("__key")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > page_size)
-        .select(F.col("__key").alias("__hot"), F.ceil(F.col("__rows") * 2 / page_size).alias("__buckets"))
-    )
-    is_hot = F.col("__key") == F.col("__hot")
-    usual = (
-        matched.join(hot, is_hot, "left_anti").groupBy("__key")
-        .agg(F.collect_list(item).alias("__items"))
-        .select("__key", "__items", F.lit(0).cast("bigint").alias("__page"))
-    )
-    fields = [f for f in other.schema.fields if f.name != "__key"]
-    return usual.unionByName(_hot_pages(matched.join(hot, is_hot), fields, item, page_size))
-
-
-def _hot_pages(rows: DataFrame, fields: list[T.StructField], item: Column, page_size: int) -> DataFrame:
-    """Pages of the keys with more rows than a page holds.
-
-    Rows are spread over as many buckets as fill half a page each, by a digest,
-    so that a task run again makes the same choice. Copies of one row have one
-    digest: they are counted first and dealt out in small portions. A bucket
-    that still comes out longer than a page is cut.
-    """
-    digest = row_digest(fields).alias("__digest")
-    copies = rows.groupBy("__hot", "__buckets", digest, *[comparable(f).alias(f.name) for f in fields])
-    if all(is_comparable(f.dataType) for f in fields):
-        distinct = copies.agg(F.count(F.lit(1)).alias("__n")).withColumn("__item", item)
-    else:
-        distinct = copies.agg(F.count(F.lit(1)).alias("__n"), F.first(item).alias("__item"))
-    portion = max(1, page_size // 4)
-    portions = F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / portion).cast("int"))
-    dealt = distinct.select(
-        "__hot", "__buckets", "__item", "__digest", "__n", F.explode(portions).alias("__portion")
-    ).withColumn("__n", F.least(F.lit(portion), F.col("__n") - F.col("__portion") * portion).cast("int"))
-    bucket = F.expr("pmod(xxhash64(__digest, __portion), __buckets)")
-    gathered = dealt.groupBy("__hot", bucket.alias("__bucket")).agg(
-        F.flatten(F.collect_list(F.array_repeat("__item", F.col("__n")))).alias("__all")
-    )
-    starts = F.sequence(F.lit(1), F.size("__all"), F.lit(page_size))
-    cut = F.transform(starts, lambda i: F.slice("__all", i, page_size))
-    return gathered.select("__hot", "__bucket", F.posexplode(cut).alias("__pos", "__items")).select(
-        F.col("__hot").alias("__key"), "__items", (F.col("__bucket") * 2**20 + F.col("__pos")).alias("__page")
-    )
-
-
 def lookup_rows(
     df: DataFrame, other: DataFrame, local: str, foreign: str, as_: str, keep_empty: bool = False
 ) -> DataFrame:
-    """Lookup and unwind at once: one row per match, the match as a struct.
+    """Left rows with their matches: one row per match, the match as a struct or document.
 
-    A plain equi join, so large sides are split by adaptive execution when a
-    key is hot.
+    A row without matches is left out, or with ``keep_empty`` stays with NULL.
+    Matches are never gathered into an array, so a key may have any number of
+    them. A plain equi join: adaptive execution splits it when a key is hot.
     """
     left, right = _join_keys(df, local, other, foreign)
     matches = other.select(right.alias("__key"), _item(other).alias(as_))
     return df.join(matches, left == F.col("__key"), "left" if keep_empty else "inner").drop("__key")
 
 
+def lookup_matching(
+    df: DataFrame, other: DataFrame, local: str, foreign: str, condition: dict | None = None, none: bool = False
+) -> DataFrame:
+    """Left rows with a match that meets the condition, or with ``none`` those without one. Nothing is multiplied."""
+    if condition:
+        other = other.where(compile_filter(condition, fields_of(other)))
+    left, right = _join_keys(df, local, other, foreign)
+    return df.join(other.select(right.alias("__key")), left == F.col("__key"), "left_anti" if none else "left_semi")
+
+
 def lookup_size(df: DataFrame, other: DataFrame, local: str, foreign: str, as_: str) -> DataFrame:
     """Only the number of matches, counted before the join."""
     left, right = _join_keys(df, local, other, foreign)
@@ -314,42 +248,134 @@ def unwind(df: DataFrame, path: str, keep_empty: bool = False) -> DataFrame:
 def pipeline(ts: TableSet, base: str | DataFrame, stages: list[dict]) -> DataFrame:
     """A list of stages, each one key, applied in order.
 
-    A ``$lookup`` whose array is unwound next, or of which the next ``$project``
-    only takes the ``$size``, never builds the array.
+    The matches of a ``$lookup`` are never gathered into arrays, see
+    :class:`Looked`. Where it is the last stage, its result has one row per match.
     """
     df = ts[base] if isinstance(base, str) else base
-    i = 0
-    while i < len(stages):
-        (name, spec), *more = stages[i].items()
+    looked: Looked | None = None
+    for stage in stages:
+        (name, spec), *more = stage.items()
         if more:
             raise ValueError("a stage has exactly one operator")
-        following = stages[i + 1] if i + 1 < len(stages) else {}
-        if name == "$lookup":
-            df, used = _lookup_stage(ts, df, spec, following)
-            i += used
-            continue
-        if name not in _STAGES:
+        if name != "$lookup" and name not in _STAGES:
             raise ValueError(f"unknown stage {name}")
-        df = _STAGES[name](df, spec)
-        i += 1
-    return df
-
-
-def _lookup_stage(ts: TableSet, df: DataFrame, spec: dict, following: dict) -> tuple[DataFrame, int]:
-    """The frame after a lookup and how many stages it took care of."""
-    args = (df, ts[spec["from"]], spec["localField"], spec["foreignField"], spec["as"])
-    after = following.get("$unwind")
-    path, keep = (after.get("path"), after.get("preserveNullAndEmptyArrays", False)) if isinstance(
-        after, dict
-    ) else (after, False)
-    if path == f"${spec['as']}":
-        return lookup_rows(*args, keep_empty=keep), 2
-    shown = following.get("$project", {})
-    sized = {n for n, v in shown.items() if v == {"$size": f"${spec['as']}"}}
-    if sized and not any(spec["as"] in str(v) or n.startswith(spec["as"]) for n, v in shown.items() if n not in sized):
-        counted = lookup_size(*args)
-        return project(counted, {n: f"${spec['as']}" if n in sized else v for n, v in shown.items()}), 2
-    return lookup(*args), 1
+        if name == "$lookup":
+            df = looked.rows() if looked else df
+            looked = Looked(df, ts[spec["from"]], spec["localField"], spec["foreignField"], spec["as"])
+        elif looked:
+            df, looked = looked.then(name, spec)
+        else:
+            df = _STAGES[name](df, spec)
+    return looked.rows() if looked else df
+
+
+@dataclass(frozen=True)
+class Looked:
+    """Left rows whose matches have been asked for but not joined yet.
+
+    What follows decides how: ``$unwind`` makes it a join, ``$size`` a count
+    before the join, a ``$match`` on the matches a semi join, and stages that do
+    not look at them work on the left rows alone. Results do not depend on how
+    many matches a key has. A stage that needs the whole array is an error.
+    """
+
+    df: DataFrame
+    other: DataFrame
+    local: str
+    foreign: str
+    as_: str
+    sorts: tuple[dict, ...] = ()
+
+    @property
+    def _args(self) -> tuple[DataFrame, DataFrame, str, str]:
+        return self.df, self.other, self.local, self.foreign
+
+    def rows(self, keep_empty: bool = True) -> DataFrame:
+        out = lookup_rows(*self._args, self.as_, keep_empty=keep_empty)
+        # a join does not keep an order
+        return out.orderBy(*_sort_columns(out, self.sorts[-1])) if self.sorts else out
+
+    def then(self, name: str, spec: Any) -> tuple[DataFrame, Looked | None]:
+        """The frame and what is still to be joined to it after one more stage."""
+        if name == "$unwind":
+            path, keep = (spec["path"], spec.get("preserveNullAndEmptyArrays", False)) if isinstance(spec, dict) else (spec, False)
+            if path.removeprefix("$") == self.as_:
+                return self.rows(keep), None
+        if name == "$count" or (name == "$group" and not self._named_in(spec)):
+            return _STAGES[name](self.df, spec), None
+        if name == "$match":
+            return self._match(spec)
+        if name in ("$project", "$group"):
+            return self._shown(name, spec)
+        if self._named_in(spec):
+            raise ValueError(f'{name} needs the array "{self.as_}" as a whole: unwind it first')
+        after = replace(self, df=_STAGES[name](self.df, spec), sorts=(*self.sorts, spec) if name == "$sort" else self.sorts)
+        return after.df, after
+
+    def _named_in(self, spec: Any) -> bool:
+        """Whether the array, or what is in it, is named as a key or as a value."""
+        if isinstance(spec, dict):
+            return any(self._names(k) or self._named_in(v) for k, v in spec.items())
+        if isinstance(spec, (list, tuple)):
+            return any(map(self._named_in, spec))
+        return isinstance(spec, str) and spec.startswith("$") and self._names(spec[1:])
+
+    def _names(self, path: str) -> bool:
+        return path == self.as_ or path.startswith(f"{self.as_}.")
+
+    def _match(self, spec: dict) -> tuple[DataFrame, Looked]:
+        df = self.df
+        for path, condition in spec.items():
+            if not self._names(path):
+                if self._named_in(condition):
+                    raise ValueError(f'conditions on "{self.as_}" cannot be alternatives: unwind it first')
+                df = df.where(compile_filter({path: condition}, fields_of(df)))
+                continue
+            inside = path[len(self.as_) + 1 :]
+            if inside and _finds_one(condition):
+                df = lookup_matching(df, *self._args[1:], {inside: condition})
+            elif not inside and condition in ([], {"$size": 0}, {"$eq": []}):
+                df = lookup_matching(df, *self._args[1:], none=True)
+            elif not inside and condition == {"$ne": []}:
+                df = lookup_matching(df, *self._args[1:])
+            else:
+                raise ValueError(f'this condition needs the array "{self.as_}" as a whole: unwind it first')
+        return df, replace(self, df=df)
+
+    def _shown(self, name: str, spec: dict) -> tuple[DataFrame, Looked | None]:
+        """A projection or group that takes at most the number of matches."""
+        hidden = {n for n, v in spec.items() if n == self.as_ and v in (0, False) and not isinstance(v, (str, dict))}
+        spec = {n: v for n, v in spec.items() if n not in hidden}
+        if not self._named_in(spec):
+            drops = name == "$project" and all(v in (0, False) and not isinstance(v, (str, dict)) for v in spec.values())
+            if drops and not hidden and self.local not in spec:
+                after = replace(self, df=project(self.df, spec))
+                return after.df, after
+            return (project(self.df, spec) if spec else self.df) if name == "$project" else _STAGES[name](self.df, spec), None
+        number = f"__n_{self.as_}"
+        counted = _swapped(spec, {"$size": f"${self.as_}"}, f"${number}")
+        if self._named_in(counted):
+            raise ValueError(f'{name} takes "{self.as_}" as its $size only: unwind it first')
+        return _STAGES[name](lookup_size(*self._args, number), counted), None
+
+
+def _finds_one(condition: Any) -> bool:
+    """Whether a condition on an array holds when it holds for one element."""
+    if not isinstance(condition, dict):
+        return condition is not None
+    return bool(condition) and all(k in ("$eq", "$gt", "$gte", "$lt", "$lte", "$in", "$regex", "$options") for k in condition) and (
+        None not in condition.get("$in", ()) and condition.get("$eq", 0) is not None
+        # several bounds may be met by several elements
+        and len([k for k in condition if k != "$options"]) == 1
+    )
+
+
+def _swapped(spec: Any, old: Any, new: Any) -> Any:
+    if spec == old:
+        return new
+    if isinstance(spec, dict):
+        return {k: _swapped(v, old, new) for k, v in spec.items()}
+    return [_swapped(v, old, new) for v in spec] if isinstance(spec, list) else spec
 
 
 def _unwind_stage(df: DataFrame, spec: Any) -> DataFrame:
@@ -369,5 +395,6 @@ _STAGES = {
     "$project": project,
     "$unwind": _unwind_stage,
     "$limit": lambda df, spec: df.limit(spec),
+    "$skip": lambda df, spec: df.offset(spec),
     "$count": lambda df, spec: df.agg(F.count(F.lit(1)).alias(spec)),
 }

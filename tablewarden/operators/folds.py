@@ -29,10 +29,10 @@ def fold_credits(
     """
     here = Window.partitionBy("__key", SEGMENT).orderBy(*_cols(order))
     is_done, opens, closes = F.col("__done"), F.col("__n") == 1, F.col("__next").isNull()
-    rows = with_segments(changes, order[0], segments).select(
-        F.col(key).alias("__key"), F.col(user).alias("__user"), SEGMENT, *_cols(order),
-        F.coalesce(F.col(status) == done, F.lit(False)).alias("__done"),
-        F.coalesce(F.col(amount), F.lit(0)).alias("__amount"),
+    rows = with_segments(changes, order[:2], segments).select(
+        F.col(f"`{key}`").alias("__key"), F.col(f"`{user}`").alias("__user"), SEGMENT, *_cols(order),
+        F.coalesce(F.col(f"`{status}`") == done, F.lit(False)).alias("__done"),
+        F.coalesce(F.col(f"`{amount}`"), F.lit(0)).alias("__amount"),
     ).withColumns({
         "__before": F.lag("__done").over(here),
         "__n": F.row_number().over(here),
@@ -44,12 +44,17 @@ def fold_credits(
         F.max(F.when(opens, F.struct(is_done.alias("done"), "__amount"))).alias("__opens"),
         F.max(F.when(closes, F.struct(SEGMENT, is_done.alias("done")))).alias("__closes"),
     )
-    earlier = Window.partitionBy("__key").orderBy(SEGMENT).rangeBetween(Window.unboundedPreceding, -1)
-    came_from = F.max("__closes").over(earlier)
-    settled = parts.select("__key", "__user", "__inside", "__opens", came_from.alias("__from"))
+    # one row per segment of a key, however many users it has had
+    ends = parts.groupBy("__key", SEGMENT).agg(F.max("__closes").alias("__closes"))
+    earlier = Window.partitionBy("__key").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(
+        F.col("__key").alias("__of"), F.col(SEGMENT).alias("__at"), F.max("__closes").over(earlier).alias("__from")
+    )
+    here = F.col("__key").eqNullSafe(F.col("__of")) & (F.col(SEGMENT) == F.col("__at"))
+    settled = parts.join(ends, here).select("__key", "__user", "__inside", "__opens", "__from")
     was_done = F.col("__from.done")
     if previous is not None:
-        known = previous.select(F.col(key).alias("__key"), (F.col(status) == done).alias("__known"))
+        known = previous.select(F.col(f"`{key}`").alias("__key"), (F.col(f"`{status}`") == done).alias("__known"))
         settled = settled.join(known, "__key", "left")
         was_done = F.coalesce(was_done, F.col("__known"))
     at_border = F.col("__opens.done") & ~F.coalesce(was_done, F.lit(False))
@@ -63,8 +68,8 @@ def fold_credits(
 
 def last_status(changes: DataFrame, key: str, order: list[str], status: str) -> DataFrame:
     """The newest status of every key, reduced map-side."""
-    newest = F.max_by(F.col(status), F.struct(*_cols(order)))
-    return changes.groupBy(F.col(key)).agg(newest.alias(status))
+    newest = F.max_by(F.col(f"`{status}`"), F.struct(*_cols(order)))
+    return changes.groupBy(F.col(f"`{key}`")).agg(newest.alias(status))
 
 
 def fold_referrals(
@@ -96,7 +101,8 @@ def fold_referrals(
             allowMissingColumns=True,
         )
     )
-    cut = with_segments(line, "__at", segments)
+    # of purchases at one moment the smaller numbers come first, and referrals before any of them
+    cut = with_segments(line.withColumn("__tie", F.col("__buy.id")), ["__at", "__tie"], segments)
     # backwards in time; a purchase at the moment of creation still counts
     here = Window.partitionBy("__user", SEGMENT).orderBy(
         F.desc("__at"), F.col("__buy").isNull(), F.desc("__buy.id")
@@ -128,12 +134,13 @@ def fold_views(
     for d = 1, flipped for d = 0 and cleared otherwise. That makes a segment a
     handful of sums, whatever its length, and a key one small fold over them.
     """
-    log = with_segments(changes, order[0], segments)
+    log = with_segments(changes, order[:2], segments)
+    key = f"`{key}`"
     here = Window.partitionBy(key, SEGMENT).orderBy(*_cols(order))
     so_far = here.rowsBetween(Window.unboundedPreceding, 0)
     earlier = here.rowsBetween(Window.unboundedPreceding, -1)
     v = F.col("__v")
-    rows = log.select(F.col(key), SEGMENT, *[c for c in _cols(order)], F.col(value).cast("bigint").alias("__v"))
+    rows = log.select(F.col(key), SEGMENT, *[c for c in _cols(order)], F.col(f"`{value}`").cast("bigint").alias("__v"))
     rows = rows.withColumn("__plain", F.sum(F.when(v.isNull(), 1).otherwise(0)).over(so_far))
     rows = rows.withColumn(
         "__last", F.last(F.when(v.isNotNull(), F.struct("__v", "__plain")), ignorenulls=True).over(earlier)
@@ -171,4 +178,4 @@ def fold_views(
 
 def fold_updated_at(changes: DataFrame, key: str, at: str) -> DataFrame:
     """The time of the last change of every key."""
-    return changes.groupBy(key).agg(F.max(at).alias("updated_at"))
+    return changes.groupBy(f"`{key}`").agg(F.max(f"`{at}`").alias("updated_at"))

@@ -27,6 +27,8 @@ _CANONICAL = {
     "DECIMAL": "NUMERIC",
     "TEXT[]": "ARRAY",
     "TIMESTAMPTZ": "TIMESTAMP WITH TIME ZONE",
+    "BOOL": "BOOLEAN",
+    "TIME WITHOUT TIME ZONE": "TIME",
 }
 
 # Canonical type name -> Spark type name.
@@ -50,6 +52,8 @@ _SPARK_TYPES = {
     "JSONB": "string",
     "BYTEA": "binary",
     "ARRAY": "array",
+    # a time of day is kept as text, hh:mm:ss
+    "TIME": "string",
 }
 
 
@@ -89,8 +93,18 @@ class ExpectedColumn:
 
     @property
     def check(self) -> str | None:
-        found = re.search(r"\bCHECK\s*\((.*)\)", self.definition, re.I)
-        return found.group(1) if found else None
+        """The condition between the bracket after CHECK and the one that closes it."""
+        found = re.search(r"\bCHECK\s*\(", self.definition, re.I)
+        if not found:
+            return None
+        depth, quoted = 1, False
+        for at in range(found.end(), len(self.definition)):
+            c = self.definition[at]
+            quoted ^= c == "'"
+            depth += 0 if quoted else (c == "(") - (c == ")")
+            if not depth:
+                return self.definition[found.end() : at]
+        raise ValueError(f"column {self.name}: the CHECK condition does not end")
 
 
 Expected = Mapping[str, Mapping[str, str]]
@@ -318,6 +332,15 @@ def verify_environments(environments: Mapping[str, TableSet], expected: Expected
     return reduce(DataFrame.unionByName, frames)
 
 
+def environment_rows(environments: Mapping[str, TableSet]) -> DataFrame:
+    """How many rows the tables of each environment hold together."""
+    frames = [
+        ts[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(env).alias("env"), "rows")
+        for env, ts in environments.items() for name in ts.names
+    ]
+    return reduce(DataFrame.unionByName, frames).groupBy("env").agg(F.sum("rows").alias("rows"))
+
+
 def verdicts(report: DataFrame, environments: list[str]) -> DataFrame:
     """Errors, warnings and an overall verdict per environment."""
     counted = report.groupBy("env").agg(

@@ -6,22 +6,34 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewarden.functions.digests import row_digest
 from tablewarden.operators.integrity import duplicates
+from tablewarden.runtime import cut_lineage
 
 # Anything that is neither a letter nor a digit separates terms.
 TERM_BREAK = r"[^\p{L}\p{N}]+"
 
 
-def cluster(df: DataFrame, columns: list[str], files: int, where: str | None = None) -> DataFrame:
+#: Rows are laid out in files of about this many bytes.
+FILE_BYTES = 128 << 20
+
+
+def files_for(df: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    """How many files a frame asks for, from the size the optimizer expects; 1 at least."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, min(1_000_000, -(-size // file_bytes)))
+
+
+def cluster(df: DataFrame, columns: list[str], files: int | None = None, where: str | None = None) -> DataFrame:
     """Rows ordered so that each file holds a narrow range of the columns.
 
     Written as Parquet, a filter on the columns then skips most files by their
     minimum and maximum. A digest of the row comes last in the range, so that a
     value that fills much of the table spreads over several files. ``where``
-    keeps a part of the rows, as a partial index does.
+    keeps a part of the rows, as a partial index does. Without ``files`` their
+    number follows from the size of the rows.
     """
     rows = df.where(where) if where else df
     keys = [F.col(f"`{c}`") for c in columns]
-    return rows.repartitionByRange(files, *keys, row_digest(df.schema.fields)).sortWithinPartitions(*keys)
+    return rows.repartitionByRange(files or files_for(rows), *keys, row_digest(df.schema.fields)).sortWithinPartitions(*keys)
 
 
 def unique_index_ok(df: DataFrame, key: tuple[str, ...]) -> bool:
@@ -40,10 +52,15 @@ def build_text_index(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return terms.where(F.col("term") != "").groupBy("term", "key").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def write_text_index(index: DataFrame, path: str, files: int) -> None:
+def write_text_index(index: DataFrame, path: str, files: int | None = None) -> None:
     """Store an index ordered by term and key: a lookup opens only the files
-    whose range holds the term, and a common term spans several files."""
-    index.repartitionByRange(files, "term", "key").sortWithinPartitions("term", "key").write.parquet(path)
+    whose range holds the term, and a common term spans several files.
+
+    The counted postings are written once before they are dealt by range, which
+    looks at them twice. Without ``files`` their number follows from their size.
+    """
+    index = cut_lineage(index)
+    index.repartitionByRange(files or files_for(index), "term", "key").sortWithinPartitions("term", "key").write.parquet(path)
 
 
 def text_lookup(index: DataFrame, terms: list[str], every: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
@@ -29,16 +30,29 @@ class VersionedStore:
         self.spark, self.root, self.declared = spark, root.rstrip("/"), declared
 
     def versions(self) -> list[int]:
-        return [int(n.removesuffix(".json")) for n in list_dir(self.spark, f"{self.root}/commits") if n.endswith(".json")]
+        names = list_dir(self.spark, f"{self.root}/commits")
+        return [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith(".")]
 
     def _paths(self, version: int | None = None) -> tuple[int, dict[str, str]]:
-        known = self.versions()
-        if version is None:
-            version = max(known, default=0)
-        if not version:
-            return 0, {}
+        if version is not None:
+            return version, self._tables_of(version) if version else {}
+        # a commit that does not parse never took place
+        for known in sorted(self.versions(), reverse=True):
+            if not self._is_broken(known):
+                return known, self._tables_of(known)
+            warnings.warn(f"commit {known} is broken and passed over", stacklevel=3)
+        return 0, {}
+
+    def _is_broken(self, version: int) -> bool:
+        try:
+            self._tables_of(version)
+        except ValueError:
+            return True
+        return False
+
+    def _tables_of(self, version: int) -> dict[str, str]:
         text = read_small_file(self.spark, f"{self.root}/commits/{version:012d}.json")
-        return version, json.loads(text)["tables"]
+        return json.loads(text)["tables"]
 
     def open(self, version: int | None = None) -> TableSet:
         """The tables of a version, by default the newest."""
@@ -54,12 +68,16 @@ class VersionedStore:
         same base first, creating the commit file fails and nothing is changed.
         """
         version, paths = self._paths(base)
+        # a broken commit keeps its number
+        known, last = set(self.versions()), version
+        while last + 1 in known and self._is_broken(last + 1):
+            last += 1
         paths = {n: p for n, p in paths.items() if n not in dropped}
         fresh = {n: f"{self.root}/data/{n}-{uuid.uuid4().hex}" for n in changed}
         run_together(self.spark, [lambda n=n: changed[n].write.parquet(fresh[n]) for n in changed])
         commit = json.dumps({"tables": paths | fresh}, indent=1).encode()
-        write_small_file(self.spark, f"{self.root}/commits/{version + 1:012d}.json", commit)
-        return version + 1
+        write_small_file(self.spark, f"{self.root}/commits/{last + 1:012d}.json", commit)
+        return last + 1
 
 
 @dataclass(frozen=True)

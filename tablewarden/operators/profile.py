@@ -7,6 +7,7 @@ fills a third of the table shuffles as one row per task.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -15,6 +16,7 @@ from tablewarden.functions.digests import value_key
 from tablewarden.functions.jsontext import skeleton
 from tablewarden.functions.values import common_type, percent, type_tag
 from tablewarden.operators.predicates import compile_filter, fields_of
+from tablewarden.operators.search import check_tables
 from tablewarden.runtime import cut_lineage
 from tablewarden.sources.sinks import text_form
 from tablewarden.sources.tables import TableSet
@@ -39,12 +41,20 @@ def count(df: DataFrame, where: str | dict | None = None) -> DataFrame:
 
 
 def count_all(ts: TableSet, total: bool = True) -> DataFrame:
-    """Rows of every table and, with ``total``, a row named ``TOTAL``."""
+    """Rows of every table and, with ``total``, a row named ``TOTAL``.
+
+    A table that does not open has NULL rows, with a warning; the others are
+    counted all the same.
+    """
+    good, errors = check_tables(ts)
+    for name, error in errors.items():
+        warnings.warn(f'table "{name}" is not counted: {error}', stacklevel=2)
+    nothing = ts.spark.createDataFrame([(n, None) for n in errors], "table_name string, rows bigint")
     frames = [
-        ts[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
-        for name in ts.open().names
+        good[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        for name in good.open().names
     ]
-    counts = reduce(DataFrame.unionByName, frames)
+    counts = reduce(DataFrame.unionByName, [*frames, nothing] if errors else frames or [nothing])
     if not total:
         return counts
     return counts.rollup("table_name").agg(F.sum("rows").alias("rows")).select(
@@ -259,14 +269,12 @@ def profile_documents(df: DataFrame) -> DataFrame:
 _PATH_ENTRY = "array<struct<path: string, value: variant>>"
 
 
-def infer_fields(
-    df: DataFrame, max_depth: int | None = None, first_elements: int | None = 3
-) -> DataFrame:
+def infer_fields(df: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Dotted paths of nested documents with their types and presence.
 
-    An array of objects adds its element fields under ``path[*]``, looking at
-    the first ``first_elements`` of each array (None for all). A path is
-    counted once per document however often it occurs in it. Without
+    The objects in an array add their fields under ``path[*]``, wherever in it
+    they stand, and an array counts with the types of all its elements. A path
+    is counted once per document however often it occurs in it. Without
     ``max_depth`` the depth is found first, in a pass that stops descending
     where the documents end.
 
@@ -280,13 +288,14 @@ def infer_fields(
         df.select(skeleton(F.to_json("doc")).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
     )
     shapes = counted.select(F.try_parse_json("text").alias("doc"), "n")
-    depth = max_depth or document_depth(shapes, first_elements)
+    depth = max_depth or document_depth(shapes)
     frame = shapes.select("n", _children(F.lit(""), F.col("doc")).alias("l0"))
     for i in range(1, depth):
-        below = F.flatten(F.transform(f"l{i - 1}", lambda e: _below(e, first_elements)))
-        frame = frame.withColumn(f"l{i}", below)
+        frame = frame.withColumn(f"l{i}", F.flatten(F.transform(f"l{i - 1}", _below)))
     tagged = [
-        F.transform(f"l{i}", lambda e: F.struct(e["path"].alias("path"), _shape(e["value"]).alias("type")))
+        F.flatten(F.transform(f"l{i}", lambda e: F.transform(
+            _shapes(e["value"]), lambda t: F.struct(e["path"].alias("path"), t.alias("type"))
+        )))
         for i in range(depth)
     ]
     pairs = frame.select("n", F.array_distinct(F.concat(*tagged)).alias("pairs"))
@@ -304,7 +313,7 @@ def infer_fields(
             F.array_join(F.sort_array(F.collect_set("type")), ", ").alias("types"),
         )
     )
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = counted.agg(F.sum("n")).scalar()
     return per_path.select(
         "path", "types", "documents", percent(F.col("documents"), total, 0).alias("presence_pct")
     ).orderBy(F.when(F.col("path") == "_id", 0).otherwise(1), F.desc("documents"), "path")
@@ -325,14 +334,11 @@ def _children(prefix: Column, value: Column, dot: str = "") -> Column:
     return F.coalesce(out, F.array().cast(_PATH_ENTRY))
 
 
-def _below(entry: Column, first_elements: int | None) -> Column:
+def _below(entry: Column) -> Column:
     """One level down: the fields of an object, or of the objects in an array."""
     fields = _children(entry["path"], entry["value"], ".")
     elements = F.try_variant_get(entry["value"], "$", "array<variant>")
-    if first_elements is not None:
-        elements = F.slice(elements, 1, first_elements)
-    # elements count only when the first one is an object
-    opened = F.filter(elements, lambda _: type_tag(F.get(elements, 0)) == "object")
+    opened = F.filter(elements, lambda x: type_tag(x) == "object")
     inner = F.flatten(
         F.transform(
             opened, lambda x: _children(F.concat(entry["path"], F.lit("[*]")), x, ".")
@@ -341,17 +347,16 @@ def _below(entry: Column, first_elements: int | None) -> Column:
     return F.concat(fields, F.coalesce(inner, F.array().cast(_PATH_ENTRY)))
 
 
-def _shape(value: Column) -> Column:
-    """The type tag, for an array with the type of its first element."""
+def _shapes(value: Column) -> Column:
+    """The type tag; for an array that holds anything, one with the type of each kind of element."""
     tag = type_tag(value)
-    first = F.try_variant_get(value, "$[0]", "variant")
-    first_tag = type_tag(first)
-    # a null or an array as first element reads as object, as typeof does
-    named = F.when(first_tag.isin("null", "array", "date"), "object").otherwise(first_tag)
-    return F.when((tag == "array") & first.isNotNull(), F.concat(F.lit("array("), named, F.lit(")"))).otherwise(tag)
+    # a null or an array as an element reads as object, as typeof does
+    named = lambda x: F.when(type_tag(x).isin("null", "array", "date"), "object").otherwise(type_tag(x))
+    elements = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.concat(F.lit("array("), named(x), F.lit(")")))
+    return F.when((tag == "array") & (F.size(elements) > 0), F.array_distinct(elements)).otherwise(F.array(tag))
 
 
-def document_depth(df: DataFrame, first_elements: int | None = 3) -> int:
+def document_depth(df: DataFrame) -> int:
     """How many levels of fields the deepest document has, at least 1.
 
     No document is deeper than it has opening braces. Where that bound is small
@@ -367,7 +372,7 @@ def document_depth(df: DataFrame, first_elements: int | None = 3) -> int:
         frame = df.select(_children(F.lit(""), F.col("doc")).alias("l0"))
         for i in range(1, probe + 1):
             frame = frame.withColumn(
-                f"l{i}", F.flatten(F.transform(f"l{i - 1}", lambda e: _below(e, first_elements)))
+                f"l{i}", F.flatten(F.transform(f"l{i - 1}", _below))
             )
         used = reduce(
             lambda a, b: a + b, [F.when(F.size(f"l{i}") > 0, 1).otherwise(0) for i in range(probe + 1)]

@@ -26,7 +26,6 @@ from tablewarden.runtime import run_together
 from tablewarden.sources.sinks import text_form
 from tablewarden.sources.tables import TableSet
 
-DEFAULT_LIMIT = 1000
 
 # Spellings of the two truth values.
 _TRUE_WORDS = ("true", "t", "yes", "y", "1")
@@ -335,11 +334,11 @@ def row_key(ts: TableSet, table: str) -> Column:
 
 
 def _limited(ts: TableSet, table: str, hits: DataFrame, limit: int | None) -> DataFrame:
-    """The first ``limit`` hits of a table in key order, the same on every run."""
+    """The first ``limit`` hits of a table in key order, the same on every run: rows of one key follow a digest."""
     if limit is None:
         return hits
     key = ts.key_of(table)
-    order = [F.col(f"`{k}`") for k in key] or [row_digest(ts[table].schema.fields)]
+    order = [*[F.col(f"`{k}`") for k in key], row_digest(ts[table].schema.fields)]
     return hits.orderBy(*order).limit(limit)
 
 
@@ -379,7 +378,7 @@ def search(
     table: str | None = None,
     column: str | None = None,
     *,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
     with_data: bool = False,
     **how: bool,
 ) -> DataFrame:
@@ -420,7 +419,7 @@ def hits_wide(
     table: str | None = None,
     column: str | None = None,
     *,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
     **how: bool,
 ) -> DataFrame:
     """Hits of differently shaped tables under the union of their columns."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -93,6 +93,54 @@ def update_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.update(part, {"p_type": "PROMO"}, {"$set": {"p_type": "first"}}, key=("p_partkey",)).select("p_partkey", "p_type")
 
 
+_TWICE = "(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem)"
+
+
+def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of which each is there twice, under a key that repeats besides."""
+    lineitem = tables(spark, sf_dir, "lineitem")["lineitem"]
+    return lineitem.unionAll(lineitem)
+
+
+@query("update_one_repeated", f"""
+    WITH first AS (SELECT min((l_orderkey, l_linenumber)) AS k FROM lineitem WHERE l_returnflag = 'R')
+    SELECT l_orderkey, l_linenumber, count(*) AS rows, CAST(CASE WHEN (l_orderkey, l_linenumber) = (SELECT k FROM first) THEN 1 ELSE 0 END AS BIGINT) AS changed
+    FROM {_TWICE} GROUP BY ALL
+""")
+def update_one_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row changes, though its key and its exact copy match as well."""
+    out = C.update(_twice(spark, sf_dir), {"l_returnflag": "R"}, {"$set": {"l_linestatus": "one"}}, key=("l_orderkey", "l_linenumber"))
+    return out.groupBy("l_orderkey", "l_linenumber").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("l_linestatus") == "one", 1)).alias("changed")
+    )
+
+
+@query("delete_one_repeated", f"""
+    WITH first AS (SELECT min((l_orderkey, l_linenumber)) AS k FROM lineitem WHERE l_returnflag = 'N')
+    SELECT l_orderkey, l_linenumber, count(*) - CASE WHEN (l_orderkey, l_linenumber) = (SELECT k FROM first) THEN 1 ELSE 0 END AS rows
+    FROM {_TWICE} GROUP BY l_orderkey, l_linenumber
+""")
+def delete_one_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = C.delete(_twice(spark, sf_dir), {"l_returnflag": "N"}, many=False, key=("l_orderkey", "l_linenumber"))
+    return left.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("update_rename", """
+    SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment,
+      CASE WHEN c_acctbal < 0 THEN c_mktsegment END AS former_segment FROM customer
+""")
+def update_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field renamed in the matching documents only."""
+    customer = tables(spark, sf_dir, "customer")["customer"]
+    docs = customer.select(F.try_parse_json(F.to_json(F.struct("*"))).alias("doc"))
+    out = C.update(docs, {"c_acctbal": {"$lt": 0}}, {"$rename": {"c_mktsegment": "former_segment"}}, multi=True)
+    return out.select(
+        F.try_variant_get("doc", "$.c_custkey", "bigint").alias("c_custkey"),
+        F.try_variant_get("doc", "$.c_mktsegment", "string").alias("c_mktsegment"),
+        F.try_variant_get("doc", "$.former_segment", "string").alias("former_segment"),
+    )
+
+
 @query("affected_rows", "SELECT count(*) AS affected FROM orders WHERE o_orderstatus = 'F'")
 def affected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The count rides on the action that carries out the change."""
@@ -228,6 +276,27 @@ def seed_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.seed(target, rows, [("id",), ("name",)], order=F.col("id"))[0]
 
 
+@query("migration_ledger", """
+    SELECT '001_upper' AS name, TIMESTAMP '2024-06-01 12:00:00' AS applied_at, 'part := SELECT p_partkey, upper(p_name) AS p_name FROM part' AS sql_content,
+      (SELECT count(DISTINCT upper(p_name)) FROM part) AS names
+    UNION ALL SELECT '002_count', TIMESTAMP '2024-06-01 12:00:00', 'totals := SELECT count(*) AS parts FROM part', (SELECT count(DISTINCT upper(p_name)) FROM part)
+""")
+def migration_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ledger says was applied, beside a figure of the table that came of it."""
+    store = M.VersionedStore(spark, scratch_path(spark, "versions"))
+    store.publish({"part": tables(spark, sf_dir, "part")["part"]})
+    steps = [
+        M.Migration("002_count", (("totals", "SELECT count(*) AS parts FROM part"),)),
+        M.Migration("001_upper", (("part", "SELECT p_partkey, upper(p_name) AS p_name FROM part"),)),
+    ]
+    M.apply_migrations(store, steps, datetime(2024, 6, 1, 12, tzinfo=timezone.utc))
+    after = store.open()
+    names = after["part"].agg(F.count_distinct("p_name")).scalar()
+    return M.ledger(after).select(
+        "name", F.to_timestamp_ntz(F.date_format("applied_at", "yyyy-MM-dd HH:mm:ss")).alias("applied_at"), "sql_content", names.alias("names")
+    )
+
+
 @query("migrate_twice", """
     SELECT p_partkey, upper(p_name) AS p_name, p_retailprice * 2 AS doubled,
       (SELECT count(*) FROM supplier WHERE s_acctbal >= 0) AS solvent FROM part

@@ -21,18 +21,57 @@ def _shop(spark: SparkSession, sf_dir: str) -> TableSet:
 
 
 @query("command_lookup", """
-    SELECT o_orderkey, c_name AS customer_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice >= 200000
+    SELECT c_custkey, count(*) AS large_orders, max(o_totalprice) AS largest FROM orders JOIN customer ON o_custkey = c_custkey
+    WHERE o_totalprice >= 200000 AND c_acctbal > 0 GROUP BY ALL
 """)
 def command_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = run_command(_shop(spark, sf_dir), {"aggregate": "orders", "pipeline": [
-        {"$match": {"o_totalprice": {"$gte": 200000}}},
-        {"$lookup": {"from": "customer", "localField": "o_custkey", "foreignField": "_id", "as": "customer"}},
-        {"$unwind": "$customer"},
-        {"$project": {"customer_name": "$customer.c_name"}},
-    ], "cursor": {}}).rows
+    """Customers in credit, joined with their large orders and grouped again."""
+    rows = run_command(_shop(spark, sf_dir), {"aggregate": "customer", "pipeline": [
+        {"$lookup": {"from": "orders", "localField": "_id", "foreignField": "o_custkey", "as": "bought"}},
+        {"$match": {"c_acctbal": {"$gt": 0}}},
+        {"$unwind": "$bought"},
+        {"$match": {"bought.o_totalprice": {"$gte": 200000}}},
+        {"$group": {"_id": "$_id", "large_orders": {"$sum": 1}, "largest": {"$max": "$bought.o_totalprice"}}},
+    ]}).rows
+    return rows.select(
+        F.try_variant_get("_id", "$", "bigint").alias("c_custkey"), "large_orders",
+        F.try_variant_get("largest", "$", "double").alias("largest"),
+    )
+
+
+@query("command_upsert", """
+    SELECT 'known' AS step, 1 AS n, (SELECT count(*) FROM customer) AS total, 1 AS named
+    UNION ALL SELECT 'absent', 1, (SELECT count(*) + 1 FROM customer), 1
+    UNION ALL SELECT 'not asked for', 0, (SELECT count(*) FROM customer), 0
+""")
+def command_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update of one document that may have to be added first."""
+    shop = _shop(spark, sf_dir)
+    steps = {"known": (1, True), "absent": (-5, True), "not asked for": (-5, False)}
+    out = []
+    for step, (number, upsert) in steps.items():
+        one = {"q": {"_id": number}, "u": {"$set": {"c_name": "renamed"}}, "upsert": upsert}
+        answer = run_command(shop, {"update": "customer", "updates": [one]})
+        after = answer.tables["customer"]
+        named = run_command(answer.tables, {"count": "customer", "query": {"c_name": "renamed"}}).rows
+        out.append(answer.rows.select(
+            F.lit(step).alias("step"), F.col("n").cast("int").alias("n"), after.agg(F.count(F.lit(1))).scalar().alias("total"),
+            named.select(F.col("n").cast("int")).scalar().alias("named"),
+        ))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("command_skip", """
+    SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 25
+""")
+def command_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a sorted report."""
+    rows = run_command(_shop(spark, sf_dir), {
+        "find": "orders", "filter": {"o_orderstatus": "O"}, "sort": {"o_totalprice": -1, "_id": 1}, "skip": 25, "limit": 40,
+        "projection": {"o_totalprice": 1},
+    }).rows
     return rows.select(
-        F.try_variant_get("_id", "$", "bigint").alias("o_orderkey"),
-        F.try_variant_get("customer_name", "$", "string").alias("customer_name"),
+        F.try_variant_get("_id", "$", "bigint").alias("o_orderkey"), F.try_variant_get("o_totalprice", "$", "double").alias("o_totalprice"),
     )
 
 

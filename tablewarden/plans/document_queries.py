@@ -66,12 +66,12 @@ def find_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.try_variant_get("doc", "$.k", "bigint").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("project_nested", "SELECT c_custkey AS _id, c_name AS customer_name, c_mktsegment AS segment FROM customer")
+@query("project_nested", "SELECT c_custkey AS _id, c_name AS title, c_mktsegment AS segment FROM customer")
 def project_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = tables(spark, sf_dir, "customer")["customer"].select(
         F.col("c_custkey").alias("_id"), F.struct("c_name", F.struct("c_mktsegment").alias("market")).alias("customer")
     )
-    return D.project(nested, {"customer_name": "$customer.c_name", "segment": "$customer.market.c_mktsegment"})
+    return D.project(nested, {"title": "$customer.c_name", "segment": "$customer.market.c_mktsegment"})
 
 
 @query("group_count", "SELECT o_orderstatus AS _id, count(*) AS count FROM orders GROUP BY ALL")
@@ -118,14 +118,14 @@ def group_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("lookup_unwind", """
-    SELECT o_orderkey, o_totalprice, c_name AS customer_name FROM orders JOIN customer ON o_custkey = c_custkey
+    SELECT o_orderkey, o_totalprice, c_mktsegment AS segment, c_acctbal AS balance FROM orders JOIN customer ON o_custkey = c_custkey
 """)
 def lookup_unwind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup and unwind in sequence: a plain join, no arrays."""
     return D.pipeline(tables(spark, sf_dir, "orders", "customer"), "orders", [
-        {"$lookup": {"from": "customer", "localField": "o_custkey", "foreignField": "c_custkey", "as": "customer"}},
-        {"$unwind": "$customer"},
-        {"$project": {"o_orderkey": 1, "o_totalprice": 1, "customer_name": "$customer.c_name"}},
+        {"$lookup": {"from": "customer", "localField": "o_custkey", "foreignField": "c_custkey", "as": "buyer"}},
+        {"$unwind": "$buyer"},
+        {"$project": {"o_orderkey": 1, "o_totalprice": 1, "segment": "$buyer.c_mktsegment", "balance": "$buyer.c_acctbal"}},
     ])
 
 
@@ -145,15 +145,29 @@ def lookup_array_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL
 """)
 def lookup_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches as arrays, in pages of at most 5, which some orders exceed."""
+    """Orders with their lines, one row per match, and orders without any."""
     ts = tables(spark, sf_dir, "orders", "lineitem")
-    paged = D.lookup(ts["orders"], ts["lineitem"], "o_orderkey", "l_orderkey", "lines", page_size=5)
-    total = F.aggregate("lines", F.lit(0.0), lambda acc, x: acc + x["l_quantity"])
-    return paged.groupBy("o_orderkey").agg(
-        F.sum(F.size("lines")).alias("lines"), F.round(F.sum(total), 2).alias("quantity")
+    matches = D.lookup_rows(ts["orders"], ts["lineitem"], "o_orderkey", "l_orderkey", "line", keep_empty=True)
+    return matches.groupBy("o_orderkey").agg(
+        F.count("line").alias("lines"), F.coalesce(F.round(F.sum("line.l_quantity"), 2), F.lit(0.0)).alias("quantity")
     )
 
 
+@query("lookup_count", """
+    SELECT (SELECT count(*) FROM region) AS all_regions, (SELECT count(*) FROM region r WHERE EXISTS (
+      SELECT 1 FROM lineitem WHERE CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey % 7 END = r_regionkey AND l_quantity > 49)) AS busy_regions
+""")
+def lookup_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the lines belong to one region: what is counted are regions, however many matches each has."""
+    ts = tables(spark, sf_dir, "region", "lineitem")
+    place = F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_orderkey") % 7).cast("int")
+    ts = ts.with_table("lineitem", ts["lineitem"].withColumn("region", place))
+    look = {"$lookup": {"from": "lineitem", "localField": "r_regionkey", "foreignField": "region", "as": "sold"}}
+    every = D.pipeline(ts, "region", [look, {"$count": "all_regions"}])
+    busy = D.pipeline(ts, "region", [look, {"$match": {"sold.l_quantity": {"$gt": 49}}}, {"$count": "busy_regions"}])
+    return every.select("all_regions", busy.select("busy_regions").scalar().alias("busy_regions"))
+
+
 @query("unwind_words", """
     SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY ALL
 """)

@@ -73,6 +73,18 @@ def fold_views_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fold_views(events.withColumn("views", value), "user_id", ["ts", "event_id"], "views", start=2)
 
 
+@query("fold_credits_daily", """
+    WITH c AS (SELECT user_id, event_type, value, lag(event_type) OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE), event_id) AS before FROM events)
+    SELECT user_id, round(sum(value), 2) AS credits FROM c
+    WHERE event_type = 'purchase' AND (before IS NULL OR before <> 'purchase') GROUP BY user_id
+""")
+def fold_credits_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that knows the day only: within a day the number of the event decides, and cuts the day."""
+    events = tables(spark, sf_dir, "events")["events"].withColumn("day", F.to_date("ts"))
+    out = L.fold_credits(events, "user_id", ["day", "event_id"], "event_type", "value", "user_id", done="purchase", segments=64)
+    return out.select("user_id", F.round("credits", 2).alias("credits"))
+
+
 @query("fold_updated_at", "SELECT user_id, max(ts) AS updated_at FROM events GROUP BY ALL")
 def fold_updated_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fold_updated_at(tables(spark, sf_dir, "events")["events"], "user_id", "ts")
@@ -106,7 +118,7 @@ def text_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Through a stored index, of which only files with the terms are read."""
     path = scratch_path(spark, "text-index")
     documents = tables(spark, sf_dir, "documents")["documents"]
-    N.write_text_index(N.build_text_index(documents, "doc_id", ["text"]), path, 8)
+    N.write_text_index(N.build_text_index(documents, "doc_id", ["text"]), path)
     return N.text_lookup(spark.read.parquet(path), ["The", "and", "on"], every=True)
 
 
@@ -118,6 +130,6 @@ def clustered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A partial, clustered copy; the filter on the date then skips files."""
     path = scratch_path(spark, "clustered")
     lineitem = tables(spark, sf_dir, "lineitem")["lineitem"]
-    N.cluster(lineitem, ["l_shipdate"], 8, where="l_discount > 0.02").write.parquet(path)
+    N.cluster(lineitem, ["l_shipdate"], where="l_discount > 0.02").write.parquet(path)
     january = spark.read.parquet(path).where("l_shipdate >= '1998-01-01' AND l_shipdate < '1998-02-01'")
     return january.select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")

@@ -69,7 +69,7 @@ def search_all_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def search_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report form: the first 1000 hits of each table in key order."""
-    return _shown(S.search(tables(spark, sf_dir, "customer", "orders"), "99"))
+    return _shown(S.search(tables(spark, sf_dir, "customer", "orders"), "99", limit=1000))
 
 
 @query("search_exact_ci", " UNION ALL ".join([

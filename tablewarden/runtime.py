@@ -92,13 +92,23 @@ def delete_path(spark: SparkSession, path: str) -> bool:
 
 
 def write_small_file(spark: SparkSession, path: str, data: bytes) -> None:
-    """Create a file that must not exist yet; raises if another writer was first."""
+    """Create a file that must not exist yet; raises if another writer was first.
+
+    It is filled under another name, which readers pass over, and renamed when
+    complete: a file of the final name is never empty or half written.
+    """
     fs, p = hadoop_path(spark, path)
-    out = fs.create(p, False)
+    parent, name = path.rsplit("/", 1)
+    _, filled = hadoop_path(spark, f"{parent}/.{name}.{uuid.uuid4().hex}")
+    out = fs.create(filled, False)
     try:
         out.write(bytearray(data))
     finally:
         out.close()
+    # a rename onto an existing name is refused by file systems with atomic renames, and reported as false or an error
+    if fs.exists(p) or not fs.rename(filled, p):
+        fs.delete(filled, False)
+        raise FileExistsError(f"{path} exists already")
 
 
 def read_small_file(spark: SparkSession, path: str) -> bytes:

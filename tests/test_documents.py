@@ -107,21 +107,46 @@ def shop(spark):
     }), orders, customers
 
 
-@pytest.mark.parametrize("page", [1, 3, 7, 100, 10_000])
-def test_lookup_pages_are_small_and_lose_nothing(shop, page):
+def test_lookup_rows_are_all_matches(shop):
     ts, orders, customers = shop
-    rows = D.lookup(ts["customers"], ts["orders"], "id", "cust", "found", page_size=page).collect()
-    got, pages = {}, set()
-    for r in rows:
-        assert len(r.found) <= page
-        assert (r.id, r.found_page) not in pages
-        pages.add((r.id, r.found_page))
-        got.setdefault(r.id, []).extend((x.id, x.cust, x.n) for x in r.found)
+    got = {}
+    for r in D.lookup_rows(ts["customers"], ts["orders"], "id", "cust", "found", keep_empty=True).collect():
+        got.setdefault(r.id, []).extend([tuple(r.found)] if r.found else [])
     assert {k: sorted(v) for k, v in got.items()} == {
         c: sorted(o for o in orders if o[1] == c) for c, _ in customers
     }
 
 
+@pytest.mark.parametrize("matches", [10, 20_000])
+def test_answers_do_not_depend_on_how_many_match(spark, matches):
+    ts = TableSet.of(spark, {
+        "people": spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, name string"),
+        "visits": spark.range(matches).selectExpr("1 AS who", "id AS n").unionAll(spark.sql("SELECT 2 AS who, 0L AS n")),
+    })
+    look = {"$lookup": {"from": "visits", "localField": "id", "foreignField": "who", "as": "v"}}
+    run = lambda *stages: sorted(tuple(r) for r in D.pipeline(ts, "people", [look, *stages]).collect())
+    assert run({"$count": "n"}) == [(3,)]
+    assert run({"$match": {"v.n": {"$gte": 0}}}, {"$count": "n"}) == [(2,)]
+    assert run({"$match": {"v": []}}, {"$project": {"name": 1}}) == [("c",)]
+    assert run({"$match": {"v": {"$ne": []}}}, {"$project": {"v": 0}}) == [(1, "a"), (2, "b")]
+    assert run({"$group": {"_id": None, "n": {"$sum": 1}, "visits": {"$sum": {"$size": "$v"}}}}) == [(None, 3, matches + 1)]
+    assert run({"$sort": {"id": -1}}, {"$limit": 2}, {"$project": {"name": 1, "n": {"$size": "$v"}}}) == [("b", 1), ("c", 0)]
+    assert run({"$project": {"id": 1, "n": {"$size": "$v"}}}, {"$match": {"n": {"$gt": 1}}}) == [(1, matches)]
+    assert run({"$match": {"id": 1}}, {"$unwind": "$v"}, {"$group": {"_id": "$id", "top": {"$max": "$v.n"}}}) == [(1, matches - 1)]
+    assert len(run()) == matches + 2
+
+
+def test_stages_that_need_the_array_are_errors(shop):
+    ts, *_ = shop
+    look = {"$lookup": {"from": "orders", "localField": "id", "foreignField": "cust", "as": "o"}}
+    for stage in (
+        {"$project": {"o": 1}}, {"$match": {"o": {"$size": 3}}}, {"$match": {"o.n": {"$ne": 1}}}, {"$sort": {"o.n": 1}},
+        {"$match": {"$or": [{"o.n": 1}, {"id": 2}]}}, {"$group": {"_id": "$o.n", "k": {"$sum": 1}}}, {"$match": {"o.n": {"$gt": 1, "$lt": 3}}},
+    ):
+        with pytest.raises(ValueError, match="unwind it first"):
+            D.pipeline(ts, "customers", [look, stage])
+
+
 def test_lookup_then_unwind_size_or_neither(shop):
     ts, orders, customers = shop
     look = {"$lookup": {"from": "orders", "localField": "id", "foreignField": "cust", "as": "o"}}
@@ -163,8 +188,14 @@ def test_unwind(typed):
 
 def test_lookup_of_rows_that_hold_maps(spark):
     other = spark.createDataFrame([(1, {"a": 1}), (1, {"a": 1}), (1, {"b": 2}), (2, None)], "k int, m map<string,int>")
-    rows = D.lookup(spark.createDataFrame([(1,), (2,), (3,)], "id int"), other, "id", "k", "o", page_size=2).collect()
+    rows = D.lookup_rows(spark.createDataFrame([(1,), (2,), (3,)], "id int"), other, "id", "k", "o", keep_empty=True).collect()
     got = {}
     for r in rows:
-        got.setdefault(r.id, []).extend(x.m for x in r.o)
+        got.setdefault(r.id, []).extend([r.o.m] if r.o else [])
     assert sorted(map(str, got[1])) == ["{'a': 1}", "{'a': 1}", "{'b': 2}"] and got[2] == [None] and got[3] == []
+
+
+def test_skip(typed):
+    rows = D.find(typed, sort={"_id": 1}, skip=1, limit=2).collect()
+    assert [r._id for r in rows] == [2, 3]
+    assert D.find(typed, skip=3).count() == 1

@@ -116,3 +116,38 @@ def test_an_empty_log(spark):
     empty = spark.createDataFrame([], "k int, o long, status string, amount long, who int, v long")
     assert L.fold_credits(empty, "k", ["o"], "status", "amount", "who").count() == 0
     assert L.fold_views(empty, "k", ["o"], "v").count() == 0
+
+
+def test_one_key_at_one_moment_spreads_over_segments(spark):
+    """Nothing but the second order column tells the rows apart."""
+    df = spark.range(4000).selectExpr("0 AS k", "TIMESTAMP_NTZ'2024-01-01 10:00:00' AS at", "id", "1L AS v")
+    sizes = [r["count"] for r in with_segments(df, ["at", "id"], 20).groupBy(SEGMENT).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 400
+    fine = spark.range(4000).selectExpr("TIMESTAMP_NTZ'2024-01-01 10:00:00' + make_dt_interval(0, 0, 0, id / 1000000) AS at")
+    assert with_segments(fine, "at", 20).groupBy(SEGMENT).count().where("count < 400").count() >= 15
+
+
+@pytest.mark.parametrize("segments", [2, 8, 60])
+def test_folds_over_ties(spark, segments):
+    """Most changes fall on two days; the number decides within a day, and it alone cuts them."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(3000):
+        day = rng.choice([1, 1, 1, 2, 2, 3, 4])
+        rows.append((0 if rng.random() < 0.5 else rng.randrange(1, 9), day, i, rng.choice(["completed", "open"]), rng.randrange(5), rng.randrange(3), None if rng.random() < 0.4 else rng.randrange(4)))
+    df = spark.createDataFrame(rows, "k int, day int, o long, status string, amount long, who int, v long")
+    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
+    got = L.fold_credits(df, "k", ["day", "o"], "status", "amount", "who", segments=segments)
+    assert {r.who: r.credits for r in got.collect()} == credits([(k, o, s, a, w, v) for k, _, o, s, a, w, v in ordered])
+    counter = {}
+    for key, *_, v in ordered:
+        now = counter.get(key, 0)
+        counter[key] = now + 1 if v is None or v == now else v
+    assert {r.k: r.view_count for r in L.fold_views(df, "k", ["day", "o"], "v", segments=segments).collect()} == counter
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, 1, "completed", 5, 7)], ["a.k", "a.o", "a.status", "a.amount", "a.who"])
+    assert L.fold_credits(df, "a.k", ["a.o"], "a.status", "a.amount", "a.who").collect()[0][0:2] == (7, 5)
+    assert L.fold_views(df, "a.k", ["a.o"], "a.amount").collect()[0][1] == 5
+    assert L.fold_updated_at(df, "a.k", "a.o").collect()[0][1] == 1

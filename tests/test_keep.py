@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tablewarden.operators import layout as N
 from tablewarden.operators import migrate as M
 from tablewarden.operators import snapshot as K
-from tablewarden.runtime import read_small_file, write_small_file
+
+from tablewarden.runtime import list_dir, read_small_file, write_small_file
 from tablewarden.sources.documents import read_documents, read_seed
 from tablewarden.sources.sinks import clone, copy_table
 from tablewarden.sources.tables import TableSet, jdbc_options
@@ -191,3 +192,22 @@ def test_jdbc_reads_in_slices():
         "partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "5",
     }
     assert "partitionColumn" not in jdbc_options("jdbc:x", "t", {}, {})
+
+
+def test_a_broken_newest_commit_never_took_place(spark, scratch):
+    store = M.VersionedStore(spark, scratch)
+    store.publish({"t": spark.range(3)})
+    with open(f"{scratch}/commits/000000000002.json", "w"):
+        pass
+    with pytest.warns(UserWarning, match="broken"):
+        assert store.open()["t"].count() == 3
+        assert store.publish({"t": spark.range(5)}) == 3
+    assert store.open()["t"].count() == 5 and store.open(1)["t"].count() == 3
+
+
+def test_small_files_are_whole_or_absent(spark, scratch):
+    write_small_file(spark, f"{scratch}/f/one.json", b"{}")
+    with pytest.raises(FileExistsError):
+        write_small_file(spark, f"{scratch}/f/one.json", b"[]")
+    assert read_small_file(spark, f"{scratch}/f/one.json") == b"{}"
+    assert [n for n in list_dir(spark, f"{scratch}/f") if not n.endswith(".crc")] == ["one.json"]

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablewarden.operators import profile as P
@@ -77,17 +78,13 @@ def _walk(doc, prefix, out):
         path = f"{prefix}.{key}" if prefix else key
         kind = {type(None): "null", bool: "boolean", int: "number", float: "number", str: "string", dict: "object"}.get(type(value))
         if isinstance(value, list):
-            kind = "array"
-            if value:
-                first = value[0]
-                if isinstance(first, dict):
-                    kind = "array(object)"
-                    for element in value[:3]:
-                        if isinstance(element, dict):
-                            _walk(element, f"{path}[*]", out)
-                else:
-                    kind = "array(" + ("boolean" if isinstance(first, bool) else "number" if isinstance(first, (int, float)) else "string" if isinstance(first, str) else "object") + ")"
-        elif isinstance(value, dict):
+            names = {bool: "boolean", int: "number", float: "number", str: "string"}
+            out.setdefault(path, set()).update({f"array({names.get(type(x), 'object')})" for x in value} or {"array"})
+            for element in value:
+                if isinstance(element, dict):
+                    _walk(element, f"{path}[*]", out)
+            continue
+        if isinstance(value, dict):
             _walk(value, path, out)
         out.setdefault(path, set()).add(kind)
 
@@ -120,10 +117,27 @@ def test_nested_fields_against_a_plain_walk(docs):
 
 
 def test_all_elements_of_long_arrays(docs):
-    frame = docs('{"_id": 1, "l": [{"a": 1}, {"a": 1}, {"a": 1}, {"z": 1}]}')
-    assert "l[*].z" not in {r.path for r in P.infer_fields(frame).collect()}
-    rows = P.infer_fields(frame, first_elements=None).collect()
-    assert rows[0].path == "_id" and "l[*].z" in {r.path for r in rows}
+    import json
+
+    for n in (3, 20_000):
+        text = json.dumps({"_id": 1, "l": [{"a": 1}] * n + [{"z": 1}], "m": [1, {"y": 2}, "s"]})
+        found = {r.path: r.types for r in P.infer_fields(docs(text)).collect()}
+        assert found == {
+            "_id": "number", "l": "array(object)", "l[*].a": "number", "l[*].z": "number",
+            "m": "array(number), array(object), array(string)", "m[*].y": "number",
+        }
+
+
+def test_a_broken_table_does_not_spoil_the_count(spark, scratch):
+    import os
+
+    spark.range(3).write.parquet(f"{scratch}/good.parquet")
+    ts = TableSet.from_parquet(spark, scratch)
+    os.makedirs(f"{scratch}/empty.parquet")
+    both = TableSet.from_parquet(spark, scratch)
+    with pytest.warns(UserWarning, match="not counted"):
+        rows = {r.table_name: r.rows for r in P.count_all(both).collect()}
+    assert rows == {"good": 3, "empty": None, "TOTAL": 3} and P.count_all(ts).count() == 2
 
 
 def test_observed_columns(spark):
