@@ -55,7 +55,8 @@ def fold_credits(
     was_done = F.col("__from.done")
     if previous is not None:
         known = previous.select(F.col(f"`{key}`").alias("__key"), (F.col(f"`{status}`") == done).alias("__known"))
-        settled = settled.join(known, "__key", "left")
+        known = known.withColumnRenamed("__key", "__of")
+        settled = settled.join(known, F.col("__key").eqNullSafe(F.col("__of")), "left")
         was_done = F.coalesce(was_done, F.col("__known"))
     at_border = F.col("__opens.done") & ~F.coalesce(was_done, F.lit(False))
     gained = F.coalesce("__inside", F.lit(0)) + F.coalesce(F.when(at_border, F.col("__opens.__amount")), F.lit(0))
@@ -124,11 +125,12 @@ def fold_referrals(
 
 
 def fold_views(
-    changes: DataFrame, key: str, order: list[str], value: str, start: int = 0, segments: int | None = None
+    changes: DataFrame, key: str, order: list[str], value: str, start: int = 0, segments: int | None = None,
+    previous: DataFrame | None = None,
 ) -> DataFrame:
     """View counters: an update without a new value, or with the stored one, adds 1.
 
-    Any other value is stored. After an update with value c the counter is c or
+    Counters begin at ``start``, or at what ``previous``, ``(key, view_count)``, says. Any other value is stored. After an update with value c the counter is c or
     c + 1, so between two such updates only one bit is carried: with
     d = c - (previous c) - (updates without value in between), the bit is kept
     for d = 1, flipped for d = 0 and cleared otherwise. That makes a segment a
@@ -171,9 +173,13 @@ def fold_views(
     line = F.array_sort(F.collect_list(F.struct(
         SEGMENT, "plain", "first", "plain_first", "last", "plain_last", "cleared", "flips"
     )))
-    return parts.groupBy(key).agg(line.alias("__line")).select(
-        key, F.aggregate("__line", F.lit(start).cast("bigint"), step).alias("view_count")
-    )
+    lines = parts.groupBy(key).agg(line.alias("__line"))
+    begin = F.lit(start).cast("bigint")
+    if previous is not None:
+        known = previous.select(F.col(key).alias("__of"), F.col("view_count").cast("bigint").alias("__begin"))
+        lines = lines.join(known, F.col(key).eqNullSafe(F.col("__of")), "left")
+        begin = F.coalesce("__begin", begin)
+    return lines.select(key, F.aggregate("__line", begin, step).alias("view_count"))
 
 
 def fold_updated_at(changes: DataFrame, key: str, at: str) -> DataFrame:

@@ -58,14 +58,17 @@ def fold_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fold_views(events, "user_id", ["ts", "event_id"], "views")
 
 
-@query("fold_views_mixed", """
+VIEWS_SQL = """
     WITH RECURSIVE e AS (SELECT user_id, CASE WHEN event_type IN ('view', 'click') THEN NULL ELSE CAST(floor(value) AS BIGINT) % 4 END AS v,
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
       s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(2 AS BIGINT) AS c FROM e
         UNION ALL SELECT s.user_id, e.rn, CASE WHEN e.v IS NULL OR e.v = s.c THEN s.c + 1 ELSE e.v END
         FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
     SELECT user_id, arg_max(c, rn) AS view_count FROM s GROUP BY user_id
-""")
+"""
+
+
+@query("fold_views_mixed", VIEWS_SQL)
 def fold_views_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some updates bring a value, which may be the one that is stored."""
     events = tables(spark, sf_dir, "events")["events"]

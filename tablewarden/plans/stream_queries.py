@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewarden.plans.fold_queries import CREDITS_SQL
+from tablewarden.plans.fold_queries import CREDITS_SQL, VIEWS_SQL
 from tablewarden.plans.registry import hits_sql, query, tables
 from tablewarden.runtime import scratch_path
 from tablewarden.streaming.search import latest_change, standing_search, windowed_hits
-from tablewarden.streaming.state import CreditLedger, UpsertTable
+from tablewarden.streaming.state import CreditLedger, NewestResults, UpsertTable, ViewCounters
 
 
-def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table as a stream of files, with the schema it has at rest."""
-    schema = tables(spark, sf_dir, table)[table].schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}*.parquet")
+def _stream(spark: SparkSession, sf_dir: str, table: str, *order: str) -> DataFrame:
+    """A table as a stream of four files, one per micro-batch, in the order of some columns."""
+    rows, path = tables(spark, sf_dir, table)[table], scratch_path(spark, f"arriving-{table}")
+    parts = rows.repartitionByRange(4, *order).withColumn("__part", F.spark_partition_id()).persist()
+    for n in range(4):  # one after the other: a stream takes the oldest file first
+        parts.where(F.col("__part") == n).drop("__part").coalesce(1).write.mode("append").parquet(path)
+    parts.unpersist()
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _run(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -34,7 +38,7 @@ def _run(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
 }))
 def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A standing search: hits are written as rows arrive."""
-    stream = _stream(spark, sf_dir, "events")
+    stream = _stream(spark, sf_dir, "events", "ts", "event_id")
     hits = standing_search(stream, "events", "69", key=("event_id",), json_columns={"props"})
     out = _run(hits, scratch_path(spark, "stream-hits"))
     return out.select("table_name", "row_key", F.array_join("matching_columns", ";").alias("matching_columns"))
@@ -42,7 +46,7 @@ def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_fold_credits", CREDITS_SQL)
 def stream_fold_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream, here = _stream(spark, sf_dir, "events"), scratch_path(spark, "ledger")
+    stream, here = _stream(spark, sf_dir, "events", "ts", "event_id"), scratch_path(spark, "ledger")
     ledger = CreditLedger(
         spark, here, stream.schema, key="user_id", order=["ts", "event_id"], status="event_type",
         amount="value", user="user_id", done="purchase",
@@ -51,6 +55,36 @@ def stream_fold_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.balances().select("user_id", F.round("credits", 2).alias("credits"))
 
 
+@query("stream_fold_credits_decimal", """
+    WITH c AS (SELECT user_id, event_type, CAST(round(value, 2) AS DECIMAL(10, 2)) AS amount,
+        lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+    SELECT user_id, CAST(sum(amount) AS VARCHAR) AS credits FROM c
+    WHERE event_type = 'purchase' AND (before IS NULL OR before <> 'purchase') GROUP BY user_id
+""")
+def stream_fold_credits_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Money as decimals stays exact."""
+    arriving = _stream(spark, sf_dir, "events", "ts", "event_id")
+    stream = arriving.withColumn("amount", F.round("value", 2).cast("decimal(10,2)"))
+    here = scratch_path(spark, "ledger")
+    ledger = CreditLedger(
+        spark, here, stream.schema, key="user_id", order=["ts", "event_id"], status="event_type",
+        amount="amount", user="user_id", done="purchase", buckets=8,
+    )
+    ledger.start(stream, f"{here}/checkpoint").awaitTermination()
+    return ledger.balances().select("user_id", F.col("credits").cast("string").alias("credits"))
+
+
+@query("stream_fold_views", VIEWS_SQL)
+def stream_fold_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """View counters that go on from batch to batch."""
+    value = F.when(~F.col("event_type").isin("view", "click"), F.floor("value").cast("bigint") % 4)
+    stream = _stream(spark, sf_dir, "events", "ts", "event_id").withColumn("views", value)
+    here = scratch_path(spark, "views")
+    counters = ViewCounters(spark, here, stream.schema, key="user_id", order=["ts", "event_id"], value="views", start=2, buckets=8)
+    counters.start(stream, f"{here}-checkpoint").awaitTermination()
+    return counters.counts()
+
+
 @query("stream_upsert", """
     WITH n AS (SELECT user_id % 100 AS s_suppkey, arg_max(value, (ts, event_id)) AS s_acctbal FROM events GROUP BY ALL)
     SELECT coalesce(n.s_suppkey, s.s_suppkey) AS s_suppkey, s.s_name, CASE WHEN n.s_suppkey IS NOT NULL THEN n.s_acctbal ELSE s.s_acctbal END AS s_acctbal
@@ -59,7 +93,7 @@ def stream_fold_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balances of suppliers as the last event of each leaves them."""
     here = scratch_path(spark, "upserts")
-    changes = _stream(spark, sf_dir, "events").select(
+    changes = _stream(spark, sf_dir, "events", "event_id").select(
         (F.col("user_id") % 100).alias("s_suppkey"), F.col("value").alias("s_acctbal"), F.struct("ts", "event_id").alias("at")
     )
     target = UpsertTable(tables(spark, sf_dir, "supplier")["supplier"], here, changes.schema, ("s_suppkey",), "at")
@@ -71,30 +105,23 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_updated_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Update mode: each batch replaces the rows of the users it touched."""
     here = scratch_path(spark, "updated")
-    counted = latest_change(_stream(spark, sf_dir, "events"), "user_id", "ts")
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{here}/batch={number}")
-
-    counted.writeStream.outputMode("update").foreachBatch(keep).option(
-        "checkpointLocation", f"{here}-checkpoint"
-    ).trigger(availableNow=True).start().awaitTermination()
-    schema = T.StructType([*counted.schema.fields, T.StructField("batch", T.IntegerType())])
-    rows = spark.read.schema(schema).parquet(here)
-    return rows.groupBy("user_id").agg(
-        F.max_by("updated_at", "batch").alias("updated_at"), F.max_by("changes", "batch").alias("changes")
-    )
+    counted = latest_change(_stream(spark, sf_dir, "events", "event_id"), "user_id", "ts")
+    newest = NewestResults(spark, here, counted.schema, ("user_id",), buckets=8)
+    newest.start(counted, f"{here}-checkpoint").awaitTermination()
+    return newest.read()
 
 
 @query("stream_windowed_hits", """
-    SELECT * FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS day, 'event_type' AS column_name, count(*) AS hits
-      FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
-    WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+    SELECT date_trunc('day', ts)::TIMESTAMP AS day, 'event_type' AS column_name, count(*) AS hits
+    FROM events WHERE event_type = 'purchase' GROUP BY 1, 2
 """)
 def stream_windowed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits per day; windows still open at the end are not there yet."""
-    counted = windowed_hits(_stream(spark, sf_dir, "events"), "events", "purchase", "ts", "1 day", "1 hour")
+    """Hits per day, of all days: those still open at the end show what has been counted so far."""
+    stream = _stream(spark, sf_dir, "events", "ts")
+    counted = windowed_hits(stream, "events", "purchase", "ts", "1 day", "1 hour")
     flat = counted.select(F.col("window.start").alias("day"), "column_name", "hits")
-    out = _run(flat, scratch_path(spark, "windowed"))
+    here = scratch_path(spark, "windowed")
+    newest = NewestResults(spark, here, flat.schema, ("day", "column_name"), buckets=8)
+    newest.start(flat, f"{here}-checkpoint").awaitTermination()
     wall_clock = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("day").cast("timestamp_ntz"))
-    return out.withColumn("day", wall_clock)
+    return newest.read().withColumn("day", wall_clock)

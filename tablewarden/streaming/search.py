@@ -23,8 +23,9 @@ def windowed_hits(
     """Hits per time window and column; windows start on the clock of UTC.
 
     A wall-clock time is taken as it is, whatever time zone the session has.
-    Rows later than ``late`` are dropped and the last windows stay open, as
-    watermarks work; use the batch form for exact counts.
+    Rows later than ``late`` are dropped, as watermarks work. In update mode
+    every window is there with what it has counted so far, the open ones too;
+    in append mode a window comes once it is closed.
     """
     instant = F.col(at).cast("timestamp")
     if isinstance(stream.schema[at].dataType, T.TimestampNTZType):

@@ -1,132 +1,215 @@
-"""State that grows by one folder per micro-batch.
+"""Keyed state that micro-batches keep up, in hash buckets.
 
-A batch writes only what it changed, under its own number, replacing whatever
-an earlier attempt left there. Readers reduce the folders to the newest row per
-key. So a replay is harmless, and a batch costs what it carries, not what the
-state holds. ``compact`` folds old batches into one from time to time.
+A batch rewrites the buckets its keys fall into, under its own number, from the
+version each bucket had before that number. So a batch that runs again gives the
+same state, and it costs what its buckets hold, not what came before. A bucket
+keeps its newest version and the one before, which a replay starts from; older
+ones are deleted as a batch is applied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tablewarden.operators.change import last_per_key, upsert
-from tablewarden.operators.folds import fold_credits, last_status
-from tablewarden.runtime import list_dir
+from tablewarden.operators.folds import fold_credits, fold_views, last_status
+from tablewarden.runtime import delete_path, list_dir
 
-_BATCH = "__batch"
+BUCKETS = 64
+_BUCKET = "__bucket"
 
 
-class BatchLog:
-    """A table kept as ``<path>/batch=<n>`` folders."""
+class BucketedState:
+    """A table with one row per key, kept as ``<path>/batch=<n>/__bucket=<b>`` folders."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, key: tuple[str, ...], buckets: int = BUCKETS):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
-    def batches(self) -> list[int]:
-        return sorted(int(n.partition("=")[2]) for n in list_dir(self.spark, self.path) if n.startswith("batch="))
-
-    def write(self, batch: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """Rows of all batches, or of those before a batch, with ``__batch``."""
-        kept = [b for b in self.batches() if before is None or b < before]
-        if not kept:
-            return self.spark.createDataFrame([], self.schema).withColumn(_BATCH, F.lit(-1).cast("bigint"))
-        paths = [f"{self.path}/batch={b}" for b in kept]
-        number = F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/", 1).cast("bigint")
-        return self.spark.read.schema(self.schema).parquet(*paths).withColumn(_BATCH, number)
-
-    def compact(self, fold: Callable[[DataFrame], DataFrame], path: str) -> BatchLog:
-        """A new log below ``path`` whose first batch is the fold of all but the newest.
-
-        The newest batch is carried over under its number, since it may be
-        written again. Stop the stream, compact, and go on with the new log.
-        """
-        out = BatchLog(self.spark, path, self.schema)
-        numbers = self.batches()
-        if len(numbers) > 1:
-            out.write(numbers[-2], fold(self.read(before=numbers[-1])).select(*self.schema.names))
-        if numbers:
-            last = self.read().where(F.col(_BATCH) == numbers[-1])
-            out.write(numbers[-1], last.select(*self.schema.names))
-        return out
-
-
-def newest(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    return last_per_key(rows, key, F.col(_BATCH)).drop(_BATCH)
+    def _bucket(self) -> Column:
+        """A number for each key; one without a value, such as NULL, has one as well."""
+        return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.key]), F.lit(self.buckets)).cast("int")
+
+    def versions(self) -> dict[int, list[int]]:
+        """The batches each bucket has a version of, oldest first; two per bucket at most once a batch is done."""
+        found: dict[int, list[int]] = {}
+        for folder in list_dir(self.spark, self.path):
+            if folder.startswith("batch="):
+                for part in list_dir(self.spark, f"{self.path}/{folder}"):
+                    if part.startswith(f"{_BUCKET}="):
+                        found.setdefault(int(part.partition("=")[2]), []).append(int(folder.partition("=")[2]))
+        return {b: sorted(batches) for b, batches in found.items()}
+
+    def _folder(self, batch: int, bucket: int) -> str:
+        return f"{self.path}/batch={batch}/{_BUCKET}={bucket}"
+
+    def read(self, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+        """The newest rows, or those before a batch, of all buckets or some."""
+        newest = {
+            b: max(n for n in batches if before is None or n < before)
+            for b, batches in self.versions().items()
+            if (buckets is None or b in buckets) and any(before is None or n < before for n in batches)
+        }
+        if not newest:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[self._folder(n, b) for b, n in newest.items()])
+
+    def touched(self, keys: DataFrame) -> set[int]:
+        """Buckets of some keys: never more numbers than there are buckets."""
+        return {r[0] for r in keys.select(self._bucket()).distinct().collect()}
+
+    def write(self, batch: int, rows: DataFrame) -> None:
+        """The new content of every bucket that has rows here, as the version of a batch."""
+        out = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema.fields]).withColumn(_BUCKET, self._bucket())
+        out.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.path}/batch={batch}")
+        for bucket, batches in self.versions().items():
+            for old in [n for n in batches if n < batch][:-1]:
+                delete_path(self.spark, self._folder(old, bucket))
+        for folder in list_dir(self.spark, self.path):
+            if folder.startswith("batch=") and folder != f"batch={batch}":
+                if not any(p.startswith(_BUCKET) for p in list_dir(self.spark, f"{self.path}/{folder}")):
+                    delete_path(self.spark, f"{self.path}/{folder}")
+
+
+def _start(stream: DataFrame, apply, checkpoint: str) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class CreditLedger:
     """Credits per user, kept up by a stream of status changes.
 
     Changes of a key count in the order in which batches bring them, and inside
-    a batch in the order of the order columns.
+    a batch in the order of the order columns. Amounts may be whole numbers,
+    decimals or floating; credits have the type their sum has in a batch fold.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, changes: T.StructType, *, key: str, order: list[str],
-        status: str, amount: str, user: str, done: str = "completed",
+        status: str, amount: str, user: str, done: str = "completed", buckets: int = BUCKETS,
     ):
         self.args = {"key": key, "order": order, "status": status, "amount": amount, "user": user}
         self.done = done
-        state = T.StructType([changes[key], changes[status]])
-        amount_type = T.DoubleType() if isinstance(changes[amount].dataType, T.DoubleType) else T.LongType()
-        gains = T.StructType([changes[user], T.StructField("credits", amount_type)])
-        self.status_log = BatchLog(spark, f"{path}/status", state)
-        self.credit_log = BatchLog(spark, f"{path}/credits", gains)
+        empty = spark.createDataFrame([], changes)
+        gains = fold_credits(empty, **self.args, done=done, segments=1).schema
+        self.statuses = BucketedState(spark, f"{path}/status", T.StructType([changes[key], changes[status]]), (key,), buckets)
+        self.credits = BucketedState(spark, f"{path}/credits", gains, (user,), buckets)
 
     def apply(self, batch: DataFrame, number: int) -> None:
         """Fold one batch; running it again for the same number changes nothing."""
-        key, status = self.args["key"], self.args["status"]
+        key, status, user = self.args["key"], self.args["status"], self.args["user"]
         batch.persist()
         try:
-            touched = batch.select(key).distinct()
-            known = self.status_log.read(before=number).join(touched, key, "left_semi")
-            previous = newest(known, (key,))
-            gains = fold_credits(batch, **self.args, done=self.done, previous=previous)
-            self.credit_log.write(number, gains.select(*self.credit_log.schema.names))
-            now = last_status(batch, key, self.args["order"], status)
-            self.status_log.write(number, now.select(key, status))
+            if batch.isEmpty():
+                return
+            known = self.statuses.read(number, self.statuses.touched(batch))
+            gains = fold_credits(batch, **self.args, done=self.done, previous=known).persist()
+            total = self.credits.read(number, self.credits.touched(gains)).unionByName(gains)
+            self.credits.write(number, total.groupBy(f"`{user}`").agg(F.sum("credits").alias("credits")))
+            gains.unpersist()
+            now = last_status(batch, key, self.args["order"], status).withColumn("__new", F.lit(1))
+            both = known.withColumn("__new", F.lit(0)).unionByName(now)
+            newest = both.groupBy(f"`{key}`").agg(F.max_by(F.struct(f"`{status}`"), "__new").alias("__row"))
+            self.statuses.write(number, newest.select(F.col(f"`{key}`"), F.col("__row")[status].alias(status)))
         finally:
             batch.unpersist()
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        return (
-            stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start()
-        )
+        return _start(stream, self.apply, checkpoint)
 
     def balances(self) -> DataFrame:
-        user = self.args["user"]
-        return self.credit_log.read().groupBy(user).agg(F.sum("credits").alias("credits"))
+        return self.credits.read()
+
+
+class ViewCounters:
+    """View counters kept up by a stream of updates: what a batch fold over all of them gives.
+
+    Updates of a key count in the order in which batches bring them.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, changes: T.StructType, *, key: str, order: list[str], value: str,
+        start: int = 0, buckets: int = BUCKETS,
+    ):
+        self.args = {"key": key, "order": order, "value": value, "start": start}
+        self.state = BucketedState(
+            spark, path, T.StructType([changes[key], T.StructField("view_count", T.LongType())]), (key,), buckets
+        )
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        key = self.args["key"]
+        batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            known = self.state.read(number, self.state.touched(batch))
+            now = fold_views(batch, **self.args, previous=known).withColumn("__new", F.lit(1))
+            both = known.withColumn("__new", F.lit(0)).unionByName(now)
+            newest = both.groupBy(f"`{key}`").agg(F.max_by("view_count", "__new").alias("view_count"))
+            self.state.write(number, newest)
+        finally:
+            batch.unpersist()
+
+    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        return _start(stream, self.apply, checkpoint)
+
+    def counts(self) -> DataFrame:
+        return self.state.read()
 
 
 class UpsertTable:
     """A base table and the newest row per key of a change stream over it."""
 
-    def __init__(self, base: DataFrame, path: str, changes: T.StructType, key: tuple[str, ...], order: str):
+    def __init__(
+        self, base: DataFrame, path: str, changes: T.StructType, key: tuple[str, ...], order: str, buckets: int = BUCKETS
+    ):
         self.base, self.key, self.order = base, key, order
-        self.log = BatchLog(base.sparkSession, path, changes)
+        self.state = BucketedState(base.sparkSession, path, changes, key, buckets)
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        self.log.write(number, last_per_key(batch, self.key, self._order()))
-
-    def _order(self) -> Column:
-        return F.col(f"`{self.order}`")
+        """Rows of a batch replace those with an older order, or an equal one from an earlier batch."""
+        batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            known = self.state.read(number, self.state.touched(batch))
+            both = known.withColumn("__new", F.lit(0)).unionByName(batch.withColumn("__new", F.lit(1)))
+            newest = last_per_key(both, self.key, F.struct(F.col(f"`{self.order}`"), F.col("__new")))
+            self.state.write(number, newest.drop("__new"))
+        finally:
+            batch.unpersist()
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        return (
-            stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start()
-        )
+        return _start(stream, self.apply, checkpoint)
 
     def read(self) -> DataFrame:
         """The base with the changes merged in; late changes lose to newer ones."""
-        order = F.struct(self._order(), F.col(_BATCH))
-        return upsert(self.base, last_per_key(self.log.read(), self.key, order).drop(_BATCH), self.key)
+        return upsert(self.base, self.state.read(), self.key)
+
+
+class NewestResults:
+    """What an update-mode query last said about each of its keys, those still open included."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: tuple[str, ...], buckets: int = BUCKETS):
+        self.state = BucketedState(spark, path, schema, key, buckets)
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            keys = list(self.state.key)
+            known = self.state.read(number, self.state.touched(batch))
+            same = reduce(lambda a, b: a & b, [known[k].eqNullSafe(batch[k]) for k in keys])
+            self.state.write(number, known.join(batch, same, "left_anti").unionByName(batch))
+        finally:
+            batch.unpersist()
+
+    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        query = stream.writeStream.outputMode("update").foreachBatch(self.apply)
+        return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def read(self) -> DataFrame:
+        return self.state.read()
