@@ -22,7 +22,7 @@ from tablewarden.functions.values import empty_value, moment, parse_text
 from tablewarden.operators.integrity import ExpectedColumn, dependents
 from tablewarden.operators.predicates import compile_filter, fields_of, negate
 from tablewarden.operators.search import is_collection
-from tablewarden.runtime import cut_lineage
+from tablewarden.runtime import cut_lineage, scratch_path
 from tablewarden.sources.sinks import copy_table
 from tablewarden.sources.tables import CASCADE, SET_NULL, Reference, TableSet
 
@@ -212,6 +212,80 @@ def rename_field(df: DataFrame, old: str, new: str, where: Column | None = None)
     return remove_field(set_field(df, new, fields.value(old), held), old, where)
 
 
+class DocumentEdits:
+    """Several edits of schema-less documents: one check for all, each document rebuilt once.
+
+    Edits take effect in the order in which they are added. ``add`` and
+    ``rename`` are refused when a document has the new name already; that is
+    looked at in one pass over the documents when the edits are applied.
+    """
+
+    def __init__(self, now: datetime):
+        self.now = now
+        self._members = F.col("__members")
+        # top-level name -> (value, whether the document has it), as far as edits say
+        self._fields: dict[str, tuple[Column, Column]] = {}
+        self._checks: dict[str, Column] = {}
+
+    def _field(self, name: str) -> tuple[Column, Column]:
+        if name not in self._fields:
+            here = F.coalesce(F.map_contains_key(self._members, name), F.lit(False))
+            return F.try_variant_get("doc", f"$['{name}']", "variant"), here
+        return self._fields[name]
+
+    def _free(self, name: str) -> None:
+        value, present = self._field(name)
+        self._checks[name] = self._checks.get(name, F.lit(False)) | present
+
+    def add(self, name: str, type_name: str, default: str | None = None, required: bool = False) -> DocumentEdits:
+        """As :func:`add_field`."""
+        self._free(name)
+        if default is not None:
+            value = parse_text(F.lit(default), type_name)
+        else:
+            value = empty_value(type_name, self.now) if required else F.parse_json(F.lit("null"))
+        return self.set(name, value)
+
+    def set(self, path: str, value: Column) -> DocumentEdits:
+        name, *below = path.split(".")
+        new = value.cast("variant")
+        if below:
+            old, present = self._field(name)
+            new = _with_member(F.when(present, old), below, lambda _: value)
+        self._fields[name] = new, F.lit(True)
+        return self
+
+    def remove(self, path: str) -> DocumentEdits:
+        if path == "_id":
+            raise ValueError("_id cannot be removed")
+        name, *below = path.split(".")
+        old, present = self._field(name)
+        self._fields[name] = (_with_member(old, below, None), present) if below else (old, F.lit(False))
+        return self
+
+    def rename(self, old: str, new: str) -> DocumentEdits:
+        """A top-level field under another name, where it is present."""
+        self._free(new)
+        value, present = self._field(old)
+        self._fields[old], self._fields[new] = (value, F.lit(False)), (value, present)
+        return self
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """The frame with the edits; raises if a new name was taken."""
+        parsed = df.withColumn("__members", _members(F.col("doc")))
+        if self._checks:
+            taken = parsed.agg(*[F.max(c).alias(f"c{i}") for i, c in enumerate(self._checks.values())]).first()
+            if names := [n for n, hit in zip(self._checks, taken or [], strict=False) if hit]:
+                raise ValueError(f"fields that some documents have already: {', '.join(names)}")
+        rest = F.map_filter(F.coalesce("__members", _no_members()), lambda k, _: ~k.isin(*self._fields))
+        parts = [F.when(present, F.create_map(F.lit(n), value)).otherwise(_no_members()) for n, (value, present) in self._fields.items()]
+        rebuilt = F.to_variant_object(F.map_concat(rest, *parts))
+        # what is no object becomes one only when a field is set in it
+        gained = reduce(lambda a, b: a | b, [present for _, present in self._fields.values()], F.lit(False))
+        new = F.when(F.col("__members").isNotNull() | gained, rebuilt).otherwise(F.col("doc"))
+        return parsed.withColumn("doc", new).drop("__members") if self._fields else df
+
+
 # ---- rows --------------------------------------------------------------------
 
 
@@ -315,7 +389,9 @@ def upsert(
     side of a join with the de-duplicated source, so a small source is
     broadcast by the optimizer and the target does not move.
     """
-    latest = last_per_key(source, key, order)
+    # reduced once, as it is looked at three times; a key with a NULL part equals no other
+    whole = _whole_key(key)
+    latest = cut_lineage(last_per_key(source.where(whole), key, order).unionByName(source.where(~whole)))
     carried = [c for c in df.columns if c not in key]
     fresh = F.struct(*[F.col(f"`{c}`") for c in latest.columns]).alias("__new")
     keyed = latest.select(*[F.col(f"`{k}`").alias(f"__{k}") for k in key], fresh)
@@ -339,7 +415,7 @@ def upsert(
         *[F.col("__new").getField(f.name).alias(f.name) for f in extra],
     )
     known = df.select(*key).join(latest.select(*key), list(key), "left_semi").distinct()
-    added = latest.join(known, list(key), "left_anti")
+    added = latest.join(known, list(key), "left_anti").select(*[F.col(f"`{c}`") for c in latest.columns])
     order_of_columns = [*df.columns, *[f.name for f in extra]]
     return kept.select(*[F.col(f"`{c}`") for c in order_of_columns]).unionByName(
         added.select(*[
@@ -513,16 +589,26 @@ class _Reached:
             waiting.remove(ready)
 
     def _until_stable(self) -> None:
-        """Follow references round and round until no new value turns up."""
+        """Follow references round and round until no new value turns up; each round writes its new values only."""
         tables = [self.table, *[t for t in dict.fromkeys(r.child for r in self.refs) if t != self.table]]
+        spark, folders = self.ts.spark, {}
+
+        def append(slot: tuple[str, str], values: DataFrame, round: int) -> DataFrame:
+            """The values of one round, written beside those of the rounds before."""
+            folder = folders.setdefault(slot, scratch_path(spark, "reached"))
+            values.write.parquet(f"{folder}/round={round}")
+            read = spark.read.schema(values.schema)
+            self.values[slot] = read.parquet(folder).select("__value")
+            return read.parquet(f"{folder}/round={round}")
+
+        fresh: dict[tuple[str, str], DataFrame] = {}
         for t in tables:
             for column in self._pointed_at(t):
                 start = self.ts[t].where(self.matches if t == self.table else F.lit(False))
-                self.values[(t, column)] = cut_lineage(
-                    start.select(F.col(column).alias("__value")).distinct()
-                )
-        fresh = dict(self.values)
+                fresh[(t, column)] = append((t, column), start.select(F.col(column).alias("__value")).distinct(), 0)
+        round = 0
         while fresh:
+            round += 1
             found: dict[tuple[str, str], DataFrame] = {}
             for ref in self.refs:
                 if (ref.parent, ref.parent_column) not in fresh:
@@ -535,10 +621,9 @@ class _Reached:
                     found[slot] = found[slot].unionByName(each) if slot in found else each
             fresh = {}
             for slot, values in found.items():
-                new = cut_lineage(values.distinct().join(self.values[slot], "__value", "left_anti"))
+                new = append(slot, values.distinct().join(self.values[slot], "__value", "left_anti"), round)
                 if not new.isEmpty():
                     fresh[slot] = new
-                    self.values[slot] = cut_lineage(self.values[slot].unionByName(new))
 
 
 def impact(ts: TableSet, table: str, where: str) -> DataFrame:

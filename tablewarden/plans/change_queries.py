@@ -39,11 +39,8 @@ def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of schema-less documents added, set deep down, renamed and removed."""
     events = tables(spark, sf_dir, "events")["events"]
     docs = events.select(F.try_parse_json(F.to_json(F.struct("event_id", "event_type", "user_id"))).alias("doc"))
-    docs = C.add_field(docs, "score", "number", required=True, now=NOW)
-    docs = C.add_field(docs, "marks", "array", "not json", now=NOW)
-    docs = C.set_field(docs, "meta.origin", F.lit("x"))
-    docs = C.rename_field(docs, "event_type", "new_kind")
-    docs = C.remove_field(docs, "user_id")
+    edits = C.DocumentEdits(NOW).add("score", "number", required=True).add("marks", "array", "not json")
+    docs = edits.set("meta.origin", F.lit("x")).rename("event_type", "new_kind").remove("user_id").apply(docs)
     get = lambda path, kind: F.try_variant_get("doc", path, kind)
     return docs.select(
         get("$.event_id", "bigint").alias("event_id"), get("$.new_kind", "string").alias("new_kind"),

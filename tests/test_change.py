@@ -214,3 +214,32 @@ def test_row_differences(spark):
     got = {r.id: r.change for r in X.diff_rows(before, after, ("id",)).collect()}
     assert got == {1: "changed", 3: "removed", 4: "added", 5: "changed"}
     assert X.diff_rows(before, before.repartition(5), ("id",)).count() == 0
+
+
+def test_several_edits_at_once(docs):
+    """The same documents as edit by edit, and one refusal for all taken names."""
+    import json
+    from datetime import datetime
+
+    now = datetime(2024, 1, 1)
+    made = docs('{"a":1,"b":{"c":2,"d":3},"e":null}', '{"a":5}', '{}', '[1]', '{"b":"text","z":0}')
+    edits = C.DocumentEdits(now).rename("a", "n").set("b.x", F.lit(1)).remove("b.c").add("new", "number", required=True).remove("e")
+    one = C.remove_field(C.set_field(C.rename_field(made, "a", "n"), "b.x", F.lit(1)), "b.c")
+    one = C.remove_field(C.add_field(one, "new", "number", required=True, now=now), "e")
+    text = lambda df: sorted(json.dumps(json.loads(r[0]), sort_keys=True) for r in df.select(F.to_json("doc")).collect())
+    assert text(edits.apply(made)) == text(one)
+    chained = C.DocumentEdits(now).rename("a", "n").rename("n", "m").add("a", "string").apply(docs('{"a":1}'))
+    assert text(chained) == ['{"a": null, "m": 1}']
+    with pytest.raises(ValueError, match="b, z"):
+        C.DocumentEdits(now).rename("a", "b").add("z", "string").apply(made)
+    with pytest.raises(ValueError):
+        C.DocumentEdits(now).set("q", F.lit(1)).add("q", "string").apply(made)
+    with pytest.raises(ValueError):
+        C.DocumentEdits(now).remove("_id")
+
+
+def test_null_keys_equal_nothing(spark):
+    base = spark.createDataFrame([(1, "a"), (None, "b")], "id int, v string")
+    source = spark.createDataFrame([(None, "x"), (None, "y"), (1, "c"), (1, "b")], "id int, v string")
+    got = C.upsert(base, source, ("id",)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, "c"), (None, "b"), (None, "x"), (None, "y")], key=repr)
