@@ -273,6 +273,13 @@ def seed_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.seed(target, rows, [("id",), ("name",)], order=F.col("id"))[0]
 
 
+@query("drop_with_copy", "SELECT s_suppkey, s_name, false AS still_there FROM supplier")
+def drop_with_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dropped table is gone from the set and found again in its copy."""
+    after, path = C.drop_table(tables(spark, sf_dir, "supplier", "nation"), "supplier", scratch_path(spark, "dropped"), NOW)
+    return spark.read.parquet(path).select("s_suppkey", "s_name", F.lit("supplier" in after).alias("still_there"))
+
+
 @query("migration_ledger", """
     SELECT '001_upper' AS name, TIMESTAMP '2024-06-01 12:00:00' AS applied_at, 'part := SELECT p_partkey, upper(p_name) AS p_name FROM part' AS sql_content,
       (SELECT count(DISTINCT upper(p_name)) FROM part) AS names

@@ -93,6 +93,20 @@ def fold_updated_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fold_updated_at(tables(spark, sf_dir, "events")["events"], "user_id", "ts")
 
 
+@query("unique_index", """
+    SELECT 'orders' AS table_name, 'o_orderkey' AS key, count(*) = count(DISTINCT o_orderkey) AS possible FROM orders
+    UNION ALL SELECT 'orders', 'o_custkey', count(*) = count(DISTINCT o_custkey) FROM orders
+    UNION ALL SELECT 'events', 'event_id', count(*) = count(DISTINCT event_id) FROM events
+""")
+def unique_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a unique index could be put on a key."""
+    ts = tables(spark, sf_dir, "orders", "events")
+    asked = [("orders", "o_orderkey"), ("orders", "o_custkey"), ("events", "event_id")]
+    return spark.createDataFrame(
+        [(t, k, N.unique_index_ok(ts[t], (k,))) for t, k in asked], "table_name string, key string, possible boolean"
+    )
+
+
 _TERMS = "(SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents)"
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewarden.operators import profile as P
 from tablewarden.plans.registry import TABLES, query, tables
-from tablewarden.runtime import scratch_path
-from tablewarden.sources.documents import read_documents
+from tablewarden.runtime import folder_bytes, list_dir, scratch_path
+from tablewarden.sources.documents import read_documents, read_seed
 from tablewarden.sources.sinks import clone, copy_table, to_json_lines
 
 
@@ -94,10 +94,20 @@ def profile_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(P.profile(ts["documents"].select("doc_id").join(ts["labels"], "doc_id", "left")))
 
 
-@query("profile_approximate")
+@query("profile_approximate", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{_SPARK[t]}' AS data_type, count(*) FILTER (WHERE {c} IS NULL) AS null_count, true AS near FROM lineitem"
+    for c, t in _COLUMNS["lineitem"].items()
+))
 def profile_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketched distinct counts: one pass, almost no shuffle."""
-    return P.profile(tables(spark, sf_dir, "lineitem")["lineitem"], exact=False)
+    """Sketched distinct counts, one pass and almost no shuffle, and whether they are near the exact ones.
+
+    The sketch's relative standard deviation is 5 %; near is within four of them.
+    """
+    lineitem = tables(spark, sf_dir, "lineitem")["lineitem"]
+    exact = P.profile(lineitem).select(F.col("column_name").alias("name"), F.col("unique_values").alias("exact"))
+    sketched = P.profile(lineitem, exact=False).join(exact, F.col("column_name") == F.col("name"))
+    near = F.abs(F.col("unique_values") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.2 * F.col("exact"))
+    return sketched.select("column_name", "data_type", "null_count", near.alias("near"))
 
 
 def event_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +183,47 @@ def infer_fields_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.infer_fields(docs)
 
 
+@query("infer_fields_long_arrays", """
+    SELECT 'user' AS path, 'number' AS types, count(DISTINCT user_id) AS documents FROM events
+    UNION ALL SELECT 'seen', 'array(number), array(object)', count(DISTINCT user_id) FROM events
+    UNION ALL SELECT 'seen[*].' || event_type, 'number', count(DISTINCT user_id) FROM events GROUP BY event_type
+""")
+def infer_fields_long_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per user with all their events: fields that only late elements of an array have."""
+    events = tables(spark, sf_dir, "events")["events"]
+    seen = F.to_json(F.create_map("event_type", "event_id"))
+    per_user = events.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list(seen)), ",").alias("all"))
+    text = F.concat(F.lit('{"user":'), F.col("user_id"), F.lit(',"seen":[7,'), F.col("all"), F.lit("]}"))
+    return P.infer_fields(per_user.select(F.try_parse_json(text).alias("doc"))).select("path", "types", "documents")
+
+
+@query("first_document_fields", """
+    SELECT 'user' AS path, 'number' AS types, CAST(1 AS BIGINT) AS documents FROM events WHERE event_id = (SELECT min(event_id) FROM events)
+    UNION ALL SELECT 'kind', 'string', 1 FROM events WHERE event_id = (SELECT min(event_id) FROM events)
+    UNION ALL SELECT '_id', 'number', 1 FROM events WHERE event_id = (SELECT min(event_id) FROM events)
+""")
+def first_document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first document has, of a collection in which all are alike."""
+    events = tables(spark, sf_dir, "events")["events"]
+    text = F.to_json(F.struct(F.col("event_id").alias("_id"), F.col("event_type").alias("kind"), F.col("user_id").alias("user")))
+    docs = events.orderBy("event_id").select(F.try_parse_json(text).alias("doc"))
+    return P.first_document_fields(docs).select("path", "types", "documents")
+
+
+@query("inventory_bytes", """
+    SELECT 'orders' AS table_name, count(*) AS rows, true AS sizes_agree FROM orders
+    UNION ALL SELECT 'events', count(*), true FROM events
+""")
+def inventory_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the files behind a table, against what the file system says."""
+    ts = tables(spark, sf_dir, "orders", "events")
+    sizes = [(n, folder_bytes(spark, f"{sf_dir}/{n}.parquet")) for n in ts.names]
+    on_disk = spark.createDataFrame(sizes, "name string, size bigint")
+    listed = P.inventory(ts).join(on_disk, F.col("table_name") == F.col("name"))
+    agree = (F.col("bytes") == F.col("size")) & (F.round(F.col("size") / F.col("rows"), 2) == F.col("avg_row_bytes"))
+    return listed.select("table_name", "rows", agree.alias("sizes_agree"))
+
+
 @query("inventory", " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, CAST({w} AS INT) AS columns, count(*) AS rows FROM {t}"
     for t, w in {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11,
@@ -219,6 +270,17 @@ def table_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copied.unionByName(cloned.select(F.lit("clone").alias("kind"), "table_name", "rows"))
 
 
+@query("seed_file", "SELECT s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal FROM supplier")
+def seed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as a seed, one JSON array, and read back."""
+    path = scratch_path(spark, "seed")
+    supplier = tables(spark, sf_dir, "supplier")["supplier"].select("s_suppkey", "s_name", F.round("s_acctbal", 2).alias("s_acctbal"))
+    whole = supplier.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    whole.coalesce(1).write.text(path)
+    (name,) = [n for n in list_dir(spark, path) if n.startswith("part-")]
+    return read_seed(spark, f"{path}/{name}", supplier.schema)
+
+
 @query("json_documents", """
     SELECT doc_id, lang, n_chars, length(text) AS text_length FROM documents
 """)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablewarden.plans.fold_queries import CREDITS_SQL, VIEWS_SQL
 from tablewarden.plans.registry import hits_sql, query, tables
 from tablewarden.runtime import scratch_path
-from tablewarden.streaming.search import latest_change, standing_search, windowed_hits
+from tablewarden.streaming.search import latest_change, standing_search, unexpired, windowed_hits
 from tablewarden.streaming.state import CreditLedger, NewestResults, UpsertTable, ViewCounters
 
 
@@ -111,6 +111,14 @@ def stream_updated_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.read()
 
 
+@query("stream_unexpired", "SELECT event_id, user_id FROM events WHERE event_id % 3 < 2")
+def stream_unexpired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events moved to today, yesterday and the day before: what is older than 36 hours does not arrive."""
+    stream = _stream(spark, sf_dir, "events", "event_id")
+    moved = stream.withColumn("at", F.current_timestamp() - F.make_dt_interval(F.col("event_id") % 3))
+    return _run(unexpired(moved.select("event_id", "user_id", "at"), "at", "36 hours"), scratch_path(spark, "unexpired")).drop("at")
+
+
 @query("stream_windowed_hits", """
     SELECT date_trunc('day', ts)::TIMESTAMP AS day, 'event_type' AS column_name, count(*) AS hits
     FROM events WHERE event_type = 'purchase' GROUP BY 1, 2

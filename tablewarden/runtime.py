@@ -86,6 +86,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the Parquet data below a path, or of the file it is."""
+    fs, p = hadoop_path(spark, path)
+    if fs.getFileStatus(p).isFile():
+        return int(fs.getFileStatus(p).getLen())
+    return sum(int(s.getLen()) for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet"))
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     fs, p = hadoop_path(spark, path)
     return bool(fs.delete(p, True))
