@@ -93,7 +93,9 @@ class TableSet:
         """Tables of a relational database, each read in parallel slices.
 
         ``tables`` maps a name to ``{"column", "lower", "upper", "partitions"}``;
-        with an empty mapping the table is read in one slice.
+        without ``partitions`` a slice covers about a million numbers of the
+        column. With an empty mapping the table is read in one slice, by one
+        task, which is for small tables only.
         """
 
         def opener(name: str, split: Mapping) -> Callable[[], DataFrame]:
@@ -187,14 +189,22 @@ def _overlay(tables: Mapping, extra: dict[str, Callable[[], DataFrame]]) -> _Laz
     return _LazyTables(openers | extra)
 
 
+_NUMBERS_PER_SLICE = 1_000_000
+
+
 def jdbc_options(url: str, table: str, split: Mapping, properties: Mapping[str, str]) -> dict[str, str]:
     """Reader options of one table; a split column makes the read parallel."""
     options = {"url": url, "dbtable": table, "fetchsize": "10000", **properties}
     if split:
+        slices = split.get("partitions")
+        if slices is None:
+            if not all(isinstance(split[b], (int, float)) for b in ("lower", "upper")):
+                raise ValueError(f'table "{table}": say how many partitions to read by a column that is no number')
+            slices = max(1, -(-int(split["upper"] - split["lower"]) // _NUMBERS_PER_SLICE))
         options |= {
             "partitionColumn": split["column"],
             "lowerBound": str(split["lower"]),
             "upperBound": str(split["upper"]),
-            "numPartitions": str(split.get("partitions", 64)),
+            "numPartitions": str(slices),
         }
     return options

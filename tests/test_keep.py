@@ -192,6 +192,10 @@ def test_jdbc_reads_in_slices():
         "partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "5",
     }
     assert "partitionColumn" not in jdbc_options("jdbc:x", "t", {}, {})
+    wide = jdbc_options("jdbc:x", "t", {"column": "id", "lower": 0, "upper": 2_500_000_000}, {})
+    assert wide["numPartitions"] == "2500"
+    with pytest.raises(ValueError):
+        jdbc_options("jdbc:x", "t", {"column": "day", "lower": "2024-01-01", "upper": "2025-01-01"}, {})
 
 
 def test_a_broken_newest_commit_never_took_place(spark, scratch):
