@@ -20,8 +20,10 @@ with two small reads of its file: the end of the index and the frame.
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from tokenizers import Tokenizer
 
 from tablewarden.llm.common import as_bytes, pick, ship_package, table
 from tablewarden.runtime import scratch_path
@@ -37,28 +40,59 @@ MAGIC, END = b"TOKZ1", b"TOKZ"
 HEAD = len(MAGIC) + 1 + 32
 #: The dictionary is trained on the token ids of this many documents, of each at most so many bytes.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16_384, 65_536
-#: Words whose ids a task remembers; then it starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers, twice as many at most.
+RECENT_WORDS = 300_000
 #: An id above all others stands for a NULL doc_id, which comes last.
 NO_ID = int(np.iinfo(np.int64).max)
 
+#: The letters of byte-level models: printable bytes are themselves, the others follow one another from 256.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+_BEYOND_LATIN = chr(0x250)
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
+class _Recent:
+    """A bounded memory: what has not been asked for while ``size`` new entries came in is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.before = size, {}, {}
+
+    def get(self, key: bytes) -> bytes | None:
+        found = self.now.get(key)
+        if found is None and (found := self.before.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: bytes, value: bytes) -> None:
+        if len(self.now) >= self.size:
+            self.before, self.now = self.now, {}
+        self.now[key] = value
+
+
 class Encoder:
-    """Ids of texts by a tokenizer that never joins what white space parts, with the ids of known words kept.
+    """Ids of texts by a tokenizer that never joins what white space parts, with the ids of recent words kept.
 
-    Only the six ASCII space characters part words here. All words not known
-    yet are encoded together, each by itself for the tokenizer.
+    Only the six ASCII space characters part words here. A word is encoded by
+    itself. Where the tokenizer treats them so, which is tried out first, words
+    of ASCII or Latin letters count without case and without full stops and
+    commas at their end, and plain letters go to the tokenizer's model at once.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        # tasks run side by side already
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = np.dtype(f"<u{self.width}")
+        self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
+        self.words, self.cores = _Recent(RECENT_WORDS), _Recent(RECENT_WORDS)
+        self.plain = all(
+            self.ids(w) == self.ids(w.lower()) == self._letters(w.lower())
+            and self.ids(f"{w}.,") == [*self.ids(w), *self.ids(".,")] and self.ids(f"{w} {w}") == [*self.ids(w), *self.ids(w)]
+            for w in ("a", "Zq", "the", "Tokenization", "xqzjkvbwp", "AAAAaaaaAAAA", "Élève", "größer", "CIÓN", "Łódźž", "ñ", "ªÿ")
+        )
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -66,22 +100,51 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def ids(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _letters(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _core(self, word: bytes) -> bytes:
+        found = self.cores.get(word)
+        if found is None:
+            text = word.decode()
+            found = self._packed(self._letters(text) if text.isalpha() else self.ids(text))
+            self.cores.put(word, found)
+        return found
+
+    def _word(self, word: bytes) -> bytes:
+        # special tokens are known by their very spelling
+        if self.plain and b"<" not in word:
+            core = word.rstrip(b".,")
+            tail = word[len(core) :]
+            if word.isascii():
+                low = core.lower() if core.isalnum() else None
+            else:
+                text = core.decode()
+                lower = text.lower()
+                low = lower.encode() if text.isalpha() and lower.isalpha() and max(text) < _BEYOND_LATIN else None
+            if low:
+                return self._core(low) + (self._core(tail) if tail else b"")
+        return self._packed(self.ids(word.decode()))
 
     def encode(self, data: bytes) -> bytes:
         """The ids of a text, ``width`` bytes each."""
         words = data.split()
-        known = self.known
-        if missing := list({w for w in words if w not in known}):
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                missing = list(set(words))
-            for at in range(0, len(missing), 4096):
-                part = missing[at : at + 4096]
-                for word, ids in zip(part, self.ids([w.decode() for w in part]), strict=True):
-                    known[word] = np.array(ids, self.kind).tobytes()
-        return b"".join([known[w] for w in words])
+        parts = list(map(self.words.now.get, words))
+        recent = self.words
+        for i in [i for i, part in enumerate(parts) if part is None]:
+            word = words[i]
+            found = recent.get(word)
+            if found is None:
+                found = self._word(word)
+                recent.put(word, found)
+            parts[i] = found
+        return b"".join(parts)
 
 
 def _tokenizer(path: str) -> tuple[str, bytes]:
@@ -271,7 +334,7 @@ def lookup(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    import public_tokenizers  # only this query needs these files; the operator takes a path
 
     path = scratch_path(spark, "tokens")
     write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
