@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import zipfile
 from collections.abc import Iterator, Sequence
 from pathlib import Path
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tablewarden.runtime import delete_path, scratch_path
+from tablewarden.runtime import delete_path, scratch_path, write_small_file
 
 #: One word is a run of anything but these six characters; it is also what ``bytes.split()`` splits on.
 SPACES = "\\x20\\x09-\\x0D"
@@ -22,19 +22,24 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give executors this package, so that Python tasks find it wherever they run."""
+    """Give executors this package, so that Python tasks find it wherever they run.
+
+    It goes through the shared folder, once per application.
+    """
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
-    made = Path(tempfile.mkdtemp(prefix="tablewarden-package-")) / "tablewarden_package.zip"
-    with zipfile.ZipFile(made, "w") as out:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
         for folder, _, names in os.walk(root):
             for name in names:
                 if name.endswith(".py"):
                     file = Path(folder) / name
                     out.write(file, f"{root.name}/{file.relative_to(root)}")
-    context.addPyFile(str(made))
+    path = f"{scratch_path(spark, 'package')}/tablewarden_package.zip"
+    write_small_file(spark, path, packed.getvalue())
+    context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
 
 
