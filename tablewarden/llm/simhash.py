@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablewarden.functions.digests import row_digest
-from tablewarden.llm.common import Placed, Stages, as_bytes, complete_groups, pick, ship_package, word_lists
+from tablewarden.llm.common import Placed, Stages, as_bytes, complete_groups, pick, ship_package, table, word_lists
 from tablewarden.llm.components import components
 
 BYTES = 8
@@ -159,7 +159,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, seed:
     of_root = prints.join(groups, prints.fp == groups.node).select("fp", "root", "least")
     least = of_root.groupBy("root").agg(F.min("least").alias("linked"))
     linked = of_root.join(least, "root").select("fp", "linked")
-    classes = prints.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
+    # as a table of its own, so that a fingerprint many rows share is a skewed join that Spark can split
+    classes, _ = stages.write(prints.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id")))
     return rows.join(classes, "fp").select("doc_id", "digest", "fp", "component_id")
 
 
@@ -179,14 +180,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     )
     rows = placed.df.withColumn("__own", row_digest(list(placed.df.schema.fields)))
     kept = rows.join(stay, (F.col("__own") == F.col("__digest")) & placed.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
-    from pyspark.sql import Window
-
     equal = Window.partitionBy("__own", placed.place("doc_id")).orderBy("__own")
     return placed.restore(kept.withColumn("__n", F.row_number().over(equal)).where("__n = 1"))
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    from tablewarden.llm.common import table
-
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
