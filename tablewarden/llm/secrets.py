@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewarden.llm.common import as_bytes, pick, ship_package, table
-from tablewarden.runtime import list_dir, path_exists, scratch_path
+from tablewarden.runtime import cut_lineage, list_dir, path_exists, scratch_path
 
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 LEDGER = f"blob string, version string, spans array<{SPAN}>, n_chars bigint"
@@ -134,8 +134,13 @@ def first_of_each(contents: DataFrame) -> DataFrame:
 
 
 def findings(paths: DataFrame, known: DataFrame, version: str) -> DataFrame:
-    """``paths`` (with ``blob``) with the ``spans`` of their blobs at a rule version; NULL where a blob was never scanned."""
-    own = known.where(F.col("version") == version).groupBy("blob").agg(F.first("spans").alias("spans"))
+    """``paths`` (with ``blob``) with the ``spans`` of their blobs at a rule version; NULL where a blob was never scanned.
+
+    The findings, a small part of the texts' size, become a table of their own
+    first, so that a content under very many paths is a skewed join that Spark
+    can split.
+    """
+    own = cut_lineage(known.where(F.col("version") == version).groupBy("blob").agg(F.first("spans").alias("spans")))
     return paths.join(own, "blob", "left")
 
 
