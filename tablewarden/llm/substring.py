@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablewarden.llm.common import as_bytes, pick, ship_package, table
 
 #: Bytes of text in a reference block, and of text that one bucket of seeds or documents stands for.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 #: A NULL doc_id counts as larger than any other: its documents are references for nobody.
 NO_ID = np.iinfo(np.int64).max
