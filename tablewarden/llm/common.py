@@ -158,7 +158,7 @@ def complete_groups(
 
 def running_sum(
     df: DataFrame, group: Sequence[str], spread: str, order: Sequence[str], value: Column, out: str,
-    rows_per_cell: int = 20_000,
+    rows_per_cell: int = 4_000,
 ) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the group that come before in the order.
 
