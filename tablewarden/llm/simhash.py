@@ -175,9 +175,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     # a group is known by the smallest id in it; groups without any id by their fingerprint
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
-    stay = found.groupBy(group.alias("group")).agg(F.min(order).alias("first")).select(
-        F.col("first.doc_id").alias("__doc"), F.col("first.digest").alias("__digest")
-    )
+    return keep_first(placed, found.groupBy(group.alias("group")).agg(F.min(order).alias("first")))
+
+
+def keep_first(placed: Placed, groups: DataFrame) -> DataFrame:
+    """The rows that ``first.doc_id`` and ``first.digest`` of some group name, one of equal ones, with all their columns."""
+    stay = groups.select(F.col("first.doc_id").alias("__doc"), F.col("first.digest").alias("__digest"))
     rows = placed.df.withColumn("__own", row_digest(list(placed.df.schema.fields)))
     kept = rows.join(stay, (F.col("__own") == F.col("__digest")) & placed.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
     equal = Window.partitionBy("__own", placed.place("doc_id")).orderBy("__own")

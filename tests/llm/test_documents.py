@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewarden.llm import (
-    decontaminate, licenses, mixing, quality, secrets, sharding, simhash, substring, token_files,
+    decontaminate, licenses, mixing, near_copies, quality, secrets, sharding, simhash, substring, token_files,
 )
 from tests.llm import data
 
@@ -220,6 +220,49 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 50, 50: 50, 60: 60, 61: 60, 62: 60}
 
 
+# --- near copies
+
+def planted(spark):
+    """Texts with one copy each, whose 5-word Jaccard similarity lies around and above 0.8."""
+    rng, rows, alike = np.random.default_rng(8), [], {}
+    for i in range(120):
+        words = data.prose(5000 + i, 400).split()
+        copy = list(words)
+        for at in rng.choice(400, 1 + i % 12, replace=False):
+            copy[at] = f"edited{i}x{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in ([x.lower() for x in words], [x.lower() for x in copy]))
+        alike[2 * i + 1] = len(a & b) / len(a | b)
+    return spark.createDataFrame(rows, "doc_id long, text string"), alike
+
+
+@pytest.mark.parametrize("cell", [near_copies.CELL_SHINGLES, 300])
+def test_planted_copies_go_by_similarity(spark, monkeypatch, cell):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "CELL_SHINGLES", cell)
+    docs, alike = planted(spark)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert min(alike.values()) < 0.79 and sum(0.8 <= s < 0.85 for s in alike.values()) > 9
+    assert kept == {2 * i for i in range(120)} | {i for i, s in alike.items() if s < 0.8}
+
+
+def test_keep_one_of_near_copies(docs, none):
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns and near_copies.keep_one(none).collect() == []
+    ids = [r[0] for r in kept.toDF(*[f"c{i}" for i in range(9)]).select("c0").collect()]
+    rows = [(i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)) if w)) for i, t in [r[:2] for r in data.rows()] for w in [data.words((t or "").lower())]]
+    group = list(range(len(rows)))
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:i]):
+            if a == b or 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                group = [group[j] if g == group[i] else g for g in group]
+    least: dict = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        least.setdefault(g, []).append(i)
+    assert sorted(ids) == sorted(min(x for x in v if x is not None) for v in least.values())
+
+
 # --- quality rules
 
 def test_statistics(docs, pairs):
