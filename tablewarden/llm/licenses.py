@@ -58,6 +58,33 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-notice",)),
 )
 
+#: Sentences of the licenses' usual wording as SENTENCE_END parts them; the SQL does not have these.
+HEADER_SENTENCES = {
+    "apache-head": "licensed under the apache license version 2 0 the license",
+    "apache-at": "you may obtain a copy of the license at",
+    "apache-url": "http www apache org licenses license 2 0",
+    "apache-url-2": "https www apache org licenses license 2 0",
+    "gpl3-free": "this program is free software",
+    "gpl3-redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+    "the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-without": "without even the implied warranty of merchantability or fitness for a particular purpose",
+}
+#: The third BSD condition names the holder.
+BSD_NEITHER = (
+    "^neither the names? of .+ may be used to endorse or promote products derived from this software without specific prior written "
+    "permission$"
+)
+#: Tried before RULES.
+HEADER_RULES = (
+    ("Apache-2.0", ("apache-head", "apache-file-2", "apache-at", "apache-url", "apache-basis")),
+    ("Apache-2.0", ("apache-head", "apache-file-2", "apache-at", "apache-url-2", "apache-basis")),
+    ("Apache-2.0", ("apache-head", "apache-file-2")),
+    ("GPL-3.0-or-later", ("gpl3-free", "gpl3-redistribute", "gpl-hope", "gpl-without")),
+    ("GPL-3.0-or-later", ("gpl3-free", "gpl3-redistribute")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-neither")),
+)
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A sentence ends at a mark before white space or the end, at a line that ends in a symbol, and at an empty line.
 SENTENCE_END = r"[.!?:;]+([\x09-\x0D\x20]+|\z)|[|*#$%&>]+[\x09\x20]*\n|\n[\x09-\x0D\x20]*\n"
@@ -75,11 +102,14 @@ def _pattern(names: tuple[str, ...]) -> str:
 
 
 def sentence_marks(text: Column) -> Column:
-    """The known sentences of a text in order as ``<name>``, runs of other sentences as ``~``."""
+    """The known sentences of a text in order as ``<name>``, runs of other sentences as ``~``; numbers of lists are none."""
     flat = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(SENTENCE_END), F.lit("\x01"))
     sentences = F.split(F.regexp_replace(flat, F.lit(OTHER), F.lit(" ")), "\x01")
-    known = F.create_map(*[F.lit(x) for name, words in SENTENCES.items() for x in (words, _mark(name))])
-    marks = F.transform(sentences, lambda s: F.coalesce(F.try_element_at(known, F.trim(s)), F.lit(UNKNOWN)))
+    known = F.create_map(*[F.lit(x) for name, words in (SENTENCES | HEADER_SENTENCES).items() for x in (words, _mark(name))])
+    mark = lambda s: F.coalesce(
+        F.try_element_at(known, s), F.when(s.rlike("^[0-9]{1,2}$"), ""), F.when(s.rlike(BSD_NEITHER), _mark("bsd-neither")), F.lit(UNKNOWN),
+    )
+    marks = F.transform(F.transform(sentences, lambda s: F.trim(s)), mark)
     return F.regexp_replace(F.array_join(marks, ""), F.lit(f"{UNKNOWN}+"), F.lit(UNKNOWN))
 
 
@@ -94,7 +124,7 @@ def recognise(docs: DataFrame) -> DataFrame:
     without any shuffle, so repeated rows, NULL ids and ties need no care; the
     work is linear in the text.
     """
-    rules = F.array(*[F.struct(F.lit(license).alias("license"), F.lit(_pattern(names)).alias("pattern")) for license, names in RULES])
+    rules = F.array(*[F.struct(F.lit(license).alias("license"), F.lit(_pattern(names)).alias("pattern")) for license, names in HEADER_RULES + RULES])
     rows = pick(docs, "doc_id", "text").select("doc_id", sentence_marks(F.col("text")).alias("marks"))
     start = F.struct(F.col("marks").alias("left"), F.array().cast("array<string>").alias("found"))
     step = lambda acc, r: F.when(

@@ -475,3 +475,47 @@ def test_license_rules_are_in_order():
     tried = [licenses._pattern(n) for _, n in licenses.RULES]
     # a rule that holds another one's sentences comes first
     assert not [(a, b) for i, a in enumerate(tried) for b in tried[i + 1 :] if a in b]
+
+
+APACHE = """Copyright 2020 X
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NEITHER = """3. Neither the name of Foo nor the names of its contributors may be used to endorse or
+   promote products derived from this software without specific prior written permission.
+"""
+
+
+def test_license_headers_as_they_are_written(spark):
+    texts = [APACHE, APACHE.replace("http:", "https:"), APACHE.split("You may obtain")[0], GPL, GPL.split("\n\n")[0], BSD, BSD + NEITHER, (BSD + NEITHER).replace("1.", "*").replace("2.", "*").replace("3.", "*")]
+    got = licenses.recognise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    names = ["Apache-2.0", "Apache-2.0", "Apache-2.0", "GPL-3.0-or-later", "GPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause"]
+    assert [(r.licenses, r.n_unexplained) for r in got] == [(n, 0) for n in names]
