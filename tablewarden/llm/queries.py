@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewarden.llm import (
-    chat, decontaminate, licenses, merkle, mixing, quality, secrets, sharding, simhash, substring, token_files,
+    chat, decontaminate, licenses, merkle, mixing, quality, secrets, sharding, simhash, substring, token_files, turn_trie,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_ledger": secrets.query,
     "op10_license_sentences": licenses.query,
     "op12_merkle_manifest": merkle.query,
+    "op13_burst_trie": turn_trie.query,
 }
 
 #: Where SQL can say it; the other queries are held against brute force in the tests.
