@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewarden.llm import (
-    chat, decontaminate, licenses, merkle, mixing, quality, secrets, sharding, simhash, substring, token_files, turn_trie,
+    chat, decontaminate, jaccard_join, licenses, merkle, mixing, quality, secrets, sharding, simhash, substring, token_files, turn_trie,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_curriculum_mix": mixing.query,
     "op9_secret_ledger": secrets.query,
     "op10_license_sentences": licenses.query,
+    "op11_jaccard_join": jaccard_join.query,
     "op12_merkle_manifest": merkle.query,
     "op13_burst_trie": turn_trie.query,
 }
