@@ -7,8 +7,8 @@ bitmaps bound the overlap from above; what the bound lets pass is decided by
 intersecting the sorted sets.
 
 Tiles are worked off in two turns, so that a group of copies never becomes all
-its pairs: first every set meets the least of its band, which connects most of
-a group; then only sets that are not connected yet meet.
+its pairs: first every set meets the head of its band, which connects most of a
+group; then only sets that are not connected yet meet.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablewarden.llm.common import Stages, pick, ship_package, table, word_lists
 from tablewarden.llm.components import components
@@ -34,26 +34,40 @@ COUNTS_PER_ROW = 256
 #: Sets of one tile that meet in one go; larger tiles are dealt into cells.
 CELL = 2048
 
+#: Sets whose texts are fetched by a broadcast of their names, 10 MB of them; more are fetched by a join that shuffles.
+FEW_SETS = 200_000
+#: Odd numbers that spread the hashes of words over those of shingles.
+_FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
 _PAIR = ["a1", "a2", "b1", "b2"]
 
 
-def shingles_of(data: bytes, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
-    """The XXH64 of a text's shingles with A-Z as a-z, sorted, each once; a text of fewer words is one shingle, one without words none."""
-    parts, tail, digest = [], [], xxhash.xxh64_digest
+def shingles_of(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of a text's shingles with A-Z as a-z, sorted, each once; a text of fewer words is one shingle, one without words none.
+
+    Words are hashed once each, and a shingle's hash is made from those of its words in their order.
+    """
+    parts, tail, digest = [], np.empty(0, np.uint64), xxhash.xxh64_digest
     for words in word_lists(data.lower()):
-        words = tail + words
-        if len(words) >= shingle:
-            rows = [words[k:] for k in range(shingle)]
-            hashes = b"".join([digest(b" ".join(s), seed) for s in zip(*rows, strict=False)])
-            parts.append(np.unique(np.frombuffer(hashes, np.uint64)))
-            tail = words[len(words) - shingle + 1 :] if shingle > 1 else []
+        of = np.concatenate([tail, np.frombuffer(b"".join([digest(w) for w in words]), np.uint64)])
+        if (n := len(of) - shingle + 1) > 0:
+            hashes = np.zeros(n, np.uint64)
+            for k in range(shingle):
+                hashes = hashes * _FACTOR + of[k : k + n]
+            parts.append(np.unique(_mixed(hashes)))
+            tail = of[n:]
         else:
-            tail = words
+            tail = of
     if not parts:
-        return np.frombuffer(digest(b" ".join(tail), seed) if tail else b"", np.uint64)
+        return _mixed(np.frombuffer(xxhash.xxh64_digest(tail.tobytes(), len(tail)), np.uint64)) if tail.size else tail
     return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * _MIX
+    return hashes ^ (hashes >> np.uint64(29))
+
+
 def name_of(shingles: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set, as two signed longs."""
     raw = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
@@ -63,11 +77,11 @@ def name_of(shingles: np.ndarray) -> tuple[int, int]:
 def bitmap(shingles: np.ndarray) -> bytes:
     """A bit for each residue of the hashes, set if an odd number of shingles fall on it.
 
-    There are about as many bits as shingles, a power of two from 64 on, so that
-    the bitmap of a band is half as long as that of one with twice the sizes,
-    and folding its halves gives the shorter one.
+    There are between half as many bits as shingles and as many, a power of two
+    from 64 on, so that the bitmap of a band is half as long as that of one with
+    twice the sizes, and folding its halves gives the shorter one.
     """
-    bits = 1 << max(6, (len(shingles) - 1).bit_length() if len(shingles) else 0)
+    bits = 1 << max(6, (len(shingles) - 1).bit_length() - 1 if len(shingles) else 0)
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -109,34 +123,56 @@ def band(n: Column, similarity: tuple[int, int] = SIMILARITY) -> Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(whole / some) * 1.000001)).cast("long")
 
 
-def _shingle_counts(docs: DataFrame, shingle: int) -> np.ndarray:
-    """How often shingles fall into each cell of the table, over all documents; one number per cell comes to the driver."""
+def _read(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, print, n, s1, s2, bits`` for each document: name, size and bitmap of its set; and ``part, counts`` once a task.
+
+    ``counts`` says how often the task's shingles fall into each cell of the table of counts.
+    """
+    id_type = docs.schema["doc_id"].dataType
+    schema = f"doc_id {id_type.simpleString()}, print long, n long, s1 long, s2 long, bits binary, part long, counts binary"
+    names = ["doc_id", "print", "n", "s1", "s2", "bits", "part", "counts"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNT_BITS, np.int64)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, kind = np.zeros(1 << COUNT_BITS, np.int64), None
         for batch in batches:
-            for text in batch.column(0):
-                if data := text.as_py():
-                    cells = (shingles_of(data, shingle) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-                    np.add.at(counts, cells, 1)
-        rows = counts.astype("<u4").reshape(-1, COUNTS_PER_ROW)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "counts"])
+            kind = batch.schema.field(0).type
+            rows, cells = [], []
+            for text in batch.column(2):
+                own = shingles_of(text.as_py(), shingle)
+                rows.append((len(own), *name_of(own), bitmap(own)))
+                cells.append(own >> np.uint64(64 - COUNT_BITS))
+            n = batch.num_rows
+            if n:
+                counts += np.bincount(np.concatenate(cells).astype(np.int64), minlength=len(counts))
+                sizes, s1, s2, bits = zip(*rows, strict=True)
+                longs = [pa.array(c, pa.int64()) for c in (sizes, s1, s2)]
+                nothing = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, pa.array(bits, pa.binary()), *nothing], names)
+        if kind is not None:
+            parts = counts.astype("<u4").reshape(-1, COUNTS_PER_ROW)
+            n = len(parts)
+            nothing = [pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary())]
+            own = [pa.array(range(n), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nothing, *own], names)
+
+    return docs.select("doc_id", "print", "text").mapInArrow(of, schema)
+
+
+def _summed_counts(counts: DataFrame) -> np.ndarray:
+    """The table of counts over all documents; one number per cell comes to the driver, however many documents there are."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(counts, "<u4" if len(counts) == 4 * COUNTS_PER_ROW else "<u8").astype(np.uint64)
-                sums[part] = sums[part] + own if part in sums else own
+            for part, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(own, "<u4").astype(np.uint64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
 
-    kind = "part long, counts binary"
-    found = docs.select("text").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind)
-    table_of_counts = np.zeros((1 << COUNT_BITS) // COUNTS_PER_ROW * COUNTS_PER_ROW, np.uint64).reshape(-1, COUNTS_PER_ROW)
-    for row in found.collect():
-        table_of_counts[row.part] = np.frombuffer(row.counts, "<u8")
-    return table_of_counts.reshape(-1)
+    out = np.zeros(((1 << COUNT_BITS) // COUNTS_PER_ROW, COUNTS_PER_ROW), np.uint64)
+    for row in counts.repartition("part").mapInArrow(add, "part long, counts binary").collect():
+        out[row.part] = np.frombuffer(row.counts, "<u8")
+    return out.reshape(-1)
 
 
 def count_classes(counts: np.ndarray) -> np.ndarray:
@@ -145,22 +181,6 @@ def count_classes(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 2 * mean, np.ceil(np.log2(np.maximum(counts, 1) / mean)), 0).astype(np.uint8)
 
 
-def _names(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, print, n, s1, s2, bits``: the name, size and bitmap of each document's set."""
-    kind = pa.struct([("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
-
-    @F.arrow_udf("s1 long, s2 long, n long, bits binary")
-    def of(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts:
-            own = shingles_of(t.as_py(), shingle)
-            s1, s2 = name_of(own)
-            out.append({"s1": s1, "s2": s2, "n": len(own), "bits": bitmap(own)})
-        return pa.array(out, kind)
-
-    return docs.select("doc_id", "print", of("text").alias("of")).select("doc_id", "print", "of.*")
-
-
 def _postings(docs: DataFrame, classes: np.ndarray, shingle: int, similarity: tuple[int, int]) -> DataFrame:
     """``key, s1, s2, common``: a set under each of its rarest shingles; equal sets of one task once."""
 
@@ -259,7 +279,9 @@ def _verified(stages: Stages, pairs: DataFrame, sets: DataFrame, docs: DataFrame
         return pa.array(out, pa.bool_())
 
     ends = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).unionAll(pairs.select(F.col("b1").alias("s1"), F.col("b2").alias("s2")))
-    wanted = sets.join(ends.distinct(), ["s1", "s2"]).select("s1", "s2", "first.doc_id", "first.print")
+    wanted, _ = stages.write(sets.join(ends.distinct(), ["s1", "s2"]).select("s1", "s2", "first.doc_id", "first.print"))
+    if wanted.count() <= FEW_SETS:
+        wanted = F.broadcast(wanted)
     left, right = docs.select("doc_id", "print", packed("text").alias("text")).alias("l"), wanted.alias("r")
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.print") == F.col("r.print"))
     texts, _ = stages.write(left.join(right, same).select("r.s1", "r.s2", "l.text").dropDuplicates(["s1", "s2"]))
@@ -365,7 +387,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[in
     A common shingle never makes a large tile of unlike sets: shingles are
     ordered by how often their hash cell was counted over all documents, so a
     common one is only used by sets that have little else. A tile of any
-    size is first joined with the least set of each band, a join Spark can split;
+    size is first joined with one set of each band, a join Spark can split;
     sets left in several groups meet in cells of at most 4,096.
     """
     spark = docs.sparkSession
@@ -374,38 +396,46 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[in
     raw = pick(docs, "doc_id", "text")
     docs = raw.select("doc_id", F.xxhash64("text").alias("print"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
-    rows, _ = stages.write(_names(docs, shingle))
+    read, _ = stages.write(_read(docs, shingle))
+    rows = read.where("part IS NULL").select("doc_id", "print", "n", "s1", "s2", "bits")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("first")
     sets, _ = stages.write(rows.where("n > 0").groupBy("s1", "s2").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits")))
     sized = sets.select("s1", "s2", "n", "bits")
 
-    classes = count_classes(_shingle_counts(docs, shingle))
+    classes = count_classes(_summed_counts(read.where("part IS NOT NULL").select("part", "counts")))
     postings = _postings(docs, classes, shingle, similarity)
     # keys of common shingles are dealt by set, as all of them are kept
     dealt = postings.repartition("key", F.when(F.col("common"), F.col("s1"))).sortWithinPartitions("key", "s1", "s2")
     shared = dealt.mapInArrow(_shared, "key long, s1 long, s2 long")
-    tiles, _ = stages.write(shared.join(sets.select("s1", "s2", band(F.col("n"), similarity).alias("band")), ["s1", "s2"]))
-
-    # the least set of each band of a tile, with the sets of its band and of the next one
-    least = tiles.groupBy("key", "band").agg(F.min(F.struct("s1", "s2")).alias("least")).withColumn("of", F.col("band"))
-    least = least.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
-    met = tiles.join(least, ["key", "band"]).where((F.col("s1") != F.col("least.s1")) | (F.col("s2") != F.col("least.s2")))
+    name = Window.partitionBy("s1", "s2")
+    of_band = sets.select("s1", "s2", "n", band(F.col("n"), similarity).alias("band"))
+    placed = shared.join(of_band, ["s1", "s2"]).withColumn("rank", F.struct(F.count(F.lit(1)).over(name) / F.col("n"), "s1", "s2"))
+    tiles, _ = stages.write(placed.drop("n"))
+
+    # The head of each band of a tile meets the sets of its band and of the next one. It is the set that shares most of
+    # its shingles with any other: in a group of copies the one that was changed least.
+    heads = tiles.groupBy("key", "band").agg(F.max_by(F.struct("s1", "s2"), "rank").alias("head")).withColumn("of", F.col("band"))
+    heads = heads.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    tiles = tiles.drop("rank")
+    met = tiles.join(heads, ["key", "band"]).where((F.col("s1") != F.col("head.s1")) | (F.col("s2") != F.col("head.s2")))
     # of each band a set meets the one it shares most tiles with; all others wait for the second turn
-    tally = met.groupBy("s1", "s2", "of", "least").agg(F.count(F.lit(1)).alias("tiles"))
-    star = tally.groupBy("s1", "s2", "of").agg(F.max(F.struct("tiles", "least"))["least"].alias("least"))
-    star = star.select(*_ordered_pairs((F.col("s1"), F.col("s2")), (F.col("least.s1"), F.col("least.s2")))).distinct()
+    tally = met.groupBy("s1", "s2", "of", "head").agg(F.count(F.lit(1)).alias("tiles"))
+    star = tally.groupBy("s1", "s2", "of").agg(F.max(F.struct("tiles", "head"))["head"].alias("head"))
+    star = star.select(*_ordered_pairs((F.col("s1"), F.col("s2")), (F.col("head.s1"), F.col("head.s2")))).distinct()
     passes = _passes(similarity)
     bound = passes("a_n", "a_bits", "b_n", "b_bits")
     star, _ = stages.write(_with(_with(star, sized, "a"), sized, "b").where(bound).select(*_PAIR))
     found, _ = stages.write(_verified(stages, star, sets, docs, shingle, similarity))
     groups, _ = stages.write(_components(found))
 
-    # tiles that still hold several groups
+    # sets that share a tile with one of another group in their own band or beside it
     own = F.coalesce("r1", "s1"), F.coalesce("r2", "s2")
-    members = tiles.join(groups, ["s1", "s2"], "left").select("key", "s1", "s2", own[0].alias("r1"), own[1].alias("r2"))
-    name = F.struct("r1", "r2")
-    split = members.groupBy("key").agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low <> high").select("key")
-    members = members.join(split, "key").join(sized, ["s1", "s2"])
+    members = tiles.join(groups, ["s1", "s2"], "left").select("key", "band", "s1", "s2", own[0].alias("r1"), own[1].alias("r2"))
+    root = F.struct("r1", "r2")
+    bands = members.groupBy("key", "band").agg(F.min(root).alias("low"), F.max(root).alias("high"))
+    around = bands.select("key", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "low", "high")
+    split = around.groupBy("key", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key", "band")
+    members = members.join(split, ["key", "band"]).join(sized, ["s1", "s2"])
     dealt = _cells(members).repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "s1", "s2")
     ends = ", ".join(f"{c} long" for c in _PAIR)
     rest = dealt.mapInArrow(_meeting(similarity), ends).distinct().join(star, _PAIR, "left_anti")

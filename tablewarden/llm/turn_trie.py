@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tablewarden.llm.common import Stages, pick, ship_package, table
 
 #: Turns in a container above which it is burst.
-CONTAINER_TURNS = 2_000
+CONTAINER_TURNS = 400
 #: Ids of one chunk of a list of members; chunks are joined before they meet.
 IDS_PER_CHUNK = 4096
 #: Turns of a sequence in one cell when sums run along it.
