@@ -39,7 +39,7 @@ FEW_SETS = 200_000
 #: Odd numbers that spread the hashes of words over those of shingles.
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-_PAIR = ["a1", "a2", "b1", "b2"]
+_PAIR = ["a", "b"]
 
 
 def shingles_of(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -246,16 +246,9 @@ def _passes(similarity: tuple[int, int]):
     return passes
 
 
-def _ordered_pairs(x: tuple[Column, Column], y: tuple[Column, Column]) -> list[Column]:
-    """A pair of names as ``a1, a2, b1, b2``, the greater one first."""
-    first, second = F.struct(x[0].alias("s1"), x[1].alias("s2")), F.struct(y[0].alias("s1"), y[1].alias("s2"))
-    a, b = F.greatest(first, second), F.least(first, second)
-    return [a["s1"].alias("a1"), a["s2"].alias("a2"), b["s1"].alias("b1"), b["s2"].alias("b2")]
-
-
 def _with(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
-    named = sets.withColumnsRenamed({c: f"{end}{c.removeprefix('s')}" if c in ("s1", "s2") else f"{end}_{c}" for c in sets.columns})
-    return pairs.join(named, [f"{end}1", f"{end}2"])
+    """What is known of the sets at one end of pairs, under names that begin with it."""
+    return pairs.join(sets.withColumnsRenamed({c: end if c == "id" else f"{end}_{c}" for c in sets.columns}), end)
 
 
 def _verified(stages: Stages, pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
@@ -278,13 +271,13 @@ def _verified(stages: Stages, pairs: DataFrame, sets: DataFrame, docs: DataFrame
             out.append(linked(own, shingles_of(unpack(other), shingle), similarity))
         return pa.array(out, pa.bool_())
 
-    ends = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).unionAll(pairs.select(F.col("b1").alias("s1"), F.col("b2").alias("s2")))
-    wanted, _ = stages.write(sets.join(ends.distinct(), ["s1", "s2"]).select("s1", "s2", "first.doc_id", "first.print"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted, _ = stages.write(sets.join(ends, "id").select("id", "first.doc_id", "first.print"))
     if wanted.count() <= FEW_SETS:
         wanted = F.broadcast(wanted)
     left, right = docs.select("doc_id", "print", packed("text").alias("text")).alias("l"), wanted.alias("r")
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.print") == F.col("r.print"))
-    texts, _ = stages.write(left.join(right, same).select("r.s1", "r.s2", "l.text").dropDuplicates(["s1", "s2"]))
+    texts, _ = stages.write(left.join(right, same).select("r.id", "l.text").dropDuplicates(["id"]))
     both = _with(_with(pairs, texts, "a"), texts, "b")
     return both.where(similar("b_text", "a_text")).select(*_PAIR)
 
@@ -292,13 +285,13 @@ def _verified(stages: Stages, pairs: DataFrame, sets: DataFrame, docs: DataFrame
 def _cells(members: DataFrame) -> DataFrame:
     """Deals the sets of large tiles into cells of two chunks each, in which every two of them meet."""
     large = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("long").alias("chunks")).where("chunks > 1")
-    chunk = F.pmod(F.xxhash64("s1", "key"), F.col("chunks"))
+    chunk = F.pmod(F.xxhash64("id", "key"), F.col("chunks"))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: j != F.col("chunk"))
     cells = F.transform(others, lambda j: F.least(j, F.col("chunk")) * F.col("chunks") + F.greatest(j, F.col("chunk")))
     return (
         members.join(large, "key", "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), chunk))
         .withColumn("cell", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)))
-        .select("key", "cell", "s1", "s2", "n", "bits", "r1", "r2")
+        .select("key", "cell", "id", "root")
     )
 
 
@@ -331,16 +324,15 @@ def _meeting(similarity: tuple[int, int]):
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(pairs: list) -> pa.RecordBatch:
             ends = np.array(pairs, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, k])) for k in range(4)], _PAIR)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, k])) for k in range(2)], _PAIR)
 
         def work(rows: list[tuple]) -> list:
-            roots: dict[tuple, int] = {}
-            groups = np.array([roots.setdefault(r[6:8], len(roots)) for r in rows])
-            if len(roots) < 2:
+            ids, sizes, maps, roots = (list(c) for c in zip(*[r[2:] for r in rows], strict=True))
+            groups = np.array(roots, np.int64)
+            if (groups == groups[0]).all():
                 return []
-            maps = [np.frombuffer(r[5], np.uint64) for r in rows]
-            pairs = meet(np.array([r[4] for r in rows], np.int64), maps, groups, similarity)
-            return [max(x, y) + min(x, y) for x, y in ((rows[i][2:4], rows[j][2:4]) for i, j in pairs)]
+            pairs = meet(np.array(sizes, np.int64), [np.frombuffer(m, np.uint64) for m in maps], groups, similarity)
+            return [(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in pairs]
 
         held, found = [], []
         for batch in batches:
@@ -360,12 +352,6 @@ def _meeting(similarity: tuple[int, int]):
     return tiles
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """``s1, s2, r1, r2``: the least name reachable from every name that has a link."""
-    ends = links.select(F.struct(F.col("a1").alias("s1"), F.col("a2").alias("s2")).alias("a"), F.struct(F.col("b1").alias("s1"), F.col("b2").alias("s2")).alias("b"))
-    return components(ends).select("node.s1", "node.s2", F.col("root.s1").alias("r1"), F.col("root.s2").alias("r2"))
-
-
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``, which has ``doc_id, text``.
 
@@ -399,55 +385,59 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[in
     read, _ = stages.write(_read(docs, shingle))
     rows = read.where("part IS NULL").select("doc_id", "print", "n", "s1", "s2", "bits")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("first")
-    sets, _ = stages.write(rows.where("n > 0").groupBy("s1", "s2").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits")))
-    sized = sets.select("s1", "s2", "n", "bits")
+    sets = rows.where("n > 0").groupBy("s1", "s2").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"))
+    # a number for each set, as one attempt of each task wrote it
+    sets, _ = stages.write(sets.withColumn("id", F.monotonically_increasing_id()))
+    sized = sets.select("id", "n", "bits")
 
     classes = count_classes(_summed_counts(read.where("part IS NOT NULL").select("part", "counts")))
     postings = _postings(docs, classes, shingle, similarity)
     # keys of common shingles are dealt by set, as all of them are kept
     dealt = postings.repartition("key", F.when(F.col("common"), F.col("s1"))).sortWithinPartitions("key", "s1", "s2")
     shared = dealt.mapInArrow(_shared, "key long, s1 long, s2 long")
-    name = Window.partitionBy("s1", "s2")
-    of_band = sets.select("s1", "s2", "n", band(F.col("n"), similarity).alias("band"))
-    placed = shared.join(of_band, ["s1", "s2"]).withColumn("rank", F.struct(F.count(F.lit(1)).over(name) / F.col("n"), "s1", "s2"))
-    tiles, _ = stages.write(placed.drop("n"))
+    of_band = sets.select("s1", "s2", "id", "n", band(F.col("n"), similarity).alias("band"))
+    share = F.count(F.lit(1)).over(Window.partitionBy("s1", "s2")) / F.col("n")
+    shared, _ = stages.write(shared.join(of_band, ["s1", "s2"]).select("key", "id", "band", share.alias("share")))
+    # of tiles with the same sets, such as those of one passage, one is enough
+    hashes = [F.bit_xor(F.xxhash64(F.lit(salt), "id")).alias(salt) for salt in ("x", "y")]
+    content = shared.groupBy("key").agg(F.count(F.lit(1)).alias("many"), *hashes).where("many > 1")
+    one = content.groupBy("many", "x", "y").agg(F.min("key").alias("key")).select("key")
+    tiles, _ = stages.write(shared.join(one, "key"))
 
     # The head of each band of a tile meets the sets of its band and of the next one. It is the set that shares most of
     # its shingles with any other: in a group of copies the one that was changed least.
-    heads = tiles.groupBy("key", "band").agg(F.max_by(F.struct("s1", "s2"), "rank").alias("head")).withColumn("of", F.col("band"))
+    heads = tiles.groupBy("key", "band").agg(F.max(F.struct("share", "id"))["id"].alias("head")).withColumn("of", F.col("band"))
     heads = heads.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
-    tiles = tiles.drop("rank")
-    met = tiles.join(heads, ["key", "band"]).where((F.col("s1") != F.col("head.s1")) | (F.col("s2") != F.col("head.s2")))
+    tiles = tiles.drop("share")
+    met = tiles.join(heads, ["key", "band"]).where("id <> head")
     # of each band a set meets the one it shares most tiles with; all others wait for the second turn
-    tally = met.groupBy("s1", "s2", "of", "head").agg(F.count(F.lit(1)).alias("tiles"))
-    star = tally.groupBy("s1", "s2", "of").agg(F.max(F.struct("tiles", "head"))["head"].alias("head"))
-    star = star.select(*_ordered_pairs((F.col("s1"), F.col("s2")), (F.col("head.s1"), F.col("head.s2")))).distinct()
-    passes = _passes(similarity)
-    bound = passes("a_n", "a_bits", "b_n", "b_bits")
+    tally = met.groupBy("id", "of", "head").agg(F.count(F.lit(1)).alias("tiles"))
+    star = tally.groupBy("id", "of").agg(F.max(F.struct("tiles", "head"))["head"].alias("head"))
+    star = star.select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).distinct()
+    bound = _passes(similarity)("a_n", "a_bits", "b_n", "b_bits")
     star, _ = stages.write(_with(_with(star, sized, "a"), sized, "b").where(bound).select(*_PAIR))
     found, _ = stages.write(_verified(stages, star, sets, docs, shingle, similarity))
-    groups, _ = stages.write(_components(found))
+    groups, _ = stages.write(components(found).withColumnRenamed("node", "id"))
 
     # sets that share a tile with one of another group in their own band or beside it
-    own = F.coalesce("r1", "s1"), F.coalesce("r2", "s2")
-    members = tiles.join(groups, ["s1", "s2"], "left").select("key", "band", "s1", "s2", own[0].alias("r1"), own[1].alias("r2"))
-    root = F.struct("r1", "r2")
-    bands = members.groupBy("key", "band").agg(F.min(root).alias("low"), F.max(root).alias("high"))
+    members = tiles.join(groups, "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"))
+    members, _ = stages.write(members)
+    bands = members.groupBy("key", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     around = bands.select("key", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "low", "high")
     split = around.groupBy("key", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key", "band")
-    members = members.join(split, ["key", "band"]).join(sized, ["s1", "s2"])
-    dealt = _cells(members).repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "s1", "s2")
-    ends = ", ".join(f"{c} long" for c in _PAIR)
-    rest = dealt.mapInArrow(_meeting(similarity), ends).distinct().join(star, _PAIR, "left_anti")
+    members = members.join(split, ["key", "band"]).select("key", "id", "root")
+    dealt = _cells(members).join(sized, "id").select("key", "cell", "id", "n", "bits", "root")
+    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "id")
+    rest = dealt.mapInArrow(_meeting(similarity), "a long, b long").distinct().join(star, _PAIR, "left_anti")
     rest, _ = stages.write(rest)
     if not rest.isEmpty():
         more, _ = stages.write(_verified(stages, rest, sets, docs, shingle, similarity))
-        groups, _ = stages.write(_components(found.unionAll(more)))
+        groups, _ = stages.write(components(found.unionAll(more)).withColumnRenamed("node", "id"))
 
-    by_root = sets.join(groups, ["s1", "s2"])
-    linked_id = by_root.groupBy("r1", "r2").agg(F.min("first.doc_id").alias("linked"))
-    linked_id = by_root.join(linked_id, ["r1", "r2"]).select("s1", "s2", "linked")
-    classes_of, _ = stages.write(sets.join(linked_id, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("linked", "first.doc_id").alias("component_id")))
+    by_root = sets.join(groups, "id")
+    linked_id = by_root.groupBy("root").agg(F.min("first.doc_id").alias("linked"))
+    linked_id = by_root.join(linked_id, "root").select("id", "linked")
+    classes_of, _ = stages.write(sets.join(linked_id, "id", "left").select("s1", "s2", F.coalesce("linked", "first.doc_id").alias("component_id")))
     named = rows.where("n > 0").join(classes_of, ["s1", "s2"])
     alone = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
