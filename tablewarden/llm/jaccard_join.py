@@ -31,6 +31,8 @@ SIMILARITY = (85, 100)
 COUNT_BITS = 18
 #: Counts that travel as one row.
 COUNTS_PER_ROW = 256
+#: Bits of the bitmaps of small sets: 64 bytes.
+LEAST_BITS = 512
 #: Sets of one tile that meet in one go; larger tiles are dealt into cells.
 CELL = 2048
 
@@ -77,11 +79,11 @@ def name_of(shingles: np.ndarray) -> tuple[int, int]:
 def bitmap(shingles: np.ndarray) -> bytes:
     """A bit for each residue of the hashes, set if an odd number of shingles fall on it.
 
-    There are between half as many bits as shingles and as many, a power of two
-    from 64 on, so that the bitmap of a band is half as long as that of one with
-    twice the sizes, and folding its halves gives the shorter one.
+    There are between half as many bits as shingles and as many, but at least
+    ``LEAST_BITS``, and always a power of two: the bitmap of twice the size is
+    twice as long at most, and folding its halves gives the shorter one.
     """
-    bits = 1 << max(6, (len(shingles) - 1).bit_length() - 1 if len(shingles) else 0)
+    bits = max(LEAST_BITS, 1 << max(0, (len(shingles) - 1).bit_length() - 1 if len(shingles) else 0))
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
