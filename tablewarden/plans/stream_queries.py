@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewarden.plans.fold_queries import CREDITS_SQL, VIEWS_SQL
 from tablewarden.plans.registry import hits_sql, query, tables
-from tablewarden.runtime import scratch_path
-from tablewarden.streaming.search import latest_change, standing_search, unexpired, windowed_hits
-from tablewarden.streaming.state import CreditLedger, NewestResults, UpsertTable, ViewCounters
+from tablewarden.runtime import cut_lineage, scratch_path
+from tablewarden.streaming.search import latest_change, standing_search, windowed_hits
+from tablewarden.streaming.state import CreditLedger, KeptAggregate, TtlTable, UpsertTable, ViewCounters
+
+#: Micro-batches a table arrives in, and rows of one file.
+BATCHES = 4
+ROWS_PER_FILE = 1_000_000
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str, *order: str) -> DataFrame:
-    """A table as a stream of four files, one per micro-batch, in the order of some columns."""
+    """A table as a stream of four micro-batches in the order of some columns, each of several files."""
     rows, path = tables(spark, sf_dir, table)[table], scratch_path(spark, f"arriving-{table}")
-    parts = rows.repartitionByRange(4, *order).withColumn("__part", F.spark_partition_id()).persist()
-    for n in range(4):  # one after the other: a stream takes the oldest file first
-        parts.where(F.col("__part") == n).drop("__part").coalesce(1).write.mode("append").parquet(path)
-    parts.unpersist()
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = max(2, -(-rows.count() // (BATCHES * ROWS_PER_FILE)))
+    parts = cut_lineage(rows.repartitionByRange(BATCHES, *order).withColumn("__part", F.spark_partition_id()))
+    for n in range(BATCHES):  # one after the other: a stream takes the oldest files first
+        parts.where(F.col("__part") == n).drop("__part").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _run(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -51,7 +55,7 @@ def stream_fold_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, here, stream.schema, key="user_id", order=["ts", "event_id"], status="event_type",
         amount="value", user="user_id", done="purchase",
     )
-    ledger.start(stream, f"{here}/checkpoint").awaitTermination()
+    ledger.start(stream).awaitTermination()
     return ledger.balances().select("user_id", F.round("credits", 2).alias("credits"))
 
 
@@ -68,9 +72,9 @@ def stream_fold_credits_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     here = scratch_path(spark, "ledger")
     ledger = CreditLedger(
         spark, here, stream.schema, key="user_id", order=["ts", "event_id"], status="event_type",
-        amount="amount", user="user_id", done="purchase", buckets=8,
+        amount="amount", user="user_id", done="purchase",
     )
-    ledger.start(stream, f"{here}/checkpoint").awaitTermination()
+    ledger.start(stream).awaitTermination()
     return ledger.balances().select("user_id", F.col("credits").cast("string").alias("credits"))
 
 
@@ -80,8 +84,8 @@ def stream_fold_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(~F.col("event_type").isin("view", "click"), F.floor("value").cast("bigint") % 4)
     stream = _stream(spark, sf_dir, "events", "ts", "event_id").withColumn("views", value)
     here = scratch_path(spark, "views")
-    counters = ViewCounters(spark, here, stream.schema, key="user_id", order=["ts", "event_id"], value="views", start=2, buckets=8)
-    counters.start(stream, f"{here}-checkpoint").awaitTermination()
+    counters = ViewCounters(spark, here, stream.schema, key="user_id", order=["ts", "event_id"], value="views", start=2)
+    counters.start(stream).awaitTermination()
     return counters.counts()
 
 
@@ -97,26 +101,29 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 100).alias("s_suppkey"), F.col("value").alias("s_acctbal"), F.struct("ts", "event_id").alias("at")
     )
     target = UpsertTable(tables(spark, sf_dir, "supplier")["supplier"], here, changes.schema, ("s_suppkey",), "at")
-    target.start(changes, f"{here}-checkpoint").awaitTermination()
+    target.start(changes).awaitTermination()
     return target.read().select("s_suppkey", "s_name", "s_acctbal")
 
 
 @query("stream_updated_at", "SELECT user_id, max(ts) AS updated_at, count(*) AS changes FROM events GROUP BY ALL")
 def stream_updated_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Update mode: each batch replaces the rows of the users it touched."""
-    here = scratch_path(spark, "updated")
+    """Each batch replaces the state of the users it touched."""
     counted = latest_change(_stream(spark, sf_dir, "events", "event_id"), "user_id", "ts")
-    newest = NewestResults(spark, here, counted.schema, ("user_id",), buckets=8)
-    newest.start(counted, f"{here}-checkpoint").awaitTermination()
+    newest = KeptAggregate(counted, scratch_path(spark, "updated"), 1)
+    newest.start().awaitTermination()
     return newest.read()
 
 
-@query("stream_unexpired", "SELECT event_id, user_id FROM events WHERE event_id % 3 < 2")
+@query("stream_unexpired", """
+    WITH u AS (SELECT user_id, max(date_trunc('milliseconds', ts)) AS seen, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id)
+    SELECT user_id, event_id FROM u WHERE seen + INTERVAL 6 HOURS > (SELECT max(seen) FROM u)
+""")
 def stream_unexpired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events moved to today, yesterday and the day before: what is older than 36 hours does not arrive."""
-    stream = _stream(spark, sf_dir, "events", "event_id")
-    moved = stream.withColumn("at", F.current_timestamp() - F.make_dt_interval(F.col("event_id") % 3))
-    return _run(unexpired(moved.select("event_id", "user_id", "at"), "at", "36 hours"), scratch_path(spark, "unexpired")).drop("at")
+    """Users with their last event, as long as it is younger than six hours in the time of the events."""
+    stream = _stream(spark, sf_dir, "events", "ts", "event_id").select("user_id", "event_id", "ts")
+    seen = TtlTable(spark, scratch_path(spark, "seen"), stream.schema, key="user_id", at="ts", keep="6 hours")
+    seen.start(stream).awaitTermination()
+    return seen.live().select("user_id", "event_id")
 
 
 @query("stream_windowed_hits", """
@@ -124,12 +131,13 @@ def stream_unexpired(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM events WHERE event_type = 'purchase' GROUP BY 1, 2
 """)
 def stream_windowed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits per day, of all days: those still open at the end show what has been counted so far."""
+    """Hits per day: closed days from the sink, those still open at the end from the state."""
     stream = _stream(spark, sf_dir, "events", "ts")
     counted = windowed_hits(stream, "events", "purchase", "ts", "1 day", "1 hour")
-    flat = counted.select(F.col("window.start").alias("day"), "column_name", "hits")
     here = scratch_path(spark, "windowed")
-    newest = NewestResults(spark, here, flat.schema, ("day", "column_name"), buckets=8)
-    newest.start(flat, f"{here}-checkpoint").awaitTermination()
+    windows = KeptAggregate(counted, f"{here}/checkpoint", 2)
+    windows.start("append", "parquet", path=f"{here}/closed").awaitTermination()
+    closed = spark.read.schema(counted.schema).parquet(f"{here}/closed")
+    rows = closed.unionByName(windows.read()).select(F.col("window.start").alias("day"), "column_name", "hits")
     wall_clock = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("day").cast("timestamp_ntz"))
-    return newest.read().withColumn("day", wall_clock)
+    return rows.withColumn("day", wall_clock)

@@ -23,28 +23,21 @@ def windowed_hits(
     """Hits per time window and column; windows start on the clock of UTC.
 
     A wall-clock time is taken as it is, whatever time zone the session has.
-    Rows later than ``late`` are dropped, as watermarks work. In update mode
-    every window is there with what it has counted so far, the open ones too;
-    in append mode a window comes once it is closed.
+    Rows later than ``late`` are dropped, as watermarks work. In append mode a
+    window comes once it is closed, and the open ones can be read from the state
+    (:class:`tablewarden.streaming.state.KeptAggregate`); in update mode a window
+    comes whenever it has changed.
     """
     instant = F.col(at).cast("timestamp")
     if isinstance(stream.schema[at].dataType, T.TimestampNTZType):
         instant = F.concat(F.col(at).cast("string"), F.lit("+00:00")).cast("timestamp")
     timed = stream.withColumn(at, instant).withWatermark(at, late)
     ts = TableSet.of(stream.sparkSession, {name: timed}, keys={name: ()})
-
-
     predicates = column_predicates(ts, name, SearchValue(value, **how))
     found = hits_of(timed, predicates).select(at, F.explode("matching_columns").alias("column_name"))
     return found.groupBy(F.window(at, window), "column_name").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def unexpired(stream: DataFrame, at: str, keep: str) -> DataFrame:
-    """Rows of a stream that are younger than ``keep`` when they arrive."""
-    timed = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, keep)
-    return timed.where(F.col(at) > F.current_timestamp() - F.expr(f"INTERVAL {keep}"))
-
-
 def latest_change(stream: DataFrame, key: str, at: str) -> DataFrame:
     """Number and time of the last change per key, for update mode."""
     return stream.groupBy(key).agg(F.max(at).alias("updated_at"), F.count(F.lit(1)).alias("changes"))

@@ -1,81 +1,75 @@
-"""Keyed state that micro-batches keep up, in hash buckets.
+"""Keyed state that micro-batches keep up, in Spark's own state store.
 
-A batch rewrites the buckets its keys fall into, under its own number, from the
-version each bucket had before that number. So a batch that runs again gives the
-same state, and it costs what its buckets hold, not what came before. A bucket
-keeps its newest version and the one before, which a replay starts from; older
-ones are deleted as a batch is applied.
+State lives in RocksDB below the checkpoint of a query: a batch reads and writes
+the keys it brings, in as many partitions as the query began with, and a query
+started again with its checkpoint goes on where it was. What is there is read
+through Spark's state reader, so it costs what the state holds, not its history.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from tablewarden.operators.change import last_per_key, upsert
-from tablewarden.operators.folds import fold_credits, fold_views, last_status
-from tablewarden.runtime import delete_path, list_dir
+from tablewarden.functions.digests import row_digest, whole_row
+from tablewarden.operators.change import upsert
+from tablewarden.operators.folds import fold_credits
 
-BUCKETS = 64
-_BUCKET = "__bucket"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class BucketedState:
-    """A table with one row per key, kept as ``<path>/batch=<n>/__bucket=<b>`` folders."""
+def _start(stream: DataFrame, checkpoint: str, mode: str, sink: str = "noop", **options: str) -> StreamingQuery:
+    """Run over what the source has by now, with state in RocksDB."""
+    stream.sparkSession.conf.set(_PROVIDER, _ROCKSDB)
+    writer = stream.writeStream.format(sink).outputMode(mode).options(**options)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, key: tuple[str, ...], buckets: int = BUCKETS):
-        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
-        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
-    def _bucket(self) -> Column:
-        """A number for each key; one without a value, such as NULL, has one as well."""
-        return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.key]), F.lit(self.buckets)).cast("int")
+def state_rows(spark: SparkSession, checkpoint: str, variable: str | None = None) -> DataFrame:
+    """``key`` and ``value`` structs of a query's state after its last batch; ``variable`` names one of a processor."""
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    reader = spark.read.format("statestore").option("path", checkpoint)
+    return (reader.option("stateVarName", variable) if variable else reader).load()
 
-    def versions(self) -> dict[int, list[int]]:
-        """The batches each bucket has a version of, oldest first; two per bucket at most once a batch is done."""
-        found: dict[int, list[int]] = {}
-        for folder in list_dir(self.spark, self.path):
-            if folder.startswith("batch="):
-                for part in list_dir(self.spark, f"{self.path}/{folder}"):
-                    if part.startswith(f"{_BUCKET}="):
-                        found.setdefault(int(part.partition("=")[2]), []).append(int(folder.partition("=")[2]))
-        return {b: sorted(batches) for b, batches in found.items()}
 
-    def _folder(self, batch: int, bucket: int) -> str:
-        return f"{self.path}/batch={batch}/{_BUCKET}={bucket}"
+def _in_order(n: int):
+    """Sort key over the order columns ``o0`` to ``o<n-1>``, NULL first, as Spark orders."""
+    names = [f"o{i}" for i in range(n)]
 
-    def read(self, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
-        """The newest rows, or those before a batch, of all buckets or some."""
-        newest = {
-            b: max(n for n in batches if before is None or n < before)
-            for b, batches in self.versions().items()
-            if (buckets is None or b in buckets) and any(before is None or n < before for n in batches)
-        }
-        if not newest:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[self._folder(n, b) for b, n in newest.items()])
+    def key(row: Row) -> tuple:
+        return tuple((row[c] is not None, row[c]) for c in names)
 
-    def touched(self, keys: DataFrame) -> set[int]:
-        """Buckets of some keys: never more numbers than there are buckets."""
-        return {r[0] for r in keys.select(self._bucket()).distinct().collect()}
+    return key
 
-    def write(self, batch: int, rows: DataFrame) -> None:
-        """The new content of every bucket that has rows here, as the version of a batch."""
-        out = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema.fields]).withColumn(_BUCKET, self._bucket())
-        out.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.path}/batch={batch}")
-        for bucket, batches in self.versions().items():
-            for old in [n for n in batches if n < batch][:-1]:
-                delete_path(self.spark, self._folder(old, bucket))
-        for folder in list_dir(self.spark, self.path):
-            if folder.startswith("batch=") and folder != f"batch={batch}":
-                if not any(p.startswith(_BUCKET) for p in list_dir(self.spark, f"{self.path}/{folder}")):
-                    delete_path(self.spark, f"{self.path}/{folder}")
 
+def _ordered(stream: DataFrame, key: str, order: list[str], *more: Column) -> DataFrame:
+    return stream.select(F.col(f"`{key}`").alias("k"), *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)], *more)
 
-def _start(stream: DataFrame, apply, checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def _credit_processor(order: int) -> StatefulProcessor:
+    # a local class travels to executors by value
+    by = _in_order(order)
+
+    class Credits(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.done = handle.getValueState("done", "done boolean")
+
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            known = self.done.get()
+            was = bool(known and known[0])
+            for row in sorted(rows, key=by):
+                if row["done"] and not was:
+                    yield Row(who=row["who"], gain=row["gain"])
+                was = row["done"]
+            self.done.update((was,))
+
+        def close(self) -> None:
+            pass
+
+    return Credits()
 
 
 class CreditLedger:
@@ -84,132 +78,209 @@ class CreditLedger:
     Changes of a key count in the order in which batches bring them, and inside
     a batch in the order of the order columns. Amounts may be whole numbers,
     decimals or floating; credits have the type their sum has in a batch fold.
+
+    The state is one flag per key, whether it was ``done`` last. What a batch
+    earns is one row per user in ``<path>/gains/batch=<n>``, which a batch that
+    runs again replaces. The rows that one batch brings of one key are sorted in
+    one task, so the trigger's limits bound what a hot key needs.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, changes: T.StructType, *, key: str, order: list[str],
-        status: str, amount: str, user: str, done: str = "completed", buckets: int = BUCKETS,
+        status: str, amount: str, user: str, done: str = "completed",
     ):
-        self.args = {"key": key, "order": order, "status": status, "amount": amount, "user": user}
-        self.done = done
+        self.spark, self.path = spark, path.rstrip("/")
+        self.key, self.order, self.status, self.amount, self.user, self.done = key, order, status, amount, user, done
         empty = spark.createDataFrame([], changes)
-        gains = fold_credits(empty, **self.args, done=done, segments=1).schema
-        self.statuses = BucketedState(spark, f"{path}/status", T.StructType([changes[key], changes[status]]), (key,), buckets)
-        self.credits = BucketedState(spark, f"{path}/credits", gains, (user,), buckets)
-
-    def apply(self, batch: DataFrame, number: int) -> None:
-        """Fold one batch; running it again for the same number changes nothing."""
-        key, status, user = self.args["key"], self.args["status"], self.args["user"]
-        batch.persist()
-        try:
-            if batch.isEmpty():
-                return
-            known = self.statuses.read(number, self.statuses.touched(batch))
-            gains = fold_credits(batch, **self.args, done=self.done, previous=known).persist()
-            total = self.credits.read(number, self.credits.touched(gains)).unionByName(gains)
-            self.credits.write(number, total.groupBy(f"`{user}`").agg(F.sum("credits").alias("credits")))
-            gains.unpersist()
-            now = last_status(batch, key, self.args["order"], status).withColumn("__new", F.lit(1))
-            both = known.withColumn("__new", F.lit(0)).unionByName(now)
-            newest = both.groupBy(f"`{key}`").agg(F.max_by(F.struct(f"`{status}`"), "__new").alias("__row"))
-            self.statuses.write(number, newest.select(F.col(f"`{key}`"), F.col("__row")[status].alias(status)))
-        finally:
-            batch.unpersist()
-
-    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        return _start(stream, self.apply, checkpoint)
+        folded = fold_credits(empty, key, order, status, amount, user, done=done, segments=1)
+        self.schema = folded.schema
+        self.types = changes[user].dataType, changes[amount].dataType
+
+    def gains(self, stream: DataFrame) -> DataFrame:
+        """``who, gain`` for each change into ``done``, as a stream."""
+        done = F.coalesce(F.col(f"`{self.status}`") == self.done, F.lit(False)).alias("done")
+        amount = F.coalesce(F.col(f"`{self.amount}`"), F.lit(0).cast(self.types[1])).alias("gain")
+        rows = _ordered(stream, self.key, self.order, done, F.col(f"`{self.user}`").alias("who"), amount)
+        out = T.StructType([T.StructField("who", self.types[0]), T.StructField("gain", self.types[1])])
+        return rows.groupBy("k").transformWithState(_credit_processor(len(self.order)), out, "Append", "None")
+
+    def start(self, stream: DataFrame) -> StreamingQuery:
+        def write(batch: DataFrame, number: int) -> None:
+            sums = batch.groupBy(F.col("who").alias(self.user)).agg(F.sum("gain").alias("credits"))
+            sums.write.mode("overwrite").parquet(f"{self.path}/gains/batch={number}")
+
+        self.spark.conf.set(_PROVIDER, _ROCKSDB)
+        writer = self.gains(stream).writeStream.outputMode("append").foreachBatch(write)
+        return writer.option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start()
 
     def balances(self) -> DataFrame:
-        return self.credits.read()
+        """Credits of every user that has earned any, a sum of 0 included."""
+        gains = self.spark.read.parquet(f"{self.path}/gains").drop("batch")
+        total = gains.groupBy(f"`{self.user}`").agg(F.sum("credits").alias("credits"))
+        return total.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema.fields])
+
+
+def _view_processor(order: int, start: int) -> StatefulProcessor:
+    by = _in_order(order)
+
+    class Views(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.count = handle.getValueState("view_count", "view_count long")
+
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            known = self.count.get()
+            count = known[0] if known else start
+            for row in sorted(rows, key=by):
+                count = count + 1 if row["v"] is None or row["v"] == count else row["v"]
+            self.count.update((count,))
+            yield Row(k=key[0], view_count=count)
+
+        def close(self) -> None:
+            pass
+
+    return Views()
 
 
 class ViewCounters:
     """View counters kept up by a stream of updates: what a batch fold over all of them gives.
 
-    Updates of a key count in the order in which batches bring them.
+    Updates of a key count in the order in which batches bring them, and inside
+    a batch in that of the order columns. The state is one number per key.
     """
 
-    def __init__(
-        self, spark: SparkSession, path: str, changes: T.StructType, *, key: str, order: list[str], value: str,
-        start: int = 0, buckets: int = BUCKETS,
-    ):
-        self.args = {"key": key, "order": order, "value": value, "start": start}
-        self.state = BucketedState(
-            spark, path, T.StructType([changes[key], T.StructField("view_count", T.LongType())]), (key,), buckets
-        )
+    def __init__(self, spark: SparkSession, path: str, changes: T.StructType, *, key: str, order: list[str], value: str, start: int = 0):
+        self.spark, self.checkpoint = spark, f"{path.rstrip('/')}/checkpoint"
+        self.key, self.order, self.value, self.begin, self.type = key, order, value, start, changes[key].dataType
+
+    def updates(self, stream: DataFrame) -> DataFrame:
+        """``k, view_count``: after each batch the counters of the keys it brought, as a stream."""
+        rows = _ordered(stream, self.key, self.order, F.col(f"`{self.value}`").cast("long").alias("v"))
+        out = T.StructType([T.StructField("k", self.type), T.StructField("view_count", T.LongType())])
+        return rows.groupBy("k").transformWithState(_view_processor(len(self.order), self.begin), out, "Update", "None")
 
-    def apply(self, batch: DataFrame, number: int) -> None:
-        key = self.args["key"]
-        batch.persist()
-        try:
-            if batch.isEmpty():
-                return
-            known = self.state.read(number, self.state.touched(batch))
-            now = fold_views(batch, **self.args, previous=known).withColumn("__new", F.lit(1))
-            both = known.withColumn("__new", F.lit(0)).unionByName(now)
-            newest = both.groupBy(f"`{key}`").agg(F.max_by("view_count", "__new").alias("view_count"))
-            self.state.write(number, newest)
-        finally:
-            batch.unpersist()
-
-    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        return _start(stream, self.apply, checkpoint)
+    def start(self, stream: DataFrame) -> StreamingQuery:
+        return _start(self.updates(stream), self.checkpoint, "update")
 
     def counts(self) -> DataFrame:
-        return self.state.read()
+        rows = state_rows(self.spark, self.checkpoint, "view_count")
+        return rows.select(F.col("key.k").alias(self.key), "value.view_count")
+
+
+class KeptAggregate:
+    """The groups of a streaming aggregate, read from the state it is kept in.
+
+    For aggregates with one value each, such as max, min and count. Without a
+    watermark every group stays; with one, those still open.
+    """
+
+    def __init__(self, aggregated: DataFrame, checkpoint: str, groups: int):
+        """``aggregated`` has the grouping columns first, ``groups`` of them."""
+        self.stream, self.checkpoint, self.groups = aggregated, checkpoint, groups
+
+    def start(self, mode: str = "update", sink: str = "noop", **options: str) -> StreamingQuery:
+        return _start(self.stream, self.checkpoint, mode, sink, **options)
+
+    def read(self) -> DataFrame:
+        fields = self.stream.schema.fields
+        rows = state_rows(self.stream.sparkSession, self.checkpoint)
+        keys, values = rows.schema["key"].dataType.names, rows.schema["value"].dataType.names
+        if len(values) != len(fields) - self.groups:
+            raise ValueError("an aggregate that keeps several values cannot be read from the state")
+        columns = [F.col("key").getField(k) for k in keys] + [F.col("value").getField(v) for v in values]
+        return rows.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(columns, fields, strict=True)])
 
 
 class UpsertTable:
-    """A base table and the newest row per key of a change stream over it."""
+    """A base table and the newest row per key of a change stream over it.
 
-    def __init__(
-        self, base: DataFrame, path: str, changes: T.StructType, key: tuple[str, ...], order: str, buckets: int = BUCKETS
-    ):
-        self.base, self.key, self.order = base, key, order
-        self.state = BucketedState(base.sparkSession, path, changes, key, buckets)
-
-    def apply(self, batch: DataFrame, number: int) -> None:
-        """Rows of a batch replace those with an older order, or an equal one from an earlier batch."""
-        batch.persist()
-        try:
-            if batch.isEmpty():
-                return
-            known = self.state.read(number, self.state.touched(batch))
-            both = known.withColumn("__new", F.lit(0)).unionByName(batch.withColumn("__new", F.lit(1)))
-            newest = last_per_key(both, self.key, F.struct(F.col(f"`{self.order}`"), F.col("__new")))
-            self.state.write(number, newest.drop("__new"))
-        finally:
-            batch.unpersist()
-
-    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        return _start(stream, self.apply, checkpoint)
+    Of rows with one order value the greatest in all columns counts, whatever
+    batches they come in.
+    """
+
+    def __init__(self, base: DataFrame, path: str, changes: T.StructType, key: tuple[str, ...], order: str):
+        self.base, self.key, self.order, self.schema = base, key, order, changes
+        self.checkpoint = f"{path.rstrip('/')}/checkpoint"
+
+    def _newest(self, stream: DataFrame) -> KeptAggregate:
+        row = F.struct(F.col(f"`{self.order}`").alias("at"), whole_row(self.schema.fields).alias("tie"), F.struct("*").alias("row"))
+        keys = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(self.key)]
+        return KeptAggregate(stream.groupBy(*keys).agg(F.max(row).alias("newest")), self.checkpoint, len(keys))
+
+    def start(self, stream: DataFrame) -> StreamingQuery:
+        self.newest = self._newest(stream)
+        return self.newest.start()
 
     def read(self) -> DataFrame:
         """The base with the changes merged in; late changes lose to newer ones."""
-        return upsert(self.base, self.state.read(), self.key)
+        return upsert(self.base, self.newest.read().select("newest.row.*"), self.key)
 
 
-class NewestResults:
-    """What an update-mode query last said about each of its keys, those still open included."""
+def _ttl_processor(row_schema: T.StructType) -> StatefulProcessor:
+    names = row_schema.names
+    kept = T.StructType([T.StructField("micros", T.LongType()), T.StructField("tie", T.LongType()), *row_schema.fields])
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: tuple[str, ...], buckets: int = BUCKETS):
-        self.state = BucketedState(spark, path, schema, key, buckets)
+    class Ttl(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.newest = handle.getValueState("newest", kept)
 
-    def apply(self, batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            if batch.isEmpty():
-                return
-            keys = list(self.state.key)
-            known = self.state.read(number, self.state.touched(batch))
-            same = reduce(lambda a, b: a & b, [known[k].eqNullSafe(batch[k]) for k in keys])
-            self.state.write(number, known.join(batch, same, "left_anti").unionByName(batch))
-        finally:
-            batch.unpersist()
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            known = self.newest.get()
+            best = max(rows, key=lambda r: (r["__micros"], r["__tie"]))
+            if not known or (best["__micros"], best["__tie"]) > (known[0], known[1]):
+                self.newest.update((best["__micros"], best["__tie"], *[best[n] for n in names]))
+                self.handle.registerTimer(best["__micros"] // 1000)
+            return iter(())
 
-    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        query = stream.writeStream.outputMode("update").foreachBatch(self.apply)
-        return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            known = self.newest.get()
+            # a row that came later has a timer of its own
+            if known and known[0] // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+                self.newest.clear()
+                yield Row(**dict(zip(names, known[2:], strict=True)))
 
-    def read(self) -> DataFrame:
-        return self.state.read()
+        def close(self) -> None:
+            pass
+
+    return Ttl()
+
+
+class TtlTable:
+    """The newest row per key of a stream, for as long as it is younger than ``keep``.
+
+    Age is measured in event time, against the newest time that any batch has
+    brought: the watermark stays ``keep`` behind that, and when it passes the
+    time of a row, a timer takes the row out of the state and reports it. So the
+    same stream gives the same result on any day. Rows that are past their end
+    when they arrive are not taken, nor are those without a time. Ends are cut to
+    milliseconds; of rows of one time the one with the greater digest counts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, rows: T.StructType, *, key: str, at: str, keep: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), rows
+        self.key, self.at, self.keep = key, at, keep
+
+    def expiring(self, stream: DataFrame) -> DataFrame:
+        """The rows that leave, as a stream."""
+        instant = F.col(f"`{self.at}`").cast("timestamp")
+        if isinstance(self.schema[self.at].dataType, T.TimestampNTZType):  # a wall-clock time counts as UTC
+            instant = F.concat(F.col(f"`{self.at}`").cast("string"), F.lit("+00:00")).cast("timestamp")
+        rows = stream.select(
+            *[F.col(f"`{n}`") for n in self.schema.names], F.col(f"`{self.key}`").alias("__key"), instant.alias("__instant"),
+            row_digest(self.schema.fields).alias("__tie"),
+        )
+        timed = rows.where("__instant IS NOT NULL").withWatermark("__instant", self.keep)
+        timed = timed.withColumn("__micros", F.unix_micros("__instant"))
+        return timed.groupBy("__key").transformWithState(_ttl_processor(self.schema), self.schema, "Append", "EventTime")
+
+    def start(self, stream: DataFrame) -> StreamingQuery:
+        return _start(self.expiring(stream), f"{self.path}/checkpoint", "append", "parquet", path=f"{self.path}/expired")
+
+    def live(self) -> DataFrame:
+        """The rows that are still young."""
+        rows = state_rows(self.spark, f"{self.path}/checkpoint", "newest")
+        return rows.select(*[F.col("value").getField(n).alias(n) for n in self.schema.names])
+
+    def expired(self) -> DataFrame:
+        """The rows that have left."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/expired")
