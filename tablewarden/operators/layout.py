@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewarden.functions.digests import row_digest
 from tablewarden.operators.integrity import duplicates
-from tablewarden.runtime import cut_lineage
 
 # Anything that is neither a letter nor a digit separates terms.
 TERM_BREAK = r"[^\p{L}\p{N}]+"
@@ -52,15 +51,13 @@ def build_text_index(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return terms.where(F.col("term") != "").groupBy("term", "key").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def write_text_index(index: DataFrame, path: str, files: int | None = None) -> None:
-    """Store an index ordered by term and key: a lookup opens only the files
-    whose range holds the term, and a common term spans several files.
+def write_text_index(index: DataFrame, path: str) -> None:
+    """Store an index sorted by term and key within its files, which the shuffle
+    that counted the postings has dealt evenly, however common a term is.
 
-    The counted postings are written once before they are dealt by range, which
-    looks at them twice. Without ``files`` their number follows from their size.
+    A lookup reads the pages of its terms in each file and skips all others.
     """
-    index = cut_lineage(index)
-    index.repartitionByRange(files or files_for(index), "term", "key").sortWithinPartitions("term", "key").write.parquet(path)
+    index.sortWithinPartitions("term", "key").write.parquet(path)
 
 
 def text_lookup(index: DataFrame, terms: list[str], every: bool = False) -> DataFrame:

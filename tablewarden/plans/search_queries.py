@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewarden.operators import search as S
+from tablewarden.operators.trigrams import indexed_search, write_trigram_index
 from tablewarden.plans.registry import hits_sql, key_sql, query, tables
 from tablewarden.runtime import scratch_path
 from tablewarden.sources.sinks import export_csv
@@ -320,3 +321,22 @@ def search_csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "hits-csv")
     export_csv(S.hits_wide(tables(spark, sf_dir, "part", "supplier"), "42", limit=None), path)
     return spark.read.csv(path, header=True, escape='"')
+
+
+def _through_index(spark: SparkSession, sf_dir: str, value: str, **how: bool) -> DataFrame:
+    """Hits in the texts of documents, of which only granules are read that hold the trigrams of the value."""
+    path = scratch_path(spark, "trigrams")
+    write_trigram_index(tables(spark, sf_dir, "documents")["documents"], path, ["text", "source"], granule_rows=64)
+    return _shown(indexed_search(spark, path, "documents", value, ["text", "source"], key=("doc_id",), **how))
+
+
+@query("search_index_substring", hits_sql("documents", {"text": _text("text", "apache license"), "source": _text("source", "apache license")}))
+def search_index_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_index(spark, sf_dir, "Apache License")
+
+
+@query("search_index_regex", hits_sql("documents", {
+    c: f"regexp_matches({c}, 'AKIA[A-Z0-9]{{16}}|token *[:=] *[A-Za-z]+')" for c in ("text", "source")
+}))
+def search_index_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_index(spark, sf_dir, "AKIA[A-Z0-9]{16}|token *[:=] *[A-Za-z]+", regex=True, case_sensitive=True)
