@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablewarden.functions.digests import value_key
 from tablewarden.functions.jsontext import skeleton
 from tablewarden.functions.values import common_type, percent, type_tag
+from tablewarden.operators.discovery import discover_references
 from tablewarden.operators.predicates import compile_filter, fields_of
 from tablewarden.operators.search import check_tables
 from tablewarden.runtime import cut_lineage
@@ -419,8 +420,12 @@ def collection_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def observed_columns(ts: TableSet, table: str) -> DataFrame:
-    """Columns as found in the data: nullability, key candidates, references."""
+def observed_columns(ts: TableSet, table: str, discover: bool = False) -> DataFrame:
+    """Columns as found in the data: nullability, key candidates, references.
+
+    References are the declared ones, or with ``discover`` those that the tables
+    of the set allow, several joined by ``;``.
+    """
     df = ts[table]
     targets = {r.column: f"{r.parent}.{r.parent_column}" for r in ts.references if r.child == table}
     facts = df.sparkSession.createDataFrame(
@@ -433,6 +438,12 @@ def observed_columns(ts: TableSet, table: str) -> DataFrame:
     rows = df.agg(F.count(F.lit(1))).scalar()
     unique = F.coalesce("unique_values", F.lit(0))
     nulls = F.coalesce("null_count", F.lit(0))
+    if discover:
+        target = F.concat_ws(".", "parent_table", "parent_column")
+        found = discover_references(ts).where(F.col("child_table") == table).groupBy(F.col("child_column").alias("column_name"))
+        # one row per column, with one entry per column of the set at most
+        found = found.agg(F.array_join(F.sort_array(F.collect_list(target)), ";").alias("references"))
+        facts = facts.drop("references").join(found, "column_name", "left")
     # one row per column of the schema on either side
     return facts.join(F.broadcast(distinct_counts(df)), "column_name", "left").select(
         "position", "column_name", "data_type", "references", nulls.alias("null_count"),
