@@ -13,6 +13,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tablewarden.operators.layout import runs
 from tablewarden.operators.search import SearchValue, hits_of, match_text, row_key
 from tablewarden.sources.tables import TableSet
 
@@ -210,14 +211,6 @@ def candidates(grams: DataFrame, wanted: list[set[str]], columns: list[str]) ->
     return reduce(DataFrame.unionAll, parts).distinct()
 
 
-def _runs(numbers: list[int], most: int) -> list[tuple[int, int]]:
-    """Sorted numbers as runs, joined over the smallest gaps until they are few."""
-    gaps = sorted(((b - a, i) for i, (a, b) in enumerate(zip(numbers, numbers[1:], strict=False)) if b - a > 1), reverse=True)
-    cuts = sorted(i for _, i in gaps[: most - 1])
-    starts = [0, *[i + 1 for i in cuts]]
-    return [(numbers[a], numbers[b - 1]) for a, b in zip(starts, [*starts[1:], len(numbers)], strict=True)]
-
-
 def picked_rows(spark: SparkSession, path: str, v: SearchValue, columns: list[str]) -> DataFrame:
     """The rows of the granules in which a value can be; all rows where the index cannot tell or too many are left."""
     rows = spark.read.parquet(f"{path}/rows")
@@ -233,7 +226,7 @@ def picked_rows(spark: SparkSession, path: str, v: SearchValue, columns: list[st
     found.sort()
     granule = F.col(GRANULE)
     # the ranges reach the Parquet reader, which skips files, row groups and pages by them
-    ranges = reduce(or_, [granule.between(a, b) for a, b in _runs(found, RUNS)])
+    ranges = reduce(or_, [granule.between(a, b) for a, b in runs(found, RUNS)])
     return rows.where(ranges & granule.isin(found))
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewarden.operators import trigrams as N
+from tablewarden.operators.layout import runs
 from tablewarden.operators.search import SearchValue, search
 from tablewarden.sources.tables import TableSet
 
@@ -86,5 +87,5 @@ def test_empty_table(spark, scratch):
 
 def test_many_trigrams_and_runs():
     assert N.required_trigrams(SearchValue("null")) is None and N.required_trigrams(SearchValue("ab")) is None
-    assert N._runs([1, 2, 3, 10, 11, 50], 2) == [(1, 11), (50, 50)] and N._runs([5], 4) == [(5, 5)]
-    assert N._runs([1, 2, 3, 10, 11, 50], 9) == [(1, 3), (10, 11), (50, 50)]
+    assert runs([1, 2, 3, 10, 11, 50], 2) == [(1, 11), (50, 50)] and runs([5], 4) == [(5, 5)]
+    assert runs([1, 2, 3, 10, 11, 50], 9) == [(1, 3), (10, 11), (50, 50)]
