@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewarden.operators.ordered import SEGMENT, with_segments
+from tablewarden.runtime import cut_lineage
 
 COMPLETED, PENDING, PURCHASE = "completed", "pending", "purchase"
 
@@ -44,6 +45,8 @@ def fold_credits(
         F.max(F.when(opens, F.struct(is_done.alias("done"), "__amount"))).alias("__opens"),
         F.max(F.when(closes, F.struct(SEGMENT, is_done.alias("done")))).alias("__closes"),
     )
+    # looked at twice, and small: the log is only read once
+    parts = cut_lineage(parts)
     # one row per segment of a key, however many users it has had
     ends = parts.groupBy("__key", SEGMENT).agg(F.max("__closes").alias("__closes"))
     earlier = Window.partitionBy("__key").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)

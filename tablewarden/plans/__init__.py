@@ -4,7 +4,7 @@ import importlib
 
 _MODULES = [
     "search_queries", "profile_queries", "document_queries", "integrity_queries", "change_queries",
-    "keep_queries", "fold_queries", "stream_queries", "command_queries", "discovery_queries",
+    "keep_queries", "fold_queries", "stream_queries", "command_queries", "discovery_queries", "layout_queries",
 ]
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewarden.operators import profile as P
 from tablewarden.plans.registry import TABLES, query, tables
-from tablewarden.runtime import folder_bytes, list_dir, scratch_path
-from tablewarden.sources.documents import read_documents, read_seed
+from tablewarden.runtime import folder_bytes, scratch_path
+from tablewarden.sources.documents import read_documents, read_seed_lines, write_seed_lines
 from tablewarden.sources.sinks import clone, copy_table, to_json_lines
 
 
@@ -272,13 +272,11 @@ def table_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("seed_file", "SELECT s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal FROM supplier")
 def seed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table written as a seed, one JSON array, and read back."""
+    """A table written as a seed, one JSON object a line, and read back."""
     path = scratch_path(spark, "seed")
     supplier = tables(spark, sf_dir, "supplier")["supplier"].select("s_suppkey", "s_name", F.round("s_acctbal", 2).alias("s_acctbal"))
-    whole = supplier.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
-    whole.coalesce(1).write.text(path)
-    (name,) = [n for n in list_dir(spark, path) if n.startswith("part-")]
-    return read_seed(spark, f"{path}/{name}", supplier.schema)
+    write_seed_lines(supplier, path)
+    return read_seed_lines(spark, path, supplier.schema)
 
 
 @query("json_documents", """

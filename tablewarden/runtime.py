@@ -11,6 +11,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Folders of local sessions without the setting, by application.
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def build_session(app: str = "tablewarden", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,9 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT_CONF} to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="tablewarden-")
-    spark.conf.set(_CHECKPOINT_CONF, made)
-    return made
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="tablewarden-")
+    return _LOCAL_DIRS[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -31,3 +31,13 @@ def read_seed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
         .options(multiLine=True, mode="FAILFAST")
         .json(path)
     )
+
+
+def read_seed_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A seed of any size: a file or folder with one JSON object a line, read in as many tasks as its size asks for."""
+    return spark.read.schema(schema).options(mode="FAILFAST").json(path)
+
+
+def write_seed_lines(df: DataFrame, path: str) -> None:
+    """Rows as a seed that :func:`read_seed_lines` reads, in as many files as the frame has partitions."""
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)

@@ -9,7 +9,7 @@ from tablewarden.operators import migrate as M
 from tablewarden.operators import snapshot as K
 
 from tablewarden.runtime import list_dir, read_small_file, write_small_file
-from tablewarden.sources.documents import read_documents, read_seed
+from tablewarden.sources.documents import read_documents, read_seed, read_seed_lines, write_seed_lines
 from tablewarden.sources.sinks import clone, copy_table
 from tablewarden.sources.tables import TableSet, jdbc_options
 
@@ -155,6 +155,15 @@ def test_clusters_are_narrow_and_even(spark, scratch):
     assert N.unique_index_ok(df, ("id",)) and not N.unique_index_ok(df, ("v",))
 
 
+def test_seed_lines(spark, scratch):
+    rows = spark.createDataFrame([("a", 1), ("b", None), (None, None)], "name string, n int")
+    write_seed_lines(rows.repartition(3), f"{scratch}/lines")
+    assert sorted(map(tuple, read_seed_lines(spark, f"{scratch}/lines", rows.schema).collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+    spark.createDataFrame([('{"name": "a"',)], "value string").write.text(f"{scratch}/broken")
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        read_seed_lines(spark, f"{scratch}/broken", rows.schema).collect()
+
+
 def test_seed_files(spark, scratch):
     from pyspark.sql import types as T
 
