@@ -21,8 +21,10 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tablewarden.llm.common import Stages, pick, ship_package, table, word_lists
+from tablewarden.functions.digests import row_digest
+from tablewarden.llm.common import Placed, Stages, as_bytes, pick, ship_package, table, word_lists
 from tablewarden.llm.components import components
+from tablewarden.llm.simhash import keep_first
 
 #: Words in a shingle, and the similarity of a link as a fraction of whole numbers.
 SHINGLE = 4
@@ -354,36 +356,11 @@ def _meeting(similarity: tuple[int, int]):
     return tiles
 
 
-def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``, which has ``doc_id, text``.
-
-    A document's set is its distinct ``shingle``-word shingles, A-Z as a-z; a
-    text with fewer words is one shingle. Two documents are linked if the
-    Jaccard similarity of their sets is at least ``similarity``;
-    ``component_id`` is the smallest ``doc_id`` that links lead to. A text that
-    is NULL, empty or without words has no set and is linked with nothing. Rows
-    that repeat an id or a text each come back; a NULL id is never the smallest
-    one and a group with no other has a NULL component. An empty table gives no
-    rows. Texts of any length are read whole, in parts; extra columns are not
-    read, whatever their names.
-
-    Equal sets are one, by 128 bits. Shingles are compared by 64 bits. No pair
-    at or above the similarity is lost: two such sets share one of their
-    rarest shingles, and only the bound, which never underestimates, and the
-    exact test leave pairs out.
+def _classes(stages: Stages, docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Of ``doc_id, print, text``: each row's ``doc_id, print, n, s1, s2``, and each set's ``s1, s2, first`` of all it is linked with.
 
-    A common shingle never makes a large tile of unlike sets: shingles are
-    ordered by how often their hash cell was counted over all documents, so a
-    common one is only used by sets that have little else. A tile of any
-    size is first joined with one set of each band, a join Spark can split;
-    sets left in several groups meet in cells of at most 4,096.
+    ``first`` has the smallest ``doc_id``, then the smallest ``print``; ids before NULL.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    stages = Stages(spark, "jaccard")
-    raw = pick(docs, "doc_id", "text")
-    docs = raw.select("doc_id", F.xxhash64("text").alias("print"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-
     read, _ = stages.write(_read(docs, shingle))
     rows = read.where("part IS NULL").select("doc_id", "print", "n", "s1", "s2", "bits")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("first")
@@ -437,14 +414,66 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[in
         groups, _ = stages.write(components(found.unionAll(more)).withColumnRenamed("node", "id"))
 
     by_root = sets.join(groups, "id")
-    linked_id = by_root.groupBy("root").agg(F.min("first.doc_id").alias("linked"))
-    linked_id = by_root.join(linked_id, "root").select("id", "linked")
-    classes_of, _ = stages.write(sets.join(linked_id, "id", "left").select("s1", "s2", F.coalesce("linked", "first.doc_id").alias("component_id")))
-    named = rows.where("n > 0").join(classes_of, ["s1", "s2"])
+    linked_first = by_root.groupBy("root").agg(F.min("first").alias("linked"))
+    linked_first = by_root.join(linked_first, "root").select("id", "linked")
+    # as a table of its own, so that a set many rows share is a skewed join that Spark can split
+    classes_of, _ = stages.write(sets.join(linked_first, "id", "left").select("s1", "s2", F.coalesce("linked", "first").alias("first")))
+    return rows.drop("bits"), classes_of
+
+
+def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``, which has ``doc_id, text``.
+
+    A document's set is its distinct ``shingle``-word shingles, A-Z as a-z; a
+    text with fewer words is one shingle. Two documents are linked if the
+    Jaccard similarity of their sets is at least ``similarity``;
+    ``component_id`` is the smallest ``doc_id`` that links lead to. A text that
+    is NULL, empty or without words has no set and is linked with nothing. Rows
+    that repeat an id or a text each come back; a NULL id is never the smallest
+    one and a group with no other has a NULL component. An empty table gives no
+    rows. Texts of any length are read whole, in parts; extra columns are not
+    read, whatever their names.
+
+    Equal sets are one, by 128 bits. Shingles are compared by 64 bits. No pair
+    at or above the similarity is lost: two such sets share one of their
+    rarest shingles, and only the bound, which never underestimates, and the
+    exact test leave pairs out.
+
+    A common shingle never makes a large tile of unlike sets: shingles are
+    ordered by how often their hash cell was counted over all documents, so a
+    common one is only used by sets that have little else. A tile of any
+    size is first joined with one set of each band, a join Spark can split;
+    sets left in several groups meet in cells of at most 4,096.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    raw = pick(docs, "doc_id", "text")
+    docs = raw.select("doc_id", F.xxhash64("text").alias("print"), as_bytes(F.col("text")).alias("text"))
+    rows, sets = _classes(Stages(spark, "jaccard"), docs, shingle, similarity)
+    named = rows.where("n > 0").join(sets, ["s1", "s2"]).withColumn("component_id", F.col("first.doc_id"))
     alone = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
     return named.select(*columns).unionAll(alone.select(*columns))
 
 
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The documents of which one stays in each group of near copies: the smallest ``doc_id``, then the smallest row digest.
+
+    Groups are those of :func:`jaccard_groups`; texts without words are copies of
+    one another here. Rows with a NULL ``doc_id`` come last in their group, of
+    rows that are equal in all columns one stays, and all columns come back
+    unchanged, whatever their names. An empty table stays empty.
+    """
+    ship_package(docs.sparkSession)
+    placed = Placed(docs)
+    texts = placed.df.select(
+        placed.col("doc_id").alias("doc_id"), row_digest(list(placed.df.schema.fields)).alias("print"), as_bytes(placed.col("text")).alias("text")
+    )
+    rows, sets = _classes(Stages(docs.sparkSession, "near-copies"), texts, shingle, similarity)
+    wordless = rows.where("n = 0").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("first")).where("first IS NOT NULL")
+    stay = sets.select("first").distinct().unionAll(wordless)
+    return keep_first(placed, stay.select(F.struct("first.doc_id", F.col("first.print").alias("digest")).alias("first")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))

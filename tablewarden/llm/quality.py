@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tablewarden.functions.digests import row_digest
 from tablewarden.llm.common import WORD, Placed, Stages, pick, table
 
-#: Sources below this many rows in a language are taken together there; if even these are fewer, nothing is an outlier.
+#: Sources below this many rows in a language are taken together there; if even these are fewer, all rows are their group.
 MIN_ROWS = 50
 #: Share of a group that the covariance is fitted to.
 SUBSET = 0.75
@@ -167,38 +166,47 @@ def judge(docs: DataFrame, text: str = "text", by: Sequence[str] = ("lang", "sou
     group than ``LIMIT``. Estimates leave out rows that the plain rules reject.
     NULL is a language or source like any other. Groups with fewer than
     ``MIN_ROWS`` rows share one estimate with the others of their first group
-    column (the language); rows without any have a NULL distance and pass. Equal
-    rows count each. The text is read once; all else is work on a few numbers
-    per row.
+    column (the language); where these have fewer as well, the estimate of all
+    rows of all languages is theirs. Only a table with fewer than ``MIN_ROWS``
+    clean rows has no estimate; distances are NULL there and the plain rules
+    alone decide. Equal rows count each, empty texts have no words, and an empty
+    table gives no rows. Texts of any length are read once and kept with their
+    statistics; all else is work on a few numbers per row.
     """
-    rows = statistics(docs, text).select(*keep, *by, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    stats = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    rows = statistics(docs, text).select(*dict.fromkeys([*keep, *by]), *stats)
     rows = rows.withColumn("base_failed", base_failed())
     for name, part in zip(PARTS, vector(), strict=True):
         rows = rows.withColumn(name, part)
     stages = Stages(docs.sparkSession, "statistics")
     rows, _ = stages.write(rows)
-    sizes, _ = stages.write(rows.where(~F.col("base_failed")).groupBy(*by).agg(F.count(F.lit(1)).alias("__n")))
-    rows = _with(rows, sizes, by, "left").withColumn("__pooled", F.coalesce("__n", F.lit(0)) < MIN_ROWS)
-    own = [F.when(~F.col("__pooled"), F.col(c)).alias(f"__by{i}") for i, c in enumerate(by) if i]
-    rows = rows.select("*", F.col(by[0]).alias("__by0"), *own)
-    groups = [*[f"__by{i}" for i in range(len(by))], "__pooled"]
-    fitted = estimates(rows.where(~F.col("base_failed")).select(*groups, *PARTS), groups)
+    clean = ~F.col("base_failed")
+    sizes, _ = stages.write(rows.where(clean).groupBy(*by).agg(F.count(F.lit(1)).alias("__n")))
+    pools, _ = stages.write(sizes.where(F.col("__n") < MIN_ROWS).groupBy(by[0]).agg(F.sum("__n").alias("__pool")))
+    rows = _with(_with(rows, sizes, by, "left"), pools, by[:1], "left")
+    level = F.when(F.col("__n") >= MIN_ROWS, 0).when(F.col("__pool") >= MIN_ROWS, 1).otherwise(2)
+    rows = rows.withColumn("__level", level).withColumn("__by0", F.when(F.col("__level") < 2, F.col(by[0])))
+    for i, c in enumerate(by[1:], 1):
+        rows = rows.withColumn(f"__by{i}", F.when(F.col("__level") == 0, F.col(c)))
+    groups = [*[f"__by{i}" for i in range(len(by))], "__level"]
+    fitted_to = rows.where(clean & (F.col("__level") < 2)).select(*groups, *PARTS)
+    if not rows.where("__level = 2").isEmpty():
+        nothing = [F.lit(None).cast(fitted_to.schema[f"__by{i}"].dataType).alias(f"__by{i}") for i in range(len(by))]
+        fitted_to = fitted_to.unionAll(rows.where(clean).select(*nothing, F.lit(2).alias("__level"), *PARTS))
+    fitted = estimates(fitted_to, groups)
     judged = _with(rows, fitted, groups, "left").withColumn("distance", _distance())
-    return judged.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
-        (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= LIMIT)).alias("kept"),
-    )
+    return judged.select(*keep, *stats, "base_failed", "distance", (clean & (F.coalesce("distance", F.lit(0.0)) <= LIMIT)).alias("kept"))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns; cases as in :func:`judge`."""
+    """The documents that pass, with all their columns; cases as in :func:`judge`.
+
+    Documents are written once with their statistics, and what is joined to them
+    afterwards is a row per group.
+    """
     placed = Placed(docs)
-    rows = placed.df.withColumn("__digest", row_digest(list(placed.df.schema.fields))).withColumn("__id", placed.col("doc_id"))
-    by = placed.place("lang"), placed.place("source")
-    judged = judge(rows, placed.place("text"), by, ("__id", "__digest"))
-    gone = judged.where(~F.col("kept")).select(F.col("__id").alias("__gone"), F.col("__digest").alias("__gone_digest")).distinct()
-    left = rows.join(gone, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__gone_digest")), "left_anti")
-    return placed.restore(left)
+    judged = judge(placed.df, placed.place("text"), (placed.place("lang"), placed.place("source")), placed.columns)
+    return placed.restore(judged.where("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

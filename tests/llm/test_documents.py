@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewarden.llm import (
-    decontaminate, licenses, mixing, near_copies, quality, secrets, sharding, simhash, substring, token_files,
+    decontaminate, jaccard_join, licenses, mixing, quality, secrets, sharding, simhash, substring, token_files,
 )
 from tests.llm import data
 
@@ -236,11 +236,11 @@ def planted(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), alike
 
 
-@pytest.mark.parametrize("cell", [near_copies.CELL_SHINGLES, 300])
+@pytest.mark.parametrize("cell", [jaccard_join.CELL, 4])
 def test_planted_copies_go_by_similarity(spark, monkeypatch, cell):
     import corpus_pipeline
 
-    monkeypatch.setattr(near_copies, "CELL_SHINGLES", cell)
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
     docs, alike = planted(spark)
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert min(alike.values()) < 0.79 and sum(0.8 <= s < 0.85 for s in alike.values()) > 9
@@ -248,8 +248,8 @@ def test_planted_copies_go_by_similarity(spark, monkeypatch, cell):
 
 
 def test_keep_one_of_near_copies(docs, none):
-    kept = near_copies.keep_one(docs)
-    assert kept.columns == docs.columns and near_copies.keep_one(none).collect() == []
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and jaccard_join.keep_one(none).collect() == []
     ids = [r[0] for r in kept.toDF(*[f"c{i}" for i in range(9)]).select("c0").collect()]
     rows = [(i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)) if w)) for i, t in [r[:2] for r in data.rows()] for w in [data.words((t or "").lower())]]
     group = list(range(len(rows)))
@@ -292,6 +292,18 @@ def test_outliers_go_and_ordinary_texts_stay(spark):
     assert kept == {i for i in range(400) if i % 10} | {400}
 
 
+def test_a_rare_language_is_judged_by_all(spark):
+    """Forty rows have no estimate of their own; the one of all languages lets ordinary texts of theirs pass."""
+    rare = [(1000 + i, data.prose(5000 + i, 60), "zz", "rare") for i in range(36)]
+    junk = [(2000 + i, " ".join(w + "#$%&" for w in data.prose(6000 + i, 60).split()), "zz", None) for i in range(4)]
+    frame = outlier_frame(spark)
+    more = spark.createDataFrame(rare + junk, frame.schema)
+    kept = {r.doc_id for r in quality.filter_documents(frame.unionAll(more)).collect()}
+    assert kept == {i for i in range(400) if i % 10} | {400} | {r[0] for r in rare}
+    few = quality.judge(more, keep=("doc_id", "lang")).collect()
+    assert len(few) == 40 and all(r.distance is None and r.kept for r in few)
+
+
 def test_estimates_against_numpy(spark):
     """The robust covariance of a clean normal sample is near the true one, with a tenth of it far away."""
     rng = np.random.default_rng(2)
@@ -469,14 +481,55 @@ def test_licenses(spark, docs, pairs):
 
 
 def test_license_rules_are_in_order():
-    names = set(licenses.SENTENCES)
-    assert all(set(n) <= names for _, n in licenses.RULES)
-    assert len(set(licenses.SENTENCES.values())) == len(names)
-    tried = [licenses._pattern(n) for _, n in licenses.RULES]
+    names = set(licenses.ALL_SENTENCES) | {"bsd-neither"}
+    assert all(set(n) <= names for _, n in licenses.ALL_RULES)
+    assert len(set(licenses.ALL_SENTENCES.values())) == len(licenses.SENTENCES) + len(licenses.HEADER_SENTENCES)
+    tried = [licenses._pattern(n) for _, n in licenses.ALL_RULES]
     # a rule that holds another one's sentences comes first
     assert not [(a, b) for i, a in enumerate(tried) for b in tried[i + 1 :] if a in b]
 
 
+GNU = """This {what} is free software{mark} you can redistribute it and/or modify it under the
+terms of the GNU {name} as published by the Free Software Foundation{version}
+of the License, or (at your option) any later version.
+"""
+NOTICES = {
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not "
+    "distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+    "LGPL-2.1-or-later": GNU.format(what="library", mark=";", name="Lesser General Public License", version="; either version 2.1"),
+    "LGPL-3.0-or-later": GNU.format(what="program", mark=":", name="Lesser General Public License", version=", either version 3"),
+    "AGPL-3.0-or-later": GNU.format(what="program", mark=":", name="Affero General Public License", version=", either version 3"),
+    "GPL-2.0-or-later": GNU.format(what="program", mark=";", name="General Public License", version="; either version 2"),
+    "ISC": "Copyright 2020 X\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND "
+    "THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this "
+    "software to the public domain worldwide. This software is distributed without any warranty.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, "
+    "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "MIT": "Copyright (c) 2020 Foo\n# Licensed under the MIT License.", "Apache-2.0": "x = 1;\n// Licensed under the Apache License, Version 2.0",
+}
+
+
+def test_a_notice_of_each_license(spark):
+    got = licenses.recognise(spark.createDataFrame(list(NOTICES.items()), "doc_id string, text string")).collect()
+    assert {r.doc_id: (r.licenses, r.n_unexplained) for r in got} == {name: (name, 0) for name in NOTICES}
+
+
+def test_license_sql_is_the_query(spark):
+    """On texts that hold every known sentence and header, in and out of order."""
+    import duckdb
+
+    sentences = list(licenses.ALL_SENTENCES.values())
+    texts = [*NOTICES.values(), APACHE, GPL, BSD, *[f"{s}." for s in sentences], ". ".join(sentences), "\n\n".join(reversed(sentences)), "a\n" + "\n".join(sentences)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = licenses.recognise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert bag(tuple(r) for r in got) == bag(con.execute(licenses.SQL).fetchall())
+
+
 APACHE = """Copyright 2020 X
 
 Licensed under the Apache License, Version 2.0 (the "License");
