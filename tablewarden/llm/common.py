@@ -97,10 +97,10 @@ class Stages:
         self.spark, self.path = spark, scratch_path(spark, label)
         self.n = 0
 
-    def write(self, df: DataFrame) -> tuple[DataFrame, str]:
+    def write(self, df: DataFrame, codec: str = "snappy") -> tuple[DataFrame, str]:
         self.n += 1
         path = f"{self.path}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, path: str) -> None:

@@ -179,7 +179,7 @@ def judge(docs: DataFrame, text: str = "text", by: Sequence[str] = ("lang", "sou
     for name, part in zip(PARTS, vector(), strict=True):
         rows = rows.withColumn(name, part)
     stages = Stages(docs.sparkSession, "statistics")
-    rows, _ = stages.write(rows)
+    rows, _ = stages.write(rows, "zstd")  # it may hold the texts
     clean = ~F.col("base_failed")
     sizes, _ = stages.write(rows.where(clean).groupBy(*by).agg(F.count(F.lit(1)).alias("__n")))
     pools, _ = stages.write(sizes.where(F.col("__n") < MIN_ROWS).groupBy(by[0]).agg(F.sum("__n").alias("__pool")))
