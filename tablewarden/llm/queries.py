@@ -30,4 +30,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op5_chat_formatting": chat.SQL,
     "op10_license_sentences": licenses.SQL,
+    "op11_jaccard_join": jaccard_join.SQL,
 }
