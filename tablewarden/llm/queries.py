@@ -31,4 +31,5 @@ SQL: dict[str, str] = {
     "op5_chat_formatting": chat.SQL,
     "op10_license_sentences": licenses.SQL,
     "op11_jaccard_join": jaccard_join.SQL,
+    "op13_burst_trie": turn_trie.SQL,
 }

@@ -283,3 +283,37 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(whole).select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
     )
+
+
+#: Every prefix of every rebuilt conversation as a value; the CRC-32 is computed bit by bit.
+SQL = """
+    WITH t AS (
+        SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), i AS (
+        SELECT c, c - c % 100 AS f, xor(list_reduce(
+            list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+            lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))
+        ), 4294967295::UBIGINT) % 6 AS h FROM (SELECT DISTINCT c FROM t)
+    ), u AS (
+        SELECT i.c, 0 AS own, t.pos, role, text FROM i JOIN t ON t.c = i.f AND t.pos <= h
+        UNION ALL SELECT i.c, 1, t.pos, role, text FROM i JOIN t ON t.c = i.c AND t.pos > h
+    ), l AS (
+        SELECT i.c, coalesce(list(struct_pack(r := role, x := text) ORDER BY own, pos) FILTER (own IS NOT NULL), []) AS s FROM i LEFT JOIN u USING (c) GROUP BY i.c
+    ), m AS (
+        SELECT c, d, len(s) AS len, sha256(CAST(s[1:d] AS VARCHAR)) AS node, sha256(CAST(s[1:d - 1] AS VARCHAR)) AS above, coalesce(length(s[d].x), 0) AS chars
+        FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM l)
+    ), n AS (
+        SELECT d, node, any_value(above) AS above, min(c) AS conv, count(*) AS n, any_value(chars) AS chars,
+            sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len = d), '')) AS ends FROM m GROUP BY d, node
+    ), k AS (SELECT d - 1 AS d, above AS node, count(*) AS children FROM n WHERE d > 0 GROUP BY ALL
+    ), v AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN k USING (d, node)
+    ), s AS (
+        SELECT a.d, a.node, sum((v.n - 1) * v.chars) AS saved, count(*) FILTER (v.children = 0) AS leaves
+        FROM v JOIN m a ON a.c = v.conv AND a.d <= v.d GROUP BY a.d, a.node
+    )
+    SELECT v.conv AS conv_id, v.d AS depth, p.conv AS parent_conv_id, v.n AS n_convs, v.children AS n_children, s.leaves AS n_leaves,
+        CAST(s.saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+    FROM v JOIN s USING (d, node) LEFT JOIN n p ON p.d = v.d - 1 AND p.node = v.above
+"""

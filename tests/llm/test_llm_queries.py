@@ -40,7 +40,7 @@ def sha(text: str) -> str:
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
-    assert set(SQL) == {"op5_chat_formatting", "op10_license_sentences", "op11_jaccard_join"}
+    assert set(SQL) == {"op5_chat_formatting", "op10_license_sentences", "op11_jaccard_join", "op13_burst_trie"}
 
 
 def test_op1(spark, pairs):
