@@ -91,3 +91,15 @@ def test_empty_table(spark):
 def test_many_groups(spark):
     rows = [(i, "t", f"lang{i % 19:02d}", None, None) for i in range(60)]
     assert found(table_of(spark, rows), 1) == expected(rows)
+
+
+def test_query(spark):
+    import duckdb
+
+    from tablewarden.llm.queries import QUERIES
+    from tests.conftest import SMALL
+
+    rows = duckdb.execute(f"SELECT doc_id, text, lang, source, n_chars FROM '{SMALL}/documents.parquet'").fetchall()
+    out = QUERIES["op12_merkle_manifest"](spark, SMALL)
+    assert out.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    assert Counter(tuple(r) for r in out.collect()) == expected(rows)
