@@ -2,14 +2,19 @@
 
 A reference block is what one task reads at a time, a few MB of documents. It
 is indexed by its seeds, the hashes of all its windows of ``window`` words, each
-with the smallest document of the block that holds it. The indexes of all blocks
-are dealt by hash range, so a seed meets the seeds of every reference block in
-one place, and what comes back to a document are its seeds that a smaller
-document holds, with that document. The document is then parsed greedily: a
-factor starts at such a seed and runs on while the next seed lies in the same
-reference document. At a factor's boundary the seeds across it have been looked
-up like any other, so a passage that only another reference continues is found
-as well. A factor is ``window`` words long at least and becomes a duplicate span.
+with its place in the smallest document of the block that holds it. The indexes
+of all blocks are dealt by hash range, so a seed meets the seeds of every
+reference block, and what comes back to a document are its seeds that a smaller
+document holds, with that document and the word at which they stand there.
+
+The document is then parsed greedily. A factor starts at such a seed and runs on
+while the following ones stand in the same row of the corpus, one word further
+each, so the words of a factor stand in one piece in its reference. Seeds across
+the boundary of a factor have been looked up like any other: where only another
+reference continues, the next factor overlaps this one, and where the next seed of
+the same reference and offset is no further than ``window`` words away, the factor
+reaches over the boundary. A factor within a longer one is left out. A factor is
+``window`` words long at least and becomes a duplicate span.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -136,24 +142,27 @@ def _split(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list
         yield int(bucket[a]), [c[a:b] for c in columns]
 
 
-def _hits(seed: np.ndarray, doc: np.ndarray, owner: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """Seeds of documents that a smaller document holds, dealt by document."""
-    order = np.lexsort((owner, doc))
-    seed, doc, owner = seed[order], doc[order], owner[order]
-    for bucket, (s, d, o) in _split(_doc_bucket(doc, buckets), seed, doc, owner):
-        yield 1, bucket, _pack(d.view(np.uint64), s, o.view(np.uint64))
+def _hits(seed: np.ndarray, doc: np.ndarray, refs: tuple[np.ndarray, ...], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Seeds of documents that a smaller document holds, with document, row and word there, dealt by document."""
+    owner, row, word = refs
+    order = np.lexsort((word, row, owner, doc))
+    columns = (a[order] for a in (seed, doc, owner, row, word))
+    for bucket, (s, d, o, r, w) in _split(_doc_bucket(doc[order], buckets), *columns):
+        # words ascend within a reference, so steps from one to the next compress well
+        steps = np.diff(w.astype(np.int64), prepend=0)
+        yield 1, bucket, _pack(d.view(np.uint64), s, o.view(np.uint64), r, steps.view(np.uint64))
 
 
-def _owners(seed: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of seed and document once each, sorted, with the smallest document of each seed."""
-    order = np.lexsort((doc, seed))
-    seed, doc = seed[order], doc[order]
-    new = np.ones(len(seed), bool)
-    new[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])
-    seed, doc = seed[new], doc[new]
-    first = np.ones(len(seed), bool)
-    first[1:] = seed[1:] != seed[:-1]
-    return seed, doc, doc[np.flatnonzero(first)][np.cumsum(first) - 1]
+def _owners(seed: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each pair of seed and document stands first, in order of both, and where its smallest document holds the seed."""
+    at = np.lexsort((doc, seed))
+    s, d = seed[at], doc[at]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+    at, s = at[new], s[new]
+    first = np.ones(len(s), bool)
+    first[1:] = s[1:] != s[:-1]
+    return at, at[np.flatnonzero(first)][np.cumsum(first) - 1]
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -164,35 +173,40 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
-def _index_blocks(window: int, buckets: int):
+def _index_blocks(window: int, buckets: int, block_bytes: int):
     """Texts to the index of their reference block, and to the seeds that the block itself shows as repeated."""
 
     def of_block(ids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        data = b"".join(texts) if len(texts) > 1 else texts[0]
+        # rows of the corpus are told apart by their block and their first word in it
+        block = np.uint64(xxhash.xxh3_64_intdigest(data))
         if len(texts) == 1:
-            found = seeds(texts[0], window)
-            owner = np.full(len(found), ids[0], np.int64)
+            found, starts = seeds(data, window), np.zeros(1, np.uint32)
+            word, row = np.arange(len(found), dtype=np.uint32), np.zeros(len(found), np.uint32)
         else:
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            starts = np.cumsum([0, *map(len, texts)])[:-1]
-            words, counts = word_hashes(data, starts)
+            words, counts = word_hashes(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)])[:-1])
             found = window_hashes(words, window)
-            doc_of = np.repeat(np.arange(len(texts)), counts)
-            last = doc_of[window - 1 :]
-            same = doc_of[: len(last)] == last
-            found, owner = found[same], np.array(ids, np.int64)[last[same]]
+            starts = (np.cumsum(counts) - counts).astype(np.uint32)
+            row_of = np.repeat(np.arange(len(texts), dtype=np.uint32), counts)
+            last = row_of[window - 1 :]
+            word = np.flatnonzero(row_of[: len(last)] == last).astype(np.uint32)
+            found, row = found[word], last[word]
         if not len(found):
             return
-        seed, doc, least = _owners(found, owner)
-        repeated = doc > least
+        names = np.array(ids, np.int64)
+        at, lead = _owners(found, names[row])
+        repeated = names[row[at]] > names[row[lead]]
         rows = []
         if repeated.any():
-            rows += _hits(seed[repeated], doc[repeated], least[repeated], buckets)
-        seed, doc = seed[~repeated], doc[~repeated]
-        for bucket, (s, d) in _split(_bucket(seed, buckets), seed, doc):
-            # documents as places in a short list
-            names, place = np.unique(d, return_inverse=True)
-            head = np.array([len(names)], np.uint64).tobytes() + names.tobytes()
-            rows.append((0, bucket, head + _planes(place.astype(np.uint32)) + _planes(s)))
+            to, of = at[repeated], lead[repeated]
+            refs = names[row[of]], block + starts[row[of]], word[of] - starts[row[of]]
+            rows += _hits(found[to], names[row[to]], refs, buckets)
+        at = at[~repeated]
+        for bucket, (s, r, w) in _split(_bucket(found[at], buckets), found[at], row[at], word[at]):
+            # rows as places in a short list, known by their first words
+            own = np.unique(r)
+            head = np.array([block, len(own)], np.uint64).tobytes()
+            rows.append((0, bucket, head + _pack(names[own], starts[own]) + _pack(w, s)))
         yield _rows(rows)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,13 +216,13 @@ def _index_blocks(window: int, buckets: int):
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 data, doc = text.as_py(), doc.as_py()
-                if len(data) >= BLOCK_BYTES:  # a block of its own, read piece by piece
+                if len(data) >= block_bytes:  # a block of its own, read piece by piece
                     yield from of_block([NO_ID if doc is None else doc], [data])
                     continue
                 ids.append(NO_ID if doc is None else doc)
                 texts.append(data)
                 size += len(data)
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield from of_block(ids, texts)
                     ids, texts, size = [], [], 0
         if texts:
@@ -226,17 +240,27 @@ def _match_seeds(buckets: int):
     """The indexes of all blocks, one bucket of seeds at a time, to the seeds whose smallest document is another one."""
 
     def settle(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        all_seeds, all_docs = [], []
-        for part in parts:
-            n = int(np.frombuffer(part, np.uint64, 1)[0])
-            names = np.frombuffer(part, np.int64, n, 8)
-            count = (len(part) - 8 - 8 * n) // 12
-            all_docs.append(names[_unplanes(part, np.uint32, count, 8 + 8 * n)])
-            all_seeds.append(_unplanes(part, np.uint64, count, 8 + 8 * n + 4 * count))
-        seed, doc, least = _owners(np.concatenate(all_seeds), np.concatenate(all_docs))
-        repeated = doc > least
+        names, tags, starts, rows, words, found, known = [], [], [], [], [], [], 0
+        for part in sorted(parts):
+            block, n = np.frombuffer(part, np.uint64, 2)
+            n = int(n)
+            names.append(_unplanes(part, np.int64, n, 16))
+            starts.append(_unplanes(part, np.uint32, n, 16 + 8 * n))
+            tags.append(block + starts[-1])
+            at = 16 + 12 * n
+            count = (len(part) - at) // 12
+            word = _unplanes(part, np.uint32, count, at)
+            rows.append((np.searchsorted(starts[-1], word, "right") + (known - 1)).astype(np.uint32))
+            words.append(word)
+            found.append(_unplanes(part, np.uint64, count, at + 4 * count))
+            known += n
+        name, tag, start, row, word, seed = (np.concatenate(a) for a in (names, tags, starts, rows, words, found))
+        at, lead = _owners(seed, name[row])
+        repeated = name[row[at]] > name[row[lead]]
         if repeated.any():
-            yield _rows(list(_hits(seed[repeated], doc[repeated], least[repeated], buckets)))
+            to, of = at[repeated], lead[repeated]
+            refs = name[row[of]], tag[row[of]], word[of] - start[row[of]]
+            yield _rows(list(_hits(seed[to], name[row[to]], refs, buckets)))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
@@ -256,16 +280,31 @@ def _match_seeds(buckets: int):
     return match
 
 
-def factors(owner: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """``(first word, length, reference document)`` of a greedy parse; ``owner`` names the reference of each seed, ``NO_ID`` none."""
-    at = np.flatnonzero(owner != NO_ID)
+def factors(at: np.ndarray, refs: tuple[np.ndarray, ...], window: int) -> list[tuple[int, int, int, int]]:
+    """``(first word, length, reference document, first word there)`` of a greedy parse.
+
+    ``at`` are the words where found seeds start, ascending; ``refs`` the document,
+    the row and the word where each stands in its reference.
+    """
     if not len(at):
         return []
+    owner, row, word = refs
+    offset = word - at
+    order = np.lexsort((at, offset, row, owner))
+    at, owner, row, word, offset = (a[order] for a in (at, owner, row, word, offset))
     new = np.ones(len(at), bool)
-    new[1:] = (np.diff(at) > 1) | (owner[at[1:]] != owner[at[:-1]])
-    firsts = np.flatnonzero(new)
-    lasts = np.append(firsts[1:], len(at)) - 1
-    return [(int(at[a]), int(at[b] - at[a] + window), int(owner[at[a]])) for a, b in zip(firsts, lasts, strict=True)]
+    # two windows at one offset that touch stand in one piece in the reference
+    new[1:] = (owner[1:] != owner[:-1]) | (row[1:] != row[:-1]) | (offset[1:] != offset[:-1]) | (np.diff(at) > window)
+    first = np.flatnonzero(new)
+    start, end = at[first], at[np.append(first[1:], len(at)) - 1] + window
+    order = np.lexsort((-end, start))
+    first, start, end = first[order], start[order], end[order]
+    longest = np.maximum.accumulate(end)
+    kept = np.ones(len(end), bool)
+    kept[1:] = end[1:] > longest[:-1]
+    return [
+        (int(s), int(e - s), int(owner[f]), int(word[f])) for f, s, e in zip(first[kept], start[kept], end[kept], strict=True)
+    ]
 
 
 def _parse(data: bytes, doc: int, hits: tuple[np.ndarray, ...], window: int) -> tuple[int, int, bytes, list]:
@@ -276,22 +315,32 @@ def _parse(data: bytes, doc: int, hits: tuple[np.ndarray, ...], window: int) ->
         high = len(hits[0])
     if low == high or len(words) < window:
         return len(words), 0, b" ".join(words), []
-    own, owners = hits[1][low:high], hits[2][low:high]
+    own = hits[1][low:high]
     found = seeds(data, window)
     place = np.minimum(np.searchsorted(own, found), len(own) - 1)
-    owner = np.where(own[place] == found, owners[place], NO_ID)
-    parsed = factors(owner, window)
+    at = np.flatnonzero(own[place] == found)
+    parsed = factors(at, tuple(h[low + place[at]] for h in hits[2:]), window)
     edges = np.zeros(len(words) + 1, np.int64)
-    for start, length, _ in parsed:
+    for start, length, _, _ in parsed:
         edges[start] += 1
         edges[start + length] -= 1
     kept = np.cumsum(edges[:-1]) == 0
     return len(words), int(len(words) - kept.sum()), b" ".join(compress(words, kept.tolist())), parsed
 
 
+def _sorted_hits(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Document, seed, and document, row and word of the reference, in order of the first two."""
+    parts = [_unpack(p, 5) for p in payloads]
+    found = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64) for i in range(4)]
+    words = [np.cumsum(p[4].view(np.int64)) for p in parts]
+    docs, seed, owner, row = found[0].view(np.int64), found[1], found[2].view(np.int64), found[3]
+    order = np.lexsort((seed, docs))
+    return docs[order], seed[order], owner[order], row[order], (np.concatenate(words) if words else np.empty(0, np.int64))[order]
+
+
 _RESULT = pa.struct([
     ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
-    ("factors", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("reference", pa.int64())]))),
+    ("factors", pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "reference", "reference_start")]))),
 ])
 
 
@@ -326,18 +375,13 @@ def _parse_documents(window: int, digest: bool):
                     payloads.append(payload)
                     continue
                 if hits is None:
-                    parts = [_unpack(p, 3) for p in payloads]
-                    payloads = []
-                    columns = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64) for i in range(3)]
-                    docs, found, owner = columns[0].view(np.int64), columns[1], columns[2].view(np.int64)
-                    order = np.lexsort((found, docs))
-                    hits = docs[order], found[order], owner[order]
+                    hits, payloads = _sorted_hits(payloads), []
                 n, removed, left, parsed = _parse(unpack(text), NO_ID if doc is None else doc, hits, window)
                 ids.append(doc)
                 n_words.append(n)
                 n_removed.append(removed)
                 kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode())
-                spans.append([{"start": s, "length": k, "reference": r} for s, k, r in parsed])
+                spans.append([{"start": s, "length": k, "reference": r, "reference_start": w} for s, k, r, w in parsed])
             if ids:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
@@ -353,12 +397,18 @@ def deduplicate(docs: DataFrame, window: int = 13, digest: bool = False) -> Data
     A word is removed if a window of ``window`` words that covers it also starts
     in a document with a smaller ``doc_id``, judged on the input. ``kept`` is the
     text that stays, words joined by one space, or with ``digest`` its SHA-256 in
-    hex. ``factors`` are the duplicate spans in words with the reference document
-    each was found in.
-
-    A NULL text has no words. Rows with one ``doc_id`` do not count against one
-    another. A NULL ``doc_id`` is larger than any other, and such rows do not
-    count against one another either. Windows are compared by 64-bit hashes.
+    hex. ``factors`` are the duplicate spans: ``length`` words from ``start`` on,
+    which stand in one piece in the document ``reference`` from ``reference_start``
+    on. A seed comes with one place, the first in the smallest document of its own
+    block or, where its block has no smaller one, of all blocks.
+
+    A NULL text has no words, an empty one neither. Texts of any length are read
+    piece by piece. Rows with one ``doc_id`` do not count against one another; as
+    references they are told apart, and a factor stands in one of them. A NULL
+    ``doc_id`` is larger than any other, and such rows do not count against one
+    another either. Windows are compared by 64-bit hashes. Repeated rows come back
+    as often as they come; an empty table gives no rows; other columns are not
+    read, whatever their names.
 
     Shuffled are the seeds, about 8 bytes a word, once; the repeated seeds; and
     the texts, once. A passage that many documents share is one entry per block,
@@ -370,7 +420,7 @@ def deduplicate(docs: DataFrame, window: int = 13, digest: bool = False) -> Data
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes(F.col("text")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, 1 << max(0, (int(total) // BUCKET_BYTES - 1)).bit_length())
-    index = texts.mapInArrow(_index_blocks(window, buckets), "kind int, bucket long, payload binary")
+    index = texts.mapInArrow(_index_blocks(window, buckets, BLOCK_BYTES), "kind int, bucket long, payload binary")
     dealt = index.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
     hits = dealt.mapInArrow(_match_seeds(buckets), "kind int, bucket long, payload binary")
     nothing = F.lit(None)
@@ -381,7 +431,7 @@ def deduplicate(docs: DataFrame, window: int = 13, digest: bool = False) -> Data
     return together.mapInArrow(
         _parse_documents(window, digest),
         "doc_id long, n_words long, n_removed long, kept string, "
-        "factors array<struct<start:bigint,length:bigint,reference:bigint>>",
+        "factors array<struct<start:bigint,length:bigint,reference:bigint,reference_start:bigint>>",
     )
 
 

@@ -90,16 +90,59 @@ def test_repeated_passages(docs, pairs):
     assert sum(r.n_removed for r in got) > 1000
 
 
-def test_factors_name_their_reference(docs, pairs):
+def stands(text, own, f):
+    """Whether the words of a factor are those of its reference, in one piece."""
+    span = own[f.start : f.start + f.length]
+    return len(span) == f.length and any(w[f.reference_start : f.reference_start + f.length] == span for w in text[f.reference])
+
+
+@pytest.mark.parametrize("window,block", [(13, 2 << 20), (13, 3000), (3, 500)])
+def test_factors_stand_in_one_piece(docs, pairs, monkeypatch, window, block):
+    monkeypatch.setattr(substring, "BLOCK_BYTES", block)
     text = {}
     for i, t in pairs:
         text.setdefault(i, []).append(data.words(t))
-    for r in substring.deduplicate(docs).where("n_removed > 0 AND doc_id IS NOT NULL").collect():
+    seen = 0
+    for r in substring.deduplicate(docs, window).where("n_removed > 0 AND doc_id IS NOT NULL").collect():
+        covered = {k for f in r.factors for k in range(f.start, f.start + f.length)}
+        assert len(covered) == r.n_removed
         for f in r.factors:
-            assert f.reference < r.doc_id and f.length >= 13
-            seed = [tuple(w[f.start : f.start + 13]) for w in text[r.doc_id]]
-            held = {tuple(w[k : k + 13]) for w in text[f.reference] for k in range(len(w) - 12)}
-            assert any(s in held for s in seed)
+            seen += 1
+            assert f.reference < r.doc_id and f.length >= window
+            assert any(stands(text, own, f) for own in text[r.doc_id])
+        ends = [f.start + f.length for f in r.factors]
+        assert ends == sorted(set(ends)), "a factor lies within another one"
+    assert seen >= 10
+
+
+def parsed(spark, window, *texts):
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").coalesce(1)
+    rows = substring.deduplicate(df, window).orderBy("doc_id").collect()
+    return [[tuple(f) for f in r.factors] for r in rows], [r.kept for r in rows]
+
+
+def test_factors_do_not_join_separate_places(spark):
+    w = [f"w{i}" for i in range(14)]
+    reference = " ".join(["x", *w[:13], "y", "z", *w[1:]])
+    found, kept = parsed(spark, 13, reference, " ".join(w))
+    assert found == [[], [(0, 13, 1, 1), (1, 13, 1, 16)]] and kept == [reference, ""]
+
+
+def test_factors_reach_over_what_another_reference_holds(spark):
+    w = [f"w{i}" for i in range(40)]
+    # the first document holds the middle, the second one all of it
+    found, _ = parsed(spark, 5, " ".join(w[10:17]), " ".join(["a", *w]), " ".join(["b", "c", *w, "d"]))
+    assert found[1] == [(11, 7, 1, 0)] and found[2] == [(2, 40, 2, 1)]
+    # its windows are too far apart to be sure of what stands between
+    found, kept = parsed(spark, 5, " ".join(w[10:30]), " ".join(["a", *w]), " ".join(w))
+    assert found[2] == [(0, 14, 2, 1), (10, 20, 1, 0), (26, 14, 2, 27)] and kept[2] == ""
+
+
+def test_factors_with_one_id_twice(spark):
+    w = [f"w{i}" for i in range(8)]
+    df = spark.createDataFrame([(1, " ".join(w[:5])), (1, " ".join(["x", *w[1:6]])), (2, " ".join(w[:6]))], "doc_id long, text string").coalesce(1)
+    last = substring.deduplicate(df, 5).where("doc_id = 2").first()
+    assert [tuple(f) for f in last.factors] == [(0, 5, 1, 0), (1, 5, 1, 1)] and last.n_removed == 6
 
 
 def test_small_blocks_and_buckets(docs, pairs, monkeypatch):
