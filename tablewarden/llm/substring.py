@@ -125,6 +125,10 @@ def _unpack(data: bytes, columns: int) -> list[np.ndarray]:
     return [_unplanes(data, np.uint64, n, 8 * n * k) for k in range(columns)]
 
 
+def _steps(column: np.ndarray) -> np.ndarray:
+    return np.diff(column, prepend=np.zeros(1, column.dtype))
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Even buckets by the leading bits of a hash."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -149,8 +153,7 @@ def _hits(seed: np.ndarray, doc: np.ndarray, refs: tuple[np.ndarray, ...], bucke
     columns = (a[order] for a in (seed, doc, owner, row, word))
     for bucket, (s, d, o, r, w) in _split(_doc_bucket(doc[order], buckets), *columns):
         # words ascend within a reference, so steps from one to the next compress well
-        steps = np.diff(w.astype(np.int64), prepend=0)
-        yield 1, bucket, _pack(d.view(np.uint64), s, o.view(np.uint64), r, steps.view(np.uint64))
+        yield 1, bucket, _pack(d.view(np.uint64), s, o.view(np.uint64), r, _steps(w.astype(np.int64)).view(np.uint64))
 
 
 def _owners(seed: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,12 +204,13 @@ def _index_blocks(window: int, buckets: int, block_bytes: int):
             to, of = at[repeated], lead[repeated]
             refs = names[row[of]], block + starts[row[of]], word[of] - starts[row[of]]
             rows += _hits(found[to], names[row[to]], refs, buckets)
-        at = at[~repeated]
+        # in order of the text, where the steps between words are small
+        at = np.sort(at[~repeated])
         for bucket, (s, r, w) in _split(_bucket(found[at], buckets), found[at], row[at], word[at]):
             # rows as places in a short list, known by their first words
             own = np.unique(r)
             head = np.array([block, len(own)], np.uint64).tobytes()
-            rows.append((0, bucket, head + _pack(names[own], starts[own]) + _pack(w, s)))
+            rows.append((0, bucket, head + _pack(_steps(names[own]), _steps(starts[own]), _steps(w), s)))
         yield _rows(rows)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +248,12 @@ def _match_seeds(buckets: int):
         for part in sorted(parts):
             block, n = np.frombuffer(part, np.uint64, 2)
             n = int(n)
-            names.append(_unplanes(part, np.int64, n, 16))
-            starts.append(_unplanes(part, np.uint32, n, 16 + 8 * n))
+            names.append(np.cumsum(_unplanes(part, np.int64, n, 16)))
+            starts.append(np.cumsum(_unplanes(part, np.uint32, n, 16 + 8 * n), dtype=np.uint32))
             tags.append(block + starts[-1])
             at = 16 + 12 * n
             count = (len(part) - at) // 12
-            word = _unplanes(part, np.uint32, count, at)
+            word = np.cumsum(_unplanes(part, np.uint32, count, at), dtype=np.uint32)
             rows.append((np.searchsorted(starts[-1], word, "right") + (known - 1)).astype(np.uint32))
             words.append(word)
             found.append(_unplanes(part, np.uint64, count, at + 4 * count))
