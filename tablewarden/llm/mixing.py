@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablewarden.functions.digests import row_digest
 from tablewarden.llm.common import WORD, Placed, Stages, pick, running_sum, table
+from tablewarden.runtime import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -144,7 +145,9 @@ def training_order(docs: DataFrame, size: str, curriculum: Curriculum = Curricul
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    mixed = mix(docs.select("doc_id", "source", words.alias("size")), "size")
+    # texts are read once: what follows needs sizes only
+    sizes = cut_lineage(docs.select("doc_id", "source", words.alias("size")))
+    mixed = mix(sizes, "size")
     first = F.get("copies", F.lit(0))["position"]
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).orderBy(
         F.col("position").asc_nulls_last(), "doc_id"
