@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,53 +32,75 @@ _FOUND_ARROW = pa.struct([
 class Automaton:
     """All substrings of some word sequences; a state stands for substrings that end at the same places.
 
-    ``windows`` maps a state to the items whose ``window``-word substring it
-    holds, ``shorts`` a state to the items that are shorter than a window and
-    are a suffix of what it holds, with their lengths.
+    States are numbers and their properties are flat arrays: most of them lead
+    to one state only, which is kept in ``word`` and ``target``; ``many`` has what
+    else the others lead to. ``place`` is the place of a state among those that
+    hold a ``window``-word substring, whose items are ``window_items`` from
+    ``window_at`` on. ``own`` maps a state to the items that are shorter than a
+    window and are what it holds, with their lengths, and ``nearest`` is the next
+    such state among a state and its suffixes.
     """
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.word, self.target = array("i", [-1]), array("i", [-1])
+        self.many: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.items: list[object] = []
         coded = []
         for item, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
+            ids = array("i", [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words])
             if ids:
-                coded.append((item, ids))
+                coded.append(ids)
+                self.items.append(item)
                 last = 0
                 for c in ids:
                     last = self._extend(last, c)
-        self.shortest = min([window, *(len(ids) for _, ids in coded)])
+        self.shortest = min([window, *map(len, coded)])
         self._mark(coded)
 
+    def _next(self, state: int, c: int) -> int:
+        """The state that a word leads to, or -1."""
+        if self.word[state] == c:
+            return self.target[state]
+        return self.many[state].get(c, -1) if state in self.many else -1
+
+    def _lead(self, state: int, c: int, to: int) -> None:
+        if self.word[state] in (-1, c):
+            self.word[state], self.target[state] = c, to
+        else:
+            self.many.setdefault(state, {})[c] = to
+
+    def _state(self, link: int, length: int) -> int:
+        self.word.append(-1)
+        self.target.append(-1)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.link) - 1
+
     def _split(self, p: int, q: int, c: int) -> int:
         """A state of its own for what is reached from ``p`` by ``c``, the shorter strings of ``q``."""
-        copy = len(self.next)
-        self.next.append(dict(self.next[q]))
-        self.link.append(self.link[q])
-        self.length.append(self.length[p] + 1)
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
+        copy = self._state(self.link[q], self.length[p] + 1)
+        self.word[copy], self.target[copy] = self.word[q], self.target[q]
+        if q in self.many:
+            self.many[copy] = dict(self.many[q])
+        while p >= 0 and self._next(p, c) == q:
+            self._lead(p, c, copy)
             p = self.link[p]
         self.link[q] = copy
         return copy
 
     def _extend(self, last: int, c: int) -> int:
-        known = self.next[last].get(c)
-        if known is not None:
+        known = self._next(last, c)
+        if known >= 0:
             return known if self.length[known] == self.length[last] + 1 else self._split(last, known, c)
-        new = len(self.next)
-        self.next.append({})
-        self.link.append(0)
-        self.length.append(self.length[last] + 1)
+        new = self._state(0, self.length[last] + 1)
         p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = new
+        while p >= 0 and (q := self._next(p, c)) < 0:
+            self._lead(p, c, new)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][c]
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, c)
         return new
 
@@ -87,23 +110,29 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def _mark(self, coded: list[tuple[object, list[int]]]) -> None:
-        windows: dict[int, set] = {}
-        own: dict[int, list] = {}
-        for item, ids in coded:
+    def _mark(self, coded: list[array]) -> None:
+        states, numbers = array("i"), array("i")
+        self.own: dict[int, list[tuple[int, object]]] = {}
+        for n, ids in enumerate(coded):
             state = 0
-            for n, c in enumerate(ids, 1):
-                state = self.next[state][c]
-                if n >= self.window:
-                    windows.setdefault(self._holder(state, self.window), set()).add(item)
+            for at, c in enumerate(ids, 1):
+                state = self._next(state, c)
+                if at >= self.window:
+                    states.append(self._holder(state, self.window))
+                    numbers.append(n)
             if len(ids) < self.window:
-                own.setdefault(self._holder(state, len(ids)), []).append((len(ids), item))
-        self.windows = {s: sorted(items) for s, items in windows.items()}
-        self.shorts: dict[int, list] = {}
-        if own:
-            for s in sorted(range(len(self.next)), key=self.length.__getitem__):
-                if found := own.get(s, []) + self.shorts.get(self.link[s], []):
-                    self.shorts[s] = found
+                self.own.setdefault(self._holder(state, len(ids)), []).append((len(ids), self.items[n]))
+        pairs = np.unique(np.array(states, np.int64) << 32 | np.array(numbers, np.int64))
+        held, first = np.unique(pairs >> 32, return_index=True)
+        place = np.full(len(self.link), -1, np.int32)
+        place[held] = np.arange(len(held))
+        self.place = array("i", place.tobytes())
+        self.window_at = np.append(first, len(pairs)).astype(np.int32)
+        self.window_items = (pairs & 0xFFFFFFFF).astype(np.int32)
+        self.nearest = array("i", [-1]) * len(self.link)
+        if self.own:
+            for s in np.argsort(np.array(self.length), kind="stable")[1:].tolist():
+                self.nearest[s] = s if s in self.own else self.nearest[self.link[s]]
 
     def scan(self, words: Iterator[list[bytes]]) -> tuple[int, list[list[int]], set]:
         """The number of words, the merged spans of words in occurrences, the items that occur.
@@ -114,6 +143,7 @@ class Automaton:
         """
         spans: list[list[int]] = []
         items: set = set()
+        held: set[int] = set()
         total, carried = 0, np.empty(0, np.int64)
         unknown = [-1]
         for batch in words:
@@ -123,29 +153,43 @@ class Automaton:
             carried = carried[:0]
             for start, end in borders.reshape(-1, 2).tolist():
                 if end - start >= self.shortest:
-                    self._track(ids[start:end].tolist(), at + start, spans, items)
+                    self._track(ids[start:end].tolist(), at + start, spans, items, held)
                 if end == len(ids):
                     carried = ids[max(start, end - self.window + 1) : end]
             total += len(batch)
+        for p in held:
+            items.update(self.items[k] for k in self.window_items[self.window_at[p] : self.window_at[p + 1]])
         return total, merged(spans), items
 
-    def _track(self, run: list[int], at: int, spans: list[list[int]], items: set) -> None:
+    def _track(self, run: list[int], at: int, spans: list[list[int]], items: set, held: set[int]) -> None:
         state = matched = 0
-        following, link, length, window = self.next, self.link, self.length, self.window
+        word, target, many, link, length, window = self.word, self.target, self.many, self.link, self.length, self.window
         for i, c in enumerate(run, at + 1):
-            while state and c not in following[state]:
+            while True:
+                if word[state] == c:
+                    state = target[state]
+                    matched += 1
+                    break
+                if (to := many[state].get(c, -1) if state in many else -1) >= 0:
+                    state = to
+                    matched += 1
+                    break
+                if not state:
+                    matched = 0
+                    break
                 state = link[state]
                 matched = length[state]
-            state = following[state].get(c, 0)
-            matched = matched + 1 if state else 0
             reach = 0
             if matched >= window:
                 reach = window
-                items.update(self.windows[self._holder(state, window)])
-            for n, item in self.shorts.get(state, ()):
-                if n <= matched:
-                    reach = max(reach, n)
-                    items.add(item)
+                held.add(self.place[self._holder(state, window)])
+            short = self.nearest[state]
+            while short >= 0:
+                for n, item in self.own[short]:
+                    if n <= matched:
+                        reach = max(reach, n)
+                        items.add(item)
+                short = self.nearest[link[short]]
             if reach:
                 if spans and spans[-1][0] <= i - reach <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], i)

@@ -189,6 +189,22 @@ def test_long_runs_go_over_lists(monkeypatch):
         assert (total, spans, found) == (11, [[0, 5], [6, 11]], {1, 2})
 
 
+def test_full_block_of_items_is_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = [f"w{k}".encode() for k in range(60_000)]
+    drawn = np.minimum(rng.zipf(1.2, decontaminate.BLOCK_WORDS) - 1, len(words) - 1).reshape(-1, 100)
+    items = [(n, [words[k] for k in row]) for n, row in enumerate(drawn.tolist())]
+    tracemalloc.start()
+    automaton = decontaminate.Automaton(items, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20, peak
+    total, spans, found = automaton.scan([[b"other", *items[77][1][5:30]]])
+    assert (total, spans) == (26, [[1, 26]]) and 77 in found
+
+
 def test_automaton_against_all_substrings():
     import random
 
