@@ -49,16 +49,28 @@ def any_leaf(text: Column, matches: Callable[[Column, Column], Column]) -> Colum
 _PIECE = r'"(?:[^"\\]|\\.)*+":?|[{}\[\],]|[^{}\[\],"]+'
 
 
-def skeleton(text: Column) -> Column:
+#: A key that is data, not a name: a number, a UUID, a date or time, 16 or more hexadecimal digits.
+DATA_KEY = (
+    r"-?[0-9]+|[0-9]{4}-[0-9]{2}(-[0-9]{2}([T ][0-9:.]+Z?)?)?"
+    r"|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{16,}"
+)
+
+
+def skeleton(text: Column, data_key: str | None = None) -> Column:
     """JSON text without its values: each becomes one fixed value of its kind.
 
     Expects text without blanks outside of strings, as ``to_json`` writes it.
+    Keys that are ``data_key`` from end to end become ``{*}`` and a number, which
+    tells where in the text they stand and so keeps them apart.
     """
 
-    def bare(piece: Column) -> Column:
+    def bare(piece: Column, at: Column) -> Column:
         first = F.substring(piece, 1, 1)
+        key = piece if data_key is None else F.when(
+            piece.rlike(f'^"(?:{data_key})":$'), F.concat(F.lit('"{*}'), at, F.lit('":'))
+        ).otherwise(piece)
         return (
-            F.when(piece.endswith(":"), piece)
+            F.when(piece.endswith(":"), key)
             .when(first == '"', F.lit('""'))
             .when(first.isin("t", "f"), F.lit("true"))
             .when(first.isin(*"-0123456789"), F.lit("0"))

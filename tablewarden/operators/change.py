@@ -461,7 +461,9 @@ def _first_on_every_key(df: DataFrame, keys: list[tuple[str, ...]]) -> DataFrame
     """What inserting row by row would let in when there are several unique keys.
 
     A row that comes first on all its keys goes in and shuts out the rows it
-    clashes with; that may free others, so it repeats until all are decided.
+    clashes with; that may free others, so it repeats until all are decided. The
+    rounds are as many as the longest chain of rows of which each waits for the
+    next; every round decides the smallest rank that is left, so it comes to an end.
     """
     undecided = cut_lineage(df)
     chosen: list[DataFrame] = []

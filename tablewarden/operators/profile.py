@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewarden.functions.digests import value_key
-from tablewarden.functions.jsontext import skeleton
+from tablewarden.functions.jsontext import DATA_KEY, skeleton
 from tablewarden.functions.values import common_type, percent, type_tag
 from tablewarden.operators.discovery import discover_references
 from tablewarden.operators.predicates import compile_filter, fields_of
@@ -267,10 +267,12 @@ def profile_documents(df: DataFrame) -> DataFrame:
     )
 
 
-_PATH_ENTRY = "array<struct<path: string, value: variant>>"
+_PATH_ENTRY = "array<struct<path: string, value: variant, parent: string>>"
 
 
-def infer_fields(df: DataFrame, max_depth: int | None = None) -> DataFrame:
+def infer_fields(
+    df: DataFrame, max_depth: int | None = None, data_key: str | None = DATA_KEY, most_names: int | None = None
+) -> DataFrame:
     """Dotted paths of nested documents with their types and presence.
 
     The objects in an array add their fields under ``path[*]``, wherever in it
@@ -283,16 +285,19 @@ def infer_fields(df: DataFrame, max_depth: int | None = None) -> DataFrame:
     the values blanked out, and equal ones are counted map-side: a collection
     has far fewer skeletons than documents. Levels are then unfolded inside the
     row of a skeleton, and only its distinct ``(path, type)`` pairs leave it.
+
+    Keys that are data share one path, ``{*}`` in place of the key: those that
+    match ``data_key`` as a whole, which leave the skeletons too, and with
+    ``most_names`` all keys of an object that has more different ones than that
+    over all documents, whatever they look like (a pass per level).
     """
     counted = cut_lineage(
         # no filter here: it would be pushed down and blank out every document twice
-        df.select(skeleton(F.to_json("doc")).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+        df.select(skeleton(F.to_json("doc"), data_key).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
     )
     shapes = counted.select(F.try_parse_json("text").alias("doc"), "n")
     depth = max_depth or document_depth(shapes)
-    frame = shapes.select("n", _children(F.lit(""), F.col("doc")).alias("l0"))
-    for i in range(1, depth):
-        frame = frame.withColumn(f"l{i}", F.flatten(F.transform(f"l{i - 1}", _below)))
+    frame = _levels(shapes, depth, wide_objects(shapes, depth, most_names) if most_names else [])
     tagged = [
         F.flatten(F.transform(f"l{i}", lambda e: F.transform(
             _shapes(e["value"]), lambda t: F.struct(e["path"].alias("path"), t.alias("type"))
@@ -325,24 +330,56 @@ def first_document_fields(df: DataFrame) -> DataFrame:
     return infer_fields(df.limit(1))
 
 
-def _children(prefix: Column, value: Column, dot: str = "") -> Column:
-    """The fields of an object as ``(path, value)``; empty for anything else."""
+def wide_objects(df: DataFrame, depth: int, most_names: int) -> list[str]:
+    """The paths of objects that have more than ``most_names`` different keys over all documents.
+
+    Levels are looked at from the top, with the keys of wide objects already
+    taken together, so objects below them are counted as one.
+    """
+    wide: list[str] = []
+    for i in range(depth):
+        keys = F.array_distinct(F.transform(f"l{i}", lambda e: F.struct(e["parent"].alias("parent"), e["path"].alias("path"))))
+        found = (
+            _levels(df, i + 1, wide).select(F.explode(keys).alias("k")).select("k.*").distinct()
+            .groupBy("parent").count().where(F.col("count") > most_names)
+        )
+        wide += [r.parent for r in found.collect()]
+    return wide
+
+
+def _levels(shapes: DataFrame, depth: int, wide: list[str]) -> DataFrame:
+    """Columns ``l0``, ``l1``, ...: the fields of each level of a document."""
+    frame = shapes.select("n", _children(F.lit(""), F.col("doc"), "", wide).alias("l0"))
+    for i in range(1, depth):
+        frame = frame.withColumn(f"l{i}", F.flatten(F.transform(f"l{i - 1}", lambda e: _below(e, wide))))
+    return frame
+
+
+def _children(prefix: Column, value: Column, dot: str, wide: list[str]) -> Column:
+    """The fields of an object as ``(path, value, parent)``; empty for anything else."""
     entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+
+    def name(key: Column) -> Column:
+        is_data = key.rlike(r"^\{\*\}[0-9]+$")
+        return F.when(is_data | prefix.isin(wide) if wide else is_data, F.lit("{*}")).otherwise(key)
+
     out = F.transform(
         entries,
-        lambda e: F.struct(F.concat(prefix, F.lit(dot), e["key"]).alias("path"), e["value"].alias("value")),
+        lambda e: F.struct(
+            F.concat(prefix, F.lit(dot), name(e["key"])).alias("path"), e["value"].alias("value"), prefix.alias("parent")
+        ),
     )
     return F.coalesce(out, F.array().cast(_PATH_ENTRY))
 
 
-def _below(entry: Column) -> Column:
+def _below(entry: Column, wide: list[str]) -> Column:
     """One level down: the fields of an object, or of the objects in an array."""
-    fields = _children(entry["path"], entry["value"], ".")
+    fields = _children(entry["path"], entry["value"], ".", wide)
     elements = F.try_variant_get(entry["value"], "$", "array<variant>")
     opened = F.filter(elements, lambda x: type_tag(x) == "object")
     inner = F.flatten(
         F.transform(
-            opened, lambda x: _children(F.concat(entry["path"], F.lit("[*]")), x, ".")
+            opened, lambda x: _children(F.concat(entry["path"], F.lit("[*]")), x, ".", wide)
         )
     )
     return F.concat(fields, F.coalesce(inner, F.array().cast(_PATH_ENTRY)))
@@ -370,11 +407,7 @@ def document_depth(df: DataFrame) -> int:
         return max(bound, 1)
     probe = 4
     while True:
-        frame = df.select(_children(F.lit(""), F.col("doc")).alias("l0"))
-        for i in range(1, probe + 1):
-            frame = frame.withColumn(
-                f"l{i}", F.flatten(F.transform(f"l{i - 1}", _below))
-            )
+        frame = _levels(df.withColumn("n", F.lit(1)), probe + 1, [])
         used = reduce(
             lambda a, b: a + b, [F.when(F.size(f"l{i}") > 0, 1).otherwise(0) for i in range(probe + 1)]
         )

@@ -44,12 +44,11 @@ def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("verify_environments", """
-    WITH n AS (SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM orders) AS o)
-    SELECT 'staging' AS env, CAST(3 AS BIGINT) AS errors, CAST(1 AS BIGINT) AS warnings, false AS passed, CAST(c + o AS BIGINT) AS rows FROM n
-    UNION ALL SELECT 'fixed', 0, 0, true, CAST(c + 2 * o AS BIGINT) FROM n
+    SELECT 'staging' AS env, CAST(3 AS BIGINT) AS errors, CAST(1 AS BIGINT) AS warnings, false AS passed
+    UNION ALL SELECT 'fixed', 0, 0, true
 """)
 def verify_environments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sets of tables against one declaration, with a verdict and the rows each holds."""
+    """Two sets of tables against one declaration, with a verdict for each."""
     ts = tables(spark, sf_dir, "customer", "orders")
     mended = (
         ts["customer"].drop("c_mktsegment").withColumn("c_phone", F.lit("none"))
@@ -57,8 +56,7 @@ def verify_environments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     fixed = ts.with_table("customer", mended).with_table("invoices", ts["orders"].select(F.col("o_orderkey").cast("int").alias("id")))
     environments = {"staging": ts, "fixed": fixed}
-    verdicts = I.verdicts(I.verify_environments(environments, EXPECTED), list(environments))
-    return verdicts.join(I.environment_rows(environments), "env")
+    return I.verdicts(I.verify_environments(environments, EXPECTED), list(environments))
 
 
 @query("check_declared", """

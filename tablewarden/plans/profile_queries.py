@@ -197,6 +197,36 @@ def infer_fields_long_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.infer_fields(per_user.select(F.try_parse_json(text).alias("doc"))).select("path", "types", "documents")
 
 
+@query("infer_fields_id_keys", """
+    SELECT 'seen' AS path, 'object' AS types, count(*) AS documents FROM events
+    UNION ALL SELECT 'seen.{*}', 'number, object', count(*) FROM events
+    UNION ALL SELECT 'seen.{*}.' || event_type, 'number', count(*) FROM events GROUP BY event_type
+""")
+def infer_fields_id_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose keys are the ids of users and times: one path, not one for each id."""
+    events = tables(spark, sf_dir, "events")["events"]
+    inner = F.to_json(F.create_map("event_type", "event_id"))
+    text = F.concat(
+        F.lit('{"seen":{"'), F.col("user_id"), F.lit('":'), inner,
+        F.lit(',"'), F.date_format("ts", "yyyy-MM-dd"), F.lit('":'), F.col("event_id"), F.lit("}}"),
+    )
+    return P.infer_fields(events.select(F.try_parse_json(text).alias("doc"))).select("path", "types", "documents")
+
+
+@query("infer_fields_wide_objects", """
+    SELECT 'by' AS path, 'object' AS types, count(*) AS documents FROM customer
+    UNION ALL SELECT 'by.{*}', 'object', count(*) FROM customer
+    UNION ALL SELECT 'by.{*}.' || lower(c_mktsegment), 'number', count(*) FROM customer GROUP BY c_mktsegment
+""")
+def infer_fields_wide_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose keys are names of customers, which only their number gives away."""
+    customers = tables(spark, sf_dir, "customer")["customer"]
+    inner = F.to_json(F.create_map(F.lower("c_mktsegment"), "c_acctbal"))
+    text = F.concat(F.lit('{"by":{"'), F.col("c_name"), F.lit('":'), inner, F.lit("}}"))
+    docs = customers.select(F.try_parse_json(text).alias("doc"))
+    return P.infer_fields(docs, most_names=50).select("path", "types", "documents")
+
+
 @query("first_document_fields", """
     SELECT 'user' AS path, 'number' AS types, CAST(1 AS BIGINT) AS documents FROM events WHERE event_id = (SELECT min(event_id) FROM events)
     UNION ALL SELECT 'kind', 'string', 1 FROM events WHERE event_id = (SELECT min(event_id) FROM events)

@@ -159,6 +159,17 @@ def search_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(S.search(TableSet.of(spark, {"flags": flags}, keys={"flags": ("doc_id",)}), "Yes", limit=None))
 
 
+@query("search_interval", """
+    SELECT 'ages' AS table_name, CAST(o_orderkey AS VARCHAR) AS row_key, 'age' AS matching_columns
+    FROM orders WHERE date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) = 400
+""")
+def search_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals have no comparison of their own: a part of their text is found, here the days."""
+    age = (F.col("o_orderdate") - F.lit("1995-01-01").cast("timestamp_ntz")).alias("age")
+    ages = tables(spark, sf_dir, "orders")["orders"].select("o_orderkey", age)
+    return _shown(S.search(TableSet.of(spark, {"ages": ages}, keys={"ages": ("o_orderkey",)}), "'400 00:", limit=None))
+
+
 _LABELLED = "(SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 
 

@@ -95,3 +95,9 @@ def test_orphan_check_counts_before_it_joins(spark):
     row = I.check_references(ts).first()
     expected = [i for i in range(1, 5000, 2) if i >= 100]
     assert (row.orphan_values, row.orphan_rows) == (len(expected), len(expected))
+
+
+def test_intervals_are_a_known_type(spark):
+    df = spark.sql("SELECT INTERVAL '1' DAY AS d, INTERVAL '2' MONTH AS m, 'x' AS s")
+    drift = I.schema_drift(TableSet.of(spark, {"t": df}), {"t": {"d": "INTERVAL", "m": "INTERVAL NOT NULL", "s": "INTERVAL"}}).collect()
+    assert [(r.column_name, r.issue) for r in drift] == [("s", "type mismatch")]

@@ -128,6 +128,42 @@ def test_all_elements_of_long_arrays(docs):
         }
 
 
+def test_keys_that_are_data_share_one_path(docs):
+    texts = (
+        '{"u": {"17": {"n": 1}, "-4": {"n": "a"}}, "h": {"0123456789abcdef": 1}}',
+        '{"u": {"99": {"n": 1, "m": {"2024-05-06T07:08:09Z": true}}}, "h": {"123e4567-e89b-12d3-a456-426614174000": null}}',
+        '{"u": {"name": 5}, "h": {}, "v2": 1, "l": [{"7": 1}, {"8": {"x": 1}}]}',
+    )
+    found = {r.path: (r.types, r.documents) for r in P.infer_fields(docs(*texts)).collect()}
+    assert found == {
+        "u": ("object", 3), "u.{*}": ("object", 2), "u.{*}.n": ("number, string", 2), "u.{*}.m": ("object", 1),
+        "u.{*}.m.{*}": ("boolean", 1), "u.name": ("number", 1), "h": ("object", 3), "h.{*}": ("null, number", 2),
+        "v2": ("number", 1), "l": ("array(object)", 1), "l[*].{*}": ("number, object", 1), "l[*].{*}.x": ("number", 1),
+    }
+    plain = {r.path for r in P.infer_fields(docs(*texts), data_key=None).collect()}
+    assert {"u.17", "u.-4", "u.99", "h.0123456789abcdef", "l[*].7"} <= plain and not any("{*}" in p for p in plain)
+
+
+def test_ids_as_keys_leave_the_skeletons(docs):
+    from pyspark.sql import functions as F
+
+    from tablewarden.functions.jsontext import DATA_KEY, skeleton
+
+    made = docs(*[f'{{"u": {{"{i}": {{"n": {i}}}, "{i + 5000}": {{"n": 0}}}}}}' for i in range(1000, 1200)])
+    counts = [made.select(skeleton(F.to_json("doc"), k)).distinct().count() for k in (None, DATA_KEY)]
+    assert counts == [200, 1]
+
+
+def test_objects_with_many_keys_are_found_by_their_number(docs):
+    made = docs(*[f'{{"by": {{"n{i}": {{"k{i % 3}": 1, "to": {{"m{i}": 2}}}}}}, "l": [{{"x{i}": 3}}]}}' for i in range(40)])
+    found = {r.path: r.documents for r in P.infer_fields(made, most_names=39).collect()}
+    assert found == {
+        "by": 40, "by.{*}": 40, "by.{*}.k0": 14, "by.{*}.k1": 13, "by.{*}.k2": 13, "by.{*}.to": 40, "by.{*}.to.{*}": 40,
+        "l": 40, "l[*].{*}": 40,
+    }
+    assert P.infer_fields(made, most_names=40).where("path like 'by.n%'").count() > 40
+
+
 def test_a_broken_table_does_not_spoil_the_count(spark, scratch):
     import os
 
