@@ -21,7 +21,7 @@ _SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: a pattern, the group whose length counts, its least length, words without which nothing matches."""
+    """A kind of secret: a pattern, the group whose length counts, its least length."""
 
     kind: str
     pattern: str
@@ -41,8 +41,19 @@ BASE = (
     # a run is looked at from its first character only, which is what leftmost matching does
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
 )
+#: Public forms of keys and tokens. Patterns begin with plain letters, which are found fast, and a
+#: run of characters is looked at from one place only, so that none takes more than linear time.
 FURTHER = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    Rule("github_pat", r"github_pat_[A-Za-z0-9_]{22,}", 0, 0),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}", 0, 0),
+    Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}", 0, 0),
+    Rule("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", 0, 0),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}", 0, 0),
+    Rule("jwt", r"eyJ(?<![A-Za-z0-9_-]eyJ)[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0),
+    Rule("url_login", r"://[^\s/:@]{1,256}:[^\s/:@]{1,256}@", 0, 0),
 )
 RULES = BASE + FURTHER
 
@@ -73,7 +84,10 @@ def blob_of(text: Column) -> Column:
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The findings known so far, a row per blob and rule version; empty where there is no ledger yet."""
+    """The findings known so far, a row per blob and rule version; empty where there is no ledger yet.
+
+    A folder per rule version, so findings of other versions are not read.
+    """
     if not path_exists(spark, path) or not list_dir(spark, path):
         return spark.createDataFrame([], LEDGER)
     return spark.read.schema(LEDGER).parquet(path)
@@ -108,7 +122,7 @@ def update(contents: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> s
 
     known = ledger(spark, path).where(F.col("version") == version).select("blob")
     unseen = first_of_each(contents).join(known, "blob", "left_anti")
-    unseen.mapInArrow(find, LEDGER).write.mode("append").parquet(path)
+    unseen.mapInArrow(find, LEDGER).write.mode("append").partitionBy("version").parquet(path)
     return version
 
 
@@ -136,11 +150,12 @@ def first_of_each(contents: DataFrame) -> DataFrame:
 def findings(paths: DataFrame, known: DataFrame, version: str) -> DataFrame:
     """``paths`` (with ``blob``) with the ``spans`` of their blobs at a rule version; NULL where a blob was never scanned.
 
-    The findings, a small part of the texts' size, become a table of their own
-    first, so that a content under very many paths is a skewed join that Spark
-    can split.
+    Of the ledger only rows of these blobs are grouped, whatever its history. The
+    findings, a small part of the texts' size, become a table of their own first,
+    so that a content under very many paths is a skewed join that Spark can split.
     """
-    own = cut_lineage(known.where(F.col("version") == version).groupBy("blob").agg(F.first("spans").alias("spans")))
+    asked = known.where(F.col("version") == version).join(paths.select("blob").distinct(), "blob", "left_semi")
+    own = cut_lineage(asked.groupBy("blob").agg(F.first("spans").alias("spans")))
     return paths.join(own, "blob", "left")
 
 
@@ -156,11 +171,12 @@ def scan_documents(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES)
 
     A NULL text is the empty one. Repeated rows get equal findings, rows are not
     matched by ``doc_id``, so it may be NULL or repeat. An empty table adds
-    nothing to the ledger.
+    nothing to the ledger. A text is scanned whole in one task, in time that grows
+    with its length. Other columns are not read, whatever their names.
     """
     contents = pick(docs, "doc_id", "text").withColumn("blob", blob_of(F.col("text")))
     version = update(contents, path, rules)
-    return findings(contents.select("doc_id", "blob"), ledger(docs.sparkSession, path), version)
+    return findings(cut_lineage(contents.select("doc_id", "blob")), ledger(docs.sparkSession, path), version)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,12 +72,13 @@ class _Recent:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that never joins what white space parts, with the ids of recent words kept.
+    """Ids of texts by a tokenizer, with the ids of recent words kept.
 
-    Only the six ASCII space characters part words here. A word is encoded by
-    itself. Where the tokenizer treats them so, which is tried out first, words
-    of ASCII or Latin letters count without case and without full stops and
-    commas at their end, and plain letters go to the tokenizer's model at once.
+    Where the tokenizer drops the six ASCII space characters and joins nothing
+    over them, which is tried out first, a word is encoded by itself; any other
+    tokenizer gets each text whole. Where it treats them so, which is tried out
+    too, words of ASCII or Latin letters count without case and without full stops
+    and commas at their end, and plain letters go to the tokenizer's model at once.
     """
 
     def __init__(self, path: str):
@@ -88,7 +89,11 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
         self.words, self.cores = _Recent(RECENT_WORDS), _Recent(RECENT_WORDS)
-        self.plain = all(
+        self.parted = all(
+            self.ids(f"{a}{s}{b}{s}{s}{a}{s}") == [*self.ids(a), *self.ids(b), *self.ids(a)] and self.ids(s + a) == self.ids(a)
+            for s in " \t\n\v\f\r" for a, b in (("a", "the"), ("New", "York"), ("x.", "(1)"), ("ab12", "é"), ("-", "'s"))
+        )
+        self.plain = self.parted and all(
             self.ids(w) == self.ids(w.lower()) == self._letters(w.lower())
             and self.ids(f"{w}.,") == [*self.ids(w), *self.ids(".,")] and self.ids(f"{w} {w}") == [*self.ids(w), *self.ids(w)]
             for w in ("a", "Zq", "the", "Tokenization", "xqzjkvbwp", "AAAAaaaaAAAA", "Élève", "größer", "CIÓN", "Łódźž", "ñ", "ªÿ")
@@ -134,6 +139,8 @@ class Encoder:
 
     def encode(self, data: bytes) -> bytes:
         """The ids of a text, ``width`` bytes each."""
+        if not self.parted:
+            return self._packed(self.ids(data.decode()))
         words = data.split()
         parts = list(map(self.words.now.get, words))
         recent = self.words
@@ -194,8 +201,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, documents
 
     Rows are dealt to files by range and sorted within, so the files in their
     order hold all documents in order. Rows with one ``doc_id`` are ordered by a
-    hash of the text; rows without one come last. A NULL text is an empty one. An
-    empty table makes a data set without documents. Only the dictionary's sample,
+    hash of the text; rows without one come last. A NULL text is an empty one, and
+    a repeated row is written as often as it comes. A text of any length is one
+    frame, made in one task. An empty table makes a data set without documents.
+    Columns other than ``doc_id`` and ``text`` are not read, whatever their names. Only the dictionary's sample,
     bounded by ``SAMPLE_DOCUMENTS`` and ``SAMPLE_BYTES``, goes through the driver.
     """
     spark = docs.sparkSession

@@ -69,6 +69,18 @@ def test_words_are_tokens_of_their_own():
         assert got == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_a_tokenizer_that_joins_over_white_space_gets_whole_texts(spark, docs, pairs, scratch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    assert not encoder.parted and token_files.Encoder(TOKENIZER).parted
+    token_files.write(docs, f"{scratch}/t", path, end_id=50256)
+    got = token_files.read(spark, f"{scratch}/t").collect()
+    ids = {t: plain.encode(t or "", add_special_tokens=False).ids + [50256] for _, t in pairs}
+    assert bag((r.doc_id, tuple(r.ids)) for r in got) == bag((i, tuple(ids[t])) for i, t in pairs)
+
+
 def test_token_files_of_nothing(spark, none, scratch):
     token_files.write(none, f"{scratch}/t", TOKENIZER)
     assert token_files.read(spark, f"{scratch}/t").collect() == []
@@ -631,3 +643,38 @@ def test_license_headers_as_they_are_written(spark):
     got = licenses.recognise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     names = ["Apache-2.0", "Apache-2.0", "Apache-2.0", "GPL-3.0-or-later", "GPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause"]
     assert [(r.licenses, r.n_unexplained) for r in got] == [(n, 0) for n in names]
+
+
+def test_further_kinds_of_secrets():
+    scan, kinds = secrets.scanner(secrets.RULES), [r.kind for r in secrets.RULES]
+    a = "aB3" * 20
+    planted = {
+        "github": f"ghp_{a[:36]}", "github_pat": f"github_pat_{a[:30]}", "gitlab": f"glpat-{a[:20]}", "slack": f"xoxb-{a[:24]}",
+        "google": f"AIza{a[:35]}", "stripe": f"sk_live_{a[:24]}", "npm": f"npm_{a[:36]}", "jwt": f"eyJ{a[:12]}.eyJ{a[:15]}.{a[:9]}",
+        "url_login": "://me:pa55@", "pem": "-----BEGIN RSA PRIVATE KEY-----",
+    }
+    assert set(planted) == {r.kind for r in secrets.FURTHER}
+    for kind, text in planted.items():
+        found = [(kinds[n], s, e) for s, n, e in scan(f"see {text} there")]
+        assert found == [(kind, 4, 4 + len(text))], kind
+    clean = "https://host:8080/path?x=y @me ghp_short eyJhbGciOi.x sk_live_ AIza npm_run ratio 3:4@home"
+    assert [kinds[n] for _, n, _ in scan(clean)] == []
+    # time grows with the length of the text, not with its square
+    import time
+
+    for unit in ("eyJ", "://a:", "xoxb-", "ghp_", "-----BEGIN ", "a://b"):
+        at = time.perf_counter()
+        scan(unit * 300_000)
+        assert time.perf_counter() - at < 20, unit
+
+
+def test_other_rule_versions_are_not_read(spark, docs, scratch):
+    path = f"{scratch}/ledger"
+    secrets.scan_documents(docs, path, secrets.BASE)
+    secrets.scan_documents(docs, path)
+    wanted = secrets.version_of(secrets.RULES)
+    files = secrets.ledger(spark, path).where(F.col("version") == wanted).select("blob", "spans").inputFiles()
+    plan = secrets.ledger(spark, path).where(F.col("version") == wanted)._jdf.queryExecution().executedPlan().toString()
+    assert files and "PartitionFilters: [isnotnull(version" in plan
+    counts = {r.version: r["count"] for r in secrets.ledger(spark, path).groupBy("version").count().collect()}
+    assert len(set(counts.values())) == 1 and set(counts) == {wanted, secrets.version_of(secrets.BASE)}
