@@ -101,3 +101,16 @@ def test_intervals_are_a_known_type(spark):
     df = spark.sql("SELECT INTERVAL '1' DAY AS d, INTERVAL '2' MONTH AS m, 'x' AS s")
     drift = I.schema_drift(TableSet.of(spark, {"t": df}), {"t": {"d": "INTERVAL", "m": "INTERVAL NOT NULL", "s": "INTERVAL"}}).collect()
     assert [(r.column_name, r.issue) for r in drift] == [("s", "type mismatch")]
+
+
+def test_environments_count_their_rows(spark, tmp_path):
+    """A verdict comes with the rows its tables hold, all of them, repeated and empty tables included."""
+    from tablewarden.plans.integrity_queries import verify_environments
+
+    customer = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    orders = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame([(1, "a", 1, 0.5, "x"), (1, "a", 1, 0.5, "x"), (None,) * 5], customer).write.parquet(f"{tmp_path}/customer.parquet")
+    for n in (2, 0):
+        spark.createDataFrame([(i, 1, "O", 1.0, None, "1") for i in range(n)], orders).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+        got = {r.env: (r.errors, r.warnings, r.passed, r.rows) for r in verify_environments(spark, str(tmp_path)).collect()}
+        assert got == {"staging": (3, 1, False, 3 + n), "fixed": (0, 0, True, 3 + 2 * n)}
