@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tablewarden.functions.digests import row_digest
 from tablewarden.llm.common import Placed, Stages, as_bytes, pick, ship_package, table, word_lists
 from tablewarden.llm.components import components
-from tablewarden.llm.simhash import keep_first
+from tablewarden.llm.simhash import candidate_pairs, fingerprint_of_bytes, keep_first
 
 #: Words in a shingle, and the similarity of a link as a fraction of whole numbers.
 SHINGLE = 4
@@ -356,10 +356,22 @@ def _meeting(similarity: tuple[int, int]):
     return tiles
 
 
-def _classes(stages: Stages, docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+def _near(stages: Stages, docs: DataFrame, sets: DataFrame, shingle: int, distance: int) -> DataFrame:
+    """Pairs of sets whose SimHash fingerprints are within the distance, directly or by others; one text stands for a set."""
+    prints = docs.select("doc_id", "print", fingerprint_of_bytes(F.col("text"), shingle).alias("fp")).alias("l")
+    first = sets.select("id", "first.doc_id", "first.print").alias("r")
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.print") == F.col("r.print"))
+    return candidate_pairs(stages, prints.join(first, same).select("r.id", "l.fp").dropDuplicates(["id"]), distance)
+
+
+def _classes(
+    stages: Stages, docs: DataFrame, shingle: int, similarity: tuple[int, int], distance: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Of ``doc_id, print, text``: each row's ``doc_id, print, n, s1, s2``, and each set's ``s1, s2, first`` of all it is linked with.
 
     ``first`` has the smallest ``doc_id``, then the smallest ``print``; ids before NULL.
+    With ``distance``, sets whose SimHash fingerprints differ in so many bits are
+    verified first, and the tiles link what these have left apart.
     """
     read, _ = stages.write(_read(docs, shingle))
     rows = read.where("part IS NULL").select("doc_id", "print", "n", "s1", "s2", "bits")
@@ -394,8 +406,19 @@ def _classes(stages: Stages, docs: DataFrame, shingle: int, similarity: tuple[in
     star = tally.groupBy("id", "of").agg(F.max(F.struct("tiles", "head"))["head"].alias("head"))
     star = star.select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).distinct()
     bound = _passes(similarity)("a_n", "a_bits", "b_n", "b_bits")
+    tried = found = None
+    if distance is not None:
+        near = _near(stages, docs, sets, shingle, distance)
+        tried, _ = stages.write(_with(_with(near, sized, "a"), sized, "b").where(bound).select(*_PAIR))
+        found, _ = stages.write(_verified(stages, tried, sets, docs, shingle, similarity))
+        groups, _ = stages.write(components(found).withColumnRenamed("node", "id"))
+        for end in _PAIR:
+            star = star.join(groups.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+        star = star.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*_PAIR).join(tried, _PAIR, "left_anti")
     star, _ = stages.write(_with(_with(star, sized, "a"), sized, "b").where(bound).select(*_PAIR))
-    found, _ = stages.write(_verified(stages, star, sets, docs, shingle, similarity))
+    linked_by_star, _ = stages.write(_verified(stages, star, sets, docs, shingle, similarity))
+    found = linked_by_star if found is None else found.unionAll(linked_by_star)
+    tried = star if tried is None else tried.unionAll(star)
     groups, _ = stages.write(components(found).withColumnRenamed("node", "id"))
 
     # sets that share a tile with one of another group in their own band or beside it
@@ -407,7 +430,7 @@ def _classes(stages: Stages, docs: DataFrame, shingle: int, similarity: tuple[in
     members = members.join(split, ["key", "band"]).select("key", "id", "root")
     dealt = _cells(members).join(sized, "id").select("key", "cell", "id", "n", "bits", "root")
     dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "id")
-    rest = dealt.mapInArrow(_meeting(similarity), "a long, b long").distinct().join(star, _PAIR, "left_anti")
+    rest = dealt.mapInArrow(_meeting(similarity), "a long, b long").distinct().join(tried, _PAIR, "left_anti")
     rest, _ = stages.write(rest)
     if not rest.isEmpty():
         more, _ = stages.write(_verified(stages, rest, sets, docs, shingle, similarity))
@@ -456,10 +479,12 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[in
     return named.select(*columns).unionAll(alone.select(*columns))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (4, 5), distance: int = 3) -> DataFrame:
     """The documents of which one stays in each group of near copies: the smallest ``doc_id``, then the smallest row digest.
 
-    Groups are those of :func:`jaccard_groups`; texts without words are copies of
+    Texts within ``distance`` bits of each other's SimHash fingerprints are found
+    by its byte-position index and verified by exact intersection; what these
+    leave apart, as most pairs near 0.8, goes on to the tiles. Groups are those of :func:`jaccard_groups`; texts without words are copies of
     one another here. Rows with a NULL ``doc_id`` come last in their group, of
     rows that are equal in all columns one stays, and all columns come back
     unchanged, whatever their names. An empty table stays empty.
@@ -469,7 +494,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (4
     texts = placed.df.select(
         placed.col("doc_id").alias("doc_id"), row_digest(list(placed.df.schema.fields)).alias("print"), as_bytes(placed.col("text")).alias("text")
     )
-    rows, sets = _classes(Stages(docs.sparkSession, "near-copies"), texts, shingle, similarity)
+    rows, sets = _classes(Stages(docs.sparkSession, "near-copies"), texts, shingle, similarity, distance)
     wordless = rows.where("n = 0").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("first")).where("first IS NOT NULL")
     stay = sets.select("first").distinct().unionAll(wordless)
     return keep_first(placed, stay.select(F.struct("first.doc_id", F.col("first.print").alias("digest")).alias("first")))

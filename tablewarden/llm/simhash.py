@@ -46,13 +46,16 @@ def fingerprint(text: Column, shingle: int = 3, seed: int = 42) -> Column:
 
     A-Z count as a-z. A text with fewer words than a shingle is one shingle.
     """
+    return fingerprint_of_bytes(as_bytes(text), shingle, seed)
 
+
+def fingerprint_of_bytes(data: Column, shingle: int = 3, seed: int = 42) -> Column:
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
         prints = np.array([_fingerprint(t.as_py().lower(), shingle, seed) for t in texts], np.uint64)
         return pa.array(prints.view(np.int64))
 
-    return of(as_bytes(text))
+    return of(data)
 
 
 def _triples(distance: int) -> list[tuple[int, ...]]:
@@ -133,6 +136,22 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def candidate_pairs(stages: Stages, prints: DataFrame, distance: int = 3) -> DataFrame:
+    """``(a, b)`` with ``a > b``: pairs that connect the rows of ``id, fp`` whose fingerprints are linked.
+
+    Each row is paired with the smallest ``id`` of its fingerprint, and these
+    with one another as :func:`links` has their fingerprints.
+    """
+    prints, _ = stages.write(prints)
+    of_print, _ = stages.write(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    same = prints.join(of_print, "fp").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    ends = links(of_print.select("fp"), distance)
+    for end in ("a", "b"):
+        ends = ends.join(of_print.select(F.col("fp").alias(end), F.col("least").alias(f"of_{end}")), end)
+    apart = ends.select(F.greatest("of_a", "of_b").alias("a"), F.least("of_a", "of_b").alias("b"))
+    return same.unionAll(apart).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
     """``doc_id, digest, fp, component_id`` for every row of ``docs``.
 

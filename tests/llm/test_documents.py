@@ -318,6 +318,35 @@ def test_planted_copies_go_by_similarity(spark, monkeypatch, cell):
     assert kept == {2 * i for i in range(120)} | {i for i, s in alike.items() if s < 0.8}
 
 
+def test_near_copies_come_from_simhash_first(spark, monkeypatch):
+    """The stage takes candidates from the fingerprint index; those that are no near copies by their shingles stay apart."""
+    import corpus_pipeline
+    from tablewarden.llm import simhash
+
+    seen, pairs_of = [], simhash.candidate_pairs
+
+    def spy(stages, prints, distance=3):
+        pairs, _ = stages.write(pairs_of(stages, prints, distance))
+        seen.extend((tuple(r), distance) for r in pairs.collect())
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "candidate_pairs", spy)
+    long = data.prose(77, 600).split()
+    chant = "one two three four five " * 60
+    rows = [
+        (1, " ".join(long)), (2, " ".join([*long[:-1], "other"])),  # near copies by both
+        (3, chant + data.prose(78, 12)), (4, chant + data.prose(79, 12)),  # one fingerprint, unlike sets
+        (None, " ".join(long)), (6, ""), (7, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = [r[0] for r in docs.where("doc_id IN (1, 2, 3, 4)").orderBy("doc_id").select(simhash.fingerprint(docs.text, 5)).collect()]
+    apart = lambda a, b: bin((a ^ b) % (1 << 64)).count("1")
+    assert apart(*prints[:2]) <= 3 and apart(*prints[2:]) <= 3
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {1, 3, 4, 6}
+    assert len(seen) == 2 and all(d == 3 for _, d in seen)
+
+
 def test_keep_one_of_near_copies(docs, none):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns and jaccard_join.keep_one(none).collect() == []
