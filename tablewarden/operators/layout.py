@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablewarden.functions.digests import row_digest
@@ -161,25 +164,71 @@ def text_lookup(index: DataFrame, terms: list[str], every: bool = False) -> Data
     return found.where(F.col("terms") == len(wanted)) if every else found
 
 
-#: Positions of a term in a document that travel as one row.
-POSITIONS = 1024
+#: Positions of a term in a document that are one row, and words that are sorted in one go.
+POSITIONS, RUN_WORDS = 1024, 4_000_000
+
+
+def _postings_in_runs(names: list[str], per_block: int, run_words: int):
+    """Of documents ``key, words`` the rows ``term, key, block, positions``, sorted by these in runs of about so many words."""
+
+    # all that it needs is local, so it travels to executors by value
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            docs = pa.Table.from_batches(held).combine_chunks()
+            docs = docs.take(pc.sort_indices(docs.column(0))).combine_chunks()
+            keys, lists = docs.column(0).combine_chunks(), docs.column(1).combine_chunks()
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            position = (np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            words = lists.flatten().dictionary_encode()
+            order = pc.sort_indices(words.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            term = rank[words.indices.to_numpy()]
+            # words are in the order of keys and positions already
+            at = np.argsort(term, kind="stable")
+            term, doc, position = term[at], doc[at], position[at]
+            block = position // per_block
+            new = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])
+            starts = np.flatnonzero(np.append(True, new)).astype(np.int32)
+            ends, terms = np.append(starts, len(term)).astype(np.int32), words.dictionary.take(pa.array(order))
+            for k in range(0, len(starts), 100_000):
+                first, cuts = starts[k : k + 100_000], ends[k : k + 100_001]
+                places = pa.ListArray.from_arrays(pa.array(cuts - cuts[0]), pa.array(position[cuts[0] : cuts[-1]]))
+                columns = [terms.take(pa.array(term[first])), keys.take(pa.array(doc[first])), pa.array(block[first].astype(np.int64)), places]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += pc.sum(pc.list_value_length(batch.column(1))).as_py() or 0
+            if n >= run_words:
+                yield from run(held)
+                held, n = [], 0
+        if n:
+            yield from run(held)
+
+    return of
 
 
 def write_positions(df: DataFrame, path: str, key: str, columns: list[str]) -> None:
     """``<path>/postings``: term, key, block, positions; ``<path>/lengths``: key, length. Words count from 0 over all columns.
 
-    A very frequent term of a very long document has several blocks, so no row
-    grows with the document.
+    Postings stay in the task that reads their documents and are sorted there,
+    in runs of :data:`RUN_WORDS` words: nothing is shuffled, and a lookup reads
+    the pages of its terms in each run. A very frequent term of a very long
+    document has several blocks, so no row grows with the document. Documents
+    that share a key have rows of their own; lookups add them up.
     """
     text = F.concat_ws(" ", *[F.col(f"`{c}`") for c in columns])
     words = F.filter(F.split(F.lower(text), TERM_BREAK), lambda w: w != "")
     rows = df.select(F.col(f"`{key}`").alias("key"), words.alias("words"))
     rows.select("key", F.size("words").cast("long").alias("length")).write.parquet(f"{path}/lengths")
-    places = rows.select("key", F.posexplode("words").alias("position", "term"))
-    blocks = places.groupBy("term", "key", F.floor(F.col("position") / POSITIONS).alias("block")).agg(
-        F.sort_array(F.collect_list("position")).alias("positions")
-    )
-    blocks.sortWithinPartitions("term", "key", "block").write.parquet(f"{path}/postings")
+    schema = T.StructType([
+        T.StructField("term", T.StringType()), rows.schema["key"], T.StructField("block", T.LongType()),
+        T.StructField("positions", T.ArrayType(T.IntegerType(), False)),
+    ])
+    rows.mapInArrow(_postings_in_runs(schema.names, POSITIONS, RUN_WORDS), schema).write.parquet(f"{path}/postings")
 
 
 def _terms(text: str, spark: SparkSession) -> list[str]:

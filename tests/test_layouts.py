@@ -1,6 +1,7 @@
 """Layouts skip what they should, versions and profiles read what is new."""
 
 import math
+import re
 import random
 import shutil
 
@@ -146,3 +147,18 @@ def test_phrases_and_ranking(spark, scratch):
             expected[k] = score
     got = {r.key: r.score for r in N.ranked_lookup(spark, f"{scratch}/p", ["Cat sat", "cat"]).collect()}
     assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+
+
+def test_positions_are_written_where_they_are_read(spark, scratch, monkeypatch):
+    """No row of the index is shuffled, and it is sorted in bounded runs; repeated and NULL keys count as rows of their own."""
+    monkeypatch.setattr(N, "RUN_WORDS", 4)
+    rows = [(k, t) for k, t in TEXTS.items()] + [(None, "the cat Ünï"), (5, "the cat"), (9, "a cat sat on the cat")]
+    df = spark.createDataFrame(rows, "id int, body string").coalesce(1)
+    N.write_positions(df, f"{scratch}/p", "id", ["body"])
+    found = spark.read.parquet(f"{scratch}/p/postings")
+    assert len(found.inputFiles()) == 1  # the one task that reads the documents writes them
+    words = [(k, [w for w in re.split(r"[^\w]+", (t or "").lower()) if w]) for k, t in rows]
+    places = sorted(((w, k, i) for k, ws in words for i, w in enumerate(ws)), key=repr)
+    got = [(r.term, r.key, r.block, p) for r in found.collect() for p in r.positions]
+    assert all(b == p // N.POSITIONS for _, _, b, p in got) and sorted(((t, k, p) for t, k, _, p in got), key=repr) == places
+    assert {r.key: r.occurrences for r in N.phrase_lookup(spark, f"{scratch}/p", "the cat").collect()} == {1: 2, 5: 1, None: 1, 9: 1}
