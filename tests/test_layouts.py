@@ -162,3 +162,4 @@ def test_positions_are_written_where_they_are_read(spark, scratch, monkeypatch):
     got = [(r.term, r.key, r.block, p) for r in found.collect() for p in r.positions]
     assert all(b == p // N.POSITIONS for _, _, b, p in got) and sorted(((t, k, p) for t, k, _, p in got), key=repr) == places
     assert {r.key: r.occurrences for r in N.phrase_lookup(spark, f"{scratch}/p", "the cat").collect()} == {1: 2, 5: 1, None: 1, 9: 1}
+    assert {r.key: r.terms for r in N.ranked_lookup(spark, f"{scratch}/p", ["cat", "on"]).collect()} == {1: 2, 2: 1, 5: 2, 6: 1, 9: 2}
