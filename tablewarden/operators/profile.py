@@ -10,7 +10,7 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablewarden.functions.digests import value_key
 from tablewarden.functions.jsontext import DATA_KEY, skeleton
@@ -205,6 +205,32 @@ def distinct_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return _column_stats(df, names=names).select("column_name", "unique_values", "null_count")
 
 
+def exact_medians(df: DataFrame) -> DataFrame:
+    """``(column_name, median)`` of number columns, between the two middle values where their count is even; NULL is left out.
+
+    Values are counted first, then dealt by ranges of column and value. The sums
+    of the ranges, a row each, say which of them hold the middle, and only these
+    are added up in order: no task holds the values of a column. A column
+    without values has no row.
+    """
+    cells = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in df.columns]).unpivot([], ["*"], "column_name", "value")
+    seen = cells.where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    dealt = cut_lineage(seen.repartitionByRange("column_name", "value").withColumn("part", F.spark_partition_id()))
+    whole = Window.partitionBy("column_name")
+    upto = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per column and range
+    sums = dealt.groupBy("column_name", "part").agg(F.sum("n").alias("in_part"))
+    sums = sums.withColumn("before", F.coalesce(F.sum("in_part").over(upto), F.lit(0))).withColumn("rows", F.sum("in_part").over(whole))
+    low, high = F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2)
+    middle = sums.withColumn("low", low).withColumn("high", high).where("low < before + in_part AND high >= before")
+    rows = dealt.join(F.broadcast(middle), ["column_name", "part"])
+    end = F.col("before") + F.sum("n").over(Window.partitionBy("column_name", "part").orderBy("value"))
+    found = rows.withColumn("end", end).withColumn("begin", F.col("end") - F.col("n"))
+    at = lambda place: F.max(F.when((F.col(place) >= F.col("begin")) & (F.col(place) < F.col("end")), F.col("value")))
+    found = found.groupBy("column_name").agg(at("low").alias("low"), at("high").alias("high"))
+    return found.select("column_name", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(0.5 * F.col("low") + 0.5 * F.col("high")).alias("median"))
+
+
 def profile_documents(df: DataFrame) -> DataFrame:
     """Per top-level field of a VARIANT ``doc``: presence, types and ranges.
 

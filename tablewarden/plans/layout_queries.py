@@ -72,10 +72,9 @@ def profile_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
         add_part(lines.where(F.col("l_orderkey") % 4 == n), path, str(n))
     exact = P.distinct_counts(lines).select(F.col("column_name").alias("column"), "unique_values")
     merged = merged_profile(spark, path, (0.47, 0.53))
-    medians = lines.agg(*[F.percentile(c, 0.5).alias(c) for c in _NUMBERS])
-    medians = medians.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("median")) for c in _NUMBERS])).alias("m")).select("m.*")
-    # one row per column on every side
-    joined = merged.join(exact, "column").join(medians, "column")
+    medians = P.exact_medians(lines).withColumnRenamed("column_name", "column")
+    # one row per column on every side; a column without values has no median
+    joined = merged.join(exact, "column").join(medians, "column", "left")
     close = F.abs(F.col("distinct") - F.col("unique_values")) <= 0.03 * F.col("unique_values")
     within = F.col("median").between(F.col("quantiles")[0], F.col("quantiles")[1])
     return joined.select(F.col("column").alias("column_name"), "rows", "nulls", "low", "high", close.alias("distinct_close"), within.alias("median_close"))

@@ -190,3 +190,24 @@ def test_inventory_counts_each_file_once(spark, scratch):
     size = sum(os.path.getsize(p) for p in glob.glob(f"{scratch}/t.parquet/*.parquet"))
     row = P.inventory(TableSet.from_parquet(spark, scratch)).first()
     assert (row.table_name, row.columns, row.rows, row.bytes) == ("t", 1, 1000, size)
+
+
+def test_medians_without_gathering_a_column(spark):
+    """Exact for odd and even counts, repeats and NULLs; no aggregate holds the values of a column."""
+    from tablewarden.operators.profile import exact_medians
+
+    rows = [(i % 7, None, float(i * 37 % 1001) / 4, i if i < 3 else None, 5) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a int, none long, b double, few long, same int")
+    want = df.agg(*[F.percentile(c, 0.5).alias(c) for c in df.columns]).first().asDict()
+    got = exact_medians(df)
+    assert {r.column_name: r.median for r in got.collect()} == {c: m for c, m in want.items() if m is not None}
+    assert {r.column_name: r.median for r in exact_medians(df.limit(2).select("a", "b")).collect()} == {"a": 0.5, "b": 4.625}
+    assert exact_medians(df.limit(0)).collect() == []
+
+
+def test_sketched_profile_gathers_no_column(spark, monkeypatch):
+    """The query's exact medians are counted, not gathered into one buffer."""
+    from tablewarden.plans import layout_queries
+
+    monkeypatch.setattr(F, "percentile", None)
+    assert layout_queries.profile_sketched(spark, "/root/testdata/sf0.001").where("distinct_close AND median_close").count() == 6
