@@ -16,14 +16,15 @@ from tablewarden.operators.integrity import duplicates
 TERM_BREAK = r"[^\p{L}\p{N}]+"
 
 
-#: Rows are laid out in files of about this many bytes.
-FILE_BYTES = 128 << 20
+#: Rows are laid out in files of about this many bytes and rows at most. Bytes are those of compressed files, which say
+#: little about the memory that sorting short rows takes.
+FILE_BYTES, FILE_ROWS = 128 << 20, 1_000_000
 
 
-def files_for(df: DataFrame, file_bytes: int = FILE_BYTES) -> int:
-    """How many files a frame asks for, from the size the optimizer expects; 1 at least."""
+def files_for(df: DataFrame, file_bytes: int = FILE_BYTES, file_rows: int = FILE_ROWS) -> int:
+    """How many files a frame asks for, from the size the optimizer expects and the number of rows; 1 at least."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(1, min(1_000_000, -(-size // file_bytes)))
+    return max(1, min(1_000_000, max(-(-size // file_bytes), -(-df.count() // file_rows))))
 
 
 def cluster(df: DataFrame, columns: list[str], files: int | None = None, where: str | None = None) -> DataFrame:

@@ -163,3 +163,11 @@ def test_positions_are_written_where_they_are_read(spark, scratch, monkeypatch):
     assert all(b == p // N.POSITIONS for _, _, b, p in got) and sorted(((t, k, p) for t, k, _, p in got), key=repr) == places
     assert {r.key: r.occurrences for r in N.phrase_lookup(spark, f"{scratch}/p", "the cat").collect()} == {1: 2, 5: 1, None: 1, 9: 1}
     assert {r.key: r.terms for r in N.ranked_lookup(spark, f"{scratch}/p", ["cat", "on"]).collect()} == {1: 2, 2: 1, 5: 2, 6: 1, 9: 2}
+
+
+def test_files_hold_a_bounded_number_of_rows(spark, scratch):
+    """Rows that compress to next to nothing still are laid out in several files."""
+    spark.range(5000).select((F.col("id") % 3).alias("a"), F.lit(1).alias("b")).coalesce(1).write.parquet(f"{scratch}/in")
+    df = spark.read.parquet(f"{scratch}/in")
+    assert N.files_for(df) == 1 and N.files_for(df, file_rows=1000) == 5 and N.files_for(df.limit(0)) == 1
+    assert N.files_for(spark.range(N.FILE_ROWS * 2 + 1).select(F.lit(1).alias("c"))) == 3
