@@ -118,15 +118,46 @@ def _estimates(df: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str, ..
     return out
 
 
-def _checked(df: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], tuple[int, str | None]]:
-    """For each set how many of its values repeat, and the smallest that does, as JSON; exact, in one job."""
+def _repeats(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The values of some columns that several rows have."""
+    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+
+
+def _checked(names: list[str], rows_of: dict[tuple[str, ...], DataFrame]) -> dict[tuple[str, ...], tuple[int, str | None]]:
+    """For each set how many of its values repeat in its rows, and the smallest that does, as JSON; exact, in one job.
+
+    Columns are known by their place in ``names``.
+    """
     frames = []
-    for i, s in enumerate(sets):
-        value = F.struct(*[F.col(f"`{c}`") for c in s])
-        repeated = df.groupBy(*[F.col(f"`{c}`") for c in s]).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    for i, (s, rows) in enumerate(rows_of.items()):
+        places = [f"c{names.index(c)}" for c in s]
+        value = F.struct(*[F.col(p).alias(c) for p, c in zip(places, s, strict=True)])
+        repeated = _repeats(rows, places)
         frames.append(repeated.agg(F.count(F.lit(1)).alias("n"), F.to_json(F.min(value)).alias("example")).withColumn("i", F.lit(i)))
-    rows = reduce(DataFrame.unionByName, frames).collect() if frames else []
-    return {sets[r.i]: (r.n, r.example) for r in rows}
+    found = reduce(DataFrame.unionByName, frames).collect() if frames else []
+    sets = list(rows_of)
+    return {sets[r.i]: (r.n, r.example) for r in found}
+
+
+def _rows_that_repeat(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """All rows whose values of some columns several rows have, as a table of their own."""
+    repeated = cut_lineage(_repeats(rows, columns)).toDF(*[f"r{i}" for i in range(len(columns))])
+    same = [F.col(c) == F.col(f"r{i}") for i, c in enumerate(columns)]
+    return cut_lineage(rows.join(repeated, same, "left_semi"))
+
+
+def _parts(sets: list[tuple[str, ...]], known: list[tuple[str, ...]]) -> dict[tuple[str, ...], tuple[str, ...]]:
+    """For sets a known part of them, such that few parts serve many sets; a part for one set only is not worth it."""
+    out: dict[tuple[str, ...], tuple[str, ...]] = {}
+    left = list(sets)
+    while left and known:
+        part = max(known, key=lambda p: sum(set(p) < set(s) for s in left))
+        served = [s for s in left if set(part) < set(s)]
+        if len(served) < 2:
+            break
+        out |= dict.fromkeys(served, part)
+        left = [s for s in left if s not in out]
+    return out
 
 
 def discover_keys(df: DataFrame, columns: list[str] | None = None, most_columns: int = 3) -> DataFrame:
@@ -136,7 +167,8 @@ def discover_keys(df: DataFrame, columns: list[str] | None = None, most_columns:
     columns with a single value are left out; so are sets whose parts have too
     few values for the rows, by the product of their counts. The other sets of a
     level are estimated together, and those that come near the number of rows are
-    checked exactly. A set that nearly is a key, such as one that was meant to
+    checked exactly; where a part of such a set was checked before, only in the rows
+    whose values of that part repeat, as no others can. A set that nearly is a key, such as one that was meant to
     be, comes back with ``unique`` false and a value that repeats. Sets of one
     column are tried at every level up to ``most_columns``.
 
@@ -155,6 +187,8 @@ def discover_keys(df: DataFrame, columns: list[str] | None = None, most_columns:
     names = [c for c in names if values[c] > 1]
     keys: list[tuple[str, ...]] = []
     out, known = [], {(c,): values[c] for c in names}
+    placed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    nearly: list[tuple[str, ...]] = []
     for size in range(1, most_columns + 1):
         sets = []
         for s in combinations(names, size):
@@ -166,8 +200,9 @@ def discover_keys(df: DataFrame, columns: list[str] | None = None, most_columns:
                 sets.append(s)
         known |= _estimates(df, [s for s in sets if s not in known])
         near = [s for s in sets if known[s] >= RULED_OUT * rows]
-        for s, (repeated, example) in _checked(df, near).items():
+        part_of = _parts(near, nearly)
+        rows_of = {p: _rows_that_repeat(placed, [f"c{names.index(c)}" for c in p]) for p in dict.fromkeys(part_of.values())}
+        for s, (repeated, example) in _checked(names, {s: rows_of[part_of[s]] if s in part_of else placed for s in near}).items():
             out.append((list(s), rows, repeated == 0, repeated, example))
-            if not repeated:
-                keys.append(s)
+            (nearly if repeated else keys).append(s)
     return spark.createDataFrame(out, schema)

@@ -1,6 +1,8 @@
 """References and keys in tables made by hand."""
 
+import json
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -77,3 +79,27 @@ def test_small_tables(spark):
     one = spark.createDataFrame([(1, 2)], "a int, b int")
     assert [tuple(r) for r in discover_keys(one).collect()] == [([], 1, True, 0, None)]
     assert discover_keys(one.limit(0)).count() == 0
+
+
+def test_sets_are_checked_in_the_rows_that_their_parts_repeat(spark, monkeypatch):
+    """Exact counts and examples are as by all rows, of which the larger sets read few."""
+    from tablewarden.operators import discovery
+
+    rows = [(i // 20 if i else 1, i % 20 if i else 0, i * 7919 % 50, i % 3, i // 2000) for i in range(6000)]
+    df = spark.createDataFrame(rows, "`a.b` int, c int, d int, e int, f int")
+    read, check = [], discovery._checked
+
+    def spy(names, rows_of):
+        read.extend((s, r.count()) for s, r in rows_of.items())
+        return check(names, rows_of)
+
+    monkeypatch.setattr(discovery, "_checked", spy)
+    got = {tuple(r.columns): (r.unique, r.repeated_values, r.example) for r in discover_keys(df).collect()}
+    for s, (unique, repeated, example) in got.items():
+        at = [df.columns.index(c) for c in s]
+        counts = Counter(tuple(r[i] for i in at) for r in rows)
+        several = sorted(v for v, n in counts.items() if n > 1)
+        assert (unique, repeated) == (not several, len(several))
+        assert (json.loads(example) if example else None) == (dict(zip(s, several[0], strict=True)) if several else None)
+    assert ("a.b", "c") in got and not got["a.b", "c"][0]
+    assert any(len(s) == 3 and {"a.b", "c"} < set(s) and n == 2 for s, n in read)
