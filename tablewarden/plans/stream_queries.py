@@ -19,7 +19,9 @@ def _stream(spark: SparkSession, sf_dir: str, table: str, *order: str) -> DataFr
     """A table as a stream of four micro-batches in the order of some columns, each of several files."""
     rows, path = tables(spark, sf_dir, table)[table], scratch_path(spark, f"arriving-{table}")
     files = max(2, -(-rows.count() // (BATCHES * ROWS_PER_FILE)))
-    parts = cut_lineage(rows.repartitionByRange(BATCHES, *order).withColumn("__part", F.spark_partition_id()))
+    # as many ranges as files: no task takes a whole micro-batch
+    ranges = rows.repartitionByRange(BATCHES * files, *order)
+    parts = cut_lineage(ranges.withColumn("__part", F.floor(F.spark_partition_id() / files).cast("int")))
     for n in range(BATCHES):  # one after the other: a stream takes the oldest files first
         parts.where(F.col("__part") == n).drop("__part").repartition(files).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewarden.operators import folds as L
+from tablewarden.plans import stream_queries as Q
+from tablewarden.streaming import state as S
 from tablewarden.streaming.search import latest_change, standing_search, windowed_hits
 from tablewarden.streaming.state import CreditLedger, KeptAggregate, TtlTable, UpsertTable, ViewCounters, state_rows
 
@@ -72,6 +74,66 @@ def test_amounts_of_any_kind(spark, scratch, kind):
     assert pairs(ledger.balances()) == pairs(expected)
 
 
+def test_state_is_called_by_group(spark, monkeypatch):
+    """A processor gets a few rows of lists, however many keys and rows a batch has, and of a flag only its changes."""
+    monkeypatch.setattr(S, "GROUPS", 3)
+    monkeypatch.setattr(S, "LIST_ROWS", 40)
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(30)]), rng.choice([None, *range(50)]), i, rng.random() < 0.5) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, a int, o int, done boolean").repartition(5)
+    expected = []
+    for k in {r[0] for r in rows}:
+        line = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1], r[2]))
+        expected += [(i == 0, k, r[3], r[2]) for i, r in enumerate(line) if i == 0 or line[i - 1][3] != r[3]]
+    got = S._ordered(df, "k", ["a", "o"], F.col("done"), F.col("o").alias("at"), changing="done").collect()
+    assert len(got) <= len(expected) / 40 + 3
+    flat = [t for r in sorted(got, key=lambda r: (r.g, r.block)) for t in zip(r.new, r.k, r.done, r["at"])]
+    by_key = lambda ts: sorted(ts, key=lambda t: (t[1] is not None, t[1]))
+    assert by_key(flat) == by_key(expected)
+    assert sum(len(r.at) for r in S._ordered(df, "k", ["a", "o"], F.col("o").alias("at")).collect()) == 600
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "decimal(8,2)", "timestamp", "date", "boolean"])
+def test_keys_and_orders_of_any_kind(spark, scratch, monkeypatch, kind):
+    """Keys of one value stay one key from batch to batch: 0 and -0, NaN, NULL, and any order."""
+    monkeypatch.setattr(S, "GROUPS", 2)
+    value = {
+        "double": "CASE id % 5 WHEN 0 THEN 0D WHEN 1 THEN -0D WHEN 2 THEN double('NaN') WHEN 3 THEN 1.5D END", "boolean": "id % 5 = 1",
+        "date": "date_add(DATE'2024-01-01', CAST(id % 5 AS INT))", "timestamp": "timestamp_micros(id % 5)",
+    }.get(kind, f"CAST(id % 5 AS {kind})")
+    rows = spark.sql(f"SELECT IF(id % 7 = 0, NULL, {value}) AS k, IF(id % 11 = 0, NULL, {value}) AS t, id AS o, IF(hash(id) % 3 = 0, 'completed', 'open') AS status, "
+                     f"CAST(id AS INT) AS amount, 1 AS who FROM range(120)").withColumn("n", F.col("o") % 2)
+    ledger = CreditLedger(spark, f"{scratch}/l", rows.schema, key="k", order=["n", "t", "o"], status="status", amount="amount", user="who")
+    for n in range(2):
+        rows.where(F.col("n") == n).repartition(3).write.mode("append").parquet(f"{scratch}/in")
+        ledger.start(spark.readStream.schema(rows.schema).parquet(f"{scratch}/in")).awaitTermination()
+    known = {}
+    total = 0
+    code = lambda v: "NaN" if v != v else v + 0 if kind == "double" and v is not None else v
+    for n in range(2):
+        line = rows.where(F.col("n") == n).orderBy("t", "o").collect()
+        for r in line:
+            k, done = code(r.k), r.status == "completed"
+            total += r.amount if done and not known.get(k, False) else 0
+            known[k] = done
+    assert [tuple(r) for r in ledger.balances().collect()] == [(1, total)]
+    held = state_rows(spark, f"{scratch}/l/checkpoint", "done").collect()
+    assert len(held) == len(known) and {code(r.key.k): r.value.done for r in held} == known
+
+
+def test_batches_are_cut_by_several_tasks(spark, scratch, monkeypatch):
+    """A table that arrives is dealt into as many ranges as it has files, and batches stay in order."""
+    spark.range(400).selectExpr("id AS event_id", "CAST(id * 7 % 400 AS INT) AS ts").write.parquet(f"{scratch}/events.parquet")
+    cut = []
+    monkeypatch.setattr(Q, "ROWS_PER_FILE", 20)
+    monkeypatch.setattr(Q, "tables", lambda spark, d, *names: {n: spark.read.parquet(f"{d}/{n}.parquet") for n in names})
+    monkeypatch.setattr(Q, "cut_lineage", lambda df, f=Q.cut_lineage: cut.append(f(df)) or cut[0])
+    Q._stream(spark, scratch, "events", "ts")
+    assert len(cut[0].inputFiles()) > 2 * Q.BATCHES
+    ends = cut[0].groupBy("__part").agg(F.min("ts"), F.max("ts"), F.count("*")).orderBy("__part").collect()
+    assert len(ends) == Q.BATCHES and all(a[2] < b[1] for a, b in zip(ends, ends[1:])) and sum(r[3] for r in ends) == 400
+
+
 def test_view_counters_go_on(spark, scratch):
     rng = random.Random(6)
     rows = [(rng.choice([None, 0, 1, 2, 3]), i, None if rng.random() < 0.5 else rng.randrange(3)) for i in range(300)]
