@@ -28,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from tablewarden.llm.common import as_bytes, pick, ship_package, table
+from tablewarden.llm.common import as_bytes, pick, ship_package, table, word_lists
 from tablewarden.runtime import scratch_path
 
 MAGIC, END = b"TOKZ1", b"TOKZ"
@@ -42,6 +43,10 @@ HEAD = len(MAGIC) + 1 + 32
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16_384, 65_536
 #: Words whose ids a worker remembers, twice as many at most.
 RECENT_WORDS = 300_000
+#: Texts that are split into words at once have so many bytes, a longer one is split part by part.
+GROUP_BYTES = 16 << 20
+#: Words that go to the tokenizer in one call.
+CALL_WORDS = 256
 #: An id above all others stands for a NULL doc_id, which comes last.
 NO_ID = int(np.iinfo(np.int64).max)
 
@@ -49,6 +54,8 @@ NO_ID = int(np.iinfo(np.int64).max)
 _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 _BEYOND_LATIN = chr(0x250)
+#: ASCII letters and digits, or Latin letters whose small form is one letter, with full stops and commas after them.
+_PLAIN = "^(?:[A-Za-z0-9]+|[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+)[.,]*$"
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -59,13 +66,13 @@ class _Recent:
     def __init__(self, size: int):
         self.size, self.now, self.before = size, {}, {}
 
-    def get(self, key: bytes) -> bytes | None:
+    def get(self, key: str) -> bytes | None:
         found = self.now.get(key)
         if found is None and (found := self.before.get(key)) is not None:
             self.put(key, found)
         return found
 
-    def put(self, key: bytes, value: bytes) -> None:
+    def put(self, key: str, value: bytes) -> None:
         if len(self.now) >= self.size:
             self.before, self.now = self.now, {}
         self.now[key] = value
@@ -75,10 +82,12 @@ class Encoder:
     """Ids of texts by a tokenizer, with the ids of recent words kept.
 
     Where the tokenizer drops the six ASCII space characters and joins nothing
-    over them, which is tried out first, a word is encoded by itself; any other
-    tokenizer gets each text whole. Where it treats them so, which is tried out
-    too, words of ASCII or Latin letters count without case and without full stops
-    and commas at their end, and plain letters go to the tokenizer's model at once.
+    over them, which is tried out first, texts are split into words many at a time
+    and each different word is encoded once; any other tokenizer gets each text
+    whole. Where it treats them so, which is tried out too, words of ASCII or Latin
+    letters count without case and without full stops and commas at their end, and
+    plain letters go to the tokenizer's model at once, many words in a call if the
+    model marks the ends of words.
     """
 
     def __init__(self, path: str):
@@ -88,7 +97,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
-        self.words, self.cores = _Recent(RECENT_WORDS), _Recent(RECENT_WORDS)
+        self.recent = _Recent(RECENT_WORDS)
         self.parted = all(
             self.ids(f"{a}{s}{b}{s}{s}{a}{s}") == [*self.ids(a), *self.ids(b), *self.ids(a)] and self.ids(s + a) == self.ids(a)
             for s in " \t\n\v\f\r" for a, b in (("a", "the"), ("New", "York"), ("x.", "(1)"), ("ab12", "é"), ("-", "'s"))
@@ -98,6 +107,14 @@ class Encoder:
             and self.ids(f"{w}.,") == [*self.ids(w), *self.ids(".,")] and self.ids(f"{w} {w}") == [*self.ids(w), *self.ids(w)]
             for w in ("a", "Zq", "the", "Tokenization", "xqzjkvbwp", "AAAAaaaaAAAA", "Élève", "größer", "CIÓN", "Łódźž", "ñ", "ªÿ")
         )
+        # a space is a letter among these letters, which no word has
+        self.speller = Tokenizer(self.model)
+        self.speller.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(chr(_BYTE_LETTERS[32]))
+        self.last = None
+        if suffix := getattr(self.model, "end_of_word_suffix", None):
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[n for token, n in vocabulary.items() if token.endswith(suffix)]] = True
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -114,44 +131,82 @@ class Encoder:
     def _packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _core(self, word: bytes) -> bytes:
-        found = self.cores.get(word)
-        if found is None:
-            text = word.decode()
-            found = self._packed(self._letters(text) if text.isalpha() else self.ids(text))
-            self.cores.put(word, found)
-        return found
-
-    def _word(self, word: bytes) -> bytes:
-        # special tokens are known by their very spelling
-        if self.plain and b"<" not in word:
-            core = word.rstrip(b".,")
-            tail = word[len(core) :]
-            if word.isascii():
-                low = core.lower() if core.isalnum() else None
+    def _spelled(self, words: list[str]) -> list[bytes]:
+        """The ids of words of small Latin letters, by the model alone."""
+        if self.last is not None:
+            letters = " ".join(words).encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = np.array(self.speller.encode_batch_fast([letters], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(words):
+                data, ends = ids.tobytes(), (ends * self.width).tolist()
+                return [data[a:b] for a, b in zip([0, *ends], ends)]
+        return [self._packed(self._letters(w)) for w in words]
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _known(self, words: pa.Array) -> pa.Array:
+        """The ids of words, each different one asked for once."""
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        found = list(map(self.recent.now.get, names))
+        spelled, whole = [], []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            name = names[i]
+            found[i] = self.recent.get(name)
+            if found[i] is None:
+                letters = self.plain and name.isalpha() and name.islower() and (name.isascii() or max(name) < _BEYOND_LATIN)
+                (spelled if letters else whole).append(i)
+        for places, encode in ((spelled, self._spelled), (whole, self._whole)):
+            for at in range(0, len(places), CALL_WORDS):
+                some = places[at : at + CALL_WORDS]
+                for i, ids in zip(some, encode([names[i] for i in some]), strict=True):
+                    found[i] = ids
+                    self.recent.put(names[i], ids)
+        return pa.array(found, pa.binary()).take(coded.indices)
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of words."""
+        coded = words.dictionary_encode()
+        names = coded.dictionary
+        if self.plain:
+            # special tokens are known by their very spelling, so no word with other characters is changed
+            plain = pc.match_substring_regex(names, _PLAIN)
+            cores = pc.utf8_rtrim(names, characters=".,")
+            ids = self._known(pc.if_else(plain, pc.utf8_lower(cores), names))
+            tailed = pc.and_(plain, pc.less(pc.binary_length(cores), pc.binary_length(names)))
+            tails = pc.replace_substring_regex(names.filter(tailed), pattern="^.*[^.,]", replacement="")
+            joined = pc.binary_join_element_wise(ids.filter(tailed), self._known(tails), b"")
+            ids = pc.replace_with_mask(ids, tailed, joined)
+        else:
+            ids = self._known(names)
+        return ids.take(coded.indices)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, ``width`` bytes each."""
+        if not self.parted:
+            yield from (self._packed(self.ids(t.as_py().decode())) for t in texts)
+            return
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = done = 0
+        while at < len(texts):
+            to = int(np.searchsorted(ends, done + GROUP_BYTES, "right"))
+            if to == at:
+                to = at + 1
+                lists = word_lists(texts[at].as_py())
+                yield b"".join(b"".join(self._words(pa.array(words, pa.binary()).view(pa.string())).to_pylist()) for words in lists)
             else:
-                text = core.decode()
-                lower = text.lower()
-                low = lower.encode() if text.isalpha() and lower.isalpha() and max(text) < _BEYOND_LATIN else None
-            if low:
-                return self._core(low) + (self._core(tail) if tail else b"")
-        return self._packed(self.ids(word.decode()))
+                lists = pc.ascii_split_whitespace(texts.slice(at, to - at).cast(pa.binary()).view(pa.string()))
+                ids = self._words(lists.flatten())
+                places = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                edges = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)[places].tolist()
+                data = memoryview(ids.buffers()[2] or b"")
+                yield from (bytes(data[a:b]) for a, b in zip(edges, edges[1:]))
+            at, done = to, int(ends[to - 1])
 
     def encode(self, data: bytes) -> bytes:
         """The ids of a text, ``width`` bytes each."""
-        if not self.parted:
-            return self._packed(self.ids(data.decode()))
-        words = data.split()
-        parts = list(map(self.words.now.get, words))
-        recent = self.words
-        for i in [i for i, part in enumerate(parts) if part is None]:
-            word = words[i]
-            found = recent.get(word)
-            if found is None:
-                found = self._word(word)
-                recent.put(word, found)
-            parts[i] = found
-        return b"".join(parts)
+        return next(self.encode_all(pa.array([data], pa.binary())))
 
 
 def _tokenizer(path: str) -> tuple[str, bytes]:
@@ -168,7 +223,8 @@ def _sample(texts: DataFrame, path: str) -> list[bytes]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for batch in batches:
-            ids = [encoder.encode(t.as_py().rpartition(b" ")[0])[:SAMPLE_BYTES] for t in batch.column(0)]
+            texts = pa.array([t.as_py().rpartition(b" ")[0] for t in batch.column(0)], pa.binary())
+            ids = [i[:SAMPLE_BYTES] for i in encoder.encode_all(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     # the beginning of a text is enough for a sample, so the sort carries no long texts
@@ -224,19 +280,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, documents
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = index = name = None
-        encode = Encoder.of(tokenizer).encode
+        encoder = Encoder.of(tokenizer)
         last = np.array([end_id], f"<u{width}").tobytes()
         compress = _frames(shared.value)[0].compress
         store, folder = fs.FileSystem.from_uri(target)
         at = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc, ids in zip(batch.column(0), encoder.encode_all(batch.column(1)), strict=True):
                 if out is None:
                     store.create_dir(folder)
                     name, index, at = f"{uuid.uuid4().hex}.tok", [], HEAD
                     out = store.open_output_stream(f"{folder}/{name}")
                     out.write(head)
-                ids = encode(text.as_py()) + last
+                ids += last
                 frame = compress(ids)
                 out.write(frame)
                 key = doc.as_py()

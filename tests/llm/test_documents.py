@@ -69,6 +69,26 @@ def test_words_are_tokens_of_their_own():
         assert got == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_different_words_of_many_texts_go_to_the_tokenizer_together(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    letters = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+    texts = [t or "" for t in data.texts()] + ["", letters, *[f"a{c}b {c}, {c}1" for c in letters], "x" * 9000 + " y. " * 3000]
+    plain, encoder = Tokenizer.from_file(TOKENIZER), token_files.Encoder(TOKENIZER)
+    ids = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    array = pa.array([t.encode() for t in texts], pa.binary())
+    for size in (1 << 24, 4096, 1):
+        monkeypatch.setattr(token_files, "GROUP_BYTES", size)
+        got = list(token_files.Encoder(TOKENIZER).encode_all(array.slice(1)))
+        assert [np.frombuffer(g, encoder.kind).tolist() for g in got] == ids[1:]
+    calls, spelled = [], encoder._spelled
+    monkeypatch.setattr(encoder, "_spelled", lambda words: calls.append(words) or spelled(words))
+    monkeypatch.setattr(token_files, "GROUP_BYTES", 1 << 24)
+    list(encoder.encode_all(pa.array([b"one two, One", b"two one. three"] * 1000, pa.binary())))
+    assert [sorted(c) for c in calls] == [["one", "three", "two"]]
+
+
 def test_a_tokenizer_that_joins_over_white_space_gets_whole_texts(spark, docs, pairs, scratch):
     from tokenizers import Tokenizer
 
