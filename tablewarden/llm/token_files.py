@@ -41,12 +41,14 @@ MAGIC, END = b"TOKZ1", b"TOKZ"
 HEAD = len(MAGIC) + 1 + 32
 #: The dictionary is trained on the token ids of this many documents, of each at most so many bytes.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16_384, 65_536
-#: Words whose ids a worker remembers, twice as many at most.
-RECENT_WORDS = 300_000
+#: Words whose ids a worker remembers have so many bytes of memory, twice as many at most.
+RECENT_BYTES = 40 << 20
+#: What a word takes in a dictionary besides itself and its ids.
+ENTRY_BYTES = 40
 #: Texts that are split into words at once have so many bytes, a longer one is split part by part.
-GROUP_BYTES = 16 << 20
-#: Words that go to the tokenizer in one call.
-CALL_WORDS = 256
+GROUP_BYTES = 4 << 20
+#: Words that go to the tokenizer in one call, and their letters; a longer word goes alone.
+CALL_WORDS, CALL_LETTERS = 256, 1 << 16
 #: An id above all others stands for a NULL doc_id, which comes last.
 NO_ID = int(np.iinfo(np.int64).max)
 
@@ -61,10 +63,10 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 class _Recent:
-    """A bounded memory: what has not been asked for while ``size`` new entries came in is forgotten."""
+    """A bounded memory: what has not been asked for while new entries of ``size`` bytes came in is forgotten."""
 
     def __init__(self, size: int):
-        self.size, self.now, self.before = size, {}, {}
+        self.size, self.used, self.now, self.before = size, 0, {}, {}
 
     def get(self, key: str) -> bytes | None:
         found = self.now.get(key)
@@ -73,9 +75,25 @@ class _Recent:
         return found
 
     def put(self, key: str, value: bytes) -> None:
-        if len(self.now) >= self.size:
-            self.before, self.now = self.now, {}
-        self.now[key] = value
+        own = key.__sizeof__() + value.__sizeof__() + ENTRY_BYTES
+        if self.used + own > self.size:
+            self.before, self.now, self.used = self.now, {}, 0
+        if own <= self.size:
+            self.now[key] = value
+            self.used += own
+
+
+def _calls(places: list[int], names: list[str]) -> Iterator[list[int]]:
+    """The places in parts, each of few names that are not long together."""
+    some, letters = [], 0
+    for i in places:
+        if some and (len(some) == CALL_WORDS or letters + len(names[i]) > CALL_LETTERS):
+            yield some
+            some, letters = [], 0
+        some.append(i)
+        letters += len(names[i])
+    if some:
+        yield some
 
 
 class Encoder:
@@ -97,7 +115,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
-        self.recent = _Recent(RECENT_WORDS)
+        self.recent = _Recent(RECENT_BYTES)
         self.parted = all(
             self.ids(f"{a}{s}{b}{s}{s}{a}{s}") == [*self.ids(a), *self.ids(b), *self.ids(a)] and self.ids(s + a) == self.ids(a)
             for s in " \t\n\v\f\r" for a, b in (("a", "the"), ("New", "York"), ("x.", "(1)"), ("ab12", "é"), ("-", "'s"))
@@ -158,8 +176,7 @@ class Encoder:
                 letters = self.plain and name.isalpha() and name.islower() and (name.isascii() or max(name) < _BEYOND_LATIN)
                 (spelled if letters else whole).append(i)
         for places, encode in ((spelled, self._spelled), (whole, self._whole)):
-            for at in range(0, len(places), CALL_WORDS):
-                some = places[at : at + CALL_WORDS]
+            for some in _calls(places, names):
                 for i, ids in zip(some, encode([names[i] for i in some]), strict=True):
                     found[i] = ids
                     self.recent.put(names[i], ids)
@@ -202,6 +219,9 @@ class Encoder:
                 edges = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)[places].tolist()
                 data = memoryview(ids.buffers()[2] or b"")
                 yield from (bytes(data[a:b]) for a, b in zip(edges, edges[1:]))
+                # what is free goes back, as a worker that waits for its next task keeps it otherwise
+                del lists, ids, data
+                pa.default_memory_pool().release_unused()
             at, done = to, int(ends[to - 1])
 
     def encode(self, data: bytes) -> bytes:

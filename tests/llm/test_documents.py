@@ -89,6 +89,44 @@ def test_different_words_of_many_texts_go_to_the_tokenizer_together(monkeypatch)
     assert [sorted(c) for c in calls] == [["one", "three", "two"]]
 
 
+def test_encoding_many_texts_needs_little_memory():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain, encoder = Tokenizer.from_file(TOKENIZER), token_files.Encoder(TOKENIZER)
+    texts = [" ".join(f"Word {i * j % 9973}," for j in range(150)) for i in range(500)]
+    ids = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    array = pa.array([t.encode() for t in texts] * 24, pa.binary())
+    assert array.nbytes > 16 << 20
+    usual = pa.default_memory_pool()
+    counted = pa.proxy_memory_pool(usual)
+    pa.set_memory_pool(counted)
+    try:
+        for n, got in enumerate(encoder.encode_all(array)):
+            assert got == encoder._packed(ids[n % 500])
+    finally:
+        pa.set_memory_pool(usual)
+    assert n == len(array) - 1 and counted.max_memory() < 32 << 20
+
+
+def test_long_words_are_not_kept_by_their_number(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "RECENT_BYTES", 100_000)
+    plain, encoder = Tokenizer.from_file(TOKENIZER), token_files.Encoder(TOKENIZER)
+    words = [("\u4e2d\u6587" if i % 2 else "ab1") * (i % 300 + 1) + str(i) for i in range(600)] + ["\u6587" * 80_000]
+    calls, whole = [], encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda some: calls.append(some) or whole(some))
+    monkeypatch.setattr(token_files, "CALL_LETTERS", 5_000)
+    for _ in range(2):
+        got = list(encoder.encode_all(pa.array([w.encode() for w in words], pa.binary())))
+        assert got == [encoder._packed(plain.encode(w, add_special_tokens=False).ids) for w in words]
+    kept = [*encoder.recent.now.items(), *encoder.recent.before.items()]
+    assert 0 < sum(k.__sizeof__() + v.__sizeof__() for k, v in kept) < 200_000
+    assert all(len(c) == 1 or sum(map(len, c)) <= 5_000 for c in calls) and max(map(len, calls)) > 1
+
+
 def test_a_tokenizer_that_joins_over_white_space_gets_whole_texts(spark, docs, pairs, scratch):
     from tokenizers import Tokenizer
 
