@@ -46,7 +46,7 @@ RECENT_BYTES = 40 << 20
 #: What a word takes in a dictionary besides itself and its ids.
 ENTRY_BYTES = 40
 #: Texts that are split into words at once have so many bytes, a longer one is split part by part.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 #: Words that go to the tokenizer in one call, and their letters; a longer word goes alone.
 CALL_WORDS, CALL_LETTERS = 256, 1 << 16
 #: An id above all others stands for a NULL doc_id, which comes last.
